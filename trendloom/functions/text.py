@@ -139,10 +139,9 @@ def redact(c: Column, cfg: RedactionConfig = RedactionConfig()) -> Column:
     """
     if not cfg.enabled:
         return text_or_empty(c)
-    out = bind(text_or_empty(c), lambda t: redact_email(t, cfg.email))
-    out = redact_phone(out, cfg.phone)
-    out = bind(out, lambda t: redact_url(t, cfg.url))
-    return redact_account(redact_card(out, cfg.card), cfg.account)
+    out = redact_phone(redact_email(text_or_empty(c), cfg.email), cfg.phone)
+    out = redact_card(redact_url(out, cfg.url), cfg.card)
+    return redact_account(out, cfg.account)
 
 
 def redact_values(m: Column, cfg: RedactionConfig = RedactionConfig()) -> Column:
@@ -157,11 +156,12 @@ def clean_for_model(c: Column, deny: Iterable[str]) -> Column:
     out = F.regexp_replace(out, fv.STANDALONE_NUMBER, " ")
     words = F.regexp_extract_all(out, F.lit(fv.WORD), F.lit(0))
     denied = sorted(set(deny))
-    # One-letter words and unlisted tokens are told apart inside a single filter.
-    keep = F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*denied)) if denied else F.filter(
-        words, lambda w: F.length(w) > 1
-    )
-    return F.array_join(keep, " ")
+
+    def kept(w: Column) -> Column:
+        long_enough = F.length(w) > 1
+        return long_enough & ~w.isin(*denied) if denied else long_enough
+
+    return F.array_join(F.filter(words, kept), " ")
 
 
 def feature_words(c: Column) -> Column:
