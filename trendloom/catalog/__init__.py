@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("text_queries",)
+MODULES = ("text_queries", "ticket_queries")
 
 
 def load():
