@@ -14,6 +14,8 @@ from trendloom import fixed_values as fv
 from trendloom.config import DialogConfig, RedactionConfig
 
 _SPACE = r"[\s\x1c-\x1f]"
+# Every character that Unicode (and Python) counts as white space.
+_SPACE_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -23,7 +25,7 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def strip(c: Column) -> Column:
     """Trim every Unicode space, not only U+0020."""
-    return F.regexp_replace(c, rf"(?U)^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(c, F.lit(_SPACE_CHARS))
 
 
 def text_or_empty(c: Column) -> Column:
