@@ -192,26 +192,22 @@ def char_ngrams(c: Column, lo: int, hi: int) -> Column:
 
     A padded word shorter than the smallest size yields itself once.
     """
-    words = F.filter(
-        F.split(F.lower(text_or_empty(c)), rf"(?U){_SPACE}+"), lambda w: w != ""
-    )
+    words = F.filter(F.split(F.lower(text_or_empty(c)), rf"(?U){_SPACE}+"), lambda w: w != "")
+    padded = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
 
-    def grams(padded: Column) -> Column:
-        length = F.length(padded)
-        sizes = F.sequence(F.lit(lo), F.greatest(F.lit(lo), F.least(F.lit(hi), length)))
+    def of_size(ws: Column, n: int) -> Column:
+        long_enough = ws if n == lo else F.filter(ws, lambda w: F.length(w) >= n)
         return F.flatten(
             F.transform(
-                sizes,
-                lambda n: F.transform(
-                    F.sequence(F.lit(1), F.greatest(F.lit(1), length - n + 1)),
-                    lambda i: F.substring(padded, i, n),
+                long_enough,
+                lambda w: F.transform(
+                    F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) - (n - 1))),
+                    lambda i: F.substring(w, i, F.lit(n)),
                 ),
             )
         )
 
-    return F.flatten(
-        F.transform(words, lambda w: bind(F.concat(F.lit(" "), w, F.lit(" ")), grams))
-    )
+    return bind(padded, lambda ws: F.concat(*[of_size(ws, n) for n in range(lo, hi + 1)]))
 
 
 # --- keys and sizes ----------------------------------------------------------------

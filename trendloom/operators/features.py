@@ -1,10 +1,21 @@
-"""Term statistics and TF-IDF features."""
+"""Term statistics, vocabularies and TF-IDF vectors."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trendloom.config import VectorizerConfig
+from trendloom.functions import text as X
+from trendloom.operators.ordering import largest
+from trendloom.session import cut_lineage
+
 
 def term_statistics(df: DataFrame, terms: str) -> DataFrame:
     """Corpus frequency ``n`` and document frequency ``docs`` of every term.
@@ -23,3 +34,131 @@ def term_statistics(df: DataFrame, terms: str) -> DataFrame:
     return pairs.groupBy(F.col("p.term").alias("term")).agg(
         F.sum("p.n").alias("n"), F.sum("p.docs").alias("docs")
     )
+
+
+def vocabulary(
+    df: DataFrame, terms: str, min_df: int | float, max_df: int | float, max_features: int, rows: int
+) -> DataFrame:
+    """Terms within the document-frequency limits, the most frequent first on overflow.
+
+    An integer limit counts documents, a fraction is a share of ``rows``.  The
+    filtered counts are written once; what remains is bounded by ``max_features``.
+    """
+
+    def documents(limit: int | float) -> float:
+        return limit * rows if isinstance(limit, float) else limit
+
+    inside = F.col("docs").between(documents(min_df), documents(max_df))
+    kept = cut_lineage(term_statistics(df, terms).filter(inside))
+    return largest(kept, [F.col("term")], max_features, "n")
+
+
+@dataclass(frozen=True)
+class TermBlock:
+    """A frozen vocabulary: terms in alphabetical order and their inverse document frequency."""
+
+    terms: list[str]
+    idf: list[float]
+
+    @classmethod
+    def fit(cls, df: DataFrame, terms: str, min_df, max_df, max_features: int) -> TermBlock:
+        rows = df.count()
+        table = vocabulary(df, terms, min_df, max_df, max_features, rows)
+        idf = F.log((1 + F.lit(rows)) / (1 + F.col("docs"))) + 1
+        found = sorted((r["term"], r["idf"]) for r in table.select("term", idf.alias("idf")).collect())
+        return cls([t for t, _ in found], [w for _, w in found])
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """The vocabulary as (term, idx, idf)."""
+        rows = pd.DataFrame({"term": self.terms, "idx": range(len(self.terms)), "idf": self.idf})
+        return spark.createDataFrame(rows, "term string, idx int, idf double")
+
+    @classmethod
+    def from_table(cls, table: DataFrame) -> TermBlock:
+        rows = sorted((r["idx"], r["term"], r["idf"]) for r in table.collect())
+        return cls([t for _, t, _ in rows], [w for _, _, w in rows])
+
+    def transform(self, df: DataFrame, terms: str, output: str) -> DataFrame:
+        """Add the TF-IDF vector of an array of terms; unknown terms are ignored.
+
+        A row is counted and weighted where it lies, so nothing is shuffled.
+        """
+        if not self.terms:
+            none = F.array().cast("array<int>"), F.array().cast("array<double>")
+            return df.withColumn(output, _weights(np.array([0.0]))(*none))
+        counter = CountVectorizerModel.from_vocabulary(self.terms, terms, "_counts")
+        counted = counter.transform(df)
+        # Two references keep the counting in a projection of its own below the Python step.
+        weighted = _weights(np.array(self.idf))(F.unwrap_udt("_counts")["indices"], F.unwrap_udt("_counts")["values"])
+        return counted.withColumn(output, weighted).drop("_counts")
+
+
+def _weights(idf: np.ndarray):
+    """Vectorised (1 + ln tf) * idf with unit length per row, on whole Arrow batches."""
+
+    @F.pandas_udf(VectorUDT())
+    def weigh(indices: pd.Series, values: pd.Series) -> pd.DataFrame:
+        sizes = indices.map(len).to_numpy(dtype=int)
+        at = np.concatenate([*indices, np.empty(0)]).astype(int)
+        tf = np.concatenate([*values, np.empty(0)])
+        w = (1.0 + np.log(tf)) * idf[at]
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        norm = np.sqrt(np.bincount(row, w * w, len(sizes)))
+        w = w / norm[row]
+        return pd.DataFrame(
+            {
+                "type": np.zeros(len(sizes), dtype="int8"),
+                "size": np.full(len(sizes), len(idf), dtype="int32"),
+                "indices": indices,
+                "values": np.split(w, np.cumsum(sizes)[:-1]),
+            }
+        )
+
+    return weigh
+
+
+def exploded_weights(df: DataFrame, vector: str, block: TermBlock, *keys: str) -> DataFrame:
+    """Long form (keys, term, weight) of a TF-IDF vector."""
+    pairs = F.explode(F.arrays_zip(F.unwrap_udt(vector)["indices"], F.unwrap_udt(vector)["values"]))
+    long = df.select(*keys, pairs.alias("p")).select(
+        *keys, F.col("p.indices").alias("idx"), F.col("p.values").alias("weight")
+    )
+    # The vocabulary is bounded by its feature limit.
+    names = F.broadcast(block.table(df.sparkSession).select("idx", "term"))
+    return long.join(names, "idx").select(*keys, "term", "weight")
+
+
+@dataclass(frozen=True)
+class Vectorizer:
+    """Word and character TF-IDF blocks, set side by side without a common norm."""
+
+    cfg: VectorizerConfig
+    word: TermBlock
+    char: TermBlock
+
+    @staticmethod
+    def word_terms(text: Column, cfg: VectorizerConfig) -> Column:
+        return X.word_ngrams(X.feature_words(text), *cfg.word_ngram)
+
+    @staticmethod
+    def char_terms(text: Column, cfg: VectorizerConfig) -> Column:
+        return X.char_ngrams(text, *cfg.char_ngram)
+
+    @classmethod
+    def fit(cls, df: DataFrame, text: str, cfg: VectorizerConfig = VectorizerConfig()) -> Vectorizer:
+        c = F.col(text)
+        words = df.select(cls.word_terms(c, cfg).alias("terms"))
+        chars = df.select(cls.char_terms(c, cfg).alias("terms"))
+        return cls(
+            cfg,
+            TermBlock.fit(words, "terms", cfg.min_df, cfg.max_df, cfg.max_features_word),
+            TermBlock.fit(chars, "terms", cfg.min_df, cfg.max_df, cfg.max_features_char),
+        )
+
+    def transform(self, df: DataFrame, text: str, output: str = "features") -> DataFrame:
+        c = F.col(text)
+        rows = df.withColumn("_words", self.word_terms(c, self.cfg)).withColumn("_chars", self.char_terms(c, self.cfg))
+        rows = self.word.transform(rows, "_words", "_word").drop("_words")
+        rows = self.char.transform(rows, "_chars", "_char").drop("_chars")
+        assembled = VectorAssembler(inputCols=["_word", "_char"], outputCol=output).transform(rows)
+        return assembled.drop("_word", "_char")

@@ -1,9 +1,302 @@
-"""Splits, classifiers and cascade scoring."""
+"""Classifiers of the complaint -> category -> subcategory cascade, and scoring."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import json
+import uuid
+from dataclasses import dataclass
+
+from pyspark.ml.classification import (
+    LinearSVC, LinearSVCModel, LogisticRegression, LogisticRegressionModel, OneVsRest, OneVsRestModel,
+)
+from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trendloom import fixed_values as fv
+from trendloom.config import TrainConfig
+from trendloom.operators.metrics import with_class_weight
+
+FEATURES = "features"
 
 
 def predicted(score: Column, threshold: float) -> Column:
     return score >= threshold
+
+
+# --- label codes -------------------------------------------------------------------------
+
+@dataclass(frozen=True)
+class LabelCodes:
+    """Alphabetical codes of a string label."""
+
+    labels: list[str]
+
+    @classmethod
+    def fit(cls, df: DataFrame, label: str) -> LabelCodes:
+        indexer = StringIndexer(inputCol=label, outputCol="_code", stringOrderType="alphabetAsc")
+        return cls(list(indexer.fit(df.filter(F.col(label).isNotNull())).labels))
+
+    def encode(self, df: DataFrame, label: str, code: str) -> DataFrame:
+        return StringIndexerModel.from_labels(self.labels, label, code).transform(df)
+
+    def decode(self, df: DataFrame, code: str, label: str) -> DataFrame:
+        return IndexToString(inputCol=code, outputCol=label, labels=self.labels).transform(df)
+
+
+# --- binary complaint model ----------------------------------------------------------------
+# With balanced weights the weights sum to the row count, so regParam = 1 / rows puts the
+# optimum where a unit penalty constant does.
+
+
+def _logistic(rows: int, iterations: int, label: str, weight: str | None = "weight", **extra) -> LogisticRegression:
+    model = LogisticRegression(
+        featuresCol=FEATURES, labelCol=label, regParam=1.0 / rows, elasticNetParam=0.0, standardization=False,
+        maxIter=iterations, aggregationDepth=3, **extra,
+    )
+    return model.setWeightCol(weight) if weight else model
+
+
+def _margin_model(rows: int, label: str, iterations: int = 100) -> LinearSVC:
+    return LinearSVC(
+        featuresCol=FEATURES, labelCol=label, weightCol="weight", regParam=1.0 / rows, standardization=False,
+        maxIter=iterations, aggregationDepth=3,
+    )
+
+
+class LogisticComplaint:
+    """Balanced logistic regression; the score is its probability."""
+
+    kind = "logreg"
+
+    def __init__(self, model: LogisticRegressionModel):
+        self.model = model
+
+    @classmethod
+    def fit(cls, df: DataFrame, cfg: TrainConfig) -> LogisticComplaint:
+        return cls(_logistic(df.count(), cfg.complaint_iterations, "y").fit(with_class_weight(df, "y")))
+
+    def score(self, df: DataFrame, name: str) -> DataFrame:
+        scored = self.model.transform(df)
+        return scored.withColumn(name, vector_to_array("probability")[1]).drop(
+            "probability", "rawPrediction", "prediction"
+        )
+
+    def save(self, path: str) -> None:
+        self.model.write().save(path)
+
+    @classmethod
+    def load(cls, path: str, meta: dict) -> LogisticComplaint:
+        return cls(LogisticRegressionModel.load(path))
+
+
+class CalibratedComplaint:
+    """Linear margin models on the complements of five folds, each with a logistic
+    calibration on its fold; the score is the mean calibrated probability."""
+
+    kind = "linearsvc"
+    FOLDS = 5
+
+    def __init__(self, margins: list[LinearSVCModel], curves: list[tuple[float, float]]):
+        self.margins = margins
+        self.curves = curves
+
+    @classmethod
+    def fit(cls, df: DataFrame, cfg: TrainConfig, row_id: str = "row_id") -> CalibratedComplaint:
+        fold = F.pmod(F.xxhash64(row_id), F.lit(cls.FOLDS))
+        folds = df.withColumn("_fold", fold).persist()
+        margins, curves = [], []
+        try:
+            for i in range(cls.FOLDS):
+                rest = folds.filter(F.col("_fold") != i)
+                margin = _margin_model(rest.count(), "y").fit(with_class_weight(rest, "y"))
+                held = margin.transform(folds.filter(F.col("_fold") == i))
+                margins.append(margin)
+                curves.append(cls._curve(held.select(vector_to_array("rawPrediction")[1].alias("margin"), "y")))
+        finally:
+            folds.unpersist()
+        return cls(margins, curves)
+
+    @staticmethod
+    def _curve(held: DataFrame) -> tuple[float, float]:
+        """Slope and intercept of the logistic curve over smoothed targets.
+
+        A smoothed target t is one row of class 1 with weight t and one of class 0
+        with weight 1 - t.
+        """
+        sizes = held.agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n")).first()
+        high, low = (sizes["p"] + 1.0) / (sizes["p"] + 2.0), 1.0 / (sizes["n"] + 2.0)
+        target = F.when(F.col("y") == 1, F.lit(high)).otherwise(F.lit(low))
+        soft = held.select(
+            "margin",
+            F.explode(
+                F.array(
+                    F.struct(F.lit(1.0).alias("label"), target.alias("weight")),
+                    F.struct(F.lit(0.0).alias("label"), (1 - target).alias("weight")),
+                )
+            ).alias("t"),
+        ).select("margin", "t.label", "t.weight")
+        vectors = VectorAssembler(inputCols=["margin"], outputCol=FEATURES).transform(soft)
+        curve = LogisticRegression(
+            featuresCol=FEATURES, labelCol="label", weightCol="weight", standardization=False, maxIter=200
+        ).fit(vectors)
+        return float(curve.coefficients[0]), float(curve.intercept)
+
+    def score(self, df: DataFrame, name: str) -> DataFrame:
+        out, parts = df, []
+        for i, (margin, (slope, shift)) in enumerate(zip(self.margins, self.curves)):
+            model = margin.copy().setRawPredictionCol(f"_raw{i}").setPredictionCol(f"_pred{i}")
+            out = model.transform(out).drop(f"_pred{i}")
+            parts.append(1 / (1 + F.exp(-(slope * vector_to_array(f"_raw{i}")[1] + shift))))
+        mean = sum(parts[1:], parts[0]) / len(parts)
+        return out.withColumn(name, mean).drop(*[f"_raw{i}" for i in range(len(parts))])
+
+    def save(self, path: str) -> None:
+        for i, margin in enumerate(self.margins):
+            margin.write().save(f"{path}/margin_{i}")
+
+    @classmethod
+    def load(cls, path: str, meta: dict) -> CalibratedComplaint:
+        curves = [tuple(c) for c in meta["curves"]]
+        return cls([LinearSVCModel.load(f"{path}/margin_{i}") for i in range(len(curves))], curves)
+
+
+def fit_complaint(df: DataFrame, cfg: TrainConfig, row_id: str = "row_id"):
+    """Complaint model on ``features`` and the 0/1 label ``y``."""
+    if cfg.complaint_classifier == "linearsvc":
+        return CalibratedComplaint.fit(df, cfg, row_id)
+    return LogisticComplaint.fit(df, cfg)
+
+
+# --- multi-class models ----------------------------------------------------------------------
+
+class ClassModel:
+    """A multi-class model with its label codes; one class needs no model at all."""
+
+    def __init__(self, codes: LabelCodes, model=None):
+        self.codes = codes
+        self.model = model
+
+    @classmethod
+    def fit(cls, df: DataFrame, label: str, classifier: str, iterations: int) -> ClassModel:
+        """``df`` holds complaint rows only."""
+        known = df.filter(F.col(label).isNotNull())
+        codes = LabelCodes.fit(known, label)
+        if len(codes.labels) < 2:
+            return cls(codes)
+        weighted = with_class_weight(codes.encode(known, label, "_code"), "_code").select(FEATURES, "_code", "weight").persist()
+        try:
+            rows = weighted.count()
+            if classifier == "logreg":
+                model = _logistic(rows, iterations, "_code", family="multinomial").fit(weighted)
+            else:
+                model = OneVsRest(
+                    classifier=_margin_model(rows, "_code"), featuresCol=FEATURES, labelCol="_code", weightCol="weight"
+                ).fit(weighted)
+        finally:
+            weighted.unpersist()
+        return cls(codes, model)
+
+    def predict(self, df: DataFrame, name: str) -> DataFrame:
+        if not self.codes.labels:
+            return df.withColumn(name, F.lit(None).cast("string"))
+        if self.model is None:
+            return df.withColumn(name, F.lit(self.codes.labels[0]))
+        coded = self.model.transform(df)
+        return self.codes.decode(coded, "prediction", name).drop("prediction", "rawPrediction", "probability")
+
+    def save(self, path: str) -> None:
+        if self.model is not None:
+            self.model.write().save(path)
+
+    @classmethod
+    def load(cls, path: str, meta: dict | None) -> ClassModel | None:
+        if meta is None:
+            return None
+        model = None
+        if meta["kind"] == "logreg":
+            model = LogisticRegressionModel.load(path)
+        elif meta["kind"] == "one_vs_rest":
+            model = OneVsRestModel.load(path)
+        return cls(LabelCodes(meta["labels"]), model)
+
+    def meta(self) -> dict:
+        kind = "constant"
+        if self.model is not None:
+            kind = "logreg" if isinstance(self.model, LogisticRegressionModel) else "one_vs_rest"
+        return {"labels": self.codes.labels, "kind": kind}
+
+
+def fit_category(df: DataFrame, label: str, cfg: TrainConfig) -> ClassModel:
+    return ClassModel.fit(df, label, cfg.category_classifier, cfg.category_iterations)
+
+
+def fit_subcategory(df: DataFrame, label: str, cfg: TrainConfig) -> ClassModel | None:
+    """Subcategory model, or none when the complaints know fewer than two."""
+    filled = df.withColumn(label, F.coalesce(F.nullif(F.col(label), F.lit("")), F.lit(fv.UNKNOWN)))
+    model = ClassModel.fit(filled, label, "logreg", cfg.category_iterations)
+    return model if model.model is not None else None
+
+
+# --- the cascade -------------------------------------------------------------------------------
+
+@dataclass
+class Cascade:
+    """Vectorizer and the three models of a training run."""
+
+    vectorizer: object
+    complaint: LogisticComplaint | CalibratedComplaint
+    category: ClassModel
+    subcategory: ClassModel | None
+
+    def score(self, df: DataFrame, threshold: float) -> DataFrame:
+        """Add the complaint score and verdict, the category and the subcategory.
+
+        Only complaint rows go through the class models; the others get the neutral
+        codes.
+        """
+        scored = self.complaint.score(df, "complaint_score").withColumn(
+            "is_complaint_pred", predicted(F.col("complaint_score"), threshold)
+        )
+        bad = self.category.predict(scored.filter("is_complaint_pred"), "category_pred")
+        bad = bad.withColumn("category_pred", F.coalesce("category_pred", F.lit(fv.OTHER)))
+        if self.subcategory is not None:
+            bad = self.subcategory.predict(bad, "subcategory_pred")
+        else:
+            bad = bad.withColumn("subcategory_pred", F.lit(fv.NOT_COMPLAINT))
+        rest = scored.filter(~F.col("is_complaint_pred")).withColumns(
+            {"category_pred": F.lit(fv.OTHER), "subcategory_pred": F.lit(fv.NOT_COMPLAINT)}
+        )
+        return bad.unionByName(rest)
+
+    def save(self, spark: SparkSession, root: str) -> str:
+        """Write everything to a fresh folder under ``root`` and return it."""
+        path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+        for name in ("word", "char"):
+            getattr(self.vectorizer, name).table(spark).write.parquet(f"{path}/{name}_vocabulary")
+        self.complaint.save(f"{path}/complaint")
+        self.category.save(f"{path}/category")
+        if self.subcategory is not None:
+            self.subcategory.save(f"{path}/subcategory")
+        meta = {
+            "complaint": {"kind": self.complaint.kind, "curves": getattr(self.complaint, "curves", None)},
+            "category": self.category.meta(),
+            "subcategory": self.subcategory.meta() if self.subcategory else None,
+        }
+        spark.createDataFrame([(json.dumps(meta, ensure_ascii=False),)], "value string").coalesce(1).write.text(f"{path}/meta")
+        return path
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, vectorizer_cfg) -> Cascade:
+        from trendloom.operators.features import TermBlock, Vectorizer
+
+        meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
+        word, char = (TermBlock.from_table(spark.read.parquet(f"{path}/{n}_vocabulary")) for n in ("word", "char"))
+        kinds = {c.kind: c for c in (LogisticComplaint, CalibratedComplaint)}
+        return cls(
+            Vectorizer(vectorizer_cfg, word, char),
+            kinds[meta["complaint"]["kind"]].load(f"{path}/complaint", meta["complaint"]),
+            ClassModel.load(f"{path}/category", meta["category"]),
+            ClassModel.load(f"{path}/subcategory", meta["subcategory"]),
+        )
