@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("text_queries", "ticket_queries", "label_queries", "trend_queries", "feature_queries")
+MODULES = (
+    "text_queries", "ticket_queries", "label_queries", "trend_queries", "feature_queries", "novelty_queries",
+)
 
 
 def load():
