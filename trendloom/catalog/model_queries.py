@@ -1,38 +1,18 @@
-"""Classifiers, cascade scoring and report tables over documents and their labels."""
+"""Classifiers and cascade scoring over embeddings, and report tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from trendloom.catalog.bindings import WEAK, sql_list, table, tickets, weak_labels
-from trendloom.catalog.feature_queries import clean_documents
 from trendloom.catalog.registry import query
 from trendloom.config import TrainConfig
-from trendloom.operators import features, models
+from trendloom.operators import models
 from trendloom.plans import reports
 from trendloom.session import cut_lineage
 from trendloom.sources.taxonomy import Taxonomy
 
 
-def labelled_features(spark, sf_dir):
-    """TF-IDF of every document, with quality as the verdict where it was judged."""
-    docs = clean_documents(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    rows = docs.select(
-        F.col("doc_id").cast("string").alias("row_id"), "lang", "text_clean", F.col("quality").cast("double").alias("y"),
-        F.concat(F.col("lang"), F.lit("_"), F.col("toxic").cast("string")).alias("sub"),
-    )
-    vectorizer = features.Vectorizer.fit(rows, "text_clean")
-    return vectorizer, cut_lineage(vectorizer.transform(rows, "text_clean").drop("text_clean"))
-
-
-@query("complaint_scores")
-def complaint_scores(spark, sf_dir):
-    _, rows = labelled_features(spark, sf_dir)
-    model = models.fit_complaint(rows.filter("y IS NOT NULL"), TrainConfig())
-    scored = model.score(rows, "complaint_score")
-    return scored.select("row_id", "complaint_score", models.predicted(F.col("complaint_score"), 0.5).alias("is_complaint_pred"))
-
-
 def embedded(spark, sf_dir):
     from pyspark.ml.functions import array_to_vector
 
@@ -43,6 +23,15 @@ def embedded(spark, sf_dir):
     )
 
 
+@query("complaint_scores")
+def complaint_scores(spark, sf_dir):
+    rows = cut_lineage(embedded(spark, sf_dir))
+    scored = models.fit_complaint(rows, TrainConfig()).score(rows, "complaint_score")
+    return scored.select(
+        "row_id", "complaint_score", models.predicted(F.col("complaint_score"), 0.5).alias("is_complaint_pred")
+    )
+
+
 @query("calibrated_complaint_scores")
 def calibrated_complaint_scores(spark, sf_dir):
     rows = cut_lineage(embedded(spark, sf_dir))
@@ -66,13 +55,11 @@ def subcategory_predictions(spark, sf_dir):
 
 @query("cascade_scores")
 def cascade_scores(spark, sf_dir):
-    vectorizer, rows = labelled_features(spark, sf_dir)
-    judged = rows.filter("y IS NOT NULL")
+    rows = cut_lineage(embedded(spark, sf_dir).withColumn("sub", F.concat(F.lit("s"), F.substring("topic", 7, 1))))
     cfg = TrainConfig(category_classifier="logreg")
-    bad = judged.filter("y = 1")
+    bad = rows.filter("y = 1")
     cascade = models.Cascade(
-        vectorizer, models.fit_complaint(judged, cfg), models.fit_category(bad, "lang", cfg),
-        models.fit_subcategory(bad, "sub", cfg),
+        None, models.fit_complaint(rows, cfg), models.fit_category(bad, "topic", cfg), models.fit_subcategory(bad, "sub", cfg)
     )
     return cascade.score(rows, cfg.complaint_threshold).select(
         "row_id", "is_complaint_pred", "category_pred", "subcategory_pred"

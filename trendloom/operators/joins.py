@@ -80,9 +80,9 @@ def scored_subcategories(df: DataFrame, subcategories: DataFrame, category: str,
 
 def with_code_label(df: DataFrame, labels: DataFrame, code: str, name: str) -> DataFrame:
     """Label of a code, the code itself where the taxonomy has none."""
-    lookup = labels.select(F.col("code").alias("_code"), F.col("label").alias("_label"))
+    lookup = labels.select(F.col("code").alias("_code"), F.col("label").alias("_taxonomy_label"))
     joined = df.join(broadcast_if_small(lookup), df[code] == F.col("_code"), "left")
-    return joined.withColumn(name, F.coalesce("_label", F.col(code))).drop("_code", "_label")
+    return joined.withColumn(name, F.coalesce("_taxonomy_label", F.col(code))).drop("_code", "_taxonomy_label")
 
 
 def with_subcategory_label(
@@ -90,8 +90,8 @@ def with_subcategory_label(
 ) -> DataFrame:
     """Label of a subcategory within its category, the code itself where there is none."""
     lookup = subcategories.select(
-        F.col("category").alias("_cat"), F.col("code").alias("_sub"), F.col("label").alias("_label")
+        F.col("category").alias("_cat"), F.col("code").alias("_sub"), F.col("label").alias("_taxonomy_label")
     )
     matches = (df[category] == F.col("_cat")) & (df[sub] == F.col("_sub"))
     joined = df.join(broadcast_if_small(lookup), matches, "left")
-    return joined.withColumn(name, F.coalesce("_label", F.col(sub))).drop("_cat", "_sub", "_label")
+    return joined.withColumn(name, F.coalesce("_taxonomy_label", F.col(sub))).drop("_cat", "_sub", "_taxonomy_label")

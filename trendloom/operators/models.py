@@ -50,18 +50,31 @@ class LabelCodes:
 # optimum where a unit penalty constant does.
 
 
+# Relative improvement at which the optimisers stop.
+TOLERANCE = 1e-4
+
+
+# Optimisers run a job per step, so a small training table is packed into few partitions.
+ROWS_PER_PARTITION = 10_000
+
+
+def _packed(df: DataFrame, rows: int) -> DataFrame:
+    wanted = max(1, -(-rows // ROWS_PER_PARTITION))
+    return df.coalesce(wanted) if wanted < df.rdd.getNumPartitions() else df
+
+
 def _logistic(rows: int, iterations: int, label: str, weight: str | None = "weight", **extra) -> LogisticRegression:
     model = LogisticRegression(
         featuresCol=FEATURES, labelCol=label, regParam=1.0 / rows, elasticNetParam=0.0, standardization=False,
-        maxIter=iterations, aggregationDepth=3, **extra,
+        maxIter=iterations, tol=TOLERANCE, aggregationDepth=3, **extra,
     )
     return model.setWeightCol(weight) if weight else model
 
 
-def _margin_model(rows: int, label: str, iterations: int = 100) -> LinearSVC:
+def _margin_model(rows: int, label: str, iterations: int = 50) -> LinearSVC:
     return LinearSVC(
         featuresCol=FEATURES, labelCol=label, weightCol="weight", regParam=1.0 / rows, standardization=False,
-        maxIter=iterations, aggregationDepth=3,
+        maxIter=iterations, tol=TOLERANCE, aggregationDepth=3,
     )
 
 
@@ -75,7 +88,9 @@ class LogisticComplaint:
 
     @classmethod
     def fit(cls, df: DataFrame, cfg: TrainConfig) -> LogisticComplaint:
-        return cls(_logistic(df.count(), cfg.complaint_iterations, "y").fit(with_class_weight(df, "y")))
+        rows = df.count()
+        weighted = with_class_weight(df, "y").select(FEATURES, "y", "weight")
+        return cls(_logistic(rows, cfg.complaint_iterations, "y").fit(_packed(weighted, rows)))
 
     def score(self, df: DataFrame, name: str) -> DataFrame:
         scored = self.model.transform(df)
@@ -110,7 +125,8 @@ class CalibratedComplaint:
         try:
             for i in range(cls.FOLDS):
                 rest = folds.filter(F.col("_fold") != i)
-                margin = _margin_model(rest.count(), "y").fit(with_class_weight(rest, "y"))
+                rows = rest.count()
+                margin = _margin_model(rows, "y").fit(_packed(with_class_weight(rest, "y"), rows))
                 held = margin.transform(folds.filter(F.col("_fold") == i))
                 margins.append(margin)
                 curves.append(cls._curve(held.select(vector_to_array("rawPrediction")[1].alias("margin"), "y")))
@@ -185,9 +201,10 @@ class ClassModel:
         codes = LabelCodes.fit(known, label)
         if len(codes.labels) < 2:
             return cls(codes)
-        weighted = with_class_weight(codes.encode(known, label, "_code"), "_code").select(FEATURES, "_code", "weight").persist()
+        rows = known.count()
+        weighted = with_class_weight(codes.encode(known, label, "_code"), "_code").select(FEATURES, "_code", "weight")
+        weighted = _packed(weighted, rows).persist()
         try:
-            rows = weighted.count()
             if classifier == "logreg":
                 model = _logistic(rows, iterations, "_code", family="multinomial").fit(weighted)
             else:
