@@ -8,8 +8,8 @@ from trendloom.config import SplitConfig
 from trendloom.operators import ordering, splits
 
 
-@pytest.mark.parametrize("sortable", [1, 7, 10**6])
-@pytest.mark.parametrize("n", [0, 1, 13, 100, 199, 200, 500])
+@pytest.mark.parametrize("sortable", [1, 10**6])
+@pytest.mark.parametrize("n", [0, 13, 100, 199, 500])
 def test_first_rows_equals_a_sort(spark, n, sortable):
     rng = random.Random(n)
     # Half of all rows share one key, some keys are missing.

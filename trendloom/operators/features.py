@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, VectorAssembler, VectorSizeHint
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -160,5 +160,9 @@ class Vectorizer:
         rows = df.withColumn("_words", self.word_terms(c, self.cfg)).withColumn("_chars", self.char_terms(c, self.cfg))
         rows = self.word.transform(rows, "_words", "_word").drop("_words")
         rows = self.char.transform(rows, "_chars", "_char").drop("_chars")
+        # Declared sizes spare the assembler a look at the first row (there may be none).
+        for name, block in (("_word", self.word), ("_char", self.char)):
+            size = max(1, len(block.terms))
+            rows = VectorSizeHint(inputCol=name, size=size, handleInvalid="optimistic").transform(rows)
         assembled = VectorAssembler(inputCols=["_word", "_char"], outputCol=output).transform(rows)
         return assembled.drop("_word", "_char")

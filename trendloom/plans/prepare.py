@@ -76,7 +76,7 @@ def prepare_tickets(
     wide = prepare.expand_label(labelled)
     path = f"{out}/pilot_prepared" if pilot else f"{out}/prepared"
     tables.write_prepared(wide, path)
-    stored = spark.read.schema(wide.schema).parquet(path)
+    stored = tables.read_by_month(spark, path, wide.schema)
     tables.write_errors(stored, f"{out}/llm_errors")
     if pilot:
         tables.write_review_sheet(stored, f"{out}/pilot_review")

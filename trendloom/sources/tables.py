@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,16 +9,7 @@ from trendloom import fixed_values as fv
 from trendloom.functions.labels import LABEL_TYPE
 from trendloom.operators.labelling import latest_labels
 from trendloom.operators.prepare import all_objects_as_text, review_sheet
-
-
-def exists_or_none(read) -> DataFrame | None:
-    """The table ``read()`` returns, or None if its path does not exist; other errors stay errors."""
-    try:
-        return read()
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+from trendloom.sources.tickets import exists_or_none
 
 
 def write_by_month(df: DataFrame, path: str) -> None:
@@ -34,12 +24,9 @@ def write_by_month(df: DataFrame, path: str) -> None:
     )
 
 
-def read_by_month(spark: SparkSession, path: str) -> DataFrame:
-    """The months keep their text type; a month predicate prunes folders."""
-    df = spark.read.parquet(path)
-    return df.withColumn("month", F.date_format(F.col("month").cast("string").cast("date"), "yyyy-MM")) if dict(
-        df.dtypes
-    )["month"] == "date" else df
+def read_by_month(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Read with the written schema, so months stay text; a month predicate prunes folders."""
+    return spark.read.schema(schema).parquet(path)
 
 
 def write_prepared(df: DataFrame, path: str) -> None:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from trendloom import fixed_values as fv
 from trendloom.functions.text import strip
+from trendloom.sources.tickets import exists_or_none
 
 LABEL_KEY = "label_ru"
 
@@ -80,8 +81,8 @@ def normal_tokens(lines: DataFrame, column: str = "value") -> DataFrame:
 
 def load_tokens(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Token list of one file; a file that does not exist gives an empty list."""
-    lines = spark.read.format("text").option("pathGlobFilter", name).load(folder)
-    return normal_tokens(lines)
+    lines = exists_or_none(lambda: spark.read.text(f"{folder.rstrip('/')}/{name}"))
+    return normal_tokens(spark.createDataFrame([], "value string") if lines is None else lines)
 
 
 def token_union(*lists: DataFrame) -> DataFrame:

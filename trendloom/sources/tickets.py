@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,16 +25,27 @@ def spark_pattern(strptime_format: str) -> str:
     return out
 
 
-def name_filter(cfg: DropConfig) -> str:
-    """Glob for the configured drops; listed names that do not exist match nothing."""
-    if cfg.file_names:
-        return "{" + ",".join(cfg.file_names) + "}"
-    return cfg.file_glob
+def drop_path(cfg: DropConfig) -> str:
+    """Path pattern of the configured drops; listed names that do not exist match nothing."""
+    names = "{" + ",".join(cfg.file_names) + "}" if cfg.file_names else cfg.file_glob
+    return f"{cfg.input_dir.rstrip('/')}/{names}"
+
+
+def exists_or_none(read) -> DataFrame | None:
+    """The table ``read()`` returns, or None if its path does not exist; other errors stay errors."""
+    try:
+        return read()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def discover_drops(spark: SparkSession, cfg: DropConfig) -> DataFrame:
     """Paths of the drops, sorted; only the listing is read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", name_filter(cfg)).load(cfg.input_dir)
+    files = exists_or_none(lambda: spark.read.format("binaryFile").load(drop_path(cfg)))
+    if files is None:
+        return spark.createDataFrame([], "path string, file_name string")
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("file_name")).orderBy("path")
 
 
@@ -50,10 +62,8 @@ def _with_place(df: DataFrame, dense: bool) -> DataFrame:
 def _scan_csv(spark: SparkSession, cfg: DropConfig, schema) -> DataFrame | None:
     reader = spark.read.option("header", True).option("multiLine", False)
     if schema is not None:
-        df = reader.schema(schema).option("enforceSchema", False).csv(
-            cfg.input_dir, pathGlobFilter=name_filter(cfg)
-        )
-        return _with_place(df, dense=False)
+        df = exists_or_none(lambda: reader.schema(schema).option("enforceSchema", False).csv(drop_path(cfg)))
+        return None if df is None else _with_place(df, dense=False)
     # Headers may differ from drop to drop: one scan per distinct header.
     by_header: dict[tuple[str, ...], list[str]] = {}
     for path in (r["path"] for r in discover_drops(spark, cfg).collect()):
@@ -66,16 +76,13 @@ def scan_drops(spark: SparkSession, cfg: DropConfig, schema=None) -> DataFrame:
     """Union of all drops with ``source_file`` and the place of each row."""
     if cfg.file_format == "csv":
         df = _scan_csv(spark, cfg, schema)
-    elif discover_drops(spark, cfg).isEmpty():
-        df = None
     else:
         reader = spark.read.schema(schema) if schema is not None else spark.read
         if cfg.file_format == "parquet":
             reader = reader.option("mergeSchema", True)
-        df = _with_place(
-            reader.format(cfg.file_format).option("pathGlobFilter", name_filter(cfg)).load(cfg.input_dir),
-            dense=cfg.file_format == "parquet",
-        )
+        df = exists_or_none(lambda: reader.format(cfg.file_format).load(drop_path(cfg)))
+        if df is not None:
+            df = _with_place(df, dense=cfg.file_format == "parquet")
     if df is None:
         raise ValueError("No input files found")
     return df.withColumn("source_file", F.col("_file"))
