@@ -6,17 +6,24 @@ from pyspark.sql import functions as F
 
 from trendloom import fixed_values as fv
 from trendloom.catalog.bindings import (
-    DIALOGS, LINE_END, SPACE, WEAK, dialogs, sql_list, sql_non_empty, sql_strip, table, tickets,
-    weak_labels,
+    DIALOGS, LINE_END, SPACE, dialogs, sql_list, sql_non_empty, sql_strip, table,
 )
 from trendloom.catalog.registry import query
 from trendloom.config import DialogConfig
 from trendloom.functions import text as X
+from trendloom.sources.tickets import spread
 
 DIALOG = DialogConfig()
 DENY = fv.DENY_TOKENS + fv.EXTRA_STOPWORDS
 W = r"\p{L}\p{N}_"
 
+
+
+def texts(spark, sf_dir, name="documents", key="doc_id"):
+    """A text table with at least one partition per core."""
+    return spread(table(spark, sf_dir, name), key)
+
+
 # --- dialogs ---------------------------------------------------------------------------
 
 def sql_lines(key: str, col: str, src: str) -> str:
@@ -179,7 +186,7 @@ def _redaction(name, source, key, column, fn, pattern, token):
         f"{_sub(column, pattern, token)} <> {column} AS changed FROM {source}",
     )
     def run(spark, sf_dir):
-        df = table(spark, sf_dir, source).select(key, column, fn(F.col(column)).alias("redacted"))
+        df = texts(spark, sf_dir, source, key).select(key, column, fn(F.col(column)).alias("redacted"))
         return df.select(key, "redacted", (F.col("redacted") != F.col(column)).alias("changed"))
 
 
@@ -192,7 +199,7 @@ _redaction("redact_account", "documents", "doc_id", "text", X.redact_account, SQ
 
 @query("redact_personal_data", f"SELECT doc_id, {sql_redact('text')} AS redacted FROM documents")
 def redact_personal_data(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", X.redact(F.col("text")).alias("redacted"))
+    return texts(spark, sf_dir).select("doc_id", X.redact(F.col("text")).alias("redacted"))
 
 
 @query(
@@ -228,7 +235,7 @@ def sql_clean(expr: str) -> str:
     f"SELECT doc_id, array_to_string({sql_clean('text')}, ' ') AS text_clean FROM documents",
 )
 def clean_for_model(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir).select(
         "doc_id", X.clean_for_model(F.col("text"), DENY).alias("text_clean")
     )
 
@@ -247,7 +254,7 @@ SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM grams GROUP BY t
 def word_ngram_counts(spark, sf_dir):
     from trendloom.operators.features import term_statistics
 
-    docs = table(spark, sf_dir, "documents").select(
+    docs = texts(spark, sf_dir).select(
         X.word_ngrams(X.feature_words(F.col("text")), 1, 2).alias("terms")
     )
     return term_statistics(docs, "terms")
@@ -272,7 +279,7 @@ SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM grams GROUP BY t
 def char_ngram_counts(spark, sf_dir):
     from trendloom.operators.features import term_statistics
 
-    docs = table(spark, sf_dir, "documents").select(X.char_ngrams(F.col("text"), 3, 5).alias("terms"))
+    docs = texts(spark, sf_dir).select(X.char_ngrams(F.col("text"), 3, 5).alias("terms"))
     return term_statistics(docs, "terms")
 
 
