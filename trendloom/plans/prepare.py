@@ -77,7 +77,7 @@ def prepare_tickets(
     path = f"{out}/pilot_prepared" if pilot else f"{out}/prepared"
     tables.write_prepared(wide, path)
     stored = tables.read_by_month(spark, path, wide.schema)
-    tables.write_errors(stored, f"{out}/llm_errors")
+    tables.write_errors(stored, f"{out}/label_errors")
     if pilot:
         tables.write_review_sheet(stored, f"{out}/pilot_review")
         for name, df in reports.pilot(stored, taxonomy or Taxonomy.default()).items():

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trendloom.functions import text as X
-from trendloom.operators import joins, ordering, prepare, trends
+from trendloom.operators import joins, prepare, trends
 from trendloom.sources.taxonomy import Taxonomy
 from trendloom.sources.tickets import PLACE
 
@@ -107,6 +107,3 @@ def training(
 def write_all(report: dict[str, DataFrame], path: str) -> None:
     for name, df in report.items():
         df.write.mode("overwrite").json(f"{path}/{name}")
-
-
-__all__ = ["comparison", "month", "ordering", "pilot", "top_labelled", "top_subcategories", "training", "trend", "write_all"]
