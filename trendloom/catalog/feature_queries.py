@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trendloom.catalog.bindings import SPACE, TICKETS, table, tickets
+from trendloom.catalog.bindings import SPACE, table
 from trendloom.catalog.registry import query
 from trendloom.catalog.text_queries import DENY, W, sql_clean
 from trendloom.config import SplitConfig, VectorizerConfig
