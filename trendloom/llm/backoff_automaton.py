@@ -6,11 +6,13 @@ with the smoothed log-probability; any other token takes the failure arc, whose
 to the root, which has an arc for every token and one for unknown ones.  A text is scored by one
 walk from left to right that carries the state and adds up the weights.
 
-The smoothing gives a history mu pseudo-tokens spread like the root's add-one distribution:
+The smoothing gives a history m(h) pseudo-tokens spread like the root's add-one distribution, a
+few of them and as many as the history was seen (frequent histories meet new tokens too):
 
-    P(w | h) = (c(h, w) + mu * P(w)) / (c(h) + mu),    P(w) = (c(w) + 1) / (N + V + 1)
+    P(w | h) = (c(h, w) + m(h) * P(w)) / (c(h) + m(h)),    m(h) = FEW + SHARE * c(h)
+    P(w) = (c(w) + 1) / (N + V + 1)
 
-so the failure arc of h weighs log(mu / (c(h) + mu)), and the weights of a state sum to one.
+so the failure arc of h weighs log(m(h) / (c(h) + m(h))), and the weights of a state sum to one.
 
 The automaton has as many arcs as the corpus has distinct token pairs, so no task can hold it.
 Texts are kept in blocks; a block gets the counts of the tokens and pairs it has itself, which is
@@ -36,7 +38,7 @@ from trendloom.llm.common import block_id, cut, in_blocks, utf8
 FOLDS = 7
 HELD = 2
 BLOCK_BYTES = 16 << 20
-PAIR_WEIGHT = 200.0  # mu
+FEW, SHARE = 20.0, 1.0  # pseudo-tokens of a history
 END = np.uint64(0xE703E703E703E703)
 START = np.uint64(0x57A2757A2757A275)
 PAIR_BITS = 56
@@ -152,7 +154,7 @@ def _sum(frame: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def _walk(tokens: int, types: int, mu: float):
+def _walk(tokens: int, types: int, few: float, share: float):
     """Scores of a block's texts from its part of the automaton."""
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -169,10 +171,11 @@ def _walk(tokens: int, types: int, mu: float):
                 # states: occurrences as a history; the end is followed by nothing
                 starts = int(seen[names == END].sum())
                 occurs = np.where(history < 0, starts, seen[history]).astype(np.float64)
-                fail = np.log10(mu / (occurs + mu))
+                pseudo = few + share * occurs
+                fail = np.log10(pseudo / (occurs + pseudo))
                 base = root[places]
                 times = pairs[pair]
-                arc = np.log10((times + mu * np.power(10.0, base)) / (occurs + mu))
+                arc = np.log10((times + pseudo * np.power(10.0, base)) / (occurs + pseudo))
                 step = np.where(times > 0, arc, fail + base)
                 first = np.cumsum(n) - n
                 yield pa.RecordBatch.from_arrays(
@@ -184,7 +187,7 @@ def _walk(tokens: int, types: int, mu: float):
     return run
 
 
-def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", mu: float = PAIR_WEIGHT) -> DataFrame:
+def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", few: float = FEW, share: float = SHARE) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
 
     Learns from the rows whose crc32(key as text) modulo 7 is not 2 (a null key counts as an empty
@@ -210,7 +213,7 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", mu: floa
     tokens, types = parts.filter("kind = 0").agg(F.sum("tokens"), F.sum("types")).first()
     own = parts.groupBy("block").agg(F.collect_list(F.struct("kind", "range", "totals")).alias("parts"))
     scored = blocks.join(own, "block").mapInArrow(
-        _walk(tokens or 0, types or 0, mu),
+        _walk(tokens or 0, types or 0, few, share),
         f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double",
     )
     return scored.select(
