@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from trendloom.session import checkpoint_dir
 
 LAST_ID = (1 << 63) - 1
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
