@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendloom.llm.common import drop, running_offsets, save
-from trendloom.llm.tokenized import Cached
+from trendloom.llm.tokenized import cached
 
 END_ID = 2
 # Fixed by the format: bytes of each of the four ids of a control byte.
@@ -53,10 +53,10 @@ def token_ids(df: DataFrame, key: str, text: str, tokenizer: str, leading_space:
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]):
-        cached = Cached(tokenizer, leading_space)
+        table = cached(tokenizer, leading_space)
         end = end_id.to_bytes(2, "little")
         for batch in batches:
-            ids = [x + end for x in cached.encode(batch.column(1).to_pylist())]
+            ids = [x + end for x in table.encode(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["id", "ids"])
 
     return df.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, ids binary")

@@ -1,52 +1,120 @@
 """Token ids of many texts with a public tokenizer file, reusing the ids of repeated words.
 
 The vocabulary file's path is a parameter.  Texts are cut at places where the tokenizer always
-cuts too, and the ids of each distinct piece are kept in a bounded table, so the tokenizer
-library sees every distinct piece once instead of every occurrence.
+cuts too, and the ids of distinct pieces are kept in a table of bounded size, so the tokenizer
+library sees a piece once instead of at every occurrence.
 """
 
 from __future__ import annotations
 
 import os
+import string
+from array import array
+from functools import lru_cache
+from itertools import chain, filterfalse
 
+import numpy as np
 from tokenizers import Tokenizer
 
-ENTRIES = 400_000
+ENTRIES = 300_000  # of each of two generations
 AT_ONCE = 256  # texts whose new pieces are encoded together
+JOINED = 4096  # pieces encoded as one text
+MARKS = "".join(sorted(set(string.punctuation) - {"'"}))
+
 
 class Cached:
-    """Ids as little-endian bytes, ``width`` bytes each.
+    """Ids as little-endian bytes, two bytes each (vocabularies of fewer than 65,536 entries).
 
-    leading_space: a byte-level vocabulary, in which a word carries the space before it.  Before
-    a single space between two characters that are not white space such a tokenizer always
-    starts a new word.  Otherwise white space only ends words and has no ids.
+    leading_space: a byte-level vocabulary, in which a word carries the space before it; a single
+    space or line feed between two characters that are not white space always starts a new
+    piece.  Otherwise white space only ends words and has no ids.
     """
 
-    def __init__(self, path: str, leading_space: bool, width: int = 2):
+    def __init__(self, path: str, leading_space: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has its own tasks
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        if self.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("ids of this vocabulary need more than two bytes")
         self.leading_space = leading_space
-        self.width = width
+        # a separator has one id of its own wherever it stands between two pieces
+        self.separator = "\n" if leading_space else " \x01 "
+        (self.separator_id,) = self.tokenizer.encode(self.separator, add_special_tokens=False).ids
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
+
+    def _encode_pieces(self, pieces: list[str]) -> None:
+        """Learn the pieces.  A run of marks behind a letter is a word of its own to the tokenizer
+        (but for apostrophes), so most new pieces are a known word and a known run of marks."""
+        halves, wanted = [], {}
+        for p in pieces:
+            core = p.rstrip(MARKS)
+            if not core or not core[-1].isalpha():
+                core = p
+            rest = p[len(core):]
+            if not self.leading_space and core.isascii():
+                core = core.lower()
+            halves.append((p, core, rest))
+            for x in (core, rest):
+                if x not in self.parts:
+                    wanted[x] = None
+        if len(self.parts) > ENTRIES:
+            self.parts, wanted = {"": b""}, dict.fromkeys(x for _, *both in halves for x in both if x)
+        self._call(list(wanted))
+        for p, core, rest in halves:
+            self.known[p] = self.parts[core] + self.parts[rest]
 
-    def _ids(self, encoding) -> bytes:
-        return b"".join(i.to_bytes(self.width, "little") for i in encoding.ids)
+    def _call(self, parts: list[str]) -> None:
+        """Ids of each part from the tokenizer."""
+        plain, odd = [], []
+        for p in parts:
+            # no white space but a space in front, and no separator
+            (plain if p.isprintable() and " " not in p[1:] and p != " " else odd).append(p)
+        for at in range(0, len(plain), JOINED):
+            part = plain[at:at + JOINED]
+            (found,) = self.tokenizer.encode_batch_fast([self.separator.join(part)], add_special_tokens=False)
+            ids = np.array(found.ids, "<u2")
+            ends = np.flatnonzero(ids == self.separator_id).tolist()
+            if len(ends) != len(part) - 1:  # a part holds the separator's id
+                odd += part
+                continue
+            raw = ids.tobytes()
+            for x, start, end in zip(part, [0, *(2 * e + 2 for e in ends)], [*(2 * e for e in ends), len(raw)]):
+                self.parts[x] = raw[start:end]
+        for x, found in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
+            self.parts[x] = array("H", found.ids).tobytes()
 
     def _learn(self, parts: list[list[str]]) -> None:
-        wanted = set().union(*parts)
-        new = [p for p in wanted if p not in self.known]
-        if len(self.known) + len(new) > ENTRIES:
-            self.known = {}
-            new = list(wanted)
-        for piece, encoding in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[piece] = self._ids(encoding)
+        """Put every piece of ``parts`` into the younger generation."""
+        if len(self.known) > ENTRIES:
+            self.known, self.older = {}, self.known
+        new = set(filterfalse(self.known.__contains__, chain.from_iterable(parts)))
+        if self.older and new:
+            again = new.intersection(self.older)
+            self.known.update((p, self.older[p]) for p in again)
+            new -= again
+        if new:
+            self._encode_pieces(list(new))
 
     def pieces(self, text: str) -> list[str]:
         """Parts whose ids, put in a row, are the text's ids."""
         if not self.leading_space:
-            # white space only ends words here, so words may be encoded one by one
-            return [x for x in text.replace("\n", " ").split(" ") if x]
+            return list(filter(None, text.replace("\n", " ").split(" ")))
+        if text.split() != text.replace("\n", " ").split(" "):
+            return self._irregular(text)
+        found: list[str] = []
+        for line in text.split("\n"):
+            first, *others = line.split(" ")
+            found.append(first)
+            found.extend(map(" ".__add__, others))
+            found.append("\n")
+        found.pop()
+        return found
+
+    @staticmethod
+    def _irregular(text: str) -> list[str]:
+        """Cut only before single spaces between two characters that are not white space."""
         found: list[str] = []
         for k, word in enumerate(text.split(" ")):
             if not k:
@@ -65,3 +133,9 @@ class Cached:
             self._learn(parts)
             out.extend(b"".join(map(self.known.__getitem__, part)) for part in parts)
         return out
+
+
+@lru_cache(maxsize=2)
+def cached(path: str, leading_space: bool) -> Cached:
+    """The table of this Python worker, which lives for many tasks."""
+    return Cached(path, leading_space)
