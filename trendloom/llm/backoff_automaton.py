@@ -37,7 +37,7 @@ from trendloom.llm.common import block_id, cut, in_blocks, utf8
 
 FOLDS = 7
 HELD = 2
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 FEW, SHARE = 20.0, 1.0  # pseudo-tokens of a history
 END = np.uint64(0xE703E703E703E703)
 START = np.uint64(0x57A2757A2757A275)

@@ -56,6 +56,13 @@ def utf8(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in small slices, so that few of a batch's texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 # --- blocks -----------------------------------------------------------------------------------
 
 def block_id(number: int) -> int:

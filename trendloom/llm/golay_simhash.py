@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import components, cut, utf8
+from trendloom.llm.common import components, cut, small, utf8
 
 SHINGLE = 3
 SEED = 42
@@ -53,7 +53,7 @@ def fingerprints(df: DataFrame, key: str, text: str) -> DataFrame:
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
+        for batch in small(batches):
             found = np.array([fingerprint(t) for t in utf8(batch.column(1))], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["id", "fp"])
 

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import utf8
+from trendloom.llm.common import small, utf8
 
 # The wording of public licence notices.
 TEMPLATES = {
@@ -126,7 +126,7 @@ def scan_licenses(df: DataFrame, key: str = "doc_id", text: str = "text", templa
 
     def run(batches: Iterator[pa.RecordBatch]):
         scanner = Scanner(templates)
-        for batch in batches:
+        for batch in small(batches):
             rows = [
                 (i, *hit) for i, t in zip(batch.column(0).to_pylist(), utf8(batch.column(1))) for hit in scanner.scan(t)
             ]

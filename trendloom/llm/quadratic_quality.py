@@ -14,9 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trendloom.llm.backoff_automaton import fold
-from trendloom.llm.common import free_name, utf8
+from trendloom.llm.common import small, utf8
 
 FOLDS = 5
 HELD = 0
@@ -112,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     kind = docs.schema[key].dataType.simpleString()
 
     def features(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
+        for batch in small(batches):
             x = _features(utf8(batch.column(1)))
             values = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), size).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), values], names=["id", "x"])
@@ -148,14 +149,19 @@ def score_quality(docs: DataFrame, model: Discriminant, text: str = "text", scor
     if score in docs.columns:
         raise ValueError(f"the input has a column named {score}")
 
-    @F.pandas_udf("double")
-    def scored(texts):
-        return __import__("pandas").Series(model.score(_features([(t or "").encode() for t in texts])))
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in small(batches):
+            found = pa.array(model.score(_features(utf8(batch.column(text)))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, score])
 
-    return docs.withColumn(score, scored(F.col(text)))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields]).add(score, T.DoubleType()))
 
 
 def keep_good(docs: DataFrame, model: Discriminant, text: str = "text", cut: float = CUT) -> DataFrame:
-    """Rows whose score reaches ``cut``, with the columns of ``docs``."""
-    name = free_name(docs, "quality_score")
-    return score_quality(docs, model, text, name).filter(F.col(name) >= cut).drop(name)
+    """Rows whose score reaches ``cut``, as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in small(batches):
+            yield batch.filter(pa.array(model.score(_features(utf8(batch.column(text)))) >= cut))
+
+    return docs.mapInArrow(run, docs.schema)

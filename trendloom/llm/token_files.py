@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import drop, running_offsets, save
+from trendloom.llm.common import drop, running_offsets, save, small
 from trendloom.llm.tokenized import cached
 
 END_ID = 2
@@ -55,7 +55,7 @@ def token_ids(df: DataFrame, key: str, text: str, tokenizer: str, leading_space:
     def run(batches: Iterator[pa.RecordBatch]):
         table = cached(tokenizer, leading_space)
         end = end_id.to_bytes(2, "little")
-        for batch in batches:
+        for batch in small(batches):
             ids = [x + end for x in table.encode(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["id", "ids"])
 
@@ -73,7 +73,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]):
 def _encode(rank_of: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]):
         part, before = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in small(batches):
             docs = [np.frombuffer(x, "<u2") for x in batch.column("ids").to_pylist()]
             n = np.array([len(d) for d in docs], np.int64)
             coded = [encode_ranks(rank_of[d]) for d in docs]
@@ -125,7 +125,7 @@ def read_ids(spark: SparkSession, path: str, reduce=None, schema: str = "ids bin
     names = [c.split()[0] for c in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
+        for batch in small(batches):
             rows = [
                 reduce(token_of[decode_ranks(c, d, n)])
                 for c, d, n in zip(*(batch.column(x).to_pylist() for x in ("control", "data", "n")))

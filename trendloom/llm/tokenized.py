@@ -16,7 +16,7 @@ from itertools import chain, filterfalse
 import numpy as np
 from tokenizers import Tokenizer
 
-ENTRIES = 300_000  # of each of two generations
+ENTRIES = 200_000  # of each of two generations
 AT_ONCE = 256  # texts whose new pieces are encoded together
 JOINED = 4096  # pieces encoded as one text
 MARKS = "".join(sorted(set(string.punctuation) - {"'"}))

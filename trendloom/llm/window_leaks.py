@@ -20,9 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from trendloom.llm import words as W
-from trendloom.llm.common import cut, utf8
+from trendloom.llm.common import cut, small, utf8
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -185,22 +186,22 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     """
     kind, item_kind = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    found_type = to_arrow_type(items.schema[item_key].dataType)
     schema = f"id {kind}, item {item_kind}, similarity double, first_word long, n_words long"
     parts = []
     for index in indexes(items, item_key, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], index=index):
-            for batch in batches:
-                for at in range(0, len(batch), AT_ONCE):
-                    part = batch.slice(at, AT_ONCE)
-                    ids = part.column(0).to_pylist()
-                    out = [
-                        (i, index.ids[item], value, place, len(index.words[item]))
-                        for i, hits in zip(ids, index.leaks(utf8(part.column(1)))) for item, (value, place) in sorted(hits.items())
-                    ]
-                    if out:
-                        frame = [pa.array(c) for c in zip(*out)]
-                        yield pa.RecordBatch.from_arrays(frame, names=["id", "item", "similarity", "first_word", "n_words"])
+            for part in small(batches):
+                out = [
+                    (i, index.ids[item], value, place, len(index.words[item]))
+                    for i, hits in zip(part.column(0).to_pylist(), index.leaks(utf8(part.column(1))))
+                    for item, (value, place) in sorted(hits.items())
+                ]
+                if out:
+                    ids, found, *rest = zip(*out)
+                    frame = [pa.array(ids, part.column(0).type), pa.array(found, found_type), *(pa.array(c) for c in rest)]
+                    yield pa.RecordBatch.from_arrays(frame, names=["id", "item", "similarity", "first_word", "n_words"])
 
         parts.append(rows.mapInArrow(run, schema) if not parts else cut(rows.mapInArrow(run, schema)))
     if not parts:
@@ -216,13 +217,9 @@ def drop_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_key:
     """The rows of ``docs`` that leak no item, as they are."""
     for index in indexes(items, item_key, item_text):
 
-        @F.pandas_udf("boolean")
-        def clean(texts, index=index):
-            out = []
-            values = [(t or "").encode() for t in texts]
-            for at in range(0, len(values), AT_ONCE):
-                out += [not hits for hits in index.leaks(values[at:at + AT_ONCE])]
-            return __import__("pandas").Series(out, dtype=bool)
+        def clean(batches: Iterator[pa.RecordBatch], index=index):
+            for part in small(batches):
+                yield part.filter(pa.array([not hits for hits in index.leaks(utf8(part.column(text)))], pa.bool_()))
 
-        docs = docs.filter(clean(F.col(text)))
+        docs = docs.mapInArrow(clean, docs.schema)
     return docs

@@ -9,7 +9,7 @@ import numpy as np
 U = np.uint64
 BYTE_BASE = 0x9E3779B97F4A7C15
 WORD_BASE = 0xD1342543DE82EF95
-PIECE = 1 << 21  # bytes hashed at once
+PIECE = 1 << 19  # bytes hashed at once
 
 
 @dataclass
