@@ -10,9 +10,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """A bare scan over all cores: the benchmark tables have one row group a file."""
+    return scan.repartition(scan.sparkSession.sparkContext.defaultParallelism, key)
+
+
+def tickets(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
     """One ticket per document, dated and routed by the order of the same number."""
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents") if docs is None else docs
     orders = table(spark, sf_dir, "orders")
     return docs.join(orders, docs.doc_id == orders.o_orderkey).select(
         docs.doc_id.cast("string").alias("row_id"),

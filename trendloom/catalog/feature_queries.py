@@ -10,7 +10,7 @@ from trendloom.catalog.text_queries import DENY, W, sql_clean
 from trendloom.config import SplitConfig, VectorizerConfig
 from trendloom.functions import text as X
 from trendloom.operators import features, splits
-from trendloom.sources.tickets import spread
+from trendloom.catalog.bindings import spread
 
 CFG = VectorizerConfig()
 

@@ -11,7 +11,7 @@ from trendloom.catalog.bindings import (
 from trendloom.catalog.registry import query
 from trendloom.config import DialogConfig
 from trendloom.functions import text as X
-from trendloom.sources.tickets import spread
+from trendloom.catalog.bindings import spread
 
 DIALOG = DialogConfig()
 DENY = fv.DENY_TOKENS + fv.EXTRA_STOPWORDS

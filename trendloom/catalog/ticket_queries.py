@@ -364,10 +364,10 @@ def review_sheet(spark, sf_dir):
 
 @query(
     "summary_contamination",
-    "SELECT bool_or(regexp_matches(substr(text, 1, 120), '(?i)CLIENT|OPERATOR|CHATBOT')) AS warning FROM documents",
+    "SELECT bool_or(regexp_matches(text, '(?i)CLIENT|OPERATOR|CHATBOT')) AS warning FROM documents",
 )
 def summary_contamination(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.substring("text", 1, fv.SUMMARY_CHARS).alias("short_summary_llm"))
+    docs = table(spark, sf_dir, "documents").select(F.col("text").alias("short_summary_llm"))
     return prepare.summary_is_contaminated(docs)
 
 

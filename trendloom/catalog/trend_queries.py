@@ -15,7 +15,7 @@ from trendloom.functions import labels as L
 from trendloom.functions import text as X
 from trendloom.operators import joins, metrics, ordering, trends
 from trendloom.sources import taxonomy as tax
-from trendloom.sources.tickets import spread
+from trendloom.catalog.bindings import spread
 
 # --- the first slice: redact, clean, label by rule, rate per month ---------------------------
 
@@ -29,7 +29,8 @@ SELECT month, round(avg(CAST(bad AS INTEGER)), 9) AS complaint_rate, count(row_i
 )
 def monthly_complaint_rate(spark, sf_dir):
     cleaned = X.clean_for_model(X.redact(F.col("dialog_text")), DENY)
-    rows = spread(tickets(spark, sf_dir).select("row_id", "month", "product", "dialog_text"), "row_id")
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
+    rows = tickets(spark, sf_dir, docs).select("row_id", "month", "product", "dialog_text")
     labelled = rows.select("row_id", "month", L.rule_label(cleaned, F.col("product"), RULES).alias("label"))
     rates = trends.monthly_rates(labelled.withColumn("is_complaint_llm", F.col("label.is_complaint")))
     return rates.withColumn("complaint_rate", F.round("complaint_rate", 9))
@@ -373,8 +374,9 @@ def first_complaints(spark, sf_dir):
     "month_over_month_rate",
     "WITH " + WEAK + """, m AS (
   SELECT month, avg(CAST(is_complaint_llm AS INTEGER)) AS r, count(*) AS n FROM weak GROUP BY month)
-SELECT month, n, round(r, 9) AS complaint_rate, round(lag(r) OVER (ORDER BY month), 9) AS previous_complaint_rate,
-       round(r - lag(r) OVER (ORDER BY month), 9) AS complaint_rate_change FROM m""",
+SELECT m.month, m.n, round(m.r, 9) AS complaint_rate, round(p.r, 9) AS previous_complaint_rate,
+       round(m.r - p.r, 9) AS complaint_rate_change
+FROM m LEFT JOIN m p ON p.month = strftime(strptime(m.month || '-01', '%Y-%m-%d') - INTERVAL 1 MONTH, '%Y-%m')""",
 )
 def month_over_month_rate(spark, sf_dir):
     rates = trends.monthly_rates(weak_labels(tickets(spark, sf_dir)))
@@ -386,12 +388,13 @@ def month_over_month_rate(spark, sf_dir):
     "month_over_month_category",
     "WITH " + WEAK + """, m AS (
   SELECT month, complaint_category_llm, count(*) AS "count" FROM weak WHERE is_complaint_llm GROUP BY ALL)
-SELECT *, lag("count") OVER w AS previous_count, "count" - lag("count") OVER w AS count_change
-FROM m WINDOW w AS (PARTITION BY complaint_category_llm ORDER BY month)""",
+SELECT m.*, coalesce(p."count", 0) AS previous_count, m."count" - coalesce(p."count", 0) AS count_change
+FROM m LEFT JOIN m p ON p.complaint_category_llm IS NOT DISTINCT FROM m.complaint_category_llm
+  AND p.month = strftime(strptime(m.month || '-01', '%Y-%m-%d') - INTERVAL 1 MONTH, '%Y-%m')""",
 )
 def month_over_month_category(spark, sf_dir):
     counts = trends.month_category_counts(weak_labels(tickets(spark, sf_dir)))
-    return trends.month_over_month(counts, "count", "complaint_category_llm")
+    return trends.month_over_month(counts, "count", "complaint_category_llm", absent=0)
 
 
 # --- metrics --------------------------------------------------------------------------------------

@@ -19,7 +19,6 @@ from trendloom.functions import labels as L
 from trendloom.functions import text as X
 from trendloom.operators.ordering import union_all
 from trendloom.session import cut_lineage
-from trendloom.sources.tickets import spread
 
 Labeler = Callable[[list[dict]], str]
 
@@ -98,7 +97,7 @@ def ask(df: DataFrame, labeler: Labeler, budget: int, parallelism: int | None =
             yield pd.DataFrame([emit(waiting)])
 
     work = df.select("k", "payload", "tokens")
-    work = work.repartition(parallelism, "k") if parallelism else spread(work, "k")
+    work = work.repartition(parallelism, "k") if parallelism else work
     return work.mapInPandas(run, ASKED_TYPE)
 
 

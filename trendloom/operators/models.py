@@ -60,7 +60,7 @@ ROWS_PER_PARTITION = 10_000
 
 def _packed(df: DataFrame, rows: int) -> DataFrame:
     wanted = max(1, -(-rows // ROWS_PER_PARTITION))
-    return df.coalesce(wanted) if wanted < df.rdd.getNumPartitions() else df
+    return df.coalesce(wanted)  # never raises the number of partitions
 
 
 def _logistic(rows: int, iterations: int, label: str, weight: str | None = "weight", **extra) -> LogisticRegression:

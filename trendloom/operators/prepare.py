@@ -12,14 +12,6 @@ from trendloom import fixed_values as fv
 from trendloom.config import DialogConfig, DropConfig, LabelConfig, RedactionConfig
 from trendloom.functions import text as X
 
-REVIEW_COLUMNS = (
-    "row_id", "month", "dialog_source_field", "raw_dialog", "client_first_message",
-    "short_summary_llm", "is_complaint_llm", "complaint_category_llm",
-    "complaint_subcategory_llm", "loan_product_llm", "severity_llm", "keywords_llm",
-    "confidence_llm", "llm_error",
-)
-GOLD_COLUMNS = ("is_complaint_gold", "category_gold", "subcategory_gold", "comment")
-
 
 def distinct_names(*groups: Iterable[str]) -> list[str]:
     """Names in order of first appearance."""
@@ -33,7 +25,7 @@ def dialog_columns(df: DataFrame, cfg: DropConfig) -> list[str]:
     legacy = [cfg.dialog_column] if cfg.dialog_column else []
     found = [c for c in distinct_names(cfg.dialog_columns or (), legacy) if c in df.columns]
     if not found:
-        raise ValueError("No configured dialog columns found in input file")
+        raise ValueError(f"none of the dialog columns {[*(cfg.dialog_columns or ()), *legacy]} is in the drops")
     return found
 
 
@@ -209,8 +201,8 @@ def with_default_labels(df: DataFrame) -> DataFrame:
 
 def review_sheet(df: DataFrame) -> DataFrame:
     """Columns a reviewer sees, with blank columns for the verdict."""
-    shown = [c for c in REVIEW_COLUMNS if c in df.columns]
-    return df.select(*shown, *[F.lit("").alias(c) for c in GOLD_COLUMNS])
+    shown = [c for c in fv.REVIEW_COLUMNS if c in df.columns]
+    return df.select(*shown, *[F.lit("").alias(c) for c in fv.GOLD_COLUMNS])
 
 
 def summary_is_contaminated(df: DataFrame, summary: str = "short_summary_llm") -> DataFrame:

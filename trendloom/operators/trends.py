@@ -109,10 +109,18 @@ def topic_sizes(df: DataFrame, min_size: int = 0) -> DataFrame:
     return sizes.filter(F.col("count") >= min_size)
 
 
-def month_over_month(monthly: DataFrame, value: str, by: str | None = None) -> DataFrame:
-    """Change of a monthly value against the month before, on the aggregated table."""
-    window = (Window.partitionBy(by) if by else Window.partitionBy()).orderBy("month")
-    before = F.lag(value).over(window)
-    return monthly.withColumn(f"previous_{value}", before).withColumn(
+def month_over_month(monthly: DataFrame, value: str, by: str | None = None, absent: int | None = None) -> DataFrame:
+    """Change of a monthly value against the calendar month before, on the aggregated table.
+
+    ``absent`` stands for the value of a month that the table does not have.
+    """
+    following = F.date_format(F.add_months(F.to_date(F.concat("month", F.lit("-01"))), 1), "yyyy-MM")
+    keys = ["_month", *(["_by"] if by else [])]
+    before = monthly.select(following.alias("_month"), *([F.col(by).alias("_by")] if by else []), F.col(value).alias("_before"))
+    same = F.col("month") == F.col("_month")
+    if by:
+        same &= F.col(by).eqNullSafe(F.col("_by"))
+    joined = monthly.join(before, same, "left").withColumn("_before", F.coalesce("_before", F.lit(absent))).drop(*keys)
+    return joined.withColumnRenamed("_before", f"previous_{value}").withColumn(
         f"{value}_change", F.col(value) - F.col(f"previous_{value}")
     )

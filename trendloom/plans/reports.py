@@ -80,12 +80,12 @@ def trend(prepared: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def comparison(base: DataFrame, new: DataFrame) -> dict[str, DataFrame]:
+def comparison(base: DataFrame, new: DataFrame, min_cluster_size: int = 0) -> dict[str, DataFrame]:
     """Category share changes, novel examples and novel topic sizes."""
     return {
         "share_deltas": trends.share_deltas(base, "complaint_category_llm", new, "category_pred"),
         "novel_examples": _in_file_order(new.filter("is_novel"), 100),
-        "topics": trends.topic_sizes(new),
+        "topics": trends.topic_sizes(new, min_cluster_size),
     }
 
 

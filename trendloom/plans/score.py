@@ -69,14 +69,14 @@ def compare_months(
         empty = new.filter("false").withColumns(
             {"novelty_score": F.lit(0.0), "is_novel": F.lit(False), "cluster_id": F.lit(-1)}
         )
-        return empty, reports.comparison(base, empty)
+        return empty, reports.comparison(base, empty, cfg.min_cluster_size)
     basis = novelty.components(base_rows, "features", cfg.svd_components)
     base_z = cut_lineage(novelty.projected(base_rows, "features", basis).drop("features"))
     new_z = cut_lineage(novelty.projected(featured(new), "features", basis).drop("features"))
     scores = cut_lineage(novelty.novel_rows(novelty.novelty_scores(base_z, new_z, cfg), cfg))
     clustered = novelty.with_clusters(scores.join(new_z, "row_id"), "z", cfg.seed).drop("z")
     result = cut_lineage(new.join(clustered, "row_id"))
-    shown = reports.comparison(base, result)
+    shown = reports.comparison(base, result, cfg.min_cluster_size)
     if out:
         tables.write_topics(result, f"{out}/new_topics")
         reports.write_all(shown, f"{out}/reports/compare")

@@ -30,7 +30,11 @@ def read_by_month(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def write_prepared(df: DataFrame, path: str) -> None:
-    write_by_month(df, path)
+    """Replace the whole table: it holds the months of this run and no others."""
+    (
+        df.hint("rebalance", "month").write.mode("overwrite").option("partitionOverwriteMode", "static")
+        .partitionBy("month").parquet(path)
+    )
 
 
 def write_scored(df: DataFrame, path: str) -> None:

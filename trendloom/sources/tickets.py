@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import re
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,16 +16,30 @@ PLACE = ("_file", "_block", "_row")
 
 # --- fixed values: strptime directives and their Spark datetime letters --------------
 DIRECTIVES = {
-    "%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%f": "SSSSSS", "%y": "yy",
+    "%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%f": "SSSSSS", "%y": "yy", "%b": "MMM",
+    "%B": "MMMM", "%I": "hh", "%p": "a", "%j": "DDD",
 }
 
 
 def spark_pattern(strptime_format: str) -> str:
-    """Spark datetime pattern for a strptime format."""
-    out = strptime_format
-    for directive, letters in DIRECTIVES.items():
-        out = out.replace(directive, letters)
-    return out
+    """Spark datetime pattern for a strptime format: every other character is quoted.
+
+    A directive without a counterpart is refused here, before anything is read.
+    """
+    out, literal = [], ""
+    for token in re.findall(r"(?s)%.|.", strptime_format):
+        if token == "%%" or not token.startswith("%") or token == "%":
+            literal += "%" if token == "%%" else token
+            continue
+        if token not in DIRECTIVES:
+            raise ValueError(f"time format {strptime_format!r}: {token} is not supported")
+        out += [_quoted(literal), DIRECTIVES[token]]
+        literal = ""
+    return "".join([*out, _quoted(literal)])
+
+
+def _quoted(literal: str) -> str:
+    return "'" + literal.replace("'", "''") + "'" if re.search(r"[A-Za-z'\[\]{}#]", literal) else literal
 
 
 def drop_path(cfg: DropConfig) -> str:
@@ -49,29 +66,53 @@ def discover_drops(spark: SparkSession, cfg: DropConfig) -> DataFrame:
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("file_name")).orderBy("path")
 
 
-def _with_place(df: DataFrame, dense: bool) -> DataFrame:
+def _with_place(df: DataFrame, cfg: DropConfig, dense: bool) -> DataFrame:
+    """Rows with their place: the file by its whole path, in the order of an explicit list."""
     row = F.col("_metadata.row_index") if dense else F.monotonically_increasing_id()
+    path = F.col("_metadata.file_path")
+    if cfg.file_names:
+        listed = F.array_position(F.array(*[F.lit(n) for n in cfg.file_names]), F.col("_metadata.file_name"))
+        path = F.concat(F.lpad(listed.cast("string"), 9, "0"), F.lit(" "), path)
     return df.select(
         "*",
-        F.col("_metadata.file_name").alias("_file"),
+        F.col("_metadata.file_name").alias("source_file"),
+        path.alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         row.alias("_row"),
     )
 
 
 def _scan_csv(spark: SparkSession, cfg: DropConfig, schema) -> DataFrame | None:
-    reader = spark.read.option("header", True).option("multiLine", False)
+    # A dialog has a line per speaker inside its quotes, so a file is read whole, by one task.
+    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
     if schema is not None:
         df = exists_or_none(lambda: reader.schema(schema).option("enforceSchema", False).csv(drop_path(cfg)))
-        return None if df is None else _with_place(df, dense=False)
+        return None if df is None else _with_place(df, cfg, dense=False)
     # Headers may differ from drop to drop: one scan per distinct header.
     by_header: dict[tuple[str, ...], list[str]] = {}
     for path in (r["path"] for r in discover_drops(spark, cfg).collect()):
         by_header.setdefault(tuple(reader.csv(path).columns), []).append(path)
-    frames = [_with_place(reader.csv(paths), dense=False) for paths in by_header.values()]
+    frames = [_with_place(reader.csv(paths), cfg, dense=False) for paths in by_header.values()]
     return union_all(frames) if frames else None
 
 
+def _scan_by_type(spark: SparkSession, cfg: DropConfig) -> DataFrame:
+    """Parquet drops that disagree on the type of a column: such a column becomes text."""
+    by_schema: dict[str, list[str]] = {}
+    kinds: dict[str, set[str]] = {}
+    for path in (r["path"] for r in discover_drops(spark, cfg).collect()):
+        schema = spark.read.parquet(path).schema
+        by_schema.setdefault(schema.simpleString(), []).append(path)
+        for f in schema.fields:
+            kinds.setdefault(f.name, set()).add(f.dataType.simpleString())
+    frames = []
+    for paths in by_schema.values():
+        df = _with_place(spark.read.parquet(*paths), cfg, dense=True)
+        mixed = {c: F.col(c).cast("string") for c in df.columns if len(kinds.get(c, ())) > 1}
+        frames.append(df.withColumns(mixed) if mixed else df)
+    return union_all(frames)
+
+
 def scan_drops(spark: SparkSession, cfg: DropConfig, schema=None) -> DataFrame:
     """Union of all drops with ``source_file`` and the place of each row."""
     if cfg.file_format == "csv":
@@ -80,12 +121,17 @@ def scan_drops(spark: SparkSession, cfg: DropConfig, schema=None) -> DataFrame:
         reader = spark.read.schema(schema) if schema is not None else spark.read
         if cfg.file_format == "parquet":
             reader = reader.option("mergeSchema", True)
-        df = exists_or_none(lambda: reader.format(cfg.file_format).load(drop_path(cfg)))
+        try:
+            df = exists_or_none(lambda: reader.format(cfg.file_format).load(drop_path(cfg)))
+        except (Py4JJavaError, PySparkException) as e:
+            if "CANNOT_MERGE" not in str(e):
+                raise
+            return _scan_by_type(spark, cfg)
         if df is not None:
-            df = _with_place(df, dense=cfg.file_format == "parquet")
+            df = _with_place(df, cfg, dense=cfg.file_format == "parquet")
     if df is None:
         raise ValueError("No input files found")
-    return df.withColumn("source_file", F.col("_file"))
+    return df
 
 
 def parse_event_time(c: Column, pattern: str | None = None) -> Column:
@@ -111,15 +157,15 @@ def with_event_time(df: DataFrame, cfg: DropConfig, check: bool = True) -> DataF
     The check reads the time column only and runs before anything is written.
     """
     if cfg.datetime_column not in df.columns:
-        raise ValueError(f"No datetime column '{cfg.datetime_column}'. Available: {df.columns[:20]}")
+        raise ValueError(f"the drops have no time column {cfg.datetime_column!r}; they have {', '.join(df.columns)}")
     pattern = spark_pattern(cfg.datetime_format) if cfg.datetime_format else None
     parsed = df.withColumn("event_time", parse_event_time(F.col(cfg.datetime_column), pattern))
     if check:
         worst = unparsable_counts(parsed).orderBy(F.desc("bad"), "source_file").limit(1).collect()
         if worst:
             raise ValueError(
-                f"Cannot parse {worst[0]['bad']} values in datetime column '{cfg.datetime_column}' "
-                f"for file {worst[0]['source_file']}."
+                f"{worst[0]['source_file']}: {worst[0]['bad']} rows whose {cfg.datetime_column!r} is no time in the "
+                f"expected format"
             )
     return parsed.withColumn("month", month_of(F.col("event_time")))
 
@@ -136,15 +182,3 @@ def with_row_id(df: DataFrame, cfg: DropConfig, prefix: str = "row_") -> DataFra
 def read_tickets(spark: SparkSession, cfg: DropConfig, schema=None, check: bool = True) -> DataFrame:
     """Scan, event time, month, source file and row id of all configured drops."""
     return with_row_id(with_event_time(scan_drops(spark, cfg, schema), cfg, check), cfg)
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread a scan with fewer input splits than cores before heavy per-row work.
-
-    A scan that already has a split per core is returned unchanged, so a large
-    table is never shuffled for this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, key)
