@@ -96,7 +96,7 @@ class Scanner:
                 continue
             if len(line.split()) <= 2 * self.longest:
                 yield number, line.strip()
-            for sentence in re.split(rb"(?<=[.!?])[ \t]+(?=[A-Z])", line):
+            for sentence in re.split(rb"(?<=[.!?])[ \t]+", line):
                 if len(sentence) < len(line) and CUE.search(sentence):
                     yield number, sentence.strip()
 
