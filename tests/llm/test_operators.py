@@ -168,7 +168,7 @@ def test_simhash_groups(docs, texts, empty):
 def test_golay_keys_find_every_pair_within_three_bits(spark):
     rnd = random.Random(2)
     codes = [golay_simhash.decode(np.array([c]))[0] for c in (0, 1 << 22, (1 << 23) - 1)]
-    assert len(set(codes)) == 3
+    assert codes[0] == codes[1] != codes[2]  # one wrong bit is corrected
     prints = set()
     for _ in range(150):
         p = rnd.getrandbits(64)
@@ -328,7 +328,7 @@ def test_leaks(spark, texts, empty):
     changed = list(items[1])
     changed[0] = "other"
     rows = {
-        1: " ".join(items[1]).upper(), 2: "x " + " ".join(changed), 3: " ".join(items[5][:20]), 4: None, 5: "", 6: "a b c " + " ".join(items[3]),
+        1: "".join(c.upper() if c.isascii() else c for c in " ".join(items[1])), 2: "x " + " ".join(changed), 3: " ".join(items[5][:20]), 4: None, 5: "", 6: "a b c " + " ".join(items[3]),
         7: " ".join(items[2] + items[5]), 8: " ".join(changed[:14] + ["z"] + changed[15:]), 9: texts[1],
     }
     df = spark.createDataFrame(list(rows.items()), "doc_id bigint, text string")
