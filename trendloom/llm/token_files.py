@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendloom.llm.common import drop, running_offsets, save, small
-from trendloom.llm.tokenized import cached
+from trendloom.llm.tokenized import Cached
 
 END_ID = 2
 # Fixed by the format: bytes of each of the four ids of a control byte.
@@ -53,7 +53,7 @@ def token_ids(df: DataFrame, key: str, text: str, tokenizer: str, leading_space:
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]):
-        table = cached(tokenizer, leading_space)
+        table = Cached(tokenizer, leading_space)
         end = end_id.to_bytes(2, "little")
         for batch in small(batches):
             ids = [x + end for x in table.encode(batch.column(1).to_pylist())]

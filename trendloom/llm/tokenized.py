@@ -10,13 +10,12 @@ from __future__ import annotations
 import os
 import string
 from array import array
-from functools import lru_cache
 from itertools import chain, filterfalse
 
 import numpy as np
 from tokenizers import Tokenizer
 
-ENTRIES = 200_000  # of each of two generations
+ENTRIES = 150_000  # of each of two generations
 AT_ONCE = 256  # texts whose new pieces are encoded together
 JOINED = 4096  # pieces encoded as one text
 MARKS = "".join(sorted(set(string.punctuation) - {"'"}))
@@ -133,9 +132,3 @@ class Cached:
             self._learn(parts)
             out.extend(b"".join(map(self.known.__getitem__, part)) for part in parts)
         return out
-
-
-@lru_cache(maxsize=2)
-def cached(path: str, leading_space: bool) -> Cached:
-    """The table of this Python worker, which lives for many tasks."""
-    return Cached(path, leading_space)
