@@ -36,6 +36,14 @@ def _ids(rows: pa.Table, key: str) -> np.ndarray:
     return rows.column(key).fill_null(LAST_ID).to_numpy().astype(np.int64)
 
 
+def _longs(items: pa.ListScalar, field: str | None = None) -> np.ndarray:
+    """A list of integers (or of one field of its structs), without making Python objects."""
+    if not items.is_valid:
+        return np.zeros(0, np.int64)
+    values = items.values if field is None else items.values.field(field)
+    return values.to_numpy(zero_copy_only=False)
+
+
 def _text_hash(texts: list[bytes]) -> np.ndarray:
     return np.array([int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little") for t in texts], dtype=np.uint64)
 
@@ -99,10 +107,11 @@ def _leaves(key: str, text: str):
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for row in batch.to_pylist():
-                _, ids, _, words = _candidates(unpack(row["payload"]), key, text, np.array(row["copies"] or [], np.int64))
+            for k, block in enumerate(batch.column("block").to_pylist()):
+                rows = unpack(batch.column("payload")[k].as_py())
+                _, ids, _, words = _candidates(rows, key, text, _longs(batch.column("copies")[k]))
                 start, small, doc = _suffixes(words)
-                shared = np.array(row["shared"] or [], np.int64).view(np.uint64)
+                shared = _longs(batch.column("shared")[k]).view(np.uint64)
                 keep = np.isin(small, shared)
                 start, owner = start[keep], ids[doc[keep]]
                 if not len(start):
@@ -113,7 +122,7 @@ def _leaves(key: str, text: str):
                 new = np.concatenate(([True], np.any([x[1:] != x[:-1] for x in labels], axis=0)))
                 first = np.flatnonzero(new)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(first), row["block"])), *[pa.array(x[first].view(np.int64)) for x in labels],
+                    [pa.array(np.full(len(first), block)), *[pa.array(x[first].view(np.int64)) for x in labels],
                      pa.array(np.minimum.reduceat(owner, first)), pa.array(np.maximum.reduceat(owner, first))],
                     names=["block", "a", "b", "c", "low", "high"],
                 )
@@ -171,23 +180,23 @@ def _name(labels: list[np.ndarray]) -> np.ndarray:
 def _removal(key: str, text: str, name: str, results: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for row in batch.to_pylist():
-                rows = unpack(row["payload"])
-                texts, ids, copy, words = _candidates(rows, key, text, np.array(row["copies"] or [], np.int64))
-                found = row["repeats"] or []
-                value = np.array([r["name"] for r in found], np.int64).view(np.uint64)
-                low = np.array([r["low"] for r in found], np.int64)
+            for at in range(len(batch)):
+                rows = unpack(batch.column("payload")[at].as_py())
+                shared = _longs(batch.column("shared")[at]).view(np.uint64)
+                texts, ids, copy, words = _candidates(rows, key, text, _longs(batch.column("copies")[at]))
+                value = _longs(batch.column("repeats")[at], "name").view(np.uint64)
+                low = _longs(batch.column("repeats")[at], "low")
                 order = np.argsort(value)
                 value, low = value[order], low[order]
                 covered = np.zeros(len(words.hashes) + 1, np.int64)
                 start, small, doc = _suffixes(words)
                 if len(value):
-                    near = np.isin(small, np.array(row["shared"] or [], np.int64).view(np.uint64))
+                    near = np.isin(small, shared)
                     start, doc = start[near], doc[near]
                     labels = [W.range_hashes(words.hashes, start + a, start + b, W.WORD_BASE) for a, b in zip(LABELS, LABELS[1:])]
                     names = _name(labels)
-                    at = np.minimum(np.searchsorted(value, names), len(value) - 1)
-                    gone = (value[at] == names) & (ids[doc] > low[at])
+                    place = np.minimum(np.searchsorted(value, names), len(value) - 1)
+                    gone = (value[place] == names) & (ids[doc] > low[place])
                     np.add.at(covered, start[gone], 1)
                     np.add.at(covered, start[gone] + WINDOW, -1)
                 removed = np.cumsum(covered[:-1]) > 0
