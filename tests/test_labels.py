@@ -1,6 +1,7 @@
 import json
 import sys
 
+import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
@@ -25,9 +26,28 @@ def answer(**extra):
 def test_batches_follow_the_budget(spark):
     assert labelling.batch_numbers([10, 20, 15], 30)[0] == [0, 0, 1]
     assert labelling.batch_numbers([50, 1, 1], 30)[0] == [0, 1, 1]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate([10, 20, 15, 30, 1])], "n long, tokens int")
-    out = labelling.assign_batches(df, "n", "tokens", 30, 3).orderBy("n").collect()
-    assert [(r["run"], r["batch"]) for r in out] == [(0, 0), (0, 0), (0, 1), (1, 0), (1, 1)]
+
+
+def test_batches_do_not_depend_on_runs(spark):
+    tokens = [10, 20, 15, 30, 1, 1, 1, 90, 2, 28, 31, 30, 5, None, 0, 29, 7, 7, 7, 7, 7, 7, 40, 3]
+    counted = [max(t or 1, 1) for t in tokens]
+    df = spark.createDataFrame(list(enumerate(tokens)), "n long, tokens int")
+    for budget, run_rows, fan in ((30, 3, 2), (30, 1, 3), (30, 100, 2), (1, 4, 64)):
+        out = labelling.assign_batches(df, "n", "tokens", budget, run_rows, fan).orderBy("n").collect()
+        assert [r["batch"] for r in out] == labelling.batch_numbers(counted, budget)[0]
+    none = labelling.assign_batches(df.limit(0), "n", "tokens", 30, 3)
+    assert none.columns == ["n", "tokens", "batch"] and none.count() == 0
+
+
+def test_run_maps_chain_like_rows():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        limit = int(rng.integers(1, 12))
+        rows = rng.integers(1, 15, int(rng.integers(0, 12)))
+        opens, after = labelling._run_map(rows, limit)
+        for start in range(limit + 1):
+            number, total = labelling.batch_numbers(rows.tolist(), limit, (0, start))[1]
+            assert (opens[start], after[start]) == (number, min(total, limit))
 
 
 def test_rule_labels(spark):

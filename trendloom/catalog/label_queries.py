@@ -87,26 +87,34 @@ def label_error_column(spark, sf_dir):
 
 # --- batches -------------------------------------------------------------------------------
 
-@query(
-    "token_budget_batches",
-    """
+TOKEN_BATCHES = """
 WITH RECURSIVE rows AS (
   SELECT doc_id, greatest(1, length(text) // 4) AS t FROM documents
-), greedy(doc_id, run, batch, total) AS (
-  SELECT doc_id, doc_id // 10000, 0, t FROM rows WHERE doc_id % 10000 = 0
+), greedy(doc_id, batch, total) AS (
+  SELECT doc_id, 0, t FROM rows WHERE doc_id = 0
   UNION ALL
-  SELECT r.doc_id, g.run, CASE WHEN g.total + r.t > 12000 THEN g.batch + 1 ELSE g.batch END,
+  SELECT r.doc_id, CASE WHEN g.total + r.t > 12000 THEN g.batch + 1 ELSE g.batch END,
          CASE WHEN g.total + r.t > 12000 THEN r.t ELSE g.total + r.t END
-  FROM greedy g JOIN rows r ON r.doc_id = g.doc_id + 1 AND r.doc_id // 10000 = g.run
-)
-SELECT doc_id, run, CAST(batch AS INTEGER) AS batch FROM greedy""",
+  FROM greedy g JOIN rows r ON r.doc_id = g.doc_id + 1
 )
-def token_budget_batches(spark, sf_dir):
-    cfg = LabelConfig()
+SELECT doc_id, CAST(batch AS BIGINT) AS batch FROM greedy"""
+
+
+def _token_batches(spark, sf_dir, run_rows: int):
     docs = table(spark, sf_dir, "documents").select("doc_id", X.estimate_tokens(F.col("text")).alias("tokens"))
-    return labelling.assign_batches(docs, "doc_id", "tokens", cfg.token_budget, cfg.run_rows).select(
-        "doc_id", "run", "batch"
-    )
+    budget = LabelConfig().token_budget
+    return labelling.assign_batches(docs, "doc_id", "tokens", budget, run_rows).select("doc_id", "batch")
+
+
+@query("token_budget_batches", TOKEN_BATCHES)
+def token_budget_batches(spark, sf_dir):
+    return _token_batches(spark, sf_dir, LabelConfig().run_rows)
+
+
+@query("token_batches_over_short_runs", TOKEN_BATCHES)
+def token_batches_over_short_runs(spark, sf_dir):
+    """Runs shorter than a batch: the same batches."""
+    return _token_batches(spark, sf_dir, 7)
 
 
 # --- answers to a batch -----------------------------------------------------------------------

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,20 +46,95 @@ def batch_numbers(tokens: list[int], budget: int, start: tuple[int, int] = (0, 0
     return out, (number, total)
 
 
-def assign_batches(df: DataFrame, row_no: str, tokens: str, budget: int, run_rows: int) -> DataFrame:
-    """Add ``run`` and ``batch``: greedy batches in row order.
+def _run_map(tokens: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a run of rows does to each possible sum 0..limit of the batch that is open before it.
 
-    Rows are cut into runs of ``run_rows`` consecutive rows and batches do not
-    cross runs, so a task holds one run and never the whole table.
+    Returns the batches it opens and the sum of the one it leaves open.  A sum above the limit
+    behaves like the limit, as every row has at least one token.
     """
-    schema = df.withColumn("run", F.lit(0).cast("bigint")).withColumn("batch", F.lit(0)).schema
+    n = len(tokens)
+    sums = np.concatenate(([0], np.cumsum(tokens)))
+    # first row of the batch behind the one that starts at each row
+    behind = np.maximum(np.searchsorted(sums, sums[:-1] + limit, "right") - 1, np.arange(1, n + 1)).tolist()
+    opened, left = [0] * n, [0] * n
+    for i in range(n - 1, -1, -1):
+        j = behind[i]
+        opened[i] = 1 if j == n else opened[j] + 1
+        left[i] = min(int(sums[n] - sums[i]), limit) if j == n else left[j]
+    before = np.arange(limit + 1)
+    first = np.searchsorted(sums, limit - before, "right") - 1  # row that opens a batch; n: none does
+    opens = np.array([*opened, 0])[first]
+    sum_after = np.where(first < n, np.array([*left, 0])[first], np.minimum(before + sums[n], limit))
+    if n:  # nothing is open: the first row's batch counts as open already
+        opens[0], sum_after[0] = opened[0] - 1, left[0]
+    return opens.astype(np.int64), sum_after.astype(np.int32)
+
+
+def _run_starts(maps: DataFrame, fan: int) -> DataFrame:
+    """(run, first_batch, first_sum): the open batch and its sum before each run.
+
+    ``fan`` neighbouring maps are chained into one until a single group is left; its starts then
+    go down level by level.  A task holds ``fan`` maps, whatever the number of runs.
+    """
+    last = maps.agg(F.max("run")).first()[0]
+    groups = maps.withColumn("grp", F.floor(F.col("run") / fan).cast("bigint"))
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        opens = after = None
+        for o, a in zip(*_ordered_maps(pdf)):
+            opens, after = (o, a) if opens is None else (opens + o[after], a[after])
+        return pd.DataFrame({"run": [pdf["grp"].iloc[0]], "opens": [opens.tobytes()], "after": [after.tobytes()]})
+
+    def unfold(pdf: pd.DataFrame) -> pd.DataFrame:
+        batch, total = int(pdf["first_batch"].iloc[0]), int(pdf["first_sum"].iloc[0])
+        starts = []
+        for o, a in zip(*_ordered_maps(pdf)):
+            starts.append((batch, total))
+            batch, total = batch + int(o[total]), int(a[total])
+        runs = sorted(pdf["run"])
+        return pd.DataFrame([(r, *s) for r, s in zip(runs, starts)], columns=["run", "first_batch", "first_sum"])
+
+    if last is None or last < fan:
+        begun = groups.withColumns({"first_batch": F.lit(0).cast("bigint"), "first_sum": F.lit(0).cast("bigint")})
+    else:
+        up = cut_lineage(groups.groupBy("grp").applyInPandas(chain, "run long, opens binary, after binary"))
+        begun = groups.join(_run_starts(up, fan).withColumnRenamed("run", "grp"), "grp")
+    return begun.groupBy("grp").applyInPandas(unfold, "run long, first_batch long, first_sum long")
+
+
+def _ordered_maps(pdf: pd.DataFrame) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    pdf = pdf.sort_values("run")
+    return [np.frombuffer(x, np.int64) for x in pdf["opens"]], [np.frombuffer(x, np.int32) for x in pdf["after"]]
+
+
+def assign_batches(df: DataFrame, row_no: str, tokens: str, budget: int, run_rows: int, fan: int = 64) -> DataFrame:
+    """Add ``batch``: greedy batches in the order of ``row_no`` (unique, from 0) over all rows.
+
+    Counts that are null or below 1 count as 1.  ``run_rows`` rows are numbered in one task; it
+    does not change the result.  Each run is first reduced to a map of ``budget`` + 1 entries (see
+    ``_run_map``), so where a batch starts is known without reading all rows in one task.
+    """
+    limit = max(1, int(budget))
+    runs = df.withColumn("_run", F.floor(F.col(row_no) / run_rows).cast("bigint"))
 
-    def number(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(row_no, kind="stable")
-        return pdf.assign(batch=batch_numbers(pdf[tokens].tolist(), budget)[0])
+    def counts(pdf: pd.DataFrame) -> np.ndarray:
+        return pdf[tokens].fillna(1).clip(lower=1).to_numpy(np.int64)
+
+    def reduce_run(pdf: pd.DataFrame) -> pd.DataFrame:
+        opens, after = _run_map(counts(pdf.sort_values(row_no)), limit)
+        return pd.DataFrame({"run": [pdf["_run"].iloc[0]], "opens": [opens.tobytes()], "after": [after.tobytes()]})
 
-    runs = df.withColumn("run", F.floor(F.col(row_no) / run_rows).cast("bigint"))
-    return runs.groupBy("run").applyInPandas(number, schema)
+    def number(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(row_no)
+        start = (int(pdf["_batch"].iloc[0]), int(pdf["_sum"].iloc[0]))
+        return pdf.assign(batch=batch_numbers(counts(pdf).tolist(), limit, start)[0])[names]
+
+    narrow = runs.select(row_no, tokens, "_run")
+    maps = cut_lineage(narrow.groupBy("_run").applyInPandas(reduce_run, "run long, opens binary, after binary"))
+    starts = _run_starts(maps, fan).toDF("_run", "_batch", "_sum")
+    schema = df.withColumn("batch", F.lit(0).cast("bigint")).schema
+    names = schema.names
+    return runs.join(starts, "_run").groupBy("_run").applyInPandas(number, schema)
 
 
 # --- calling the labeler -----------------------------------------------------------------
