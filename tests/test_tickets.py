@@ -4,11 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from trendloom import fixed_values as fv
-from trendloom.config import DropConfig
+from trendloom.config import DialogConfig, DropConfig, TrainConfig
 from trendloom.operators import joins, prepare
+from trendloom.plans import score
 from trendloom.sources import tables
 from trendloom.sources import tickets as src
-from trendloom.sources.taxonomy import Taxonomy, load_tokens, token_union
+from trendloom.sources.taxonomy import Taxonomy, deny_tokens, load_tokens, token_union
 
 
 def drop(tmp_path, name, text):
@@ -118,6 +119,19 @@ def test_token_lists(spark, tmp_path):
     assert sorted(r["token"] for r in both.collect()) == ["client", "бот"]
 
 
+def test_scoring_cleans_with_the_token_files(spark, tmp_path):
+    folder = tmp_path / "lists"
+    folder.mkdir()
+    drop(folder, "deny_tokens.txt", "Карта\nlost\n")
+    cfg = TrainConfig(token_dir=str(folder))
+    assert deny_tokens(spark, cfg) == ("lost", "карта")
+    assert deny_tokens(spark, TrainConfig()) == TrainConfig().deny_tokens
+    drop(tmp_path, "new.json", json.dumps({"created_at": "2025-12-01", "dialog_text": "CLIENT: карта lost вчера вечером и клиент ждёт"}) + "\n")
+    drops = DropConfig(str(tmp_path), "new.json", file_format="json")
+    cleaned = score.month_rows(spark, drops, "2025-12", DialogConfig(), cfg).first()["text_clean"].split()
+    assert "вчера" in cleaned and "клиент" in cleaned and not {"карта", "lost"} & set(cleaned)
+
+
 def test_month_sink_replaces_only_its_months(spark, tmp_path):
     path = str(tmp_path / "t")
     tables.write_by_month(spark.createDataFrame([("a", "2025-01"), ("b", "2025-02")], "v string, month string"), path)

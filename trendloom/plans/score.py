@@ -13,7 +13,7 @@ from trendloom.plans import reports
 from trendloom.session import cut_lineage
 from trendloom.sources import tables
 from trendloom.sources import tickets as src
-from trendloom.sources.taxonomy import Taxonomy
+from trendloom.sources.taxonomy import Taxonomy, deny_tokens
 
 
 def month_rows(
@@ -25,7 +25,7 @@ def month_rows(
     column = prepare.scoring_dialog_column(rows, drops)
     rows = rows.withColumn("raw_dialog", X.text_or_empty(F.col(column)))
     rows = rows.withColumn("client_first_message", X.client_first_message(F.col("raw_dialog"), dialog))
-    return rows.withColumn("text_clean", X.clean_for_model(F.col("client_first_message"), cfg.deny_tokens))
+    return rows.withColumn("text_clean", X.clean_for_model(F.col("client_first_message"), deny_tokens(spark, cfg)))
 
 
 def score_rows(rows: DataFrame, cascade: Cascade, taxonomy: Taxonomy, threshold: float) -> DataFrame:
@@ -59,7 +59,7 @@ def compare_months(
     """
     base = prepare.complaints(prepare.month_range(prepared, baseline))
     new = prepare.complaints(scored, "is_complaint_pred")
-    clean = X.clean_for_model(F.col("client_first_message"), train_cfg.deny_tokens)
+    clean = X.clean_for_model(F.col("client_first_message"), deny_tokens(prepared.sparkSession, train_cfg))
 
     def featured(df: DataFrame) -> DataFrame:
         return cascade.vectorizer.transform(df.withColumn("text_clean", clean), "text_clean").select("row_id", "features")

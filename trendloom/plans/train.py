@@ -15,7 +15,7 @@ from trendloom.operators.ordering import union_all
 from trendloom.plans import reports
 from trendloom.session import cut_lineage
 from trendloom.sources import tables
-from trendloom.sources.taxonomy import Taxonomy
+from trendloom.sources.taxonomy import Taxonomy, deny_tokens
 
 
 @dataclass
@@ -33,7 +33,8 @@ def training_table(prepared: DataFrame, gold: DataFrame | None, taxonomy: Taxono
         df = joins.training_subcategories(
             df, taxonomy.subcategory_table(df.sparkSession), "complaint_category_llm", "complaint_subcategory_llm"
         )
-    df = df.withColumn("text_clean", X.clean_for_model(F.col(cfg.text_field), cfg.deny_tokens))
+    deny = deny_tokens(df.sparkSession, cfg)
+    df = df.withColumn("text_clean", X.clean_for_model(F.col(cfg.text_field), deny))
     keep = ["row_id", "event_time", "text_clean", "y_bin", "y_cat", "complaint_category_llm", "complaint_subcategory_llm"]
     table = cut_lineage(df.select(*[c for c in keep if c in df.columns]))
     return splits.with_split(table, cfg.split)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendloom import fixed_values as fv
+from trendloom.config import TrainConfig
 from trendloom.functions.text import strip
 from trendloom.sources.tickets import exists_or_none
 
@@ -91,3 +92,14 @@ def token_union(*lists: DataFrame) -> DataFrame:
     for other in lists[1:]:
         out = out.unionByName(other)
     return out.distinct()
+
+
+def deny_tokens(spark: SparkSession, cfg: TrainConfig) -> tuple[str, ...]:
+    """Tokens that cleaning removes: those of the configured files, or the configured tuple.
+
+    A token list becomes one pattern in an expression, so it is held on the driver.
+    """
+    if cfg.token_dir is None:
+        return cfg.deny_tokens
+    lists = [load_tokens(spark, cfg.token_dir, name) for name in cfg.token_files]
+    return tuple(sorted(r["token"] for r in token_union(*lists).collect()))
