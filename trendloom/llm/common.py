@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -63,6 +65,27 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Rec
             yield batch.slice(at, rows)
 
 
+# --- memory of a worker ---------------------------------------------------------------------------
+
+def release() -> None:
+    """Return freed memory to the system (where its C library can): a worker outlives its task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A function over batches that returns its memory when it ends, and that of the task before when it starts."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]):
+        release()
+        yield from run(batches)
+        release()
+
+    return tidied
+
+
 # --- blocks -----------------------------------------------------------------------------------
 
 def block_id(number: int) -> int:
@@ -105,6 +128,7 @@ def write_blocks(docs: DataFrame, text: str, limit: int = BLOCK_BYTES) -> DataFr
     ``block``: a few wide rows instead of one row a document.
     """
 
+    @tidy
     def run(batches):
         for number, rows in enumerate(in_blocks(batches, text, limit)):
             yield pa.RecordBatch.from_pydict({"block": [block_id(number)], "payload": [pack(rows)]})

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import components, cut, small, utf8
+from trendloom.llm.common import components, cut, small, tidy, utf8
 
 SHINGLE = 3
 SEED = 42
@@ -52,6 +52,7 @@ def fingerprints(df: DataFrame, key: str, text: str) -> DataFrame:
     """(id, fp) of every row; fp holds the 64 bits as a signed long."""
     kind = df.schema[key].dataType.simpleString()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in small(batches):
             found = np.array([fingerprint(t) for t in utf8(batch.column(1))], dtype=np.uint64).view(np.int64)
@@ -129,6 +130,7 @@ def _pattern_keys(fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool
 
 
 def _emit(probe: bool):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             node, fp = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)

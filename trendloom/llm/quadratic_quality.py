@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trendloom.llm.backoff_automaton import fold
-from trendloom.llm.common import small, utf8
+from trendloom.llm.common import small, tidy, utf8
 
 FOLDS = 5
 HELD = 0
@@ -149,6 +149,7 @@ def score_quality(docs: DataFrame, model: Discriminant, text: str = "text", scor
     if score in docs.columns:
         raise ValueError(f"the input has a column named {score}")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in small(batches):
             found = pa.array(model.score(_features(utf8(batch.column(text)))))
@@ -160,6 +161,7 @@ def score_quality(docs: DataFrame, model: Discriminant, text: str = "text", scor
 def keep_good(docs: DataFrame, model: Discriminant, text: str = "text", cut: float = CUT) -> DataFrame:
     """Rows whose score reaches ``cut``, as they are."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in small(batches):
             yield batch.filter(pa.array(model.score(_features(utf8(batch.column(text)))) >= cut))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trendloom.llm import words as W
-from trendloom.llm.common import LAST_ID, cut, unpack, utf8, write_blocks
+from trendloom.llm.common import LAST_ID, cut, tidy, unpack, utf8, write_blocks
 
 WINDOW = 50
 ANCHOR = 32
@@ -68,6 +68,7 @@ def _anchors(key: str, text: str):
     """(block, shingle, low, high): smallest shingles of a block with the text hashes they are in,
     and (block, text hash, key) of every text with a window."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload")):
@@ -105,6 +106,7 @@ def _candidates(rows: pa.Table, key: str, text: str, later: np.ndarray):
 def _leaves(key: str, text: str):
     """Distinct suffixes of a block that may repeat: labels, smallest and largest key."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for k, block in enumerate(batch.column("block").to_pylist()):
@@ -178,6 +180,7 @@ def _name(labels: list[np.ndarray]) -> np.ndarray:
 
 
 def _removal(key: str, text: str, name: str, results: pa.Schema):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for at in range(len(batch)):

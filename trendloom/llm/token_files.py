@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import drop, running_offsets, save, small
+from trendloom.llm.common import drop, running_offsets, save, small, tidy
 from trendloom.llm.tokenized import Cached
 
 END_ID = 2
@@ -52,6 +52,7 @@ def token_ids(df: DataFrame, key: str, text: str, tokenizer: str, leading_space:
     """(id, ids): ids of every whole text as little-endian 16-bit integers, then the end id."""
     kind = df.schema[key].dataType.simpleString()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]):
         table = Cached(tokenizer, leading_space)
         end = end_id.to_bytes(2, "little")
@@ -71,6 +72,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]):
 
 
 def _encode(rank_of: np.ndarray):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]):
         part, before = TaskContext.get().partitionId(), 0
         for batch in small(batches):
@@ -124,6 +126,7 @@ def read_ids(spark: SparkSession, path: str, reduce=None, schema: str = "ids bin
     kind = files.schema["id"].dataType.simpleString()
     names = [c.split()[0] for c in schema.split(",")]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in small(batches):
             rows = [

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from trendloom.llm import words as W
-from trendloom.llm.common import cut, small, utf8
+from trendloom.llm.common import cut, small, tidy, utf8
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -191,6 +191,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     parts = []
     for index in indexes(items, item_key, item_text):
 
+        @tidy
         def run(batches: Iterator[pa.RecordBatch], index=index):
             for part in small(batches):
                 out = [
