@@ -348,3 +348,13 @@ def test_leaks(spark, texts, empty):
     assert got == want and {1, 2, 6, 7} == {d for d, _ in want}
     assert {r.doc_id for r in window_leaks.drop_leaks(df, bench).collect()} == set(rows) - {1, 2, 6, 7}
     assert window_leaks.find_leaks(empty, bench).isEmpty() and window_leaks.find_leaks(df, bench.limit(0)).isEmpty()
+
+
+def test_tidy_hands_batches_on():
+    import pyarrow as pa
+
+    from trendloom.llm.common import tidy
+
+    batches = [pa.RecordBatch.from_pydict({"x": [1, None]}), pa.RecordBatch.from_pydict({"x": pa.array([], pa.int64())})]
+    assert list(tidy(lambda rows: (b for b in rows))(iter(batches))) == batches
+    assert list(tidy(lambda rows: rows)(iter([]))) == []
