@@ -125,6 +125,29 @@ def test_license_lines(spark, empty):
     assert license_scan.scan_licenses(empty).isEmpty()
 
 
+def test_license_notices_over_lines_in_sentences_and_as_texts(spark):
+    bsd = ["Redistribution and use in source and binary forms, with or without", "modification, are permitted provided that the following conditions", "are met:"]
+    mit = """The MIT License (MIT)\n\nCopyright (c) 2020 Somebody Else\n\nPermission is hereby granted, free of charge, to any person obtaining
+    a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including
+    without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to
+    permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this
+    permission notice shall be included in all copies or substantial portions of the Software."""
+    rows = {
+        1: "# This work is licensed under the\n# GNU General Public License, version 3.\n", 2: "This project is licensed under the MIT License.",
+        3: "x = 1  # SPDX-License-Identifier: MIT", 4: "a\n * " + "\n * ".join(bsd), 5: mit,
+        6: "// SPDX-License-Identifier: GPL-2.0-or-later OR Apache-2.0", 7: "This work is licensed under the GNU\nLesser General Public License, version 3.",
+        8: "Licensed under either of the MIT License or the Apache License, Version 2.0 at your option.",
+        9: "This project is licensed under the XYZ License.", 10: "w " * 90 + "all of it is, as was said, licensed under the Apache\nLicense, Version 2.0, by us " + "w " * 90,
+        11: "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\n"
+            "the Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+    }
+    found = {(r.doc_id, r.line, r.license) for r in license_scan.scan_licenses(spark.createDataFrame(list(rows.items()), "doc_id bigint, text string")).collect()}
+    assert found == {
+        (1, 0, "GPL-3.0"), (2, 0, "MIT"), (3, 0, "MIT"), (4, 1, "BSD"), (5, 0, "MIT"), (5, 4, "MIT"), (6, 0, "GPL-2.0"), (6, 0, "Apache-2.0"),
+        (7, 0, "LGPL-3.0"), (8, 0, "MIT"), (8, 0, "Apache-2.0"), (10, 0, "Apache-2.0"), (11, 1, "GPL-3.0"),
+    }
+
+
 # --- 3 -----------------------------------------------------------------------------------------
 
 def test_near_vectors(spark):
