@@ -170,6 +170,31 @@ def test_near_vectors(spark):
     assert (got[2005].n_links, got[2006].component_id) == (1, 2005)
 
 
+def test_near_vectors_in_a_crowd(spark):
+    rng = np.random.default_rng(3)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x = np.sqrt(0.3) * unit(rng.standard_normal((6000, 64))) + np.sqrt(0.7) * unit(rng.standard_normal((1, 64)))  # mutual cosine 0.7
+    own = x[:300] - x.mean(axis=0)
+    near = x.mean(axis=0) + 0.7 * own + 0.714 * unit(rng.standard_normal(own.shape)) * np.linalg.norm(own, axis=1, keepdims=True)
+    x = np.concatenate((x, near))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {r.vec_id: r.n_links for r in projection_passes.near_vectors(
+        spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), "vec_id", "embedding").collect()}
+    x = unit(x)
+    want = (x @ x.T >= 0.9).sum(axis=1) - 1
+    assert [got[i] for i in range(len(x))] == want.tolist() and want.sum() > 200
+
+
+def test_passes_grow_with_the_table_and_with_crowds():
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((1000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    crowd = np.sqrt(0.3) * x + np.sqrt(0.7) * x[:1]
+    crowd /= np.linalg.norm(crowd, axis=1, keepdims=True)
+    small, large, dense = (p * w for p, w in (projection_passes.plan(x, 2000, 0.9), projection_passes.plan(x, 1_000_000, 0.9), projection_passes.plan(crowd, 1_000_000, 0.9)))
+    assert small < large < dense
+
+
 # --- 4 -----------------------------------------------------------------------------------------
 
 def plain_fingerprint(text):
