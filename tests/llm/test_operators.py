@@ -398,6 +398,30 @@ def test_leaks(spark, texts, empty):
     assert window_leaks.find_leaks(empty, bench).isEmpty() and window_leaks.find_leaks(df, bench.limit(0)).isEmpty()
 
 
+def test_texts_shorter_than_the_item_leak_it(spark, texts):
+    base = words(texts[94])
+    items = {1: base[100:159], 2: base[300:310], 3: base[400:405]}
+    one = items[1]
+    rows = {
+        1: one[:-1], 2: one[:56], 3: one[:20] + one[21:], 4: one[3:], 5: one[:30], 6: one[:-1] + ["x"], 7: items[2][:9], 8: items[2][:8],
+        9: items[3][:4], 10: one[:48], 11: one[:49], 12: one[:-12] + ["y"], 13: items[2][1:],
+    }
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows.items()], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id bigint, text string")
+    want = {}
+    for d, w in rows.items():
+        for i, item in items.items():
+            own = window_leaks.shingles([x.lower().encode() for x in item])
+            low = [x.lower().encode() for x in w]
+            size = min(len(item), len(low))
+            value, at = max((window_leaks.similarity(window_leaks.shingles(low[k:k + size]), own), -k) for k in range(len(low) - size + 1))
+            if value >= 0.8:
+                want[d, i] = (value, -at, len(item))
+    got = {(r.doc_id, r.item_id): (r.similarity, r.first_word, r.n_words) for r in window_leaks.find_leaks(df, bench).collect()}
+    assert got == want and {1, 2, 3, 4, 6, 7, 11} <= {d for d, _ in want}
+    assert {r.doc_id for r in window_leaks.drop_leaks(df, bench).collect()} == set(rows) - {d for d, _ in want}
+
+
 def test_tidy_hands_batches_on():
     import pyarrow as pa
 

@@ -2,7 +2,8 @@
 
 A text leaks an item if one of its windows of as many words has a weighted similarity of at least
 0.8 with it: sum of the smaller over sum of the larger counts of their five-word shingles (texts
-and items of fewer words: the whole sequence).  Words are lower-cased in A-Z.
+and items of fewer words: the whole sequence).  A text shorter than the item is judged whole.  Words
+are lower-cased in A-Z.
 
 Only windows that share a shingle with an item of their size can be similar; they get SimHash
 fingerprints.  Eight blocks of eight bits are looked up in tables that hold, for each block value,
@@ -128,6 +129,7 @@ class Index:
         found: list[dict] = [{} for _ in texts]
         spelled: dict[int, list[bytes]] = {}
         starts: dict[int, list[np.ndarray]] = {}
+        short: dict[int, set[int]] = {}  # size -> texts of fewer words
         hashed = {}
         for k, (hashes, sizes) in self.shared.items():
             values, at = W.windows(words, k)
@@ -145,23 +147,37 @@ class Index:
                     hit = at[n == size]
                     begin = np.unique(hit[:, None] - np.arange(size - k + 1)[None, :])
                     starts.setdefault(size, []).append(begin)
-        for size, parts in starts.items():
+                    near = np.unique(words.doc[hit])
+                    n_shingles = words.counts[near] - k + 1
+                    # all of the text's shingles in the item's: the most that they can have in common
+                    enough = (words.counts[near] < size) & (n_shingles >= SIMILARITY * (size - k + 1) - 1e-9)
+                    short.setdefault(size, set()).update(near[enough].tolist())
+
+        def verify(size: int, length: int, some: np.ndarray) -> None:
+            """Compare windows of ``length`` words, from the positions ``some``, with the items of ``size`` words."""
+            nonlocal spelled
             k = shingle_size(size)
+            prints = fingerprints(hashed[k][some[:, None] + np.arange(length - k + 1)[None, :]])
+            rows, cols = within_radius(prints, self.prints[size], self.tables[size])
+            for b, item in zip(some[rows].tolist(), self.by_size[size][cols].tolist()):
+                doc = int(words.doc[b])
+                if doc not in spelled:
+                    spelled = {doc: lowered[doc].split()}
+                place = b - int(first[doc])
+                value = similarity(shingles(spelled[doc][place:place + length]), self.counts[item])
+                if value >= SIMILARITY and (item not in found[doc] or (-value, place) < (-found[doc][item][0], found[doc][item][1])):
+                    found[doc][item] = (value, place)
+
+        for size, docs in short.items():
+            docs = np.array(sorted(docs), np.int64)
+            for length in np.unique(words.counts[docs]).tolist():
+                verify(size, length, first[docs[words.counts[docs] == length]])
+        for size, parts in starts.items():
             begin = np.unique(np.concatenate(parts))
             begin = begin[(begin >= 0) & (begin + size <= len(words.hashes))]
             begin = begin[words.doc[begin] == words.doc[begin + size - 1]]
             for at in range(0, len(begin), AT_ONCE):
-                some = begin[at:at + AT_ONCE]
-                prints = fingerprints(hashed[k][some[:, None] + np.arange(size - k + 1)[None, :]])
-                rows, cols = within_radius(prints, self.prints[size], self.tables[size])
-                for b, item in zip(some[rows].tolist(), self.by_size[size][cols].tolist()):
-                    doc = int(words.doc[b])
-                    if doc not in spelled:
-                        spelled = {doc: lowered[doc].split()}
-                    place = b - int(first[doc])
-                    value = similarity(shingles(spelled[doc][place:place + size]), self.counts[item])
-                    if value >= SIMILARITY and (item not in found[doc] or (-value, place) < (-found[doc][item][0], found[doc][item][1])):
-                        found[doc][item] = (value, place)
+                verify(size, size, begin[at:at + AT_ONCE])
         return found
 
 
