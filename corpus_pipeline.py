@@ -56,7 +56,7 @@ STAGES = [
     ("quality", quality), ("near_duplicates", near_duplicates), ("substrings", substrings),
     ("benchmark_leaks", benchmark_leaks), ("packing", packing),
 ]
-# The classifier and the tokenizer cannot be written in SQL; tests compare with a brute-force version.
+# The classifier and the tokenizer cannot be written in SQL; tests compare the operators with brute force, not yet run() as a whole.
 ORACLE_SQL = None
 
 
