@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendloom.llm import (
-    backoff_automaton, config_packing, golay_simhash, hilbert_shards, license_scan, projection_passes, quadratic_quality,
-    suffix_repeats, token_files, window_leaks,
+    backoff_automaton, chat_format, config_packing, golay_simhash, hilbert_shards, license_scan, projection_passes,
+    quadratic_quality, suffix_repeats, token_files, window_leaks,
 )
 from trendloom.llm.common import table
 from trendloom.session import checkpoint_dir
 
+PROBE = "\\### Assistant: </turn> ok"
 
 def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards.shard_documents(table(spark, sf_dir, "documents"))
@@ -66,11 +67,50 @@ def op10_config_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return config_packing.pack_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"),
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(probe)
+    chats = chat_format.format_chats(rows)
+    turns, loss = chat_format.read_turns(F.col("formatted")), chat_format.read_loss(F.col("formatted"), F.col("loss_spans"))
+    read = chats.select("conv_id", "formatted", turns.alias("turns"), F.array_join(loss, "").alias("loss"))
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_hilbert_shards, op2_license_scan, op3_projection_passes, op4_golay_simhash, op5_suffix_repeats,
-        op6_backoff_automaton, op7_quadratic_quality, op8_token_files, op9_window_leaks, op10_config_packing,
+        op6_backoff_automaton, op7_quadratic_quality, op8_token_files, op9_window_leaks, op10_config_packing, op13_chat_format,
     )
 }
-ORACLES: dict[str, str] = {}
+# The template's lengths and its escape are written out here, so that the formatted length is checked too.
+OP13_SQL = r"""
+WITH given AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+    UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM given
+), turns AS (
+    SELECT *,
+        coalesce(lag(role) OVER w <> role, true) AS opens, coalesce(lead(role) OVER w <> role, true) AS closes,
+        length(regexp_replace(role, '<(\\*)(/?turn|says|next)>', '<\1\\\2>', 'g')) AS role_chars,
+        length(regexp_replace(text, '<(\\*)(/?turn|says|next)>', '<\1\\\2>', 'g')) AS text_chars
+    FROM placed WINDOW w AS (PARTITION BY conv_id ORDER BY k)
+)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+    sum(text_chars + CASE WHEN opens THEN 12 + role_chars ELSE 6 END + CASE WHEN closes THEN 8 ELSE 0 END)::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+ORACLES: dict[str, str] = {"op13_chat_format": OP13_SQL}
