@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trendloom.llm import (
     backoff_automaton, chat_format, config_packing, golay_simhash, hilbert_shards, license_scan, projection_passes,
-    quadratic_quality, suffix_repeats, token_files, window_leaks,
+    quadratic_quality, source_divergence, suffix_repeats, token_files, window_leaks,
 )
 from trendloom.llm.common import table
 from trendloom.session import checkpoint_dir
@@ -67,6 +67,10 @@ def op10_config_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return config_packing.pack_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
@@ -88,9 +92,46 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_hilbert_shards, op2_license_scan, op3_projection_passes, op4_golay_simhash, op5_suffix_repeats,
-        op6_backoff_automaton, op7_quadratic_quality, op8_token_files, op9_window_leaks, op10_config_packing, op13_chat_format,
+        op6_backoff_automaton, op7_quadratic_quality, op8_token_files, op9_window_leaks, op10_config_packing, op11_source_divergence,
+        op13_chat_format,
     )
 }
+OP11_SQL = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents
+), t AS (
+    SELECT i, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS raw FROM d
+), w AS (
+    SELECT i, lang, source, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term, count(*) AS n FROM t GROUP BY ALL
+), kept AS (
+    SELECT lang, term, sum(n) AS n FROM w GROUP BY ALL HAVING count(*) >= 30
+), v AS (
+    SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY ALL
+), g AS (
+    SELECT DISTINCT lang, source FROM d
+), c AS (
+    SELECT lang, source, term, sum(n) AS n FROM w GROUP BY ALL
+), gc AS (
+    SELECT g.lang, g.source, k.term, k.n AS lang_n, coalesce(c.n, 0) AS n
+    FROM g JOIN kept k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), p AS (
+    SELECT lang, source, term, n,
+        1 + (1000000000 * (n + 5)::HUGEINT) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v)::HUGEINT AS p,
+        1 + (1000000000 * (lang_n + 5)::HUGEINT) // (total + 5 * v)::HUGEINT AS q
+    FROM gc JOIN v USING (lang)
+), f AS (
+    SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+    FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term GROUP BY ALL
+), parts AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+    FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+    UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM parts
+) WHERE part = 'pair' OR rank <= 50
+"""
 # The template's lengths and its escape are written out here, so that the formatted length is checked too.
 OP13_SQL = r"""
 WITH given AS (
@@ -113,4 +154,4 @@ SELECT conv_id, count(*) AS n_turns,
     sum(text_chars + CASE WHEN opens THEN 12 + role_chars ELSE 6 END + CASE WHEN closes THEN 8 ELSE 0 END)::BIGINT AS formatted_chars
 FROM turns GROUP BY conv_id
 """
-ORACLES: dict[str, str] = {"op13_chat_format": OP13_SQL}
+ORACLES: dict[str, str] = {"op11_source_divergence": OP11_SQL, "op13_chat_format": OP13_SQL}
