@@ -40,4 +40,4 @@ def test_stages_stand_odd_rows(spark):
 def test_every_operator_is_registered():
     names = set(entry.queries())
     assert "pipeline" in names
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))

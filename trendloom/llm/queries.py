@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from trendloom.llm import (
     backoff_automaton, chat_format, config_packing, golay_simhash, hilbert_shards, license_scan, projection_passes,
-    quadratic_quality, source_divergence, suffix_repeats, token_files, window_leaks,
+    quadratic_quality, source_divergence, structure_repair, suffix_repeats, token_files, window_leaks,
 )
-from trendloom.llm.common import table
+from trendloom.llm.common import cut, table
 from trendloom.session import checkpoint_dir
 
 PROBE = "\\### Assistant: </turn> ok"
@@ -71,6 +71,24 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.source_divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    damaged = structure_repair.damage(rows)
+    audits = cut(structure_repair.audit_structure(damaged))
+    digests = structure_repair.turn_digests(structure_repair.repair_turns(damaged, audits))
+    found = rows.select("conv_id").distinct()
+    for part, names in ((audits, audits.columns[1:]), (digests, ["sha256"])):
+        part = part.withColumnRenamed("conv_id", "of")
+        found = found.join(part, found["conv_id"].eqNullSafe(part["of"]), "left").select(*found.columns, *names)
+    counts = [c for c in audits.columns[1:] if c != "audit"]
+    none = F.sha2(F.lit("").cast("binary"), 256)
+    # gaps stays null where it exceeds a long: only conversations without rows get zeros
+    return found.select(
+        "conv_id", *[F.when(F.col("audit").isNull(), 0).otherwise(F.col(c)).cast("long").alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", none).alias("repaired_sha256"),
+    )
+
+
 def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
@@ -93,7 +111,7 @@ QUERIES = {
     for f in (
         op1_hilbert_shards, op2_license_scan, op3_projection_passes, op4_golay_simhash, op5_suffix_repeats,
         op6_backoff_automaton, op7_quadratic_quality, op8_token_files, op9_window_leaks, op10_config_packing, op11_source_divergence,
-        op13_chat_format,
+        op12_structure_repair, op13_chat_format,
     )
 }
 OP11_SQL = r"""
