@@ -30,6 +30,7 @@ def hot_points(n=300):
 @pytest.mark.parametrize("exclude", [False, True])
 def test_neighbours_equal_brute_force(spark, monkeypatch, exclude):
     monkeypatch.setattr(knn, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(knn, "CELL_ROWS", 10)
     points = hot_points()
     df = frame(spark, points)
     got = {}
@@ -38,6 +39,50 @@ def test_neighbours_equal_brute_force(spark, monkeypatch, exclude):
     assert got == brute(points, points, 5, exclude)
 
 
+@pytest.mark.parametrize("k", [1, 4, 500])
+def test_neighbours_of_other_rows(spark, monkeypatch, k):
+    """More neighbours than rows in a cell or in all, text ids, rows without a vector."""
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(knn, "CELL_ROWS", 8)
+    rng = np.random.default_rng(4)
+    base, asked = rng.normal(size=(150, 20)), np.vstack((rng.normal(size=(30, 20)), np.full((1, 20), 50.0)))
+    name = lambda df, p: df.select(F.format_string(p + "%04d", "id").alias("id"), "vec")
+    empty = spark.createDataFrame([("none", None)], "id string, vec array<double>")
+    left, right = name(frame(spark, asked), "q").union(empty), name(frame(spark, base), "b").union(empty)
+    got = {}
+    for r in knn.nearest(left, right, k).orderBy("query", "rank").collect():
+        got.setdefault(int(r["query"][1:]), []).append((int(r["id"][1:]), round(r["distance"], 9)))
+    assert got == brute(asked, base, k, False)
+    assert knn.nearest(left, right.filter("vec IS NULL"), k).collect() == [] == knn.nearest(left.filter("vec IS NULL"), right, k).collect()
+
+
+def test_bounds_hold_and_prune_where_the_data_allows():
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 64)) * 4
+    rows = np.repeat(centres, 50, axis=0) + rng.normal(size=(2000, 64)) * 0.3
+    mean, turn = rows.mean(0), np.linalg.eigh(np.cov(rows.T))[1][:, ::-1]
+    axes = knn.Axes(mean, turn, centres)
+    cell = knn._squares(rows, centres).argmin(axis=1)
+    short = axes.coarse(rows)
+    assert (knn._squares(short, short) <= knn._squares(rows, rows) + 1e-6).all()
+    group = [np.flatnonzero(cell == c) for c in range(40)]
+    cells = knn.Cells(
+        np.array([len(g) for g in group]), np.array([np.linalg.norm(rows[g] - centres[c], axis=1).max() for c, g in enumerate(group)]),
+        np.array([short[g].min(0) for g in group]), np.array([short[g].max(0) for g in group]),
+    )
+    visited = 0
+    for home in range(40):
+        mine = group[home]
+        least, most = knn.least_distances(axes, cells, home, rows[mine], short[mine])
+        d = np.sqrt(knn._squares(rows[mine], rows))
+        for c in range(40):
+            assert (least[:, c] <= d[:, group[c]].min(axis=1) + 1e-6).all() and (most[:, c] >= d[:, group[c]].max(axis=1) - 1e-6).all()
+        tenth = np.partition(d, 9, axis=1)[:, 9]
+        assert (knn._bounds(most, cells.size, 10) >= tenth - 1e-6).all()
+        visited += (least <= tenth[:, None]).sum()
+    assert visited < 1.5 * len(rows)  # of 40 cells, nearly always the own one only
+
+
 def test_outlier_scores_equal_plain_statement(spark):
     points, new, k = hot_points(120), np.array([[0.0, 0, 0], [55.0, 5, 5]]), 7
     fit = brute(points, points, k, True)

@@ -1,34 +1,98 @@
-"""Exact k nearest neighbours by Euclidean distance.
-
-Base rows are assigned to the nearest of a bounded set of pivots.  The triangle
-inequality gives each query a distance within which its neighbours must lie and
-thus the cells it has to visit.  Cells and their visitors are cut into blocks of
-bounded size; a task compares two blocks and keeps the k best per query.
+"""Exact k nearest neighbours by Euclidean distance, in two rounds.
+
+Base rows go to the nearest of about ``sqrt(rows)`` pivots, sampled in proportion to density, so
+that cells are of like size; copies of a vector beyond the number wanted are left out first.
+Every row is turned to the principal axes of a sample and keeps its first ``COARSE`` coordinates
+and the norm of the rest: distances in this short form never exceed the true ones.
+
+Round one compares each query with its own cell only and takes the k-th distance there as a
+bound.  Round two sends the query to every other cell that may hold a row within the bound: the
+cell's ball, the plane between the two pivots and the box around the cell's short forms each give
+a least distance, and the largest of the three decides.  Queries and base rows travel in blocks
+of one cell; a task compares two blocks by matrix products, the short forms first, and computes
+the distance itself only for rows that can be among the k.  Pivots, radii and boxes are
+shared with all tasks; their number is limited by ``PIVOT_BYTES`` and further rows only make
+cells larger, never results different.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendloom.session import cut_lineage
 
-MAX_PIVOTS = 256
+SAMPLE = 4096  # rows from which axes and pivots are taken, more only if there are more pivots
+PIVOT_BYTES = 32 << 20
 BLOCK_ROWS = 1024
+CELL_ROWS = 512  # a cell holds about as many rows at least, so small tables have few cells
+FLUSH_BYTES = 8 << 20
+COARSE = 16
+SLACK = 1e-9  # relative; bounds are widened by it, so rounding never hides a neighbour
+
+
+@dataclass(frozen=True)
+class Axes:
+    """Principal axes, and the pivots in the coordinates of the rows."""
+
+    mean: np.ndarray
+    turn: np.ndarray
+    pivots: np.ndarray
+
+    def coarse(self, x: np.ndarray) -> np.ndarray:
+        """First coordinates on the axes, and the norm of the others as one more."""
+        turned = (x - self.mean) @ self.turn
+        return np.column_stack((turned[:, :COARSE], np.linalg.norm(turned[:, COARSE:], axis=1)))
+
+
+@dataclass(frozen=True)
+class Cells:
+    """Size, radius and box of every cell; an empty cell has no rows and is never visited."""
+
+    size: np.ndarray
+    radius: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of ``a`` and ``b``, up to rounding, by one product."""
+    out = a @ b.T
+    out *= -2
+    out += np.einsum("ij,ij->i", a, a)[:, None]
+    out += np.einsum("ij,ij->i", b, b)[None, :]
+    return np.maximum(out, 0, out=out)
 
 
-def _matrix(column) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=float) for v in column])
+def _rounding(a: np.ndarray, b: np.ndarray) -> float:
+    """What a squared distance of ``_squares`` can be off by."""
+    largest = max(float(np.einsum("ij,ij->i", a, a).max(initial=0)), float(np.einsum("ij,ij->i", b, b).max(initial=0)))
+    return 1e-12 * largest + 1e-300
 
 
-def _distances(x: np.ndarray, points: np.ndarray) -> np.ndarray:
-    d = points - x
-    return np.sqrt(np.einsum("ij,ij->i", d, d))
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in few batches of about ``FLUSH_BYTES``."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= FLUSH_BYTES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _over(run):
+    """``run`` with its output gathered into few batches."""
+    return lambda batches: _gathered(run(batches))
 
 
 def distinct_vectors(df: DataFrame, row_id: str, vector: str) -> DataFrame:
@@ -36,58 +100,242 @@ def distinct_vectors(df: DataFrame, row_id: str, vector: str) -> DataFrame:
     return df.groupBy(F.col(vector).alias("vec")).agg(F.min(row_id).alias("rep"))
 
 
-def _few_copies(df: DataFrame, row_id: str, vector: str, copies: int) -> DataFrame:
+def _few_copies(df: DataFrame, copies: int) -> DataFrame:
     """(id, rep, vec) with at most ``copies`` rows per distinct vector, smallest ids first.
 
     Copies lie at one distance and go by id, so no further one can be a neighbour.
     The rank filter is applied before the shuffle as well.
     """
-    same = Window.partitionBy(vector).orderBy(row_id)
-    kept = df.select(row_id, vector, F.row_number().over(same).alias("_nth")).filter(F.col("_nth") <= copies)
-    return kept.select(
-        F.col(row_id).alias("id"), F.min(row_id).over(Window.partitionBy(vector)).alias("rep"),
-        F.col(vector).alias("vec"),
-    )
-
+    same = Window.partitionBy("vec").orderBy("id")
+    kept = df.select("id", "vec", F.row_number().over(same).alias("_nth")).filter(F.col("_nth") <= copies)
+    return kept.select("id", F.min("id").over(Window.partitionBy("vec")).alias("rep"), "vec")
 
-def _pivots(base: DataFrame, rows: int) -> np.ndarray:
-    """Up to ``sqrt(rows)`` base vectors in the order of a hash of their id."""
-    n = max(1, min(MAX_PIVOTS, math.isqrt(rows)))
-    picked = base.select(F.xxhash64("id").alias("h"), "id", "vec").orderBy("h", "id").limit(n).collect()
-    return np.unique(_matrix([r["vec"] for r in picked]), axis=0)
 
+def _axes(base: DataFrame) -> tuple[int, Axes | None]:
+    """Number of rows, and axes and pivots from rows in the order of a hash of their id; None without rows."""
 
-def _assign(pivots: np.ndarray):
-    @F.pandas_udf("cell int, far double")
-    def assign(vec: pd.Series) -> pd.DataFrame:
-        d = [_distances(np.asarray(v, dtype=float), pivots) for v in vec]
-        cells = [int(x.argmin()) for x in d]
-        return pd.DataFrame({"cell": cells, "far": [x[c] for x, c in zip(d, cells)]})
+    def sample(n: int) -> np.ndarray:
+        picked = base.select(F.xxhash64("id").alias("h"), "id", "vec").orderBy("h", "id").limit(n).select("vec").toArrow()
+        flat = picked["vec"].combine_chunks()
+        return flat.values.to_numpy(zero_copy_only=False).reshape(len(flat), -1) if len(flat) else np.zeros((0, 1))
 
-    return assign
+    rows = sample(SAMPLE)
+    if len(rows) == 0:
+        return 0, None
+    count = len(rows) if len(rows) < SAMPLE else base.count()
+    most = max(1, PIVOT_BYTES // (8 * (rows.shape[1] + 2 * COARSE + 4)))
+    n_pivots = max(1, min(most, math.isqrt(count), count // CELL_ROWS))
+    if n_pivots > len(rows):
+        rows = sample(n_pivots)
+    mean = rows.mean(axis=0)
+    _, turn = np.linalg.eigh((rows - mean).T @ (rows - mean))
+    return count, Axes(mean, turn[:, ::-1].copy(), np.unique(rows[:n_pivots], axis=0))
 
 
-def _visits(pivots: np.ndarray, radius: np.ndarray, reach: np.ndarray):
-    """Cells that can hold a neighbour: their nearest possible row is within the bound."""
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
-    @F.pandas_udf("array<int>")
-    def visits(vec: pd.Series) -> pd.Series:
-        out = []
-        for v in vec:
-            d = _distances(np.asarray(v, dtype=float), pivots)
-            bound = (d + reach).min()
-            out.append(np.flatnonzero(d - radius <= bound * (1 + 1e-9) + 1e-12).astype("int32"))
-        return pd.Series(out)
 
-    return visits
+def _blocks(df: DataFrame, axes: Broadcast, names: list[str], rows: int) -> DataFrame:
+    """Rows of one cell in blocks of at most ``rows``: the columns ``names`` as arrays, coordinates as bytes.
 
-
-def _blocks(sizes: dict[int, int], cell: Column, row_id: Column, name: str) -> tuple[Column, Column]:
-    """Block number of a row inside its cell, and the number of blocks of the cell."""
-    count = F.element_at(
-        F.create_map(*[F.lit(x) for c, n in sorted(sizes.items()) for x in (c, math.ceil(n / BLOCK_ROWS))]), cell
-    )
-    return F.pmod(F.xxhash64(row_id), count).cast("int").alias(name), count
+    The last block of a cell carries the cell's size, radius and box.
+    """
+    kinds = {n: df.schema[n].dataType.simpleString() for n in names}
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots = axes.value.pivots
+        for batch in batches:
+            for at in range(0, len(batch), 4096):
+                part = batch.slice(at, 4096)
+                x = _matrix(part.column("vec"))
+                cell = _squares(x, pivots).argmin(axis=1).astype(np.int32)
+                far = np.linalg.norm(x - pivots[cell], axis=1)
+                columns = [pa.array(cell), pa.array(far), *(part.column(n) for n in names), part.column("vec")]
+                yield pa.RecordBatch.from_arrays(columns, ["cell", "far", *names, "vec"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        of, size, total, radius, low, high = None, 0, 0, 0.0, np.inf, -np.inf
+
+        def block(last: bool) -> pa.RecordBatch:
+            nonlocal held, size, total, radius, low, high
+            table = pa.concat_tables(held)
+            x = _matrix(table["vec"])
+            short = axes.value.coarse(x)
+            total, radius = total + len(x), max(radius, float(table["far"].to_numpy().max()))
+            low, high = np.minimum(low, short.min(axis=0)), np.maximum(high, short.max(axis=0))
+            row = {
+                "cell": pa.array([of], pa.int32()), **{n: _listed(table[n]) for n in names},
+                "coords": pa.array([x.tobytes()]), "short": pa.array([short.tobytes()]), "size": pa.array([total if last else None], pa.int64()),
+                "radius": pa.array([radius if last else None], pa.float64()),
+                "low": pa.array([low.tolist() if last else None], pa.list_(pa.float64())),
+                "high": pa.array([high.tolist() if last else None], pa.list_(pa.float64())),
+            }
+            held, size = [], 0
+            if last:
+                total, radius, low, high = 0, 0.0, np.inf, -np.inf
+            return pa.RecordBatch.from_pydict(row)
+
+        for batch in batches:
+            cells = batch.column("cell").to_numpy()
+            edges = np.flatnonzero(np.diff(cells)) + 1
+            for begin, end in zip([0, *edges.tolist()], [*edges.tolist(), len(cells)]):
+                if begin == end:
+                    continue
+                if held and cells[begin] != of:
+                    yield block(True)
+                of = int(cells[begin])
+                while begin < end:
+                    if size == rows:
+                        yield block(False)
+                    take = min(rows - size, end - begin)
+                    held.append(pa.Table.from_batches([batch.slice(begin, take)]))
+                    size, begin = size + take, begin + take
+        if held:
+            yield block(True)
+
+    listed = ", ".join(f"{n} {k}" for n, k in kinds.items())
+    placed = df.select(*names, "vec").mapInArrow(place, f"cell int, far double, {listed}, vec array<double>")
+    placed = placed.repartition("cell").sortWithinPartitions("cell", "far")
+    arrays = ", ".join(f"{n} array<{k}>" for n, k in kinds.items())
+    stats = "size bigint, radius double, low array<double>, high array<double>"
+    packed = placed.mapInArrow(_over(pack), f"cell int, {arrays}, coords binary, short binary, {stats}")
+    return packed.withColumn("block", F.monotonically_increasing_id())
+
+
+def _listed(column: pa.ChunkedArray) -> pa.ListArray:
+    values = column.combine_chunks()
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def _cells(blocks: DataFrame, pivots: int) -> Cells:
+    """Size, radius and box of every cell, from the last block of each."""
+    found = blocks.filter("size IS NOT NULL").select("cell", "size", "radius", "low", "high").toArrow()
+    at = found["cell"].to_numpy()
+    size, radius = np.zeros(pivots, np.int64), np.zeros(pivots)
+    size[at], radius[at] = found["size"].to_numpy(), found["radius"].to_numpy()
+    low, high = (np.zeros((pivots, _matrix(found["low"]).shape[1])) for _ in range(2))
+    low[at], high[at] = _matrix(found["low"]), _matrix(found["high"])
+    return Cells(size, radius, low, high)
+
+
+def least_distances(axes: Axes, cells: Cells, home: int, x: np.ndarray, short: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(least, most): for queries of one home cell and every cell, a distance below which no row of
+    the cell lies, and one within which all its rows lie."""
+    squares = _squares(x, axes.pivots)
+    away = np.sqrt(squares)
+    between = np.sqrt(_squares(axes.pivots[home:home + 1], axes.pivots))[0]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        plane = (squares - squares[:, home:home + 1]) / (2 * between)
+    plane[:, between == 0] = 0
+    box = np.zeros_like(squares)
+    for k in range(short.shape[1]):
+        s = short[:, k:k + 1]
+        box += np.maximum(np.maximum(cells.low[:, k] - s, s - cells.high[:, k]), 0) ** 2
+    return np.maximum(np.maximum(away - cells.radius, plane), np.sqrt(box)), away + cells.radius
+
+
+def _bounds(most: np.ndarray, size: np.ndarray, wanted: int) -> np.ndarray:
+    """Per query a distance within which ``wanted`` rows lie, from whole cells."""
+    order = np.argsort(most, axis=1)
+    reached = np.cumsum(size[order], axis=1) >= wanted
+    first = reached.argmax(axis=1)
+    bound = most[np.arange(len(most)), order[np.arange(len(most)), first]]
+    return np.where(reached.any(axis=1), bound, np.inf)
+
+
+def _from_bytes(value: bytes, rows: int) -> np.ndarray:
+    return np.frombuffer(value).reshape(rows, -1)
+
+
+def home_bounds(queries: DataFrame, blocks: DataFrame, wanted: int) -> DataFrame:
+    """(block, bounds): the ``wanted``-th distance of each query of a block inside its own cell, as bytes."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                a, b = _from_bytes(row["coords"], row["n"]), _from_bytes(row["b_coords"], row["b_n"])
+                d = _squares(a, b) + _rounding(a, b)
+                if d.shape[1] > wanted:
+                    d = np.partition(d, wanted - 1, axis=1)[:, :wanted]
+                yield pa.RecordBatch.from_pydict({"block": [row["block"]], "n": [row["n"]], "d": [d.tobytes()]})
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # pieces of a block follow each other; the best of those seen so far are kept
+        of, best = None, None
+
+        def result() -> pa.RecordBatch:
+            full = best.shape[1] >= wanted
+            bound = np.sqrt(np.partition(best, wanted - 1, axis=1)[:, wanted - 1]) if full else np.full(len(best), np.inf)
+            return pa.RecordBatch.from_pydict({"block": [of], "bounds": [bound.tobytes()]})
+
+        for batch in batches:
+            for block, n, d in zip(*(batch.column(c).to_pylist() for c in ("block", "n", "d"))):
+                piece = _from_bytes(d, n)
+                if block != of:
+                    if best is not None:
+                        yield result()
+                    of, best = block, piece
+                    continue
+                best = np.hstack((best, piece))
+                if best.shape[1] > wanted:
+                    best = np.partition(best, wanted - 1, axis=1)[:, :wanted]
+        if best is not None:
+            yield result()
+
+    right = blocks.select("cell", F.size("id").alias("b_n"), F.col("coords").alias("b_coords"))
+    pairs = queries.select("block", "cell", F.size("query").alias("n"), "coords").join(right, "cell").select("block", "n", "coords", "b_n", "b_coords")
+    pieces = pairs.mapInArrow(_over(compare), "block bigint, n bigint, d binary")
+    return pieces.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block bigint, bounds binary")
+
+
+def _visits(queries: DataFrame, bounds: DataFrame, shared: Broadcast, wanted: int) -> DataFrame:
+    """(cell, query, coords, short, bounds): for every block and cell the queries that must look there."""
+    kind = queries.schema["query"].dataType.simpleString()
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        axes, cells = shared.value
+        for batch in batches:
+            ids = batch.column("query")
+            for k, row in enumerate(batch.select(["cell", "coords", "short", "bounds"]).to_pylist()):
+                names = ids[k].values
+                x, short = _from_bytes(row["coords"], len(names)), _from_bytes(row["short"], len(names))
+                least, most = least_distances(axes, cells, row["cell"], x, short)
+                bound = _bounds(most, cells.size, wanted)
+                if row["bounds"] is not None:
+                    bound = np.minimum(bound, np.frombuffer(row["bounds"]))
+                bound = bound * (1 + SLACK) + np.sqrt(_rounding(x, axes.pivots))
+                visit = (least <= bound[:, None]) & (cells.size > 0)
+                for cell in np.flatnonzero(visit.any(axis=0)):
+                    who = np.flatnonzero(visit[:, cell])
+                    yield pa.RecordBatch.from_pydict({
+                        "cell": pa.array([cell], pa.int32()), "query": _listed(pa.chunked_array([names.take(pa.array(who))])),
+                        "coords": [x[who].tobytes()], "short": [short[who].tobytes()], "bounds": [bound[who].tobytes()],
+                    })
+
+    asked = queries.join(bounds, "block", "left").select("cell", "query", "coords", "short", "bounds")
+    return asked.mapInArrow(_over(route), f"cell int, query {kind}, coords binary, short binary, bounds binary")
+
+
+def _best_rows(x, short, bound, y, y_short, wanted: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, base, distance): rows of ``y`` that can be among the ``wanted`` nearest of a row of ``x``."""
+    limit = bound[:, None] ** 2
+    near = _squares(short, y_short) <= limit + _rounding(short, y_short)
+    left, right = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+    if len(left) == 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    x, y = x[left], y[right]
+    off = _rounding(x, y)
+    d = _squares(x, y)
+    d[(d > limit[left] + off) | ~near[np.ix_(left, right)]] = np.inf
+    if d.shape[1] > wanted:
+        d[d > np.partition(d, wanted - 1, axis=1)[:, wanted - 1:wanted] + 2 * off] = np.inf
+    i, j = np.nonzero(np.isfinite(d))
+    apart = x[i] - y[j]
+    return left[i], right[j], np.sqrt(np.einsum("ij,ij->i", apart, apart))
 
 
 def nearest(
@@ -95,69 +343,47 @@ def nearest(
 ) -> DataFrame:
     """(query, id, rep, distance, rank) of the ``k`` nearest base rows of every query row.
 
-    Ties go by id.  ``rep`` names the distinct vector of the neighbour.  ``queries``
-    holds (row_id, vector) with unique ids; ``exclude_self`` leaves out the base row
-    with the id of the query.
+    Ties go by id.  ``rep`` names the distinct vector of the neighbour.  ``queries`` holds
+    (row_id, vector) with unique ids; ``exclude_self`` leaves out the base row with the id of the
+    query.  Rows without a vector are neither asked for nor found.
     """
     wanted = k + 1 if exclude_self else k
     query_kind, kind = (df.schema[row_id].dataType.simpleString() for df in (queries, base))
-    rows = base.count()
-    if rows == 0:
-        schema = f"query {query_kind}, id {kind}, rep {kind}, distance double, rank int"
-        return base.sparkSession.createDataFrame([], schema)
-    kept = _few_copies(base, row_id, vector, wanted)
-    pivots = _pivots(base.select(F.col(row_id).alias("id"), F.col(vector).alias("vec")), rows)
-    placed = cut_lineage(
-        kept.withColumn("_at", _assign(pivots)("vec")).select("id", "rep", "vec", "_at.cell", "_at.far")
-    )
-
-    # Per cell: size, radius, and the distance within which it holds enough rows.
-    inside = Window.partitionBy("cell").orderBy("far")
-    enough = placed.select("cell", "far", F.row_number().over(inside).alias("nth")).filter(F.col("nth") <= wanted)
-    enough = enough.filter(F.col("nth") == wanted).select("cell", F.col("far").alias("reach"))
-    stats = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius"))
-    radius, reach = np.full(len(pivots), -np.inf), np.full(len(pivots), np.inf)
-    base_sizes = {}
-    for r in stats.join(enough, "cell", "left").collect():
-        base_sizes[r["cell"]] = r["n"]
-        radius[r["cell"]] = r["radius"]
-        if r["reach"] is not None:
-            reach[r["cell"]] = r["reach"]
-
-    asked = queries.select(F.col(row_id).alias("query"), F.col(vector).alias("vec"))
-    routed = asked.select("query", "vec", F.explode(_visits(pivots, radius, reach)("vec")).alias("cell"))
-    query_sizes = {r["cell"]: r["count"] for r in routed.groupBy("cell").count().collect()}
-    if not query_sizes:
-        return nearest(queries, base.filter("false"), k, row_id, vector, exclude_self)
-
-    q_block, q_count = _blocks(query_sizes, F.col("cell"), F.col("query"), "q")
-    b_block, _ = _blocks(base_sizes, F.col("cell"), F.col("id"), "b")
-    query_blocks = routed.groupBy("cell", q_block).agg(
-        F.collect_list(F.struct("query", "vec")).alias("left")
-    )
-    base_blocks = placed.filter(F.col("cell").isin(*query_sizes)).groupBy("cell", b_block).agg(
-        F.collect_list(F.struct("id", "rep", "vec")).alias("right")
-    )
-    spread = base_blocks.select("cell", "right", F.explode(F.sequence(F.lit(0), q_count.cast("int") - 1)).alias("q"))
-    pairs = query_blocks.join(spread, ["cell", "q"]).select("left", "right")
-
-    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for left, right in zip(pdf["left"], pdf["right"]):
-                ids = np.array([r["id"] for r in right])
-                reps = np.array([r["rep"] for r in right])
-                points = _matrix([r["vec"] for r in right])
-                found = []
-                for q in left:
-                    d = _distances(np.asarray(q["vec"], dtype=float), points)
-                    use = np.flatnonzero(ids != q["query"]) if exclude_self else np.arange(len(ids))
-                    order = use[np.lexsort((ids[use], d[use]))[:k]]
-                    found.append(
-                        pd.DataFrame({"query": q["query"], "id": ids[order], "rep": reps[order], "distance": d[order]})
-                    )
-                yield pd.concat(found)
-
-    near = pairs.mapInPandas(best, f"query {query_kind}, id {kind}, rep {kind}, distance double")
+    found = f"query {query_kind}, id {kind}, rep {kind}, distance double"
+    spark = base.sparkSession
+    whole = F.col(vector).cast("array<double>").alias("vec")
+    itself = queries is base
+    base = base.filter(F.col(vector).isNotNull()).select(F.col(row_id).alias("id"), whole)
+    asked = queries.filter(F.col(vector).isNotNull()).select(F.col(row_id).alias("query"), whole)
+    rows, axes = _axes(base)
+    if axes is None:
+        return spark.createDataFrame([], f"{found}, rank int")
+    shared_axes = spark.sparkContext.broadcast(axes)
+    blocks = cut_lineage(_blocks(_few_copies(base, wanted), shared_axes, ["id", "rep"], BLOCK_ROWS))
+    cells = _cells(blocks, len(axes.pivots))
+    shared = spark.sparkContext.broadcast((axes, cells))
+    if itself and cells.size.sum() == rows:  # no copy was left out: the base blocks hold all queries
+        parts = blocks.select("cell", F.col("id").alias("query"), "coords", "short", "block")
+    else:
+        parts = cut_lineage(_blocks(asked, shared_axes, ["query"], BLOCK_ROWS).select("cell", "query", "coords", "short", "block"))
+    visits = _visits(parts, home_bounds(parts, blocks, wanted), shared, wanted)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [batch.column(c) for c in ("query", "id", "rep")]
+            for n, row in enumerate(batch.select(["coords", "short", "bounds", "b_coords", "b_short"]).to_pylist()):
+                query, ids, reps = (column[n].values for column in lists)
+                x, short = _from_bytes(row["coords"], len(query)), _from_bytes(row["short"], len(query))
+                y, y_short = _from_bytes(row["b_coords"], len(ids)), _from_bytes(row["b_short"], len(ids))
+                i, j, d = _best_rows(x, short, np.frombuffer(row["bounds"]), y, y_short, wanted)
+                i, j = pa.array(i), pa.array(j)
+                yield pa.RecordBatch.from_arrays([query.take(i), ids.take(j), reps.take(j), pa.array(d)], ["query", "id", "rep", "distance"])
+
+    right = blocks.select("cell", "id", "rep", F.col("coords").alias("b_coords"), F.col("short").alias("b_short"))
+    pairs = visits.join(right, "cell").drop("cell")
+    near = pairs.mapInArrow(_over(best), found)
+    if exclude_self:
+        near = near.filter(F.col("id") != F.col("query"))
     order = Window.partitionBy("query").orderBy("distance", "id")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -165,33 +391,28 @@ def nearest(
 def local_outlier_scores(base: DataFrame, new: DataFrame, k: int, row_id: str = "id", vector: str = "vec") -> DataFrame:
     """(id, score, is_base): local outlier factor minus 1.5, every row scored as if new.
 
-    All quantities depend on the vector only, so they are computed once per distinct
-    vector and joined back to the rows.  A base row is its own neighbour when scored.
+    All quantities depend on the vector only, so they are computed once per distinct vector and
+    joined back to the rows.  A base row is its own neighbour when scored and not when its
+    density is fitted: one search for k + 1 neighbours gives both, as the smallest id of a
+    vector's copies comes first among its own neighbours.
     """
-    base = base.select(F.col(row_id).alias("id"), F.col(vector).alias("vec"))
-    new = new.select(F.col(row_id).alias("id"), F.col(vector).alias("vec"))
+    base = base.select(F.col(row_id).alias("id"), F.col(vector).cast("array<double>").alias("vec"))
+    new = new.select(F.col(row_id).alias("id"), F.col(vector).cast("array<double>").alias("vec"))
     size = base.limit(k + 1).count()
     k = max(1, min(k, size - 1))
-    reps = distinct_vectors(base, "id", "vec").select(F.col("rep").alias("id"), "vec")
-
-    fitted = nearest(reps, base, k, exclude_self=True)
-    reach = fitted.groupBy("query").agg(F.max("distance").alias("k_distance")).withColumnRenamed("query", "rep")
-
-    def density(neighbours: DataFrame) -> DataFrame:
-        within = neighbours.join(reach, "rep")
-        mean = F.avg(F.greatest("distance", "k_distance"))
-        return within.groupBy("query").agg((1 / (mean + 1e-10)).alias("lrd"))
-
-    base_density = density(fitted).select(F.col("query").alias("rep"), F.col("lrd").alias("rep_lrd"))
-
-    rows = base.select(F.lit(True).alias("is_base"), "id", "vec").unionByName(
-        new.select(F.lit(False).alias("is_base"), "id", "vec")
-    )
+    rows = base.select(F.lit(True).alias("is_base"), "id", "vec").unionByName(new.select(F.lit(False).alias("is_base"), "id", "vec"))
     key = F.concat(F.when(F.col("is_base"), "b:").otherwise("n:"), F.col("id").cast("string"))
-    asked = cut_lineage(rows.groupBy("vec").agg(F.min(key).alias("id")))
-    near = nearest(asked, base, k).join(reach, "rep").join(base_density, "rep")
-    # A ratio of means: the row's own density is one over its mean reach distance.
-    own = F.avg(F.greatest("distance", "k_distance")) + 1e-10
-    scores = near.groupBy("query").agg((F.avg("rep_lrd") * own - 1.5).alias("score"))
+    own = F.min(F.when(F.col("is_base"), F.col("id"))).alias("own")
+    asked = cut_lineage(rows.groupBy("vec").agg(F.min(key).alias("id"), own))
+    near = nearest(asked.select("id", "vec"), base, k + 1)
+    near = cut_lineage(near.join(asked.select(F.col("id").alias("query"), "own"), "query"))
+    fitted = near.filter("own IS NOT NULL AND id <> own").select(F.col("own").alias("of"), "rep", "distance")
+    reach = fitted.groupBy("of").agg(F.max("distance").alias("k_distance")).withColumnRenamed("of", "rep")
+
+    # A density is one over the mean reach distance, so a ratio of densities is one of means.
+    mean = F.avg(F.greatest("distance", "k_distance")) + 1e-10
+    density = fitted.join(reach, "rep").groupBy("of").agg((1 / mean).alias("rep_lrd")).withColumnRenamed("of", "rep")
+    around = near.filter(F.col("rank") <= k).join(reach, "rep").join(density, "rep")
+    scores = around.groupBy("query").agg((F.avg("rep_lrd") * mean - 1.5).alias("score"))
     by_vector = asked.join(scores, asked["id"] == scores["query"]).select("vec", "score")
     return rows.join(by_vector, "vec").select("id", "score", "is_base")
