@@ -2,12 +2,13 @@ import json
 import sys
 
 import numpy as np
+import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from trendloom.config import LabelConfig
 from trendloom.functions import labels as L
-from trendloom.operators import labelling
+from trendloom.operators import labelling, ordering
 from trendloom.sources import tables
 
 # Labelers defined here run in workers that cannot import this file.
@@ -107,6 +108,88 @@ def test_repair_then_fallback(spark):
     assert out["k1"]["notes"].startswith("LLM_ERROR: invalid answer")
 
 
+def counting_labeler(folder, stop_at=None):
+    """Answers everything and leaves a file for each call; the worker dies at call ``stop_at``."""
+
+    def labeler(batch):
+        import os
+        import uuid
+
+        if stop_at is not None and len(os.listdir(folder)) >= stop_at:
+            os._exit(1)
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+            f.write(" ".join(p["full_dialog_text"] for p in batch))
+        return json.dumps([answer(_batch_index=i, summary=p["full_dialog_text"]) for i, p in enumerate(batch)])
+
+    return labeler
+
+
+def test_a_job_that_broke_off_asks_only_for_batches_without_a_result(spark, tmp_path):
+    log, folder = tmp_path / "calls", str(tmp_path / "job")
+    log.mkdir()
+    texts = [f"m{i:02d}" for i in range(24)]
+    rows = payloads(spark, texts).withColumn("row_no", F.substring("k", 2, 9).cast("bigint"))
+    cost = len(json.dumps({"full_dialog_text": "m00", "product": "app"})) // 4
+    cfg = LabelConfig(token_budget=2 * cost, parallelism=2, calls_per_task=2)  # twelve batches of two, in waves of four
+    with pytest.raises(Exception):
+        labelling.label_payloads(rows, counting_labeler(str(log), stop_at=7), None, cfg, folder)
+    first = {p.read_text() for p in log.iterdir()}
+    kept = spark.read.parquet(f"{folder}/*/attempt-0/results")
+    stored = {" ".join(json.loads(q["payload"])["full_dialog_text"] for q in r["requests"]) for r in kept.collect()}
+    claimed = spark.read.parquet(f"{folder}/*/attempt-0/claims").count()
+    assert 4 <= len(stored) <= len(first) == 7 and claimed == 8
+    out = labelling.label_payloads(rows, counting_labeler(str(log)), None, cfg, folder).collect()
+    assert {r["label"]["short_summary"] for r in out} == set(texts) and len(out) == 24
+    calls = [p.read_text() for p in log.iterdir()]
+    assert len(calls) == 7 + 12 - len(stored)  # stored batches were not asked for again
+    assert set(calls) == {f"m{i:02d} m{i + 1:02d}" for i in range(0, 24, 2)}  # batches of neighbouring rows
+    labelling.label_payloads(rows, counting_labeler(str(log), stop_at=0), None, cfg, folder).collect()
+    assert len(list(log.iterdir())) == len(calls)
+    other = rows.withColumn("payload", F.replace("payload", F.lit("m0"), F.lit("n0")))
+    labelling.label_payloads(other, counting_labeler(str(log)), None, cfg, folder).collect()
+    assert len(list(log.iterdir())) == len(calls) + 12  # other content, other calls
+
+
+@pytest.mark.parametrize("parallelism", [1, 3])
+def test_batches_follow_rows_and_not_partitions(spark, tmp_path, parallelism):
+    """Token counts 10, 20, 15 with a budget of 30 are two calls, whatever the partitions."""
+    tokens = [10, 20, 15]
+    rows = spark.createDataFrame([(i, f"k{i}", json.dumps({"full_dialog_text": str(i)}), t) for i, t in enumerate(tokens)],
+                                 "row_no long, k string, payload string, tokens int").repartition(3)
+    cfg = LabelConfig(parallelism=parallelism)
+    asked = labelling.ask(rows, lambda b: json.dumps([answer() for _ in b]), cfg, str(tmp_path / "a"), budget=30)
+    assert [[q["row_no"] for q in r["requests"]] for r in asked.orderBy("batch").collect()] == [[0, 1], [2]]
+
+
+def test_numbers_follow_the_order(spark):
+    df = spark.createDataFrame([(i * 7 % 50, str(i)) for i in range(50)], "n long, t string").repartition(7)
+    out = ordering.number_in_order(df, ["n", "t"]).collect()
+    assert sorted(r["row_no"] for r in out) == list(range(50)) and all(r["row_no"] == r["n"] for r in out)
+    assert ordering.number_in_order(df.limit(0), ["n"]).collect() == []
+
+
+def test_cache_is_read_by_folder_and_compacted(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    assert tables.compact_cache(spark, path) == 0
+    keys = spark.range(600).select(F.sha2(F.col("id").cast("string"), 256).alias("k"), F.col("id").cast("string").alias("t"))
+    labelled = keys.select("k", L.rule_label(F.col("t"), F.lit(None)).alias("label"))
+    assert tables.probe_cache(keys, path).isEmpty()
+    for severity in ("low", "medium", "high"):
+        tables.append_cache(labelled.withColumn("label", F.col("label").withField("severity", F.lit(severity))), path)
+    asked = keys.limit(2)
+    found = tables.probe_cache(asked, path)
+    assert [r["label"]["severity"] for r in found.collect()] == ["high", "high"]
+    buckets = [r[0] for r in asked.select(tables.cache_bucket(F.col("k"))).collect()]
+    read = tables.cache_rows(spark, path, buckets).count()
+    assert 6 <= read < 60  # of 1,800 rows
+    assert "PartitionFilters: [bucket" in found._jdf.queryExecution().toString()
+    before = {r["k"]: r["label"] for r in tables.read_cache(spark, path).collect()}
+    assert tables.compact_cache(spark, path, files_per_bucket=2) > 200
+    assert {r["k"]: r["label"] for r in tables.read_cache(spark, path).collect()} == before
+    assert tables.cache_rows(spark, path).count() == 600
+    assert tables.compact_cache(spark, path, files_per_bucket=2) == 0
+
+
 def test_cache_keeps_the_last_write(spark, tmp_path):
     path = str(tmp_path / "cache")
     assert tables.read_cache(spark, path).isEmpty()

@@ -8,7 +8,8 @@ pairing, coercion and validation of the answers are expressions.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,14 +19,15 @@ from pyspark.sql import functions as F
 from trendloom.config import LabelConfig
 from trendloom.functions import labels as L
 from trendloom.functions import text as X
-from trendloom.operators.ordering import union_all
-from trendloom.session import cut_lineage
+from trendloom.operators.ordering import number_in_order, union_all
+from trendloom.session import checkpoint_dir, cut_lineage, exists
 
 Labeler = Callable[[list[dict]], str]
 
 ASKED_TYPE = (
-    "requests array<struct<idx:int,k:string,payload:string>>, response string, error string"
+    "requests array<struct<idx:int,k:string,payload:string,row_no:bigint>>, response string, error string"
 )
+MARK_WHOLE = "mapreduce.fileoutputcommitter.marksuccessfuljobs"
 
 
 # --- batching -------------------------------------------------------------------------
@@ -139,46 +141,89 @@ def assign_batches(df: DataFrame, row_no: str, tokens: str, budget: int, run_row
 
 # --- calling the labeler -----------------------------------------------------------------
 
-def ask(df: DataFrame, labeler: Labeler, budget: int, parallelism: int | None = None) -> DataFrame:
-    """One row per batch of (k, payload, tokens): its requests and response or error.
+def row_batches(work: DataFrame, budget: int, run_rows: int) -> DataFrame:
+    """(batch, requests): the rows of (row_no, k, payload, tokens) in greedy batches in row order."""
+    numbers = assign_batches(work.select("row_no", "tokens"), "row_no", "tokens", budget, run_rows).select("row_no", "batch")
+    request = F.struct("row_no", "k", "payload")
+    # a batch has a token a row at least, so its rows are bounded by the budget
+    rows = work.join(numbers, "row_no").groupBy("batch").agg(F.sort_array(F.collect_list(request)).alias("rows"))
+    numbered = F.transform(
+        "rows", lambda r, i: F.struct(i.cast("int").alias("idx"), r["k"].alias("k"), r["payload"].alias("payload"), r["row_no"].alias("row_no"))
+    )
+    return rows.select("batch", numbered.alias("requests"))
 
-    Batches form along each partition, so ``parallelism`` partitions bound the
-    number of calls in flight.  A call that fails costs its batch, not the job.
-    """
 
-    def emit(batch: list[tuple[str, str]]) -> dict:
-        response = error = None
-        try:
-            response = labeler([json.loads(p) for _, p in batch])
-        except Exception as e:
-            error = str(e) or type(e).__name__
-        requests = [{"idx": i, "k": k, "payload": p} for i, (k, p) in enumerate(batch)]
-        return {"requests": requests, "response": response, "error": error}
+def run_calls(batches: DataFrame, call: Callable[[list[dict]], str], folder: str, cfg: LabelConfig) -> DataFrame:
+    """One call per batch of (batch, requests); returns ASKED_TYPE with the batch.
+
+    ``folder`` keeps the written batches, a claim for every batch before it is asked, and its result
+    as soon as the task that asked ends.  A job that starts again with the same folder asks only
+    for batches without a result; a batch with a claim but no result may have been asked in vain.
+    Batches go in waves of ``parallelism`` tasks, in row order, so that many calls are in flight at once and few are
+    lost with a job.  A call that fails costs its batch, not the job.
+    """
+    spark = batches.sparkSession
+    if not exists(spark, f"{folder}/batches/_SUCCESS"):
+        ordered = batches.repartitionByRange("batch").sortWithinPartitions("batch")
+        ordered.write.mode("overwrite").option(MARK_WHOLE, "true").parquet(f"{folder}/batches")
+    stored = spark.read.schema(batches.schema).parquet(f"{folder}/batches")
+    schema = f"batch bigint, {ASKED_TYPE}"
+
+    def results() -> DataFrame:
+        if not exists(spark, f"{folder}/results"):
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).parquet(f"{folder}/results")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        waiting: list[tuple[str, str]] = []
-        state = (0, 0)
         for pdf in frames:
-            done = []
-            for k, payload, tokens in zip(pdf["k"], pdf["payload"], pdf["tokens"]):
-                before = state[0]
-                _, state = batch_numbers([tokens], budget, state)
-                if waiting and state[0] != before:
-                    done.append(emit(waiting))
-                    waiting = []
-                waiting.append((k, payload))
-            if done:
-                yield pd.DataFrame(done)
-        if waiting:
-            yield pd.DataFrame([emit(waiting)])
-
-    work = df.select("k", "payload", "tokens")
-    work = work.repartition(parallelism, "k") if parallelism else work
-    return work.mapInPandas(run, ASKED_TYPE)
+            for batch, requests in zip(pdf["batch"], pdf["requests"]):
+                requests = [dict(r) for r in requests]
+                response = error = None
+                try:
+                    response = call(requests)
+                except Exception as e:
+                    error = str(e) or type(e).__name__
+                yield pd.DataFrame([{"batch": batch, "requests": requests, "response": response, "error": error}])
+
+    tasks = cfg.parallelism or spark.sparkContext.defaultParallelism
+    wave = tasks * cfg.calls_per_task
+    due = {r["wave"]: r["n"] for r in stored.groupBy(F.floor(F.col("batch") / wave).alias("wave")).agg(F.count("*").alias("n")).collect()}
+    have = results().groupBy(F.floor(F.col("batch") / wave).alias("wave")).agg(F.count_distinct("batch").alias("n"))
+    have = {r["wave"]: r["n"] for r in have.collect()}
+    for number in sorted(w for w, n in due.items() if have.get(w, 0) < n):
+        inside = F.col("batch").between(number * wave, (number + 1) * wave - 1)
+        todo = stored.filter(inside)
+        if have.get(number, 0):
+            todo = todo.join(results().filter(inside).select("batch"), "batch", "left_anti")
+        claim = todo.select("batch", F.lit(spark.sparkContext.applicationId).alias("job"), F.current_timestamp().alias("claimed_at"))
+        claim.write.mode("append").parquet(f"{folder}/claims")
+        # results of a task become visible when it ends, also if the job does not end
+        asked = todo.repartition(tasks).mapInPandas(run, schema)
+        asked.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(f"{folder}/results")
+    # a task that ran twice left two results of a batch: one of them counts, without an error if there is one
+    fields = F.struct(F.col("error").isNotNull().alias("failed"), "response", "error", "requests")
+    best = results().groupBy("batch").agg(F.min(fields).alias("r"))
+    return best.select("batch", "r.requests", "r.response", "r.error")
+
+
+def ask(work: DataFrame, labeler: Labeler, cfg: LabelConfig, folder: str, budget: int | None = None) -> DataFrame:
+    """Batches of (row_no, k, payload, tokens) in row order, each with the labeler's response or error."""
+
+    def call(requests: list[dict]) -> str:
+        return labeler([json.loads(r["payload"]) for r in requests])
+
+    return run_calls(row_batches(work, budget or cfg.token_budget, cfg.run_rows), call, folder, cfg)
+
+
+def content_folder(rows: DataFrame, folder: str, cfg: LabelConfig) -> str:
+    """A folder below ``folder`` named by the content to label: the same input finds its own results again."""
+    parts = F.xxhash64("row_no", "k", "payload", F.lit(cfg.version), F.lit(cfg.token_budget)).cast("decimal(38,0)")
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum(parts), F.lit(0))).first()
+    return f"{folder.rstrip('/')}/{n}-{int(total) & ((1 << 64) - 1):016x}"
 
 
 def answered(asked: DataFrame) -> DataFrame:
-    """One row per request: k, payload, its answer ``item`` (null if none), the call's ``error``.
+    """One row per request: k, payload, row_no, its answer ``item`` (null if none), the call's ``error``.
 
     A batch row carries all its requests, so pairing needs no shuffle.
     """
@@ -194,12 +239,13 @@ def answered(asked: DataFrame) -> DataFrame:
         lambda found: F.transform(
             "requests",
             lambda r: F.struct(
-                r["k"].alias("k"), r["payload"].alias("payload"), F.try_element_at(found, r["idx"]).alias("item")
+                r["k"].alias("k"), r["payload"].alias("payload"), r["row_no"].alias("row_no"),
+                F.try_element_at(found, r["idx"]).alias("item"),
             ),
         ),
     )
     rows = paired.select(together.alias("rows"), "error").select(F.explode("rows").alias("r"), "error")
-    return rows.select("r.k", "r.payload", "r.item", "error")
+    return rows.select("r.k", "r.payload", "r.row_no", "r.item", "error")
 
 
 def with_label(rows: DataFrame) -> DataFrame:
@@ -219,38 +265,44 @@ def _accepted(rows: DataFrame) -> Column:
 
 
 def label_payloads(
-    payloads: DataFrame, labeler: Labeler, repair: Callable[[str], str] | None = None, cfg: LabelConfig = LabelConfig()
+    payloads: DataFrame, labeler: Labeler, repair: Callable[[str], str] | None = None, cfg: LabelConfig = LabelConfig(),
+    folder: str | None = None,
 ) -> DataFrame:
     """Label every (k, payload): batches, retries of what is missing, single calls, repair, fallback.
 
-    Every round of calls is written to the shared checkpoint folder before it is
-    used, so a lost executor never repeats a paid call that already returned.
+    Batches form in the order of ``row_no`` if there is such a column (unique), else of ``k``.  Every
+    call is claimed before it is made and stored when its task ends (see ``run_calls``).  With a
+    ``folder`` a job that broke off goes on where it was when it is started again with the same payloads; without
+    one the calls are kept in the shared checkpoint folder for this job alone.
     """
-    pending = payloads.withColumn("tokens", X.estimate_tokens(F.col("payload")))
-    done, single = [], []
-    for _ in range(cfg.max_attempts):
-        rows = cut_lineage(with_label(answered(ask(pending, labeler, cfg.token_budget, cfg.parallelism))))
+    folder = folder or f"{checkpoint_dir(payloads.sparkSession).rstrip('/')}/labels-{uuid.uuid4().hex}"
+    rows = payloads if "row_no" in payloads.columns else number_in_order(payloads, ["k"], "row_no")
+    rows = cut_lineage(rows.select("row_no", "k", "payload", X.estimate_tokens(F.col("payload")).alias("tokens")))
+    folder = content_folder(rows, folder, cfg)
+    pending, done, single = rows, [], []
+    for attempt in range(cfg.max_attempts):
+        rows = cut_lineage(with_label(answered(ask(pending, labeler, cfg, f"{folder}/attempt-{attempt}"))))
         done.append(rows.filter(_accepted(rows)).select("k", "label", F.lit(None).cast("string").alias("error")))
         failed = F.col("error").isNotNull() | (F.col("item").isNotNull() & ~F.coalesce(_accepted(rows), F.lit(False)))
-        single.append(rows.filter(failed).select("k", "payload"))
+        single.append(rows.filter(failed).select("row_no", "k", "payload"))
         pending = rows.filter(F.col("error").isNull() & F.col("item").isNull()).select(
-            "k", "payload", X.estimate_tokens(F.col("payload")).alias("tokens")
+            "row_no", "k", "payload", X.estimate_tokens(F.col("payload")).alias("tokens")
         )
         if pending.isEmpty():
             break
-    single.append(pending.select("k", "payload"))
+    single.append(pending.select("row_no", "k", "payload"))
     rest = union_all(single)
     if not rest.isEmpty():
-        done.append(label_singly(rest, labeler, repair, cfg))
+        done.append(label_singly(rest, labeler, repair, cfg, folder))
     return union_all(done)
 
 
 def label_singly(
-    payloads: DataFrame, labeler: Labeler, repair: Callable[[str], str] | None, cfg: LabelConfig
+    payloads: DataFrame, labeler: Labeler, repair: Callable[[str], str] | None, cfg: LabelConfig, folder: str
 ) -> DataFrame:
     """One call per row, one repair call for an invalid answer, else the fallback record."""
     one = payloads.withColumn("tokens", F.lit(1))
-    rows = cut_lineage(with_label(_alone(ask(one, labeler, 1, cfg.parallelism))))
+    rows = cut_lineage(with_label(_alone(ask(one, labeler, cfg, f"{folder}/single", budget=1))))
     good = rows.filter(_accepted(rows)).select("k", "label", F.lit(None).cast("string").alias("error"))
     bad = rows.filter(~F.coalesce(_accepted(rows), F.lit(False)))
     reason = F.coalesce(
@@ -259,8 +311,7 @@ def label_singly(
     if repair is None:
         return good.unionByName(_with_fallback(bad.withColumn("error", reason)))
     called = bad.filter(F.col("error").isNull())
-    again = _repair(called.select("k", "payload", F.coalesce("item", F.lit("")).alias("item")), repair)
-    fixed = cut_lineage(with_label(again))
+    fixed = cut_lineage(with_label(_repair(called, repair, cfg, f"{folder}/repair")))
     return union_all([
         good,
         fixed.filter(_accepted(fixed)).select("k", "label", F.lit(None).cast("string").alias("error")),
@@ -273,26 +324,21 @@ def _alone(asked: DataFrame) -> DataFrame:
     """Answers to one-row calls: an object, or the first object of a list."""
     first = F.get(L.unwrap_answers(F.col("response")), F.lit(0))["item"]
     whole = F.when(F.rlike("response", F.lit(r"(?s)^\s*\{")), F.col("response"))
+    one = F.get("requests", F.lit(0))
     return asked.select(
-        F.get("requests", F.lit(0))["k"].alias("k"), F.get("requests", F.lit(0))["payload"].alias("payload"),
+        one["k"].alias("k"), one["payload"].alias("payload"), one["row_no"].alias("row_no"),
         F.coalesce(first, whole, F.col("response")).alias("item"), "error",
     )
 
 
-def _repair(rows: DataFrame, repair: Callable[[str], str]) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            items, errors = [], []
-            for text in pdf["item"]:
-                try:
-                    items.append(repair(text))
-                    errors.append(None)
-                except Exception as e:
-                    items.append(None)
-                    errors.append(str(e) or type(e).__name__)
-            yield pdf.assign(item=items, error=errors)
-
-    return rows.mapInPandas(run, "k string, payload string, item string, error string")
+def _repair(rows: DataFrame, repair: Callable[[str], str], cfg: LabelConfig, folder: str) -> DataFrame:
+    """Each row's invalid ``item`` after one repair call."""
+    text = F.coalesce("item", F.lit(""))
+    request = F.struct(F.lit(0).alias("idx"), "k", text.alias("payload"), "row_no")
+    batches = rows.select(F.col("row_no").alias("batch"), F.array(request).alias("requests"))
+    calls = run_calls(batches, lambda requests: repair(requests[0]["payload"]), folder, cfg)
+    fixed = calls.select(F.col("batch").alias("row_no"), F.col("response").alias("item"), "error")
+    return rows.select("k", "payload", "row_no").join(fixed, "row_no")
 
 
 def _with_fallback(rows: DataFrame) -> DataFrame:
@@ -314,8 +360,14 @@ def cache_hits(rows: DataFrame, cache: DataFrame) -> DataFrame:
 
 def cache_misses(rows: DataFrame, cache: DataFrame) -> DataFrame:
     """Distinct payloads without a cached label, each to be labelled once."""
-    unseen = rows.join(cache.select("k"), "k", "left_anti")
-    return unseen.groupBy("k").agg(F.first("payload").alias("payload"))
+    return distinct_payloads(rows.join(cache.select("k"), "k", "left_anti"))
+
+
+def distinct_payloads(rows: DataFrame, place: Sequence[str] = ()) -> DataFrame:
+    """(k, payload) once per key; with ``place`` also ``row_no``, the dense order of the keys' first places."""
+    first = [F.min(F.struct(*place)).alias("_place")] if place else []
+    one = rows.groupBy("k").agg(F.first("payload").alias("payload"), *first)
+    return number_in_order(one, ["_place", "k"], "row_no").drop("_place") if place else one
 
 
 def attach_labels(rows: DataFrame, labels: DataFrame, product: Column | None = None) -> DataFrame:

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trendloom.session import cut_lineage
+
 # A bucket of at most this many rows is sorted in one task.
 SORTABLE_ROWS = 1_000_000
 HISTOGRAM_BUCKETS = 4096
@@ -39,6 +41,20 @@ def number_rows(df: DataFrame, file: str, block: str | None, row: str, name: str
     return numbered.withColumn(name, F.col("_offset") + F.col("_local")).drop("_offset", "_local")
 
 
+def number_in_order(df: DataFrame, order: Sequence[str], name: str = "row_no") -> DataFrame:
+    """Dense 0-based number in the order of columns that are unique together.
+
+    The rows are sorted by range and written once with their place in their partition; only
+    counts per partition are ordered as a whole.
+    """
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = cut_lineage(placed.withColumns({"_part": F.spark_partition_id(), "_at": place}))
+    offsets = running_total(placed.groupBy("_part").count(), ["_part"], "count", "_offset").drop("count")
+    numbered = placed.join(F.broadcast(offsets), "_part")  # a row for each partition of the sort
+    return numbered.withColumn(name, F.col("_offset") + F.col("_at")).drop("_part", "_at", "_offset")
+
+
 def _before(level: Column, bound) -> Column:
     if bound is None:
         return level.isNotNull()

@@ -10,7 +10,7 @@ from trendloom.functions import labels as L
 from trendloom.functions import text as X
 from trendloom.operators import labelling, ordering, prepare
 from trendloom.plans import reports
-from trendloom.session import cut_lineage
+from trendloom.session import cut_lineage, delete
 from trendloom.sources import tables
 from trendloom.sources import tickets as src
 from trendloom.sources.taxonomy import Taxonomy
@@ -40,24 +40,30 @@ def rule_labelled(rows: DataFrame, rules: RuleSet = RuleSet()) -> DataFrame:
 
 
 def function_labelled(
-    rows: DataFrame, labeler: labelling.Labeler, repair=None, cfg: LabelConfig = LabelConfig(), cache: str | None = None
+    rows: DataFrame, labeler: labelling.Labeler, repair=None, cfg: LabelConfig = LabelConfig(), cache: str | None = None,
+    calls: str | None = None,
 ) -> DataFrame:
-    """Label by a user-supplied function, asking only for payloads the cache does not hold."""
-    spark = rows.sparkSession
+    """Label by a user-supplied function, asking only for payloads the cache does not hold.
+
+    Payloads are asked for in the order of the tickets.  ``calls`` is a folder for the calls, so that a
+    job that broke off does not repeat them.
+    """
     body = F.col("payload")
     fields = {name: body[name] for name in rows.schema["payload"].dataType.names if name not in ("dialog_context", "signal_fields")}
     fields |= {name: X.sorted_map(body[name]) for name in ("dialog_context", "signal_fields")}
     keyed = rows.withColumn("k", X.content_key(fields, cfg.version)).withColumn(
         "payload", F.to_json(prepare.labeler_input(body))
     )
+    place = [c for c in src.PLACE if c in rows.columns]
     if cache is None:
-        todo = keyed.groupBy("k").agg(F.first("payload").alias("payload"))
-        labels = labelling.label_payloads(todo, labeler, repair, cfg).select("k", "label")
+        todo = labelling.distinct_payloads(keyed, place)
+        labels = labelling.label_payloads(todo, labeler, repair, cfg, calls).select("k", "label")
     else:
-        known = tables.read_cache(spark, cache)
-        fresh = cut_lineage(labelling.label_payloads(labelling.cache_misses(keyed, known), labeler, repair, cfg))
-        hits = cut_lineage(known)
+        hits = cut_lineage(tables.probe_cache(keyed, cache))
+        todo = labelling.distinct_payloads(keyed.join(hits.select("k"), "k", "left_anti"), place)
+        fresh = cut_lineage(labelling.label_payloads(todo, labeler, repair, cfg, calls))
         tables.append_cache(fresh.filter(F.col("error").isNull()), cache)
+        tables.compact_cache(rows.sparkSession, cache)
         labels = ordering.union_all([hits, fresh.select("k", "label")])
     return labelling.attach_labels(keyed, labels).drop("k", "payload")
 
@@ -72,10 +78,12 @@ def prepare_tickets(
     rows = dialog_rows(
         spark, drops, dialog, redaction, labels, date_from, date_to, limit if pilot else None, schema
     )
-    labelled = rule_labelled(rows, rules) if labeler is None else function_labelled(rows, labeler, repair, labels, cache)
+    calls = f"{out}/label_calls"
+    labelled = rule_labelled(rows, rules) if labeler is None else function_labelled(rows, labeler, repair, labels, cache, calls)
     wide = prepare.expand_label(labelled)
     path = f"{out}/pilot_prepared" if pilot else f"{out}/prepared"
     tables.write_prepared(wide, path)
+    delete(spark, calls)  # only a job that broke off leaves its calls for the next one
     stored = tables.read_by_month(spark, path, wide.schema)
     tables.write_errors(stored, f"{out}/label_errors")
     if pilot:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendloom import fixed_values as fv
 from trendloom.functions.labels import LABEL_TYPE
 from trendloom.operators.labelling import latest_labels
 from trendloom.operators.prepare import all_objects_as_text, review_sheet
+from trendloom.session import cut_lineage, delete, exists
 from trendloom.sources.tickets import exists_or_none
 
 
@@ -87,20 +90,70 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
 
 
 # --- label cache ------------------------------------------------------------------------------------
+# Folders by the first digits of a hash of the key: a run reads the folders of its own keys only.
 
-CACHE_TYPE = "k string, v string, created_at timestamp, seq bigint"
+CACHE_TYPE = "k string, v string, created_at timestamp, seq bigint, bucket string"
+BUCKET_DIGITS = 2  # 256 folders
+FILES_PER_BUCKET = 8
 
 
-def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """(k, label): the last label written per key; empty if nothing was cached yet."""
+def cache_bucket(key: Column) -> Column:
+    return F.substring(F.md5(key.cast("binary")), 1, BUCKET_DIGITS)
+
+
+def cache_rows(spark: SparkSession, path: str, buckets: Sequence[str] | None = None) -> DataFrame:
+    """All writes to the cache, or those of some folders."""
     writes = exists_or_none(lambda: spark.read.schema(CACHE_TYPE).parquet(path))
     if writes is None:
-        writes = spark.createDataFrame([], CACHE_TYPE)
+        return spark.createDataFrame([], CACHE_TYPE)
+    return writes if buckets is None else writes.filter(F.col("bucket").isin(*buckets))
+
+
+def _as_labels(writes: DataFrame) -> DataFrame:
     return latest_labels(writes).select("k", F.from_json("v", LABEL_TYPE).alias("label"))
 
 
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """(k, label): the last label written per key; empty if nothing was cached yet."""
+    return _as_labels(cache_rows(spark, path))
+
+
+def probe_cache(rows: DataFrame, path: str, key: str = "k") -> DataFrame:
+    """(k, label) of the keys of ``rows`` that the cache holds, from the folders of these keys only."""
+    keys = rows.select(F.col(key).alias("k")).distinct()
+    buckets = [r["b"] for r in keys.select(cache_bucket(F.col("k")).alias("b")).distinct().collect()]  # 256 at most
+    return _as_labels(cache_rows(rows.sparkSession, path, buckets).join(keys, "k", "left_semi"))
+
+
+def _append_writes(writes: DataFrame, path: str) -> None:
+    """One file a folder; sorted, so that files skip row groups by key."""
+    placed = writes.withColumn("bucket", cache_bucket(F.col("k"))).repartition("bucket").sortWithinPartitions("bucket", "k")
+    placed.select("k", "v", "created_at", "seq", "bucket").write.mode("append").partitionBy("bucket").parquet(path)
+
+
 def append_cache(labels: DataFrame, path: str) -> None:
     """Append (k, label).  A repeated write of a key changes nothing: the last one wins on read."""
-    labels.select(
-        "k", F.to_json("label").alias("v"), F.current_timestamp().alias("created_at"), F.lit(0).cast("bigint").alias("seq")
-    ).write.mode("append").parquet(path)
+    now, none = F.current_timestamp().alias("created_at"), F.lit(0).cast("bigint").alias("seq")
+    _append_writes(labels.select("k", F.to_json("label").alias("v"), now, none), path)
+
+
+def compact_cache(spark: SparkSession, path: str, files_per_bucket: int = FILES_PER_BUCKET) -> int:
+    """Rewrite the folders of more than ``files_per_bucket`` files to the last write per key; returns their number.
+
+    The new file is added before the old ones are deleted.  As the last write per key counts, a reader
+    in between and a job that breaks off there see the same labels.
+    """
+    if not exists(spark, path):
+        return 0
+    by_bucket: dict[str, list[str]] = {}
+    for file in cache_rows(spark, path).inputFiles():
+        by_bucket.setdefault(file.rsplit("/", 2)[-2], []).append(file)
+    old = [f for files in by_bucket.values() if len(files) > files_per_bucket for f in files]
+    if not old:
+        return 0
+    writes = spark.read.schema(CACHE_TYPE).option("basePath", path).parquet(*old)
+    last = F.max_by(F.struct("v", "created_at", "seq"), F.struct("created_at", "seq")).alias("w")
+    _append_writes(cut_lineage(writes.groupBy("k").agg(last)).select("k", "w.v", "w.created_at", "w.seq"), path)
+    for file in old:
+        delete(spark, file)
+    return sum(len(files) > files_per_bucket for files in by_bucket.values())
