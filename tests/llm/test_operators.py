@@ -253,11 +253,20 @@ def test_repeats(docs, texts, empty):
     assert suffix_repeats.remove_repeats(empty).isEmpty()
 
 
-def test_repeats_keep_rows_without_a_key_and_rows_of_one_key(spark):
-    t = " ".join(f"w{i}" for i in range(60))
-    df = spark.createDataFrame([(5, t), (5, t), (None, t), (7, t)], "doc_id bigint, text string")
-    got = sorted((str(r.doc_id), r.n_removed) for r in suffix_repeats.remove_repeats(df).collect())
-    assert got == [("5", 0), ("5", 0), ("7", 60), ("None", 0)]
+def test_repeats_of_rows_without_a_key_and_of_rows_of_one_key(spark):
+    t, u, v = (" ".join(f"{p}{i}" for i in range(60)) for p in "tuv")
+    schema = "doc_id bigint, text string"
+    cases = [
+        ([(5, t), (5, t), (None, t), (7, t)], [("5", 0), ("5", 0), ("7", 60), ("None", 60)]),
+        ([(3, t), (7, t), (7, u)], [("3", 0), ("7", 0), ("7", 60)]),  # only the copy goes, not the other text of its key
+        ([(3, t), (7, u), (7, "x " + t)], [("3", 0), ("7", 0), ("7", 60)]),
+        ([(None, t), (None, t), (None, u), (None, u + " x")], [("None", 0)] * 4),
+        ([(3, t), (None, t), (None, "x " + t), (None, v)], [("3", 0), ("None", 0), ("None", 60), ("None", 60)]),
+        ([(None, t), (None, "y " + t), (9, t + " z")], [("9", 0), ("None", 60), ("None", 60)]),
+    ]
+    for rows, want in cases:
+        df = spark.createDataFrame(rows, schema)
+        assert sorted((str(r.doc_id), r.n_removed) for r in suffix_repeats.remove_repeats(df).collect()) == want
 
 
 # --- 6 -----------------------------------------------------------------------------------------

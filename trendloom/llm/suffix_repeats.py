@@ -95,11 +95,16 @@ def _anchors(key: str, text: str):
     return run
 
 
-def _candidates(rows: pa.Table, key: str, text: str, later: np.ndarray):
-    """Words, keys and the texts of a block that have an earlier equal text."""
+def _row_mark(ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """One number for a key and a text: rows of one key can have different texts."""
+    return W.mix(ids.view(np.uint64) ^ W.mix(hashes.view(np.uint64)))
+
+
+def _candidates(rows: pa.Table, key: str, text: str, copies: pa.Scalar):
+    """Words, keys and the texts of a block that have an equal text under a smaller key."""
     texts = utf8(rows.column(text))
     ids = _ids(rows, key)
-    copy = np.isin(ids, later) & (ids != LAST_ID)
+    copy = np.isin(_row_mark(ids, _text_hash(texts)), _row_mark(_longs(copies, "id"), _longs(copies, "hash")))
     return texts, ids, copy, W.split([b"" if c else t for t, c in zip(texts, copy)])
 
 
@@ -111,7 +116,7 @@ def _leaves(key: str, text: str):
         for batch in batches:
             for k, block in enumerate(batch.column("block").to_pylist()):
                 rows = unpack(batch.column("payload")[k].as_py())
-                _, ids, _, words = _candidates(rows, key, text, _longs(batch.column("copies")[k]))
+                _, ids, _, words = _candidates(rows, key, text, batch.column("copies")[k])
                 start, small, doc = _suffixes(words)
                 shared = _longs(batch.column("shared")[k]).view(np.uint64)
                 keep = np.isin(small, shared)
@@ -186,7 +191,7 @@ def _removal(key: str, text: str, name: str, results: pa.Schema):
             for at in range(len(batch)):
                 rows = unpack(batch.column("payload")[at].as_py())
                 shared = _longs(batch.column("shared")[at]).view(np.uint64)
-                texts, ids, copy, words = _candidates(rows, key, text, _longs(batch.column("copies")[at]))
+                texts, ids, copy, words = _candidates(rows, key, text, batch.column("copies")[at])
                 value = _longs(batch.column("repeats")[at], "name").view(np.uint64)
                 low = _longs(batch.column("repeats")[at], "low")
                 order = np.argsort(value)
@@ -231,7 +236,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", kept:
 
     A word goes if a window of 50 words over it, as the input has it, also starts in a row with a
     smaller key; what is left is joined by single spaces.  A null text has no words.  A row
-    without a key comes after all others; rows of the same key do not remove each other.  Texts of fewer
+    without a key comes after all others; rows of one key, or without any, do not remove each other.  Texts of fewer
     than 50 words lose nothing.  Equal texts are met first: all but the one with the smallest key
     go whole, and only that one enters the trees.
     """
@@ -245,7 +250,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", kept:
     # texts that occur more than once: all rows but the first
     same = facts.filter("kind = 1").select("block", F.col("value").alias("hash"), F.col("low").alias("id"))
     first = cut(same.groupBy("hash").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last"))
-    copies = same.join(first, "hash").filter("id > first").groupBy("block").agg(F.collect_list("id").alias("copies"))
+    copies = same.join(first, "hash").filter("id > first").groupBy("block").agg(F.collect_set(F.struct("id", "hash")).alias("copies"))
     # smallest shingles met in different texts
     small = facts.filter("kind = 0").select("block", "value", "low", "high")
     met = small.groupBy("value").agg(F.min("low").alias("l"), F.max("high").alias("h")).filter("l <> h").select("value")
