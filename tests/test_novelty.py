@@ -1,10 +1,12 @@
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from trendloom.config import NoveltyConfig
-from trendloom.operators import knn, novelty
+from trendloom.operators import knn, novelty, projection
 
 
 def frame(spark, points, offset=0):
@@ -103,17 +105,55 @@ def test_projection_keeps_base_geometry_and_flags(spark):
     rng = np.random.default_rng(0)
     base, new = rng.random((20, 30)), rng.random((5, 30))
     b, n = (frame(spark, x).select(F.col("id").alias("row_id"), array_to_vector("vec").alias("features")) for x in (base, new))
-    basis = novelty.components(b, "features", 10)
-    assert basis.shape == (30, 10)
+    basis = projection.principal_directions(b, "features", 10)
     s = np.linalg.svd(base, compute_uv=False)[:10]
-    assert np.allclose(np.linalg.norm(base @ basis, axis=0), s, rtol=1e-6)
-    zb, zn = (novelty.projected(x, "features", basis).drop("features") for x in (b, n))
+    assert (basis.features, basis.width) == (30, 10) and np.allclose(basis.values, s, rtol=1e-9)
+    zb, zn = (projection.projected(x, "features", basis) for x in (b, n))
+    assert np.allclose(np.linalg.norm([r["z"] for r in zb.collect()], axis=0), s, rtol=1e-9)
     scores = novelty.novelty_scores(zb, zn, NoveltyConfig(kmeans_k=3, threshold_percentile=90)).persist()
     assert scores.count() == 25 and scores.agg(F.min("novelty_score")).first()[0] >= 0
     flagged = novelty.novel_rows(scores, NoveltyConfig(threshold_percentile=90))
     assert flagged.count() == 5
 
 
+def test_directions_of_sparse_rows_over_many_blocks(spark, monkeypatch):
+    """Blocks of five columns and seven rows; a zero column block, empty rows, a rank below the one asked for."""
+    monkeypatch.setattr(projection, "COLUMNS", 5)
+    monkeypatch.setattr(projection, "ROWS", 7)
+    cloudpickle.register_pickle_by_value(projection)
+    try:
+        rng = np.random.default_rng(9)
+        x = rng.random((40, 6)) @ rng.normal(size=(6, 33)) * (rng.random((1, 33)) < 0.8)
+        x[:, 10:15], x[4] = 0, 0
+        rows = [(i, Vectors.sparse(33, {j: float(v) for j, v in enumerate(r) if v})) for i, r in enumerate(x)]
+        df = spark.createDataFrame(rows, ["row_id", "features"]).repartition(3)
+        basis = projection.principal_directions(df, "features", 9)
+        want = np.linalg.svd(x, compute_uv=False)[:6]
+        assert basis.width == 6 and np.allclose(basis.values, want, rtol=1e-8)
+        z = np.array([r["z"] for r in projection.projected(df, "features", basis).orderBy("row_id").collect()])
+        assert np.allclose(z @ z.T, x @ x.T, atol=1e-8)
+        zero = df.withColumn("features", F.lit(None).cast("array<double>")).limit(0)
+        assert projection.projected(df.limit(0), "features", basis).columns == ["row_id", "z"] and zero.isEmpty()
+        nothing = spark.createDataFrame([(0, Vectors.sparse(33, {}))], ["row_id", "features"])
+        none = projection.principal_directions(nothing, "features", 3)
+        assert none.width == 0 and list(projection.projected(nothing, "features", none).first()["z"]) == []
+    finally:
+        cloudpickle.unregister_pickle_by_value(projection)
+
+
+def test_scores_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def score(x):
+        seen.add(1)
+        return float(x)
+
+    rows = spark.range(50).select(F.col("id").alias("row_id"), score("id").alias("novelty_score"), (F.col("id") < 40).alias("is_base"))
+    assert novelty.novel_rows(rows, NoveltyConfig(threshold_percentile=90)).filter("is_novel").count() == 10
+    assert seen.value == 50
+
+
 def test_clusters(spark):
     rng = np.random.default_rng(5)
     df = frame(spark, rng.random((40, 4))).select(F.col("id").alias("row_id"), F.col("vec").alias("z"), (F.col("id") < 30).alias("is_novel"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trendloom.catalog.bindings import table
 from trendloom.catalog.registry import query
 from trendloom.config import NoveltyConfig
-from trendloom.operators import knn, novelty, ordering
+from trendloom.operators import knn, novelty, ordering, projection
 
 
 def vectors(spark, sf_dir):
@@ -113,8 +113,8 @@ def projections(spark, sf_dir, k=10):
     base, new = base_and_new(spark, sf_dir)
     base = base.withColumn("features", array_to_vector("z"))
     new = new.withColumn("features", array_to_vector("z"))
-    basis = novelty.components(base, "features", k)
-    return novelty.projected(base, "features", basis, "p"), novelty.projected(new, "features", basis, "p")
+    basis = projection.principal_directions(base, "features", k)
+    return projection.projected(base, "features", basis, "p"), projection.projected(new, "features", basis, "p")
 
 
 @query("projected_vectors")
@@ -124,6 +124,23 @@ def projected_vectors(spark, sf_dir):
     return base.unionByName(new).select("row_id", F.size("p").alias("dims"), F.round(length, 6).alias("length"))
 
 
+@query(
+    "low_rank_projection",
+    "WITH " + VECTORS + """, wide AS (
+  SELECT vec_id, label, list_transform(range(40), lambda j: z[1 + j % 8] * (1 + j // 8)) AS w FROM v)
+SELECT vec_id AS row_id, CAST(8 AS INTEGER) AS dims,
+       round(sqrt(list_sum(list_transform(w, lambda x: x * x))), 6) AS length FROM wide""",
+)
+def low_rank_projection(spark, sf_dir):
+    """Forty features of rank eight: the base's directions span all of them, so no row gets shorter."""
+    wide = F.transform(F.sequence(F.lit(0), F.lit(39)), lambda j: F.get("z", j % 8) * (1 + F.floor(j / 8)))
+    rows = vectors(spark, sf_dir).select("row_id", "label", array_to_vector(wide).alias("features"))
+    basis = projection.principal_directions(rows.filter("label < 7"), "features", 12)
+    out = projection.projected(rows, "features", basis, "p")
+    length = F.sqrt(F.aggregate("p", F.lit(0.0), lambda a, x: a + x * x))
+    return out.select("row_id", F.size("p").alias("dims"), F.round(length, 6).alias("length"))
+
+
 @query("kmeans_novelty")
 def kmeans_novelty(spark, sf_dir):
     base, new = projections(spark, sf_dir)

@@ -6,52 +6,17 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trendloom.config import NoveltyConfig
 from trendloom.operators.knn import local_outlier_scores
 from trendloom.operators.ordering import percentile
+from trendloom.session import cut_lineage
 
-# The component matrix (features x components doubles) lives on the driver and on
-# every executor; beyond this size it is refused rather than shipped.
-MAX_COMPONENT_BYTES = 1 << 30
 MAX_CENTROID_CELLS = 10_000_000
 
 
-# --- projection ------------------------------------------------------------------------
-
-def components(df: DataFrame, features: str, k: int) -> np.ndarray:
-    """Right singular vectors of the feature matrix, at most one fewer than its columns."""
-    size = len(df.select(features).first()[0])
-    k = max(1, min(k, size - 1))
-    if size * k * 8 > MAX_COMPONENT_BYTES:
-        raise ValueError(f"{size} features x {k} components do not fit; lower the vocabulary limits")
-    rows = MLUtils.convertVectorColumnsFromML(df.select(features), features).persist()
-    try:
-        svd = RowMatrix(rows, numCols=size).computeSVD(k, computeU=False)
-    finally:
-        rows.unpersist()
-    return svd.V.toArray()
-
-
-def projected(df: DataFrame, features: str, basis: np.ndarray, output: str = "z") -> DataFrame:
-    """Rows times the component matrix, as an array of doubles."""
-    shared = df.sparkSession.sparkContext.broadcast(basis)
-
-    @F.pandas_udf("array<double>")
-    def project(kind: pd.Series, indices: pd.Series, values: pd.Series) -> pd.Series:
-        v = shared.value
-        return pd.Series(
-            [np.asarray(x) @ (v if t == 1 else v[np.asarray(i, dtype=int)]) for t, i, x in zip(kind, indices, values)]
-        )
-
-    u = F.unwrap_udt(features)
-    return df.withColumn(output, project(u["type"], u["indices"], u["values"]))
-
-
 # --- distances -----------------------------------------------------------------------------
 
 def centroid_matrix(df: DataFrame, label: str, vector: str) -> list[tuple[object, list[float]]]:
@@ -71,11 +36,11 @@ def nearest_centroid(df: DataFrame, vector: str, centroids: list[list[float]], o
 
     @F.pandas_udf("double")
     def distance(vectors: pd.Series) -> pd.Series:
-        out = []
-        for v in vectors:
-            d = points - np.asarray(v, dtype=float)
-            out.append(np.sqrt(np.einsum("ij,ij->i", d, d).min()))
-        return pd.Series(out, dtype=float)
+        if len(vectors) == 0:
+            return pd.Series([], dtype=float)
+        rows = np.stack([np.asarray(v, dtype=float) for v in vectors])
+        near = points[(np.einsum("ij,ij->i", points, points) - 2 * rows @ points.T).argmin(axis=1)]
+        return pd.Series(np.linalg.norm(rows - near, axis=1))
 
     return df.withColumn(output, distance(vector))
 
@@ -109,6 +74,7 @@ def novelty_scores(base: DataFrame, new: DataFrame, cfg: NoveltyConfig, row_id:
 
 def novel_rows(scores: DataFrame, cfg: NoveltyConfig) -> DataFrame:
     """New rows with ``is_novel``: score strictly above the percentile of the base scores."""
+    scores = cut_lineage(scores)  # read for the threshold and for the flags, computed once
     threshold = percentile(scores.filter("is_base"), "novelty_score", cfg.threshold_percentile)
     return scores.filter(~F.col("is_base")).drop("is_base").withColumn(
         "is_novel", F.col("novelty_score") > threshold.scalar()

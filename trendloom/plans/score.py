@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trendloom.config import DialogConfig, DropConfig, NoveltyConfig, TrainConfig
 from trendloom.functions import text as X
-from trendloom.operators import joins, novelty, prepare
+from trendloom.operators import joins, novelty, prepare, projection
 from trendloom.operators.models import Cascade
 from trendloom.plans import reports
 from trendloom.session import cut_lineage
@@ -70,9 +70,9 @@ def compare_months(
             {"novelty_score": F.lit(0.0), "is_novel": F.lit(False), "cluster_id": F.lit(-1)}
         )
         return empty, reports.comparison(base, empty, cfg.min_cluster_size)
-    basis = novelty.components(base_rows, "features", cfg.svd_components)
-    base_z = cut_lineage(novelty.projected(base_rows, "features", basis).drop("features"))
-    new_z = cut_lineage(novelty.projected(featured(new), "features", basis).drop("features"))
+    basis = projection.principal_directions(base_rows, "features", cfg.svd_components, cfg.seed)
+    base_z = cut_lineage(projection.projected(base_rows, "features", basis))
+    new_z = cut_lineage(projection.projected(cut_lineage(featured(new)), "features", basis))
     scores = cut_lineage(novelty.novel_rows(novelty.novelty_scores(base_z, new_z, cfg), cfg))
     clustered = novelty.with_clusters(scores.join(new_z, "row_id"), "z", cfg.seed).drop("z")
     result = cut_lineage(new.join(clustered, "row_id"))
