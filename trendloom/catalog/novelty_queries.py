@@ -96,6 +96,23 @@ def score_percentile(spark, sf_dir):
     return out.select(F.round("threshold", 6).alias("threshold"))
 
 
+@query(
+    "percentiles_of_repeated_values",
+    """
+SELECT pct, round(v, 6) AS threshold FROM (
+  SELECT 0.0::DOUBLE AS pct, quantile_cont(l_quantity, 0.0) AS v FROM lineitem UNION ALL
+  SELECT 12.5, quantile_cont(l_quantity, 0.125) FROM lineitem UNION ALL
+  SELECT 50.0, quantile_cont(l_quantity, 0.5) FROM lineitem UNION ALL
+  SELECT 98.0, quantile_cont(l_quantity, 0.98) FROM lineitem UNION ALL
+  SELECT 100.0, quantile_cont(l_quantity, 1.0) FROM lineitem)""",
+)
+def percentiles_of_repeated_values(spark, sf_dir):
+    pcts = [0.0, 12.5, 50.0, 98.0, 100.0]
+    found = ordering.percentiles(table(spark, sf_dir, "lineitem"), "l_quantity", pcts)
+    rows = F.array(*[F.struct(F.lit(p).alias("pct"), F.lit(v).alias("threshold")) for p, v in zip(pcts, found)])
+    return spark.range(1).select(F.explode(rows).alias("r")).select("r.pct", F.round("r.threshold", 6).alias("threshold"))
+
+
 @query(
     "novel_rows",
     "WITH " + VECTORS + "," + CENTROIDS + """

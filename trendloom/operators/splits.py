@@ -12,15 +12,14 @@ from trendloom.operators.ordering import first_rows
 
 
 def _hash_levels(row_id: Column) -> list[Column]:
+    # the digits of the hash as numbers of the same order, then the id for rows whose hashes tie
     digest = F.md5(row_id)
-    return [F.substring(digest, 1, 3), digest, row_id]
+    return [F.conv(F.substring(digest, at, 15), 16, 10).cast("bigint") for at in (1, 16)] + [row_id]
 
 
 def _time_levels(event_time: Column, row_id: Column) -> list[Column]:
-    # From coarse to fine: day, second, microsecond, then a hash of the id, so that
-    # any number of tickets at one instant still spreads over many buckets.
-    parts = [F.date_format(event_time, p) for p in ("yyyy-MM-dd", "HH:mm:ss", "SSSSSS")]
-    return [*parts, *_hash_levels(row_id)]
+    """Microseconds, then a hash of the id, so that any number of tickets at one instant has an order."""
+    return [F.unix_micros(event_time.cast("timestamp")), *_hash_levels(row_id)]
 
 
 def earliest_share(df: DataFrame, share: float, row_id: str = "row_id", event_time: str = "event_time") -> Column:
