@@ -143,3 +143,45 @@ def test_tfidf_matches_plain_statement(spark):
 def test_macro_f1(spark, truth, guess, f1):
     df = spark.createDataFrame(list(zip(truth, guess)), "y string, p string")
     assert metrics.macro_f1(df, "y", "p").first()[0] == pytest.approx(f1)
+
+
+def test_folds_hold_every_class(spark):
+    rows = [(f"r{i}", "rare" if i < 5 else "common" if i < 40 else None) for i in range(53)]
+    df = spark.createDataFrame(rows, "row_id string, y string").repartition(4)
+    folds = models.with_folds(df, "y", "row_id", 5)
+    assert folds.columns == ["row_id", "y", "_fold"] and folds.count() == 53
+    sizes = {(r["y"], r["_fold"]): r["count"] for r in folds.groupBy("y", "_fold").count().collect()}
+    assert all(sizes["rare", f] == 1 and sizes["common", f] == 7 and sizes[None, f] in (2, 3) for f in range(5))
+    again = {r["row_id"]: r["_fold"] for r in models.with_folds(df.coalesce(1), "y", "row_id", 5).collect()}
+    assert again == {r["row_id"]: r["_fold"] for r in folds.collect()}
+
+
+def test_the_cascade_scores_each_row_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def count(x):
+        seen.add(1)
+        return x
+
+    class Given:
+        def score(self, df, name):
+            return df.withColumn(name, count("y"))
+
+    df, _ = points(spark)
+    one = models.fit_category(df.withColumn("label", F.lit("ONE")), "label", TrainConfig())
+    scored = models.Cascade(None, Given(), one, None).score(df, 0.5)
+    assert scored.filter("category_pred = 'ONE'").count() == 50 and scored.filter("category_pred = 'OTHER'").count() == 70
+    assert seen.value == 120
+
+
+def test_a_vanished_category_shows_its_fall(spark):
+    from trendloom.operators import trends
+
+    df = spark.createDataFrame([("2025-01", "a", 5), ("2025-01", "b", 7), ("2025-03", "a", 4)], "month string, cat string, n long")
+    got = {(r["month"], r["cat"]): (r["n"], r["previous_n"], r["n_change"]) for r in trends.month_over_month(df, "n", "cat", 0).collect()}
+    assert got == {
+        ("2025-01", "a"): (5, 0, 5), ("2025-01", "b"): (7, 0, 7), ("2025-02", "a"): (0, 5, -5), ("2025-02", "b"): (0, 7, -7),
+        ("2025-03", "a"): (4, 0, 4), ("2025-03", "b"): (0, 0, 0),
+    }
+    assert trends.month_over_month(df.limit(0), "n", "cat", 0).collect() == []

@@ -66,6 +66,108 @@ def cascade_scores(spark, sf_dir):
     )
 
 
+# --- models with a known answer ---------------------------------------------------------------------
+# One feature per event type and labels that follow from it: any sound model separates them.
+
+KINDS = ("click", "error", "login", "purchase", "search", "signup", "view")
+
+
+def event_features(spark, sf_dir):
+    """Events with one 0/1 feature per type, a type seen nowhere being a zero column."""
+    from pyspark.ml.functions import array_to_vector
+
+    cells = F.array(*[F.when(F.col("event_type") == k, 1.0).otherwise(0.0) for k in KINDS])
+    rows = table(spark, sf_dir, "events").select(
+        F.col("event_id").cast("string").alias("row_id"), "event_type",
+        F.col("event_type").isin("error", "view").cast("double").alias("y"),
+        F.concat(F.lit("about_"), "event_type").alias("topic"), F.concat(F.lit("sub_"), "event_type").alias("sub"),
+        array_to_vector(cells).alias("features"),
+    )
+    return cut_lineage(rows)
+
+
+BAD_EVENT = "event_type IN ('error', 'view')"
+
+
+@query("separable_complaints", f"SELECT CAST(event_id AS VARCHAR) AS row_id, {BAD_EVENT} AS is_complaint_pred FROM events")
+def separable_complaints(spark, sf_dir):
+    rows = event_features(spark, sf_dir)
+    scored = models.fit_complaint(rows, TrainConfig()).score(rows, "s")
+    return scored.select("row_id", models.predicted(F.col("s"), 0.5).alias("is_complaint_pred"))
+
+
+@query("separable_calibrated_complaints", f"SELECT CAST(event_id AS VARCHAR) AS row_id, {BAD_EVENT} AS is_complaint_pred FROM events")
+def separable_calibrated_complaints(spark, sf_dir):
+    rows = event_features(spark, sf_dir)
+    scored = models.fit_complaint(rows, TrainConfig(complaint_classifier="linearsvc")).score(rows, "s")
+    return scored.select("row_id", models.predicted(F.col("s"), 0.5).alias("is_complaint_pred"))
+
+
+TOPICS = "SELECT CAST(event_id AS VARCHAR) AS row_id, 'about_' || event_type AS category_pred FROM events"
+
+
+@query("separable_categories", TOPICS)
+def separable_categories(spark, sf_dir):
+    rows = event_features(spark, sf_dir)
+    return models.fit_category(rows, "topic", TrainConfig()).predict(rows, "category_pred").select("row_id", "category_pred")
+
+
+@query("separable_categories_logistic", TOPICS)
+def separable_categories_logistic(spark, sf_dir):
+    rows = event_features(spark, sf_dir)
+    model = models.fit_category(rows, "topic", TrainConfig(category_classifier="logreg"))
+    return model.predict(rows, "category_pred").select("row_id", "category_pred")
+
+
+@query("separable_subcategories", "SELECT CAST(event_id AS VARCHAR) AS row_id, 'sub_' || event_type AS subcategory_pred FROM events")
+def separable_subcategories(spark, sf_dir):
+    rows = event_features(spark, sf_dir)
+    return models.fit_subcategory(rows, "sub", TrainConfig()).predict(rows, "subcategory_pred").select("row_id", "subcategory_pred")
+
+
+@query(
+    "constant_category",
+    """
+SELECT CAST(event_id AS VARCHAR) AS row_id, 'ONE' AS category_pred, false AS has_subcategories FROM events""",
+)
+def constant_category(spark, sf_dir):
+    rows = event_features(spark, sf_dir).withColumn("one", F.lit("ONE"))
+    model = models.fit_category(rows, "one", TrainConfig())
+    none = models.fit_subcategory(rows, "one", TrainConfig())
+    return model.predict(rows, "category_pred").select("row_id", "category_pred", F.lit(none is not None).alias("has_subcategories"))
+
+
+def event_cascade(rows):
+    cfg = TrainConfig(category_classifier="logreg")
+    bad = rows.filter("y = 1")
+    return models.Cascade(
+        None, models.fit_complaint(rows, cfg), models.fit_category(bad, "topic", cfg), models.fit_subcategory(bad, "sub", cfg)
+    )
+
+
+@query(
+    "routed_cascade",
+    f"""
+SELECT CAST(event_id AS VARCHAR) AS row_id, {BAD_EVENT} AS is_complaint_pred,
+       CASE WHEN {BAD_EVENT} THEN 'about_' || event_type ELSE 'OTHER' END AS category_pred,
+       CASE WHEN {BAD_EVENT} THEN 'sub_' || event_type ELSE 'NOT_COMPLAINT' END AS subcategory_pred FROM events""",
+)
+def routed_cascade(spark, sf_dir):
+    rows = event_features(spark, sf_dir)
+    return event_cascade(rows).score(rows, 0.5).select("row_id", "is_complaint_pred", "category_pred", "subcategory_pred")
+
+
+@query(
+    "stratified_folds",
+    """
+WITH n AS (SELECT event_type, count(*) AS n FROM events GROUP BY event_type)
+SELECT event_type, CAST(f AS INTEGER) AS fold, n // 5 + CAST(f < n % 5 AS BIGINT) AS n FROM n, range(5) AS r(f)""",
+)
+def stratified_folds(spark, sf_dir):
+    folds = models.with_folds(table(spark, sf_dir, "events"), "event_type", "event_id", 5, "fold")
+    return folds.groupBy("event_type", "fold").agg(F.count("*").alias("n"))
+
+
 # --- report tables --------------------------------------------------------------------------------
 
 @query(

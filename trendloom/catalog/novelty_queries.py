@@ -9,6 +9,7 @@ from trendloom.catalog.bindings import table
 from trendloom.catalog.registry import query
 from trendloom.config import NoveltyConfig
 from trendloom.operators import knn, novelty, ordering, projection
+from trendloom.session import cut_lineage
 
 
 def vectors(spark, sf_dir):
@@ -172,3 +173,47 @@ def novel_topic_clusters(spark, sf_dir):
     flagged = novelty.novel_rows(novelty.novelty_scores(base, new, cfg, vector="p"), cfg)
     rows = flagged.join(new.select("row_id", "p"), "row_id")
     return novelty.with_clusters(rows, "p", cfg.seed).select("row_id", "is_novel", "cluster_id")
+
+
+# --- novelty with a known answer ---------------------------------------------------------------------
+
+def separated(spark, sf_dir):
+    """Vectors moved apart by their label, so that the labels are the clusters."""
+    apart = F.transform("z", lambda x, i: x + F.when(i == 0, F.col("label") * 1000.0).otherwise(0.0))
+    rows = vectors(spark, sf_dir).withColumn("z", apart)
+    return cut_lineage(rows.filter("label < 7")), cut_lineage(rows.filter("label >= 7"))
+
+
+APART = """v AS (
+  SELECT vec_id, label, list_concat([CAST(embedding[1] AS DOUBLE) + label * 1000.0], CAST(embedding[2:] AS DOUBLE[])) AS z
+  FROM embeddings),
+cells AS (SELECT label, unnest(z) AS x, unnest(range(len(z))) AS i FROM v WHERE label < 7),
+means AS (SELECT label, i, avg(x) AS m FROM cells GROUP BY label, i),
+centroids AS (SELECT label, list(m ORDER BY i) AS c FROM means GROUP BY label)"""
+
+
+@query(
+    "separated_kmeans_novelty",
+    "WITH " + APART + """
+SELECT vec_id AS row_id, v.label < 7 AS is_base, round(min(list_distance(z, c)), 4) AS novelty_score
+FROM v, centroids GROUP BY vec_id, v.label""",
+)
+def separated_kmeans_novelty(spark, sf_dir):
+    base, new = separated(spark, sf_dir)
+    scores = novelty.novelty_scores(base, new, NoveltyConfig(kmeans_k=7), vector="z")
+    return scores.select("row_id", "is_base", F.round("novelty_score", 4).alias("novelty_score"))
+
+
+@query(
+    "novel_cluster_numbers",
+    """
+WITH n AS (SELECT label >= 7 AS is_novel, count(*) AS n FROM embeddings GROUP BY ALL)
+SELECT is_novel, n, CASE WHEN is_novel AND n > 1 THEN least(greatest(2, n // 10), 10) ELSE 1 END::BIGINT AS clusters,
+       CASE WHEN is_novel AND n > 1 THEN 0 ELSE -1 END::INTEGER AS first_cluster FROM n""",
+)
+def novel_cluster_numbers(spark, sf_dir):
+    rows = cut_lineage(vectors(spark, sf_dir).withColumn("is_novel", F.col("label") >= 7))
+    clustered = novelty.with_clusters(rows, "z", 42)
+    return clustered.groupBy("is_novel").agg(
+        F.count("*").alias("n"), F.count_distinct("cluster_id").alias("clusters"), F.min("cluster_id").cast("int").alias("first_cluster")
+    )

@@ -387,10 +387,16 @@ def month_over_month_rate(spark, sf_dir):
 @query(
     "month_over_month_category",
     "WITH " + WEAK + """, m AS (
-  SELECT month, complaint_category_llm, count(*) AS "count" FROM weak WHERE is_complaint_llm GROUP BY ALL)
-SELECT m.*, coalesce(p."count", 0) AS previous_count, m."count" - coalesce(p."count", 0) AS count_change
-FROM m LEFT JOIN m p ON p.complaint_category_llm IS NOT DISTINCT FROM m.complaint_category_llm
-  AND p.month = strftime(strptime(m.month || '-01', '%Y-%m-%d') - INTERVAL 1 MONTH, '%Y-%m')""",
+  SELECT month, complaint_category_llm, count(*) AS "count" FROM weak WHERE is_complaint_llm GROUP BY ALL),
+ends AS (SELECT min(strptime(month || '-01', '%Y-%m-%d')) AS lo, max(strptime(month || '-01', '%Y-%m-%d')) AS hi FROM m),
+months AS (SELECT strftime(unnest(generate_series(lo, hi, INTERVAL 1 MONTH)), '%Y-%m') AS month FROM ends),
+f AS (
+  SELECT g.month, c.complaint_category_llm, coalesce(m."count", 0) AS "count"
+  FROM months g CROSS JOIN (SELECT DISTINCT complaint_category_llm FROM m) c
+  LEFT JOIN m ON m.month = g.month AND m.complaint_category_llm = c.complaint_category_llm)
+SELECT f.*, coalesce(p."count", 0) AS previous_count, f."count" - coalesce(p."count", 0) AS count_change
+FROM f LEFT JOIN f p ON p.complaint_category_llm = f.complaint_category_llm
+  AND p.month = strftime(strptime(f.month || '-01', '%Y-%m-%d') - INTERVAL 1 MONTH, '%Y-%m')""",
 )
 def month_over_month_category(spark, sf_dir):
     counts = trends.month_category_counts(weak_labels(tickets(spark, sf_dir)))

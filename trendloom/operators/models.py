@@ -11,12 +11,13 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trendloom import fixed_values as fv
 from trendloom.config import TrainConfig
 from trendloom.operators.metrics import with_class_weight
+from trendloom.session import cut_lineage
 
 FEATURES = "features"
 
@@ -50,6 +51,8 @@ class LabelCodes:
 # optimum where a unit penalty constant does.
 
 
+FOLD_BUCKET_BITS = 12
+
 # Relative improvement at which the optimisers stop.
 TOLERANCE = 1e-4
 
@@ -58,6 +61,24 @@ TOLERANCE = 1e-4
 ROWS_PER_PARTITION = 10_000
 
 
+def with_folds(df: DataFrame, label: str, row_id: str, folds: int, name: str = "_fold") -> DataFrame:
+    """Add a fold number: the rank of a row inside its class, in the order of a hash of its id, modulo ``folds``.
+
+    So every fold holds its share of every class, to a row.  Ranks are exact without a window over
+    a class: rows are ranked inside buckets of the hash, and only counts per class and bucket are ordered.
+    """
+    order = F.xxhash64(F.col(row_id).cast("string"))
+    placed = df.withColumns({"_hash": order, "_bucket": F.shiftright(order, 64 - FOLD_BUCKET_BITS)})
+    counts = placed.groupBy(F.col(label).alias("_label"), F.col("_bucket").alias("_b")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_label").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("_label", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(label, "_bucket").orderBy("_hash", F.col(row_id).cast("string"))
+    ranked = placed.withColumn("_rank", F.row_number().over(inside) - 1)
+    same = F.col(label).eqNullSafe(F.col("_label")) & (F.col("_bucket") == F.col("_b"))
+    numbered = ranked.join(counts, same).withColumn(name, F.pmod(F.col("_before") + F.col("_rank"), F.lit(folds)).cast("int"))
+    return numbered.drop("_hash", "_bucket", "_label", "_b", "_before", "_rank")
+
+
 def _packed(df: DataFrame, rows: int) -> DataFrame:
     wanted = max(1, -(-rows // ROWS_PER_PARTITION))
     return df.coalesce(wanted)  # never raises the number of partitions
@@ -119,29 +140,27 @@ class CalibratedComplaint:
 
     @classmethod
     def fit(cls, df: DataFrame, cfg: TrainConfig, row_id: str = "row_id") -> CalibratedComplaint:
-        fold = F.pmod(F.xxhash64(row_id), F.lit(cls.FOLDS))
-        folds = df.withColumn("_fold", fold).persist()
+        folds = cut_lineage(with_folds(df, "y", row_id, cls.FOLDS))
         margins, curves = [], []
-        try:
-            for i in range(cls.FOLDS):
-                rest = folds.filter(F.col("_fold") != i)
-                rows = rest.count()
-                margin = _margin_model(rows, "y").fit(_packed(with_class_weight(rest, "y"), rows))
-                held = margin.transform(folds.filter(F.col("_fold") == i))
-                margins.append(margin)
-                curves.append(cls._curve(held.select(vector_to_array("rawPrediction")[1].alias("margin"), "y")))
-        finally:
-            folds.unpersist()
+        for i in range(cls.FOLDS):
+            rest = folds.filter(F.col("_fold") != i)
+            rows = rest.count()
+            margin = _margin_model(rows, "y").fit(_packed(with_class_weight(rest, "y"), rows))
+            held = margin.transform(folds.filter(F.col("_fold") == i))
+            margins.append(margin)
+            curves.append(cls._curve(held.select(vector_to_array("rawPrediction")[1].alias("margin"), "y")))
         return cls(margins, curves)
 
     @staticmethod
     def _curve(held: DataFrame) -> tuple[float, float]:
         """Slope and intercept of the logistic curve over smoothed targets.
 
-        A smoothed target t is one row of class 1 with weight t and one of class 0
+        A fold without rows of a class (fewer than ``FOLDS`` of them in all) still has smoothed targets of both.  A smoothed target t is one row of class 1 with weight t and one of class 0
         with weight 1 - t.
         """
         sizes = held.agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n")).first()
+        if sizes["p"] + sizes["n"] == 0:  # fewer rows than folds
+            return 1.0, 0.0
         high, low = (sizes["p"] + 1.0) / (sizes["p"] + 2.0), 1.0 / (sizes["n"] + 2.0)
         target = F.when(F.col("y") == 1, F.lit(high)).otherwise(F.lit(low))
         soft = held.select(
@@ -276,6 +295,7 @@ class Cascade:
         scored = self.complaint.score(df, "complaint_score").withColumn(
             "is_complaint_pred", predicted(F.col("complaint_score"), threshold)
         )
+        scored = cut_lineage(scored)  # both branches read it: no row is vectorised and scored twice
         bad = self.category.predict(scored.filter("is_complaint_pred"), "category_pred")
         bad = bad.withColumn("category_pred", F.coalesce("category_pred", F.lit(fv.OTHER)))
         if self.subcategory is not None:

@@ -109,11 +109,27 @@ def topic_sizes(df: DataFrame, min_size: int = 0) -> DataFrame:
     return sizes.filter(F.col("count") >= min_size)
 
 
+def every_month(monthly: DataFrame, value: str, by: str | None, absent: int) -> DataFrame:
+    """(month, by, value) for every calendar month from the first to the last of the table."""
+    start = lambda m: F.to_date(F.concat(m, F.lit("-01")))
+    ends = monthly.agg(F.sequence(start(F.min("month")), start(F.max("month")), F.expr("interval 1 month"))).scalar()
+    values = monthly.select(by).distinct() if by else monthly.groupBy().agg(F.count("*").alias("_n")).filter("_n > 0").drop("_n")
+    grid = values.select("*", F.explode(ends).alias("_first")).withColumn("month", F.date_format("_first", "yyyy-MM")).drop("_first")
+    known = monthly.select(F.col("month").alias("_m"), *([F.col(by).alias("_b")] if by else []), value)
+    same = F.col("month") == F.col("_m")
+    if by:
+        same &= F.col(by).eqNullSafe(F.col("_b"))
+    return grid.join(known, same, "left").select("month", *([by] if by else []), F.coalesce(value, F.lit(absent)).alias(value))
+
+
 def month_over_month(monthly: DataFrame, value: str, by: str | None = None, absent: int | None = None) -> DataFrame:
     """Change of a monthly value against the calendar month before, on the aggregated table.
 
-    ``absent`` stands for the value of a month that the table does not have.
+    With ``absent``, every calendar month from the first to the last has a row (for each value of
+    ``by``), and ``absent`` stands for what the table does not have: what vanishes shows its fall.
     """
+    if absent is not None:
+        monthly = every_month(monthly, value, by, absent)
     following = F.date_format(F.add_months(F.to_date(F.concat("month", F.lit("-01"))), 1), "yyyy-MM")
     keys = ["_month", *(["_by"] if by else [])]
     before = monthly.select(following.alias("_month"), *([F.col(by).alias("_by")] if by else []), F.col(value).alias("_before"))
