@@ -7,7 +7,7 @@ from trendloom import fixed_values as fv
 from trendloom.config import DialogConfig, DropConfig, TrainConfig
 from trendloom.operators import joins, prepare
 from trendloom.plans import score
-from trendloom.sources import tables
+from trendloom.sources import tables, versions
 from trendloom.sources import tickets as src
 from trendloom.sources.taxonomy import Taxonomy, deny_tokens, load_tokens, token_union
 
@@ -133,11 +133,41 @@ def test_scoring_cleans_with_the_token_files(spark, tmp_path):
 
 
 def test_month_sink_replaces_only_its_months(spark, tmp_path):
-    path = str(tmp_path / "t")
-    tables.write_by_month(spark.createDataFrame([("a", "2025-01"), ("b", "2025-02")], "v string, month string"), path)
-    tables.write_by_month(spark.createDataFrame([("c", "2025-02")], "v string, month string"), path)
-    stored = spark.read.schema("v string, month string").parquet(path)
-    assert sorted((r["v"], r["month"]) for r in stored.collect()) == [("a", "2025-01"), ("c", "2025-02")]
+    path, schema = str(tmp_path / "t"), "v string, month string"
+    read = lambda: sorted((r["v"], r["month"]) for r in tables.read_by_month(spark, path, schema).collect())
+    with pytest.raises(ValueError):
+        read()
+    tables.write_by_month(spark.createDataFrame([("a", "2025-01"), ("b", "2025-02")], schema), path)
+    tables.write_by_month(spark.createDataFrame([("c", "2025-02"), ("d", None)], schema), path)
+    assert read() == [("a", "2025-01"), ("c", "2025-02"), ("d", None)]
+    tables.write_by_month(spark.createDataFrame([("e", "2025-01")], schema), path)
+    assert {r["v"] for r in tables.read_by_month(spark, path, schema).collect()} == {"c", "d", "e"}
+    plan = tables.read_by_month(spark, path, schema).filter("month = '2025-01'")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan
+
+
+def test_readers_meet_whole_versions_only(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "v long, month string"
+    frame = lambda lo, hi: spark.range(lo, hi).selectExpr("id AS v", "'2025-01' AS month")
+    tables.write_prepared(frame(0, 5), path)
+    opened = tables.read_by_month(spark, path, schema)
+
+    @F.udf("long")
+    def fails(v):
+        if v > 7:
+            raise RuntimeError("the job breaks off")
+        return v
+
+    with pytest.raises(Exception, match="breaks off"):
+        tables.write_prepared(frame(0, 10).withColumn("v", fails("v")), path)
+    assert tables.read_by_month(spark, path, schema).count() == 5  # the broken version is not current
+    tables.write_prepared(frame(0, 9), path)
+    assert tables.read_by_month(spark, path, schema).count() == 9
+    assert opened.count() == 5  # an open reader still has its version
+    tables.write_prepared(frame(0, 3), path)
+    whole = [v for v in (tmp_path / "t").iterdir() if (v / "_SUCCESS").exists()]
+    assert len(whole) == 2 and tables.read_by_month(spark, path, schema).count() == 3
+    assert list(versions.current(spark, path)) == ["all"]
 
 
 def test_review_round_trip_and_missing_gold(spark, tmp_path):
@@ -215,7 +245,8 @@ def test_months_are_compared_with_the_calendar_month_before(spark):
 
     df = spark.createDataFrame([("2025-01", 5), ("2025-04", 7), ("2025-05", 9), (None, 1)], "month string, n int")
     out = {r.month: (r.previous_n, r.n_change) for r in trends.month_over_month(df, "n", absent=0).collect()}
-    assert out == {"2025-01": (0, 5), "2025-04": (0, 7), "2025-05": (7, 2), None: (0, 1)}
+    assert out == {
+        "2025-01": (0, 5), "2025-02": (5, -5), "2025-03": (0, 0), "2025-04": (0, 7), "2025-05": (7, 2), None: (0, 1)}
     assert {r.month: r.previous_n for r in trends.month_over_month(df, "n").collect()}["2025-04"] is None
 
 

@@ -110,16 +110,19 @@ def topic_sizes(df: DataFrame, min_size: int = 0) -> DataFrame:
 
 
 def every_month(monthly: DataFrame, value: str, by: str | None, absent: int) -> DataFrame:
-    """(month, by, value) for every calendar month from the first to the last of the table."""
+    """(month, by, value) for every calendar month from the first to the last; rows without a month stay as they are."""
     start = lambda m: F.to_date(F.concat(m, F.lit("-01")))
     ends = monthly.agg(F.sequence(start(F.min("month")), start(F.max("month")), F.expr("interval 1 month"))).scalar()
-    values = monthly.select(by).distinct() if by else monthly.groupBy().agg(F.count("*").alias("_n")).filter("_n > 0").drop("_n")
+    dated = monthly.filter("month IS NOT NULL")
+    values = dated.select(by).distinct() if by else dated.groupBy().agg(F.count("*").alias("_n")).filter("_n > 0").drop("_n")
     grid = values.select("*", F.explode(ends).alias("_first")).withColumn("month", F.date_format("_first", "yyyy-MM")).drop("_first")
     known = monthly.select(F.col("month").alias("_m"), *([F.col(by).alias("_b")] if by else []), value)
     same = F.col("month") == F.col("_m")
     if by:
         same &= F.col(by).eqNullSafe(F.col("_b"))
-    return grid.join(known, same, "left").select("month", *([by] if by else []), F.coalesce(value, F.lit(absent)).alias(value))
+    names = ["month", *([by] if by else [])]
+    dense = grid.join(known, same, "left").select(*names, F.coalesce(value, F.lit(absent)).alias(value))
+    return dense.unionByName(monthly.filter("month IS NULL").select(*names, value))
 
 
 def month_over_month(monthly: DataFrame, value: str, by: str | None = None, absent: int | None = None) -> DataFrame:

@@ -11,33 +11,54 @@ from trendloom import fixed_values as fv
 from trendloom.functions.labels import LABEL_TYPE
 from trendloom.operators.labelling import latest_labels
 from trendloom.operators.prepare import all_objects_as_text, review_sheet
+from trendloom.operators.ordering import union_all
 from trendloom.session import cut_lineage, delete, exists
+from trendloom.sources import versions
 from trendloom.sources.tickets import exists_or_none
 
 
-def write_by_month(df: DataFrame, path: str) -> None:
-    """Replace the months present in ``df``, one folder each.
+NO_MONTH = "no-month"
+MARK_WHOLE = "mapreduce.fileoutputcommitter.marksuccessfuljobs"
 
-    The rebalance hint gives a large month several files and a small one a single
-    file, instead of a file per task and month.
-    """
-    (
-        df.hint("rebalance", "month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("month").parquet(path)
-    )
 
+def _months(spark: SparkSession, version: str) -> list[str]:
+    """Months of a written version; null months are one part of their own."""
+    months = spark.read.option("inferSchema", False).schema("month string").parquet(version).select("month").distinct()
+    return [NO_MONTH if r["month"] is None else r["month"] for r in months.collect()]
+
+
+def _by_month(df: DataFrame, path: str) -> None:
+    """The rebalance hint gives a large month several files and a small one a single file."""
+    df.hint("rebalance", "month").write.option(MARK_WHOLE, "true").partitionBy("month").parquet(path)
 
-def read_by_month(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Read with the written schema, so months stay text; a month predicate prunes folders."""
-    return spark.read.schema(schema).parquet(path)
+
+def write_by_month(df: DataFrame, path: str) -> None:
+    """Replace the months present in ``df``; the others stay.  A reader sees each month old or new, never in between."""
+    spark = df.sparkSession
+    versions.publish(spark, path, lambda v: _by_month(df, v), lambda v: _months(spark, v))
 
 
 def write_prepared(df: DataFrame, path: str) -> None:
     """Replace the whole table: it holds the months of this run and no others."""
-    (
-        df.hint("rebalance", "month").write.mode("overwrite").option("partitionOverwriteMode", "static")
-        .partitionBy("month").parquet(path)
-    )
+    versions.publish(df.sparkSession, path, lambda v: _by_month(df, v))
+
+
+def read_by_month(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Read with the written schema, so months stay text; a month predicate prunes folders."""
+    parts = versions.current(spark, path)
+    if not parts:
+        raise ValueError(f"there is no published table at {path}")
+    by_version: dict[str, list[str]] = {}
+    for part, version in parts.items():
+        by_version.setdefault(version, []).append(part)
+    frames = []
+    for version, months in by_version.items():
+        rows = spark.read.schema(schema).parquet(version)
+        if months != [versions.ALL]:
+            inside = F.col("month").isin(*[m for m in months if m != NO_MONTH])
+            rows = rows.filter((inside | F.col("month").isNull()) if NO_MONTH in months else inside)
+        frames.append(rows)
+    return union_all(frames)
 
 
 def write_scored(df: DataFrame, path: str) -> None:
@@ -49,19 +70,36 @@ def write_scored(df: DataFrame, path: str) -> None:
 def write_review_sheet(df: DataFrame, path: str) -> None:
     sheet = review_sheet(df)
     nested = {f.name: F.to_json(f.name) for f in sheet.schema.fields if f.dataType.typeName() == "array"}
-    _csv(sheet.withColumns(nested) if nested else sheet).csv(path)
+    _publish_csv(sheet.withColumns(nested) if nested else sheet, path)
 
 
-def _csv(df: DataFrame):
-    return df.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"')
+def _publish_csv(df: DataFrame, path: str) -> None:
+    versions.publish(
+        df.sparkSession, path, lambda v: df.write.option(MARK_WHOLE, "true").options(header=True, quoteAll=True, escape='"').csv(v)
+    )
+
+
+def _publish_json(df: DataFrame, path: str) -> None:
+    versions.publish(df.sparkSession, path, lambda v: df.write.option(MARK_WHOLE, "true").json(v))
+
+
+def _folder(spark: SparkSession, path: str) -> str:
+    """Where the current version of ``path`` lies; ``path`` itself if it is a plain folder or file."""
+    return versions.current(spark, path).get(versions.ALL, path)
+
+
+def read_sheet(spark: SparkSession, path: str) -> DataFrame | None:
+    """A written sheet as text columns, or None if there is none."""
+    reader = spark.read.options(header=True, escape='"', multiLine=True)
+    return exists_or_none(lambda: reader.csv(_folder(spark, path)))
 
 
 def read_gold(spark: SparkSession, path: str, file_format: str = "csv") -> DataFrame | None:
     """Reviewer verdicts, or None if there is no review file."""
-    reader = spark.read
     if file_format == "csv":
-        reader = reader.option("header", True).option("escape", '"').option("multiLine", True)
-    sheet = exists_or_none(lambda: reader.format(file_format).load(path))
+        sheet = read_sheet(spark, path)
+    else:
+        sheet = exists_or_none(lambda: spark.read.format(file_format).load(_folder(spark, path)))
     if sheet is None:
         return None
     return sheet.select(*[F.col(c).cast("string").alias(c) for c in ("row_id", "is_complaint_gold", "category_gold")])
@@ -69,6 +107,9 @@ def read_gold(spark: SparkSession, path: str, file_format: str = "csv") -> DataF
 
 # --- errors, topics, metrics --------------------------------------------------------------------
 
+ERROR_TYPE, METRIC_TYPE = "row_id string, error string", "model string, label string, metric string, value double"
+
+
 def label_errors(df: DataFrame) -> DataFrame:
     """Rows whose labelling failed: id and message without the prefix."""
     message = F.substring("llm_error", len(fv.ERROR_PREFIX) + 2, 1 << 30)
@@ -76,17 +117,25 @@ def label_errors(df: DataFrame) -> DataFrame:
 
 
 def write_errors(df: DataFrame, path: str) -> None:
-    label_errors(df).write.mode("overwrite").json(path)
+    _publish_json(label_errors(df), path)
+
+
+def read_errors(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(ERROR_TYPE).json(_folder(spark, path))
 
 
 def write_topics(df: DataFrame, path: str) -> None:
     flat = all_objects_as_text(df)
     keep = [f.name for f in flat.schema.fields if f.dataType.typeName() not in ("array", "udt", "struct")]
-    _csv(flat.select(*keep)).csv(path)
+    _publish_csv(flat.select(*keep), path)
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:
-    metrics.write.mode("overwrite").json(path)
+    _publish_json(metrics, path)
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(METRIC_TYPE).json(_folder(spark, path))
 
 
 # --- label cache ------------------------------------------------------------------------------------
