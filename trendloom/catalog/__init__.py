@@ -6,7 +6,7 @@ import importlib
 
 MODULES = (
     "text_queries", "ticket_queries", "label_queries", "trend_queries", "feature_queries", "novelty_queries",
-    "model_queries", "sink_queries",
+    "model_queries", "sink_queries", "report_queries",
 )
 
 
