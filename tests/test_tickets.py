@@ -250,6 +250,39 @@ def test_months_are_compared_with_the_calendar_month_before(spark):
     assert {r.month: r.previous_n for r in trends.month_over_month(df, "n").collect()}["2025-04"] is None
 
 
+def _nodes(plan):
+    yield plan
+    children = plan.children()
+    for k in range(children.length()):
+        yield from _nodes(children.apply(k))
+
+
+@pytest.mark.parametrize("file_format", ["json", "parquet", "csv"])
+def test_row_numbers_move_no_row(spark, tmp_path, file_format):
+    """Several files, some in several splits and several files in one partition; ids follow files and lines."""
+    for k, n in enumerate((40, 3, 0, 900, 1, 77)):
+        rows = spark.range(n).selectExpr("'2025-01-01 00:00:00' AS created_at", f"concat('f{k}-', lpad(id, 4, '0')) AS dialog_text", "repeat('x', 50) AS pad")
+        writer = rows.coalesce(1).write.mode("append")
+        writer = writer.option("header", True) if file_format == "csv" else writer
+        writer.format(file_format).save(str(tmp_path / f"d{k}"))
+    cfg = DropConfig(str(tmp_path), f"d*/*.{file_format}", file_format=file_format)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        df = src.with_row_id(src.scan_drops(spark, cfg), cfg)
+        got = sorted((int(r["row_id"][4:]), r["dialog_text"]) for r in df.collect())
+        assert [n for n, _ in got] == list(range(1021))
+        assert [t for _, t in got] == [f"f{k}-{i:04d}" for k, n in enumerate((40, 3, 0, 900, 1, 77)) for i in range(n)]
+        join = next(n for n in _nodes(df._jdf.queryExecution().sparkPlan()) if "BroadcastHashJoin" in n.nodeName())
+        wide = [n.nodeName() for n in _nodes(join.children().apply(0))]
+        assert any("Scan" in n for n in wide) and not any("Exchange" in n or "Window" in n or "Aggregate" in n for n in wide)
+        assert not any("SortMergeJoin" in n.nodeName() for n in _nodes(df._jdf.queryExecution().sparkPlan()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
 def test_the_prepared_table_holds_one_run(spark, tmp_path):
     from trendloom.sources import tables
 

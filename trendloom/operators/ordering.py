@@ -27,19 +27,17 @@ def running_total(counts: DataFrame, order: Sequence[str], value: str, name: str
 
 
 def number_rows(df: DataFrame, file: str, block: str | None, row: str, name: str = "row_no") -> DataFrame:
-    """Dense 0-based number by file and place in it.
+    """Dense 0-based number by file and place in it, without moving a row.
 
-    ``row`` counts from 0 inside a file when ``block`` is None.  Otherwise it only
-    rises inside one block (input split), and is made dense per block.  The only
-    globally ordered table has one row per file or block.
+    Inside a file (a block of it, if files are split) ``row`` rises by one from row to row.  So a row
+    needs only its block's first value and offset: a table with one row per file or block, which is
+    as large as the listing of the files and is sent to the scan's own partitions.
     """
     keys = [file] if block is None else [file, block]
-    offsets = running_total(df.groupBy(*keys).count(), keys, "count", "_offset").drop("count")
-    local = F.col(row)
-    if block is not None:
-        local = F.row_number().over(Window.partitionBy(*keys).orderBy(row)) - 1
-    numbered = df.withColumn("_local", local).join(offsets, keys)
-    return numbered.withColumn(name, F.col("_offset") + F.col("_local")).drop("_offset", "_local")
+    parts = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(row).alias("_first"))
+    offsets = running_total(parts, keys, "_n", "_offset").drop("_n")
+    numbered = df.join(F.broadcast(offsets), keys)
+    return numbered.withColumn(name, F.col("_offset") + F.col(row) - F.col("_first")).drop("_offset", "_first")
 
 
 def number_in_order(df: DataFrame, order: Sequence[str], name: str = "row_no") -> DataFrame:
