@@ -10,6 +10,7 @@ from trendloom.catalog.text_queries import DENY, W, sql_clean
 from trendloom.config import SplitConfig, VectorizerConfig
 from trendloom.functions import text as X
 from trendloom.operators import features, splits
+from trendloom.session import cut_lineage
 from trendloom.catalog.bindings import spread
 
 CFG = VectorizerConfig()
@@ -87,6 +88,7 @@ def word_tfidf(spark, sf_dir):
     docs = clean_documents(spark, sf_dir).select(
         "doc_id", features.Vectorizer.word_terms(F.col("text_clean"), CFG).alias("terms")
     )
+    docs = cut_lineage(features.count_terms(docs, "terms"))
     block = features.TermBlock.fit(docs, "terms", CFG.min_df, CFG.max_df, CFG.max_features_word)
     vectors = block.transform(docs, "terms", "v").select("doc_id", "v")
     long = features.exploded_weights(vectors, "v", block, "doc_id")
@@ -101,6 +103,7 @@ def char_tfidf(spark, sf_dir):
     docs = clean_documents(spark, sf_dir).select(
         "doc_id", features.Vectorizer.char_terms(F.col("text_clean"), CFG).alias("terms")
     )
+    docs = cut_lineage(features.count_terms(docs, "terms"))
     block = features.TermBlock.fit(docs, "terms", CFG.min_df, CFG.max_df, CFG.max_features_char)
     vectors = block.transform(docs, "terms", "v").select("doc_id", "v")
     return per_document(features.exploded_weights(vectors, "v", block, "doc_id"))
@@ -115,6 +118,7 @@ def frozen_vocabulary_weights(spark, sf_dir):
     docs = clean_documents(spark, sf_dir).select(
         "doc_id", "lang", features.Vectorizer.word_terms(F.col("text_clean"), CFG).alias("terms")
     )
+    docs = cut_lineage(features.count_terms(docs, "terms"))
     block = features.TermBlock.fit(docs.filter("lang = 'fr'"), "terms", CFG.min_df, CFG.max_df, CFG.max_features_word)
     block = features.TermBlock.from_table(block.table(spark))
     vectors = block.transform(docs, "terms", "v").select("doc_id", "v")
@@ -130,7 +134,7 @@ def frozen_vocabulary_weights(spark, sf_dir):
 )
 def feature_block_sizes(spark, sf_dir):
     """Word part of the assembled vector: its unit length survives next to the character part."""
-    docs = clean_documents(spark, sf_dir)
+    docs = features.Vectorizer.counted(clean_documents(spark, sf_dir), "text_clean")
     vectorizer = features.Vectorizer.fit(docs, "text_clean")
     both = vectorizer.transform(docs, "text_clean").select("doc_id", F.unwrap_udt("features").alias("v"))
     words = len(vectorizer.word.terms)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import CountVectorizerModel, VectorAssembler, VectorSizeHint
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml.feature import VectorAssembler, VectorSizeHint
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,22 +20,51 @@ from trendloom.operators.ordering import largest
 from trendloom.session import cut_lineage
 
 
+COUNTED = "array<struct<term:string,n:int>>"
+
+
+def count_terms(df: DataFrame, terms: str) -> DataFrame:
+    """``df`` with the array of strings ``terms`` replaced by its distinct terms and their counts.
+
+    Written once, this serves the fit and every transform: texts are cut into terms a single time, and a
+    term goes through a shuffle once per row and not once per occurrence.
+    """
+    names = df.columns
+    schema = df.withColumn(terms, F.lit(None).cast(COUNTED)).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(terms)
+            row = np.repeat(np.arange(len(batch)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            flat = lists.flatten()
+            known = flat.is_valid()
+            coded = flat.filter(known).dictionary_encode()
+            size = max(1, len(coded.dictionary))
+            pairs, n = np.unique(row[known.to_numpy(zero_copy_only=False)] * size + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            counts = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(pairs % size)), pa.array(n.astype(np.int32))], ["term", "n"])
+            found = _lists(pairs // size, len(batch), counts)
+            yield pa.RecordBatch.from_arrays([found if c == terms else batch.column(c) for c in names], names)
+
+    return df.mapInArrow(run, schema)
+
+
+def _lists(row: np.ndarray, rows: int, values: pa.Array) -> pa.ListArray:
+    """Values in the order of their rows as one list a row."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(rows + 1)).astype(np.int32)), values)
+
+
+def _counted(df: DataFrame, terms: str) -> DataFrame:
+    return df if df.schema[terms].dataType.simpleString() == COUNTED else count_terms(df, terms)
+
+
 def term_statistics(df: DataFrame, terms: str) -> DataFrame:
-    """Corpus frequency ``n`` and document frequency ``docs`` of every term.
+    """Corpus frequency ``n`` and document frequency ``docs`` of every term, of counted or plain terms.
 
-    Each row contributes one pair per term occurrence and one per distinct term,
-    so a single shuffle on the term, pre-summed on the map side, gives both.
+    A single shuffle on the term, pre-summed on the map side, gives both.
     """
-    occurrences = F.transform(
-        F.col(terms), lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("docs"))
-    )
-    presence = F.transform(
-        F.array_distinct(terms),
-        lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("docs")),
-    )
-    pairs = df.select(F.explode(F.concat(occurrences, presence)).alias("p"))
+    pairs = _counted(df.select(terms), terms).select(F.explode(terms).alias("p"))
     return pairs.groupBy(F.col("p.term").alias("term")).agg(
-        F.sum("p.n").alias("n"), F.sum("p.docs").alias("docs")
+        F.sum("p.n").cast("bigint").alias("n"), F.count("*").alias("docs")
     )
 
 
@@ -79,18 +111,33 @@ class TermBlock:
         return cls([t for _, t, _ in rows], [w for _, _, w in rows])
 
     def transform(self, df: DataFrame, terms: str, output: str) -> DataFrame:
-        """Add the TF-IDF vector of an array of terms; unknown terms are ignored.
+        """Replace counted or plain terms by the TF-IDF vector; unknown terms are ignored.
 
-        A row is counted and weighted where it lies, so nothing is shuffled.
+        A row is weighted where it lies, so nothing is shuffled.  The vocabulary, bounded by its feature
+        limit, is shared with the tasks.
         """
-        if not self.terms:
-            none = F.array().cast("array<int>"), F.array().cast("array<double>")
-            return df.withColumn(output, _weights(np.array([0.0]))(*none))
-        counter = CountVectorizerModel.from_vocabulary(self.terms, terms, "_counts")
-        counted = counter.transform(df)
-        # Two references keep the counting in a projection of its own below the Python step.
-        weighted = _weights(np.array(self.idf))(F.unwrap_udt("_counts")["indices"], F.unwrap_udt("_counts")["values"])
-        return counted.withColumn(output, weighted).drop("_counts")
+        counted = _counted(df, terms)
+        others = [c for c in df.columns if c != terms]
+        shared = df.sparkSession.sparkContext.broadcast(self.terms)
+        kept = counted.select(*others, F.lit(None).cast("array<int>").alias("_at"), F.lit(None).cast("array<double>").alias("_n")).schema
+
+        def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = pa.array(shared.value, pa.string())
+            for batch in batches:
+                lists = batch.column(terms)
+                row = np.repeat(np.arange(len(batch)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+                pairs = lists.flatten()
+                at = pc.index_in(pairs.field("term"), value_set=known)
+                inside = at.is_valid().to_numpy(zero_copy_only=False)
+                row, at = row[inside], at.drop_null().to_numpy(zero_copy_only=False)
+                n = pairs.field("n").to_numpy(zero_copy_only=False)[inside].astype(float)
+                order = np.lexsort((at, row))
+                found = [_lists(row, len(batch), pa.array(v[order])) for v in (at, n)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), *found], [*others, "_at", "_n"])
+
+        looked_up = counted.mapInArrow(look_up, kept)
+        weights = _weights(np.array(self.idf if self.terms else [0.0]))("_at", "_n")
+        return looked_up.withColumn(output, weights).drop("_at", "_n")
 
 
 def _weights(idf: np.ndarray):
@@ -145,21 +192,30 @@ class Vectorizer:
         return X.char_ngrams(text, *cfg.char_ngram)
 
     @classmethod
-    def fit(cls, df: DataFrame, text: str, cfg: VectorizerConfig = VectorizerConfig()) -> Vectorizer:
+    def counted(cls, df: DataFrame, text: str, cfg: VectorizerConfig = VectorizerConfig()) -> DataFrame:
+        """``df`` with the counted terms of ``text`` as ``_words`` and ``_chars``, written once."""
         c = F.col(text)
-        words = df.select(cls.word_terms(c, cfg).alias("terms"))
-        chars = df.select(cls.char_terms(c, cfg).alias("terms"))
+        rows = df.withColumns({"_words": cls.word_terms(c, cfg), "_chars": cls.char_terms(c, cfg)})
+        return cut_lineage(count_terms(count_terms(rows, "_words"), "_chars"))
+
+    @classmethod
+    def fit(cls, df: DataFrame, text: str, cfg: VectorizerConfig = VectorizerConfig()) -> Vectorizer:
+        """Fit on the texts, or on what ``counted`` made of them."""
+        rows = df if "_words" in df.columns else cls.counted(df.select(text), text, cfg)
         return cls(
             cfg,
-            TermBlock.fit(words, "terms", cfg.min_df, cfg.max_df, cfg.max_features_word),
-            TermBlock.fit(chars, "terms", cfg.min_df, cfg.max_df, cfg.max_features_char),
+            TermBlock.fit(rows, "_words", cfg.min_df, cfg.max_df, cfg.max_features_word),
+            TermBlock.fit(rows, "_chars", cfg.min_df, cfg.max_df, cfg.max_features_char),
         )
 
     def transform(self, df: DataFrame, text: str, output: str = "features") -> DataFrame:
-        c = F.col(text)
-        rows = df.withColumn("_words", self.word_terms(c, self.cfg)).withColumn("_chars", self.char_terms(c, self.cfg))
-        rows = self.word.transform(rows, "_words", "_word").drop("_words")
-        rows = self.char.transform(rows, "_chars", "_char").drop("_chars")
+        """Add the vector of both blocks; ``df`` may hold what ``counted`` made of the texts."""
+        rows = df
+        if "_words" not in df.columns:
+            c = F.col(text)
+            rows = df.withColumns({"_words": self.word_terms(c, self.cfg), "_chars": self.char_terms(c, self.cfg)})
+        rows = self.word.transform(rows, "_words", "_word")
+        rows = self.char.transform(rows, "_chars", "_char")
         # Declared sizes spare the assembler a look at the first row (there may be none).
         for name, block in (("_word", self.word), ("_char", self.char)):
             size = max(1, len(block.terms))

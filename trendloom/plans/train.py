@@ -51,8 +51,9 @@ def train(
     """Fit the cascade on the training side, measure it on the validation side, save both."""
     rows = training_table(prepared, gold, taxonomy or Taxonomy.default(), cfg)
     has_sub = "complaint_subcategory_llm" in rows.columns
-    vectorizer = Vectorizer.fit(splits.training_rows(rows), "text_clean", cfg.vectorizer)
-    featured = vectorizer.transform(rows, "text_clean").drop("text_clean")
+    counted = Vectorizer.counted(rows, "text_clean", cfg.vectorizer)
+    vectorizer = Vectorizer.fit(splits.training_rows(counted), "text_clean", cfg.vectorizer)
+    featured = vectorizer.transform(counted, "text_clean").drop("text_clean")
     featured = cut_lineage(featured.withColumn("y", F.col("y_bin").cast("double")).filter(F.col("y").isNotNull()))
     fit_rows, val = splits.training_rows(featured), splits.validation_rows(featured)
     bad_fit, bad_val = fit_rows.filter("y_bin"), val.filter("y_bin")
