@@ -6,7 +6,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from trendloom.config import LabelConfig
+from trendloom.operators.labelling import LabelConfig
 from trendloom.functions import labels as L
 from trendloom.operators import labelling, ordering
 from trendloom.sources import tables

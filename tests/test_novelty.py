@@ -5,7 +5,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from trendloom.config import NoveltyConfig
+from trendloom.operators.novelty import NoveltyConfig
 from trendloom.operators import knn, novelty, projection
 
 

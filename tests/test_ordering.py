@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trendloom.config import SplitConfig
+from trendloom.operators.splits import SplitConfig
 from trendloom.operators import ordering, splits
 
 

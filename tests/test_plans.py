@@ -5,7 +5,10 @@ import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from trendloom.config import DropConfig, NoveltyConfig, TrainConfig, VectorizerConfig
+from trendloom.operators.features import VectorizerConfig
+from trendloom.operators.models import TrainConfig
+from trendloom.operators.novelty import NoveltyConfig
+from trendloom.sources.tickets import DropConfig
 from trendloom.operators import metrics, models
 from trendloom.plans import prepare as prepare_plan
 from trendloom.plans import reports, score, train

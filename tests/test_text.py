@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trendloom import fixed_values as fv
-from trendloom.config import DialogConfig, RedactionConfig
+from trendloom.functions.text import DialogConfig, RedactionConfig
 from trendloom.functions import text as X
 
 ODD = [
@@ -95,3 +95,21 @@ def test_content_key_ignores_field_and_map_order(spark):
     other = X.content_key({"m": X.sorted_map(F.col("n")), "x": F.lit("v")}, "v2")
     row = df.select(left.alias("a"), right.alias("b"), other.alias("c")).first()
     assert row["a"] == row["b"] != row["c"]
+
+
+def test_markers_as_first_word_only(spark):
+    said = ["CLIENT: x", "[client] x", "  (Client) x", "it said CLIENT: x", "CLIENTS: x", "OPERATOR the CLIENT", "Робот: x", "РАБОТАЕТ", ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, t string")
+    role = lambda cfg: [r[0] for r in df.select("i", X.line_role(F.col("t"), cfg).alias("r")).orderBy("i").select("r").collect()]
+    assert role(DialogConfig(match="prefix")) == ["client", "client", "client", None, None, "operator", None, None, None]
+    assert role(DialogConfig())[3:6] == ["client", "client", "client"]
+    with pytest.raises(ValueError):
+        role(DialogConfig(match="suffix"))
+
+
+def test_specific_patterns_first(spark):
+    rows = [("4111 1111 1111 1111",), ("40817810099910004312",), ("+7 (912) 345-67-89",), ("a@b.io 4111111111111111",), (None,)]
+    df = spark.createDataFrame(rows, "t string")
+    got = [r[0] for r in df.select(X.redact(F.col("t"), RedactionConfig(order="specific_first"))).collect()]
+    assert got == ["<CARD>", "<ACCOUNT>", "<PHONE>", "<EMAIL> <CARD>", ""]
+    assert [r[0] for r in df.select(X.redact(F.col("t"))).collect()][:2] == ["<PHONE>", "<PHONE>"]

@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from trendloom import fixed_values as fv
-from trendloom.config import DialogConfig, DropConfig, TrainConfig
+from trendloom.functions.text import DialogConfig
+from trendloom.operators.models import TrainConfig
+from trendloom.sources.tickets import DropConfig
 from trendloom.operators import joins, prepare
 from trendloom.plans import score
 from trendloom.sources import tables, versions

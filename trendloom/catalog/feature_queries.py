@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from trendloom.catalog.bindings import SPACE, table
 from trendloom.catalog.registry import query
 from trendloom.catalog.text_queries import DENY, W, sql_clean
-from trendloom.config import SplitConfig, VectorizerConfig
+from trendloom.operators.features import VectorizerConfig
+from trendloom.operators.splits import SplitConfig
 from trendloom.functions import text as X
 from trendloom.operators import features, splits
 from trendloom.session import cut_lineage

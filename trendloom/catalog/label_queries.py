@@ -10,7 +10,8 @@ from trendloom import fixed_values as fv
 from trendloom.catalog.bindings import TICKETS, sql_list, table, tickets
 from trendloom.catalog.registry import query
 from trendloom.catalog.text_queries import document_key, sql_key
-from trendloom.config import LabelConfig, RuleSet
+from trendloom.functions.labels import RuleSet
+from trendloom.operators.labelling import LabelConfig
 from trendloom.functions import labels as L
 from trendloom.functions import text as X
 from trendloom.operators import labelling

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trendloom.catalog.bindings import WEAK, sql_list, table, tickets, weak_labels
 from trendloom.catalog.registry import query
-from trendloom.config import TrainConfig
+from trendloom.operators.models import TrainConfig
 from trendloom.operators import models
 from trendloom.plans import reports
 from trendloom.session import cut_lineage

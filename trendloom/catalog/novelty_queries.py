@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trendloom.catalog.bindings import table
 from trendloom.catalog.registry import query
-from trendloom.config import NoveltyConfig
+from trendloom.operators.novelty import NoveltyConfig
 from trendloom.operators import knn, novelty, ordering, projection
 from trendloom.session import cut_lineage
 

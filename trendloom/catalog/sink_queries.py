@@ -13,7 +13,7 @@ from trendloom.catalog.label_queries import RULES, _any
 from trendloom.catalog.model_queries import event_cascade, event_features
 from trendloom.catalog.registry import query
 from trendloom.catalog.text_queries import document_key, sql_key
-from trendloom.config import DropConfig
+from trendloom.sources.tickets import DropConfig
 from trendloom.functions import labels as L
 from trendloom.operators import models, prepare, trends
 from trendloom.session import checkpoint_dir
@@ -137,7 +137,7 @@ SELECT CAST(event_id AS VARCHAR) AS row_id, {BAD_EVENT} AS is_complaint_pred,
 )
 def loaded_cascade(spark, sf_dir):
     """Models saved, loaded and applied."""
-    from trendloom.config import VectorizerConfig
+    from trendloom.operators.features import VectorizerConfig
     from trendloom.operators.features import TermBlock, Vectorizer
 
     rows = event_features(spark, sf_dir)

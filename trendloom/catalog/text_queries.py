@@ -9,7 +9,7 @@ from trendloom.catalog.bindings import (
     DIALOGS, LINE_END, SPACE, dialogs, sql_list, sql_non_empty, sql_strip, table,
 )
 from trendloom.catalog.registry import query
-from trendloom.config import DialogConfig
+from trendloom.functions.text import DialogConfig
 from trendloom.functions import text as X
 from trendloom.catalog.bindings import spread
 
@@ -18,7 +18,6 @@ DENY = fv.DENY_TOKENS + fv.EXTRA_STOPWORDS
 W = r"\p{L}\p{N}_"
 
 
-
 def texts(spark, sf_dir, name="documents", key="doc_id"):
     """A text table with at least one partition per core."""
     return spread(table(spark, sf_dir, name), key)
@@ -78,6 +77,28 @@ def line_roles(spark, sf_dir):
     return lines.select("conv_id", "turn", "line_no", X.line_role(F.col("line"), DIALOG).alias("role"))
 
 
+def _sql_first_word_role(line: str) -> str:
+    def first(markers):
+        return rf"regexp_matches(upper({line}), '^[\[(\s]*({'|'.join(markers)})([^\p{{L}}\p{{N}}_]|$)')"
+
+    return (
+        f"CASE WHEN {first(fv.CLIENT_MARKERS)} THEN 'client' WHEN {first(fv.OPERATOR_MARKERS)} THEN 'operator'"
+        f" WHEN {first(fv.CHATBOT_MARKERS)} THEN 'chatbot' END"
+    )
+
+
+@query(
+    "line_roles_by_first_word",
+    "WITH " + DIALOGS + ", " + sql_lines(key="conv_id, turn", col="dialog_text", src="dialogs")
+    + f" SELECT conv_id, turn, CAST(line_no AS INTEGER) AS line_no, {_sql_first_word_role('line')} AS role FROM numbered",
+)
+def line_roles_by_first_word(spark, sf_dir):
+    lines = dialogs(spark, sf_dir).select(
+        "conv_id", "turn", F.posexplode(X.split_lines(F.col("dialog_text"))).alias("line_no", "line")
+    )
+    return lines.select("conv_id", "turn", "line_no", X.line_role(F.col("line"), X.DialogConfig(match="prefix")).alias("role"))
+
+
 @query(
     "strip_markers",
     "WITH " + DIALOGS + ", " + sql_lines(key="conv_id, turn", col="dialog_text", src="dialogs")
@@ -170,12 +191,13 @@ def _sub(expr: str, pattern: str, token: str) -> str:
     return f"regexp_replace({expr}, '{pattern}', '{token}', 'g')"
 
 
-def sql_redact(expr: str) -> str:
-    for pattern, token in (
-        (SQL_EMAIL, fv.EMAIL_TOKEN), (SQL_PHONE, fv.PHONE_TOKEN), (SQL_URL, fv.URL_TOKEN),
-        (SQL_CARD, fv.CARD_TOKEN), (SQL_ACCOUNT, fv.ACCOUNT_TOKEN),
-    ):
-        expr = _sub(expr, pattern, token)
+def sql_redact(expr: str, order: str = "email phone url card account") -> str:
+    steps = {
+        "email": (SQL_EMAIL, fv.EMAIL_TOKEN), "phone": (SQL_PHONE, fv.PHONE_TOKEN), "url": (SQL_URL, fv.URL_TOKEN),
+        "card": (SQL_CARD, fv.CARD_TOKEN), "account": (SQL_ACCOUNT, fv.ACCOUNT_TOKEN),
+    }
+    for name in order.split():
+        expr = _sub(expr, *steps[name])
     return expr
 
 
@@ -202,6 +224,14 @@ def redact_personal_data(spark, sf_dir):
     return texts(spark, sf_dir).select("doc_id", X.redact(F.col("text")).alias("redacted"))
 
 
+@query(
+    "redact_specific_first",
+    f"SELECT doc_id, {sql_redact('text', 'email account card phone url')} AS redacted FROM documents",
+)
+def redact_specific_first(spark, sf_dir):
+    return texts(spark, sf_dir).select("doc_id", X.redact(F.col("text"), X.RedactionConfig(order="specific_first")).alias("redacted"))
+
+
 @query(
     "redact_context_values",
     "WITH " + DIALOGS + f"""

@@ -10,7 +10,9 @@ from trendloom.catalog.bindings import (
 )
 from trendloom.catalog.registry import query
 from trendloom.catalog.text_queries import sql_redact
-from trendloom.config import DropConfig, LabelConfig, RedactionConfig
+from trendloom.functions.text import RedactionConfig
+from trendloom.operators.labelling import LabelConfig
+from trendloom.sources.tickets import DropConfig
 from trendloom.functions import text as X
 from trendloom.operators import ordering, prepare
 from trendloom.sources import tickets as src
@@ -335,7 +337,7 @@ SELECT row_id, """
     + " AS signals, product, channel, status, NULL::VARCHAR AS subject FROM p",
 )
 def labeler_payload(spark, sf_dir):
-    from trendloom.config import DialogConfig
+    from trendloom.functions.text import DialogConfig
 
     signals = ["dialog_text", "subject", "channel", "product", "status"]
     # A configured column that is absent from the data is dropped when columns are resolved.

@@ -6,12 +6,46 @@ Everything here is a ``Column -> Column`` expression that stays in the JVM.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from trendloom import fixed_values as fv
-from trendloom.config import DialogConfig, RedactionConfig
+
+
+@dataclass(frozen=True)
+class DialogConfig:
+    """Speaker markers, and which of the client's messages counts as the first.
+
+    ``match`` says where a marker must stand: anywhere in a line, or as its first word (``prefix``).
+    """
+
+    client_markers: tuple[str, ...] = fv.CLIENT_MARKERS
+    operator_markers: tuple[str, ...] = fv.OPERATOR_MARKERS
+    chatbot_markers: tuple[str, ...] = fv.CHATBOT_MARKERS
+    match: str = "substring"
+    min_client_len: int = fv.SHORT_MESSAGE_CHARS
+    take_second_client_if_too_short: bool = True
+    fallback_mode: str = "first_paragraph"
+    fallback_first_n_chars: int = fv.FALLBACK_CHARS
+
+
+@dataclass(frozen=True)
+class RedactionConfig:
+    """What stands for personal data, and in which order the patterns run.
+
+    ``order`` is ``usual`` (a phone is any long run of digits) or ``specific_first`` (account and card before phone).
+    """
+
+    enabled: bool = True
+    order: str = "usual"
+    email: str = fv.EMAIL_TOKEN
+    phone: str = fv.PHONE_TOKEN
+    url: str = fv.URL_TOKEN
+    card: str = fv.CARD_TOKEN
+    account: str = fv.ACCOUNT_TOKEN
+
 
 _SPACE = r"[\s\x1c-\x1f]"
 # Every character that Unicode (and Python) counts as white space.
@@ -53,12 +87,19 @@ def split_lines(c: Column) -> Column:
 
 
 def line_role(line: Column, cfg: DialogConfig) -> Column:
-    """Speaker of a line by marker, client before operator before chatbot."""
+    """Speaker of a line by marker, client before operator before chatbot.
+
+    With ``match="prefix"`` a marker counts only as the first word of a line, behind brackets at most.
+    """
+    if cfg.match not in ("substring", "prefix"):
+        raise ValueError(f"match is {cfg.match!r}, not substring or prefix")
 
     def has_any(upper: Column, markers: Iterable[str]) -> Column:
         hit = F.lit(False)
         for marker in markers:
-            hit = hit | F.contains(upper, F.lit(marker.upper()))
+            m = marker.upper()
+            first = rf"^[\[(\s]*\Q{m}\E(?![{fv.W}])"
+            hit = hit | (F.rlike(upper, F.lit(first)) if cfg.match == "prefix" else F.contains(upper, F.lit(m)))
         return hit
 
     return bind(
@@ -136,14 +177,20 @@ def redact_account(c: Column, token: str = fv.ACCOUNT_TOKEN) -> Column:
 def redact(c: Column, cfg: RedactionConfig = RedactionConfig()) -> Column:
     """E-mail, phone, URL, card, account, in this order.
 
-    A phone number is any run of ten or more digits, so it takes longer runs
-    before the card and account steps see them; the order is part of the result.
+    A phone number is any run of ten or more digits, so it takes longer runs before the card and account
+    steps see them; the order is part of the result.  With ``order="specific_first"`` account and card
+    come before phone, and longer runs keep their kind.
     """
+    if cfg.order not in ("usual", "specific_first"):
+        raise ValueError(f"order is {cfg.order!r}, not usual or specific_first")
+    out = text_or_empty(c)
     if not cfg.enabled:
-        return text_or_empty(c)
-    out = redact_phone(redact_email(text_or_empty(c), cfg.email), cfg.phone)
-    out = redact_card(redact_url(out, cfg.url), cfg.card)
-    return redact_account(out, cfg.account)
+        return out
+    phone, url, card, account = (redact_phone, cfg.phone), (redact_url, cfg.url), (redact_card, cfg.card), (redact_account, cfg.account)
+    steps = (phone, url, card, account) if cfg.order == "usual" else (account, card, phone, url)
+    for step, token in ((redact_email, cfg.email), *steps):
+        out = step(out, token)
+    return out
 
 
 def redact_values(m: Column, cfg: RedactionConfig = RedactionConfig()) -> Column:

@@ -14,12 +14,24 @@ from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendloom.config import VectorizerConfig
+from trendloom import fixed_values as fv
 from trendloom.functions import text as X
 from trendloom.operators.ordering import largest
 from trendloom.session import cut_lineage
 
 
+@dataclass(frozen=True)
+class VectorizerConfig:
+    """Sizes of n-grams and limits of the vocabularies; a fraction as limit is a share of the rows."""
+
+    word_ngram: tuple[int, int] = fv.WORD_NGRAM
+    char_ngram: tuple[int, int] = fv.CHAR_NGRAM
+    min_df: int | float = fv.MIN_DF
+    max_df: int | float = fv.MAX_DF
+    max_features_word: int = fv.WORD_FEATURES
+    max_features_char: int = fv.CHAR_FEATURES
+
+
 COUNTED = "array<struct<term:string,n:int>>"
 
 

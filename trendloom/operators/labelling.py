@@ -10,18 +10,32 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.config import LabelConfig
+from trendloom import fixed_values as fv
 from trendloom.functions import labels as L
 from trendloom.functions import text as X
 from trendloom.operators.ordering import number_in_order, union_all
 from trendloom.session import checkpoint_dir, cut_lineage, exists
 
+
+@dataclass(frozen=True)
+class LabelConfig:
+    """Size of a request, of a batch and of a wave of calls; ``version`` is part of the cache key."""
+
+    version: str = "v1"
+    max_text_chars: int = fv.MAX_TEXT_CHARS
+    token_budget: int = fv.TOKEN_BUDGET
+    max_attempts: int = fv.MAX_ATTEMPTS
+    run_rows: int = 10_000  # rows whose batches one task forms
+    parallelism: int | None = None  # calls in flight; None: one for each core
+    calls_per_task: int = 16
+
 Labeler = Callable[[list[dict]], str]
 
 ASKED_TYPE = (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.ml.classification import (
     LinearSVC, LinearSVCModel, LogisticRegression, LogisticRegressionModel, OneVsRest, OneVsRestModel,
@@ -15,10 +15,31 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trendloom import fixed_values as fv
-from trendloom.config import TrainConfig
+from trendloom.operators.features import VectorizerConfig
 from trendloom.operators.metrics import with_class_weight
+from trendloom.operators.splits import SplitConfig
 from trendloom.session import cut_lineage
 
+
+@dataclass(frozen=True)
+class TrainConfig:
+    """Text, tokens, split, features and kinds of the cascade's models.
+
+    Denied tokens are those of the files ``token_files`` in ``token_dir``, or ``deny_tokens`` without a folder.
+    """
+
+    text_field: str = "client_first_message"
+    token_dir: str | None = None
+    token_files: tuple[str, ...] = ("deny_tokens.txt", "extra_stopwords.txt")
+    deny_tokens: tuple[str, ...] = fv.DENY_TOKENS + fv.EXTRA_STOPWORDS
+    split: SplitConfig = field(default_factory=SplitConfig)
+    vectorizer: VectorizerConfig = field(default_factory=VectorizerConfig)
+    complaint_classifier: str = "logreg"
+    complaint_iterations: int = fv.COMPLAINT_ITERATIONS
+    complaint_threshold: float = fv.COMPLAINT_THRESHOLD
+    category_classifier: str = "linearsvc"
+    category_iterations: int = fv.CATEGORY_ITERATIONS
+
 FEATURES = "features"
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans, KMeans
@@ -9,11 +11,24 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.config import NoveltyConfig
+from trendloom import fixed_values as fv
 from trendloom.operators.knn import local_outlier_scores
 from trendloom.operators.ordering import percentile
 from trendloom.session import cut_lineage
 
+
+@dataclass(frozen=True)
+class NoveltyConfig:
+    """Size of the projection, kind of score (``kmeans_distance`` or ``lof``), threshold and topics."""
+
+    svd_components: int = fv.COMPONENTS
+    method: str = "kmeans_distance"
+    kmeans_k: int = fv.CENTROIDS
+    neighbors: int = fv.NEIGHBOURS
+    threshold_percentile: float = fv.THRESHOLD_PERCENTILE
+    min_cluster_size: int = fv.MIN_TOPIC_ROWS
+    seed: int = fv.SEED
+
 MAX_CENTROID_CELLS = 10_000_000
 
 

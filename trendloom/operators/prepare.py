@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trendloom import fixed_values as fv
-from trendloom.config import DialogConfig, DropConfig, LabelConfig, RedactionConfig
+from trendloom.functions.text import DialogConfig, RedactionConfig
+from trendloom.operators.labelling import LabelConfig
+from trendloom.sources.tickets import DropConfig
 from trendloom.functions import text as X
 
 

@@ -3,14 +3,26 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.config import SplitConfig
+from trendloom import fixed_values as fv
 from trendloom.operators.ordering import first_rows
 
 
+@dataclass(frozen=True)
+class SplitConfig:
+    """By time (an inclusive window, or the latest share) or by a seeded hash of the id."""
+
+    mode: str = "time"
+    test_share: float = fv.TEST_SHARE
+    val_from: str | None = None
+    val_to: str | None = None
+    seed: int = fv.SEED
+
+
 def _hash_levels(row_id: Column) -> list[Column]:
     # the digits of the hash as numbers of the same order, then the id for rows whose hashes tie
     digest = F.md5(row_id)

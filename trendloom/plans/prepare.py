@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendloom.config import DialogConfig, DropConfig, LabelConfig, RedactionConfig, RuleSet
+from trendloom.functions.labels import RuleSet
+from trendloom.functions.text import DialogConfig, RedactionConfig
+from trendloom.operators.labelling import LabelConfig
+from trendloom.sources.tickets import DropConfig
 from trendloom.functions import labels as L
 from trendloom.functions import text as X
 from trendloom.operators import labelling, ordering, prepare

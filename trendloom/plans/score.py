@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendloom.config import DialogConfig, DropConfig, NoveltyConfig, TrainConfig
+from trendloom.functions.text import DialogConfig
+from trendloom.operators.models import TrainConfig
+from trendloom.operators.novelty import NoveltyConfig
+from trendloom.sources.tickets import DropConfig
 from trendloom.functions import text as X
 from trendloom.operators import joins, novelty, prepare, projection
 from trendloom.operators.models import Cascade

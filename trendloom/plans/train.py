@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendloom.config import TrainConfig
+from trendloom.operators.models import TrainConfig
 from trendloom.functions import text as X
 from trendloom.operators import joins, metrics, models, splits, trends
 from trendloom.operators.features import Vectorizer

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendloom import fixed_values as fv
-from trendloom.config import TrainConfig
+from trendloom.operators.models import TrainConfig
 from trendloom.functions.text import strip
 from trendloom.sources.tickets import exists_or_none
 

@@ -3,15 +3,36 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendloom.config import DropConfig
+from trendloom import fixed_values as fv
 from trendloom.operators.ordering import number_rows, union_all
 
+
+@dataclass(frozen=True)
+class DropConfig:
+    """Where ticket drops lie and how their columns are read.
+
+    Drops are the files that ``file_glob`` matches, or exactly ``file_names`` in that order.  Event times
+    are parsed by ``datetime_format`` (strptime letters), or as written without one.
+    """
+
+    input_dir: str
+    file_glob: str = "*"
+    file_names: tuple[str, ...] | None = None
+    file_format: str = "parquet"
+    id_column: str | None = None
+    datetime_column: str = fv.TIME_COLUMN
+    datetime_format: str | None = None
+    dialog_columns: tuple[str, ...] | None = None
+    dialog_column: str | None = fv.DIALOG_COLUMNS[0]
+    signal_columns: tuple[str, ...] = fv.SIGNAL_COLUMNS
+
 PLACE = ("_file", "_block", "_row")
 
 # --- fixed values: strptime directives and their Spark datetime letters --------------
