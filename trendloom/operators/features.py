@@ -109,13 +109,13 @@ class TermBlock:
         rows = df.count()
         table = vocabulary(df, terms, min_df, max_df, max_features, rows)
         idf = F.log((1 + F.lit(rows)) / (1 + F.col("docs"))) + 1
-        found = sorted((r["term"], r["idf"]) for r in table.select("term", idf.alias("idf")).collect())
-        return cls([t for t, _ in found], [w for _, w in found])
+        found = table.select("term", idf.alias("idf")).toArrow().sort_by("term")
+        return cls(found["term"].to_pylist(), found["idf"].to_pylist())
 
     def table(self, spark: SparkSession) -> DataFrame:
         """The vocabulary as (term, idx, idf)."""
-        rows = pd.DataFrame({"term": self.terms, "idx": range(len(self.terms)), "idf": self.idf})
-        return spark.createDataFrame(rows, "term string, idx int, idf double")
+        columns = pa.array(self.terms, pa.string()), pa.array(range(len(self.terms)), pa.int32()), pa.array(self.idf, pa.float64())
+        return spark.createDataFrame(pa.table(columns, ["term", "idx", "idf"]), "term string, idx int, idf double")
 
     @classmethod
     def from_table(cls, table: DataFrame) -> TermBlock:
