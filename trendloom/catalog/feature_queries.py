@@ -76,7 +76,7 @@ def per_document(long):
 )
 def word_vocabulary(spark, sf_dir):
     docs = clean_documents(spark, sf_dir)
-    terms = docs.select(features.Vectorizer.word_terms(F.col("text_clean"), CFG).alias("terms"))
+    terms = features.Vectorizer.with_words(docs.select("text_clean"), "text_clean", "terms", CFG).select("terms")
     return features.vocabulary(terms, "terms", CFG.min_df, CFG.max_df, 3000, docs.count())
 
 
@@ -86,13 +86,10 @@ def word_vocabulary(spark, sf_dir):
     + " SELECT doc_id, term, round(weight, 6) AS weight FROM weights",
 )
 def word_tfidf(spark, sf_dir):
-    docs = clean_documents(spark, sf_dir).select(
-        "doc_id", features.Vectorizer.word_terms(F.col("text_clean"), CFG).alias("terms")
-    )
-    docs = cut_lineage(features.count_terms(docs, "terms"))
+    docs = clean_documents(spark, sf_dir).drop("lang")
+    docs = cut_lineage(features.Vectorizer.with_words(docs, "text_clean", "terms", CFG).drop("text_clean"))
     block = features.TermBlock.fit(docs, "terms", CFG.min_df, CFG.max_df, CFG.max_features_word)
-    vectors = block.transform(docs, "terms", "v").select("doc_id", "v")
-    long = features.exploded_weights(vectors, "v", block, "doc_id")
+    long = features.exploded_weights(docs, "terms", block, "doc_id")
     return long.select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
@@ -101,13 +98,10 @@ def word_tfidf(spark, sf_dir):
     "WITH " + CLEAN + "," + CHAR_GRAMS + "," + _vocabulary(limit=120_000) + PER_DOC,
 )
 def char_tfidf(spark, sf_dir):
-    docs = clean_documents(spark, sf_dir).select(
-        "doc_id", features.Vectorizer.char_terms(F.col("text_clean"), CFG).alias("terms")
-    )
-    docs = cut_lineage(features.count_terms(docs, "terms"))
+    docs = clean_documents(spark, sf_dir).drop("lang")
+    docs = cut_lineage(features.Vectorizer.with_chars(docs, "text_clean", "terms", CFG).drop("text_clean"))
     block = features.TermBlock.fit(docs, "terms", CFG.min_df, CFG.max_df, CFG.max_features_char)
-    vectors = block.transform(docs, "terms", "v").select("doc_id", "v")
-    return per_document(features.exploded_weights(vectors, "v", block, "doc_id"))
+    return per_document(features.exploded_weights(docs, "terms", block, "doc_id"))
 
 
 @query(
@@ -116,14 +110,11 @@ def char_tfidf(spark, sf_dir):
 )
 def frozen_vocabulary_weights(spark, sf_dir):
     """Vocabulary of the French documents applied to all of them."""
-    docs = clean_documents(spark, sf_dir).select(
-        "doc_id", "lang", features.Vectorizer.word_terms(F.col("text_clean"), CFG).alias("terms")
-    )
-    docs = cut_lineage(features.count_terms(docs, "terms"))
+    docs = clean_documents(spark, sf_dir)
+    docs = cut_lineage(features.Vectorizer.with_words(docs, "text_clean", "terms", CFG).drop("text_clean"))
     block = features.TermBlock.fit(docs.filter("lang = 'fr'"), "terms", CFG.min_df, CFG.max_df, CFG.max_features_word)
     block = features.TermBlock.from_table(block.table(spark))
-    vectors = block.transform(docs, "terms", "v").select("doc_id", "v")
-    return per_document(features.exploded_weights(vectors, "v", block, "doc_id"))
+    return per_document(features.exploded_weights(docs, "terms", block, "doc_id"))
 
 
 @query(
@@ -139,14 +130,11 @@ def feature_block_sizes(spark, sf_dir):
     vectorizer = features.Vectorizer.fit(docs, "text_clean")
     both = vectorizer.transform(docs, "text_clean").select("doc_id", F.unwrap_udt("features").alias("v"))
     words = len(vectorizer.word.terms)
-    # The assembler may emit a dense vector; zeros are not terms.
-    entries = F.when(F.col("v.type") == 0, F.arrays_zip(F.col("v.indices").alias("i"), F.col("v.values").alias("w"))).otherwise(
-        F.transform("v.values", lambda w, i: F.struct(i.cast("int").alias("i"), w.alias("w")))
-    )
-    mine = F.filter(entries, lambda e: (e["i"] < words) & (e["w"] != 0))
-    return both.select("doc_id", mine.alias("e")).select(
-        "doc_id", F.size("e").cast("bigint").alias("word_terms"),
-        F.round(F.aggregate("e", F.lit(0.0), lambda a, e: a + e["w"] * e["w"]), 6).alias("word_norm"),
+    # Indices ascend, so the word part is the front of the vector.
+    front = F.size(F.filter("v.indices", lambda i: i < words))
+    return both.select("doc_id", F.slice("v.values", F.lit(1), front).alias("w")).select(
+        "doc_id", F.size("w").cast("bigint").alias("word_terms"),
+        F.round(F.aggregate("w", F.lit(0.0), lambda a, w: a + w * w), 6).alias("word_norm"),
     )
 
 

@@ -282,12 +282,10 @@ grams AS (
 SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM grams GROUP BY term""",
 )
 def word_ngram_counts(spark, sf_dir):
-    from trendloom.operators.features import term_statistics
+    from trendloom.operators.features import count_word_ngrams, term_statistics
 
-    docs = texts(spark, sf_dir).select(
-        X.word_ngrams(X.feature_words(F.col("text")), 1, 2).alias("terms")
-    )
-    return term_statistics(docs, "terms")
+    docs = texts(spark, sf_dir).select(X.feature_words(F.col("text")).alias("terms"))
+    return term_statistics(count_word_ngrams(docs, "terms", 1, 2), "terms")
 
 
 @query(
@@ -307,10 +305,10 @@ WITH words AS (
 SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM grams GROUP BY term""",
 )
 def char_ngram_counts(spark, sf_dir):
-    from trendloom.operators.features import term_statistics
+    from trendloom.operators.features import count_char_ngrams, term_statistics
 
-    docs = texts(spark, sf_dir).select(X.char_ngrams(F.col("text"), 3, 5).alias("terms"))
-    return term_statistics(docs, "terms")
+    docs = texts(spark, sf_dir).select(X.spaced_words(F.col("text")).alias("terms"))
+    return term_statistics(count_char_ngrams(docs, "terms", 3, 5), "terms")
 
 
 # --- keys, sizes, JSON -----------------------------------------------------------------------

@@ -234,13 +234,17 @@ def word_ngrams(words: Column, lo: int, hi: int) -> Column:
     return bind(words, lambda w: F.concat(*[runs(w, n) for n in range(lo, hi + 1)]))
 
 
+def spaced_words(c: Column) -> Column:
+    """Lower-case pieces between white space."""
+    return F.filter(F.split(F.lower(text_or_empty(c)), rf"(?U){_SPACE}+"), lambda w: w != "")
+
+
 def char_ngrams(c: Column, lo: int, hi: int) -> Column:
     """Character n-grams inside space-padded words.
 
     A padded word shorter than the smallest size yields itself once.
     """
-    words = F.filter(F.split(F.lower(text_or_empty(c)), rf"(?U){_SPACE}+"), lambda w: w != "")
-    padded = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+    padded = F.transform(spaced_words(c), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
 
     def of_size(ws: Column, n: int) -> Column:
         long_enough = ws if n == lo else F.filter(ws, lambda w: F.length(w) >= n)

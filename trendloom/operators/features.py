@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.feature import VectorAssembler, VectorSizeHint
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from trendloom import fixed_values as fv
 from trendloom.functions import text as X
@@ -33,6 +32,134 @@ class VectorizerConfig:
 
 
 COUNTED = "array<struct<term:string,n:int>>"
+SLICE_VALUES = 1 << 17  # words or terms that a task works on at once
+
+
+def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with at most ``SLICE_VALUES`` values in the lists of ``column``; a longer list is alone."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    begin = 0
+    while begin < len(batch):
+        before = int(ends[begin - 1]) if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + SLICE_VALUES, "right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+    """Row and value of every entry of the lists."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(lists)), sizes), lists.flatten()
+
+
+def _lists(row: np.ndarray, rows: int, values: pa.Array) -> pa.ListArray:
+    """Values in the order of their rows as one list a row."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(rows + 1)).astype(np.int32)), values)
+
+
+# How words become terms: (row, word number), words -> (row, term number, occurrences or None for one each), terms.
+Grams = Callable[[np.ndarray, np.ndarray, pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray | None, pa.Array]]
+
+
+def _as_they_are(row: np.ndarray, word: np.ndarray, words: pa.Array):
+    return row, word, None, words
+
+
+def _runs(lo: int, hi: int) -> Grams:
+    """All runs of ``lo..hi`` neighbouring words; a run is named once for all its places."""
+
+    def grams(row: np.ndarray, word: np.ndarray, words: pa.Array):
+        rows, codes, names = [], [], []
+        run, known = word, words
+        for n in range(1, hi + 1):
+            if n > 1:
+                here = np.flatnonzero(row[n - 1:] == row[:max(0, len(row) - n + 1)])
+                pairs, at = np.unique(run[here] * max(1, len(words)) + word[here + n - 1], return_inverse=True)
+                first, last = pairs // max(1, len(words)), pairs % max(1, len(words))
+                known = pc.binary_join_element_wise(known.take(pa.array(first)), words.take(pa.array(last)), " ")
+                run = np.zeros(len(row), np.int64)
+                run[here] = at
+            else:
+                here = np.arange(len(row))
+            if n >= lo:
+                rows.append(row[here])
+                codes.append(run[here] + sum(len(x) for x in names))
+                names.append(known)
+        return np.concatenate(rows), np.concatenate(codes), None, pa.concat_arrays(names)
+
+    return grams
+
+
+def _substrings(words: pa.Array, lo: int, hi: int) -> tuple[np.ndarray, pa.Array]:
+    """(word number, n-gram) of all n-grams of space-padded words; a word shorter than ``lo`` is one itself."""
+    padded = pc.binary_join_element_wise("", words, "", " ")
+    data = np.frombuffer(b"".join(x.as_buffer() for x in pc.cast(padded, pa.binary())), np.uint8)
+    begins = np.flatnonzero((data & 0xC0) != 0x80)  # the first byte of every character
+    ends_of = np.append(begins, len(data))
+    size = pc.utf8_length(padded).to_numpy(zero_copy_only=False).astype(np.int64)
+    first = np.cumsum(size) - size
+    owners, starts, stops = [], [], []
+    for n in range(lo, hi + 1):
+        count = np.maximum(size - (n - 1), 1 if n == lo else 0)
+        owner = np.repeat(np.arange(len(size)), count)
+        at = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + first[owner]
+        owners.append(owner)
+        starts.append(ends_of[at])
+        stops.append(ends_of[np.minimum(at + n, (first + size)[owner])])
+    owner, start, stop = (np.concatenate(x) for x in (owners, starts, stops))
+    offsets = np.concatenate(([0], np.cumsum(stop - start)))
+    bytes_at = np.arange(offsets[-1]) + np.repeat(start - offsets[:-1], stop - start)
+    found = pa.LargeStringArray.from_buffers(len(owner), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data[bytes_at]))
+    return owner, found
+
+
+def _inside_words(lo: int, hi: int) -> Grams:
+    """Character n-grams of space-padded words: each word of a slice is cut up once, whatever its occurrences."""
+
+    def grams(row: np.ndarray, word: np.ndarray, words: pa.Array):
+        owner, found = _substrings(words, lo, hi)
+        coded = found.dictionary_encode()
+        by_word = np.argsort(owner, kind="stable")
+        code = coded.indices.to_numpy(zero_copy_only=False)[by_word].astype(np.int64)
+        count = np.bincount(owner, minlength=len(words))
+        first = np.cumsum(count) - count
+        size = max(1, len(words))
+        pairs, n = np.unique(row * size + word, return_counts=True)
+        mine = pairs % size
+        each = count[mine]
+        at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(first[mine], each)
+        return np.repeat(pairs // size, each), code[at], np.repeat(n, each), coded.dictionary.cast(pa.string())
+
+    return grams
+
+
+def _counts(df: DataFrame, column: str, grams: Grams) -> DataFrame:
+    """``df`` with the lists of strings in ``column`` replaced by their distinct terms and counts."""
+    names = df.columns
+    schema = df.withColumn(column, F.lit(None).cast(COUNTED)).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch, column):
+                row, flat = _flat(part.column(column))
+                known = flat.is_valid()
+                coded = flat.filter(known).dictionary_encode()
+                words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                row, code, n, terms = grams(row[known.to_numpy(zero_copy_only=False)], words, coded.dictionary)
+                size = max(1, len(terms))
+                if n is None:
+                    pairs, n = np.unique(row * size + code, return_counts=True)
+                else:
+                    key = row * size + code
+                    order = np.argsort(key)
+                    key = key[order]
+                    edges = np.flatnonzero(np.diff(key, prepend=-1))
+                    pairs, n = key[edges], np.add.reduceat(n[order], edges) if len(edges) else n
+                counted = pa.StructArray.from_arrays([terms.take(pa.array(pairs % size)), pa.array(n.astype(np.int32))], ["term", "n"])
+                found = _lists(pairs // size, len(part), counted)
+                yield pa.RecordBatch.from_arrays([found if c == column else part.column(c) for c in names], names)
+
+    return df.mapInArrow(run, schema)
 
 
 def count_terms(df: DataFrame, terms: str) -> DataFrame:
@@ -41,28 +168,17 @@ def count_terms(df: DataFrame, terms: str) -> DataFrame:
     Written once, this serves the fit and every transform: texts are cut into terms a single time, and a
     term goes through a shuffle once per row and not once per occurrence.
     """
-    names = df.columns
-    schema = df.withColumn(terms, F.lit(None).cast(COUNTED)).schema
+    return _counts(df, terms, _as_they_are)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(terms)
-            row = np.repeat(np.arange(len(batch)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
-            flat = lists.flatten()
-            known = flat.is_valid()
-            coded = flat.filter(known).dictionary_encode()
-            size = max(1, len(coded.dictionary))
-            pairs, n = np.unique(row[known.to_numpy(zero_copy_only=False)] * size + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
-            counts = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(pairs % size)), pa.array(n.astype(np.int32))], ["term", "n"])
-            found = _lists(pairs // size, len(batch), counts)
-            yield pa.RecordBatch.from_arrays([found if c == terms else batch.column(c) for c in names], names)
 
-    return df.mapInArrow(run, schema)
+def count_word_ngrams(df: DataFrame, words: str, lo: int, hi: int) -> DataFrame:
+    """``df`` with the words of a text, in order, replaced by the counts of their runs of ``lo..hi``."""
+    return _counts(df, words, _runs(lo, hi))
 
 
-def _lists(row: np.ndarray, rows: int, values: pa.Array) -> pa.ListArray:
-    """Values in the order of their rows as one list a row."""
-    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(rows + 1)).astype(np.int32)), values)
+def count_char_ngrams(df: DataFrame, words: str, lo: int, hi: int) -> DataFrame:
+    """``df`` with the words of a text replaced by the counts of the character n-grams inside them."""
+    return _counts(df, words, _inside_words(lo, hi))
 
 
 def _counted(df: DataFrame, terms: str) -> DataFrame:
@@ -122,65 +238,85 @@ class TermBlock:
         rows = sorted((r["idx"], r["term"], r["idf"]) for r in table.collect())
         return cls([t for _, t, _ in rows], [w for _, _, w in rows])
 
+    def weighted(self, df: DataFrame, terms: str) -> DataFrame:
+        """Counted or plain terms replaced by ``_at`` and ``_w``: numbers of the known terms, ascending, and their TF-IDF weights."""
+        counted = _counted(df, terms)
+        others = [c for c in df.columns if c != terms]
+        shared = df.sparkSession.sparkContext.broadcast((self.terms, self.idf))
+        schema = counted.select(*others, F.lit(None).cast("array<int>").alias("_at"), F.lit(None).cast("array<double>").alias("_w")).schema
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, idf = _looked_up(shared.value)
+            for batch in batches:
+                for part in _slices(batch, terms):
+                    row, at, w = _unit_weights(part.column(terms), known, idf)
+                    found = [_lists(row, len(part), pa.array(v)) for v in (at, w)]
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), *found], [*others, "_at", "_w"])
+
+        return counted.mapInArrow(run, schema)
+
     def transform(self, df: DataFrame, terms: str, output: str) -> DataFrame:
         """Replace counted or plain terms by the TF-IDF vector; unknown terms are ignored.
 
         A row is weighted where it lies, so nothing is shuffled.  The vocabulary, bounded by its feature
         limit, is shared with the tasks.
         """
-        counted = _counted(df, terms)
-        others = [c for c in df.columns if c != terms]
-        shared = df.sparkSession.sparkContext.broadcast(self.terms)
-        kept = counted.select(*others, F.lit(None).cast("array<int>").alias("_at"), F.lit(None).cast("array<double>").alias("_n")).schema
+        return _vectors(_counted(df, terms), [(self, terms)], output)
+
+
+def _looked_up(block: tuple[list[str], list[float]]) -> tuple[pa.Array, np.ndarray]:
+    terms, idf = block
+    return pa.array(terms, pa.string()), np.array(idf if idf else [0.0])
+
+
+def _unit_weights(lists: pa.ListArray, known: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term number, (1 + ln tf) * idf with unit length per row) of the known terms, by row and number."""
+    row, pairs = _flat(lists)
+    at = pc.index_in(pairs.field("term"), value_set=known)
+    inside = at.is_valid().to_numpy(zero_copy_only=False)
+    row, at = row[inside], at.drop_null().to_numpy(zero_copy_only=False)
+    n = pairs.field("n").to_numpy(zero_copy_only=False)[inside].astype(float)
+    order = np.argsort(row * max(1, len(known)) + at)
+    row, at, n = row[order], at[order], n[order]
+    w = (1.0 + np.log(n)) * idf[at]
+    return row, at, w / np.sqrt(np.bincount(row, w * w, len(lists)))[row]
 
-        def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = pa.array(shared.value, pa.string())
-            for batch in batches:
-                lists = batch.column(terms)
-                row = np.repeat(np.arange(len(batch)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
-                pairs = lists.flatten()
-                at = pc.index_in(pairs.field("term"), value_set=known)
-                inside = at.is_valid().to_numpy(zero_copy_only=False)
-                row, at = row[inside], at.drop_null().to_numpy(zero_copy_only=False)
-                n = pairs.field("n").to_numpy(zero_copy_only=False)[inside].astype(float)
-                order = np.lexsort((at, row))
-                found = [_lists(row, len(batch), pa.array(v[order])) for v in (at, n)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), *found], [*others, "_at", "_n"])
-
-        looked_up = counted.mapInArrow(look_up, kept)
-        weights = _weights(np.array(self.idf if self.terms else [0.0]))("_at", "_n")
-        return looked_up.withColumn(output, weights).drop("_at", "_n")
-
-
-def _weights(idf: np.ndarray):
-    """Vectorised (1 + ln tf) * idf with unit length per row, on whole Arrow batches."""
-
-    @F.pandas_udf(VectorUDT())
-    def weigh(indices: pd.Series, values: pd.Series) -> pd.DataFrame:
-        sizes = indices.map(len).to_numpy(dtype=int)
-        at = np.concatenate([*indices, np.empty(0)]).astype(int)
-        tf = np.concatenate([*values, np.empty(0)])
-        w = (1.0 + np.log(tf)) * idf[at]
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        norm = np.sqrt(np.bincount(row, w * w, len(sizes)))
-        w = w / norm[row]
-        return pd.DataFrame(
-            {
-                "type": np.zeros(len(sizes), dtype="int8"),
-                "size": np.full(len(sizes), len(idf), dtype="int32"),
-                "indices": indices,
-                "values": np.split(w, np.cumsum(sizes)[:-1]),
-            }
-        )
 
-    return weigh
+def _vectors(df: DataFrame, blocks: list[tuple[TermBlock, str]], output: str) -> DataFrame:
+    """The columns of counted terms of ``blocks`` replaced by one sparse vector, block behind block."""
+    used = [c for _, c in blocks]
+    others = [c for c in df.columns if c not in used]
+    shared = df.sparkSession.sparkContext.broadcast([(b.terms, b.idf) for b, _ in blocks])
+    widths = [max(1, len(b.terms)) for b, _ in blocks]
+    schema = StructType([*(df.schema[c] for c in others), StructField(output, VectorUDT())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = [_looked_up(b) for b in shared.value]
+        for batch in batches:
+            for part in _slices(batch, used[-1]):
+                found = [_unit_weights(part.column(c), *t) for c, t in zip(used, tables)]
+                row = np.concatenate([r for r, _, _ in found])
+                at = np.concatenate([a + sum(widths[:i]) for i, (_, a, _) in enumerate(found)])
+                w = np.concatenate([x for _, _, x in found])
+                order = np.argsort(row, kind="stable")
+                row, n = row[order], len(part)
+                vector = pa.StructArray.from_arrays(
+                    [
+                        pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, sum(widths), np.int32)),
+                        _lists(row, n, pa.array(at[order].astype(np.int32))), _lists(row, n, pa.array(w[order])),
+                    ],
+                    ["type", "size", "indices", "values"],
+                )
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), vector], [*others, output])
+
+    return df.mapInArrow(run, schema)
 
 
-def exploded_weights(df: DataFrame, vector: str, block: TermBlock, *keys: str) -> DataFrame:
-    """Long form (keys, term, weight) of a TF-IDF vector."""
-    pairs = F.explode(F.arrays_zip(F.unwrap_udt(vector)["indices"], F.unwrap_udt(vector)["values"]))
-    long = df.select(*keys, pairs.alias("p")).select(
-        *keys, F.col("p.indices").alias("idx"), F.col("p.values").alias("weight")
+def exploded_weights(df: DataFrame, terms: str, block: TermBlock, *keys: str) -> DataFrame:
+    """Long form (keys, term, weight) of the TF-IDF weights of counted or plain terms."""
+    pairs = F.explode(F.arrays_zip("_at", "_w"))
+    long = block.weighted(df.select(*keys, terms), terms).select(*keys, pairs.alias("p")).select(
+        *keys, F.col("p._at").alias("idx"), F.col("p._w").alias("weight")
     )
     # The vocabulary is bounded by its feature limit.
     names = F.broadcast(block.table(df.sparkSession).select("idx", "term"))
@@ -196,19 +332,19 @@ class Vectorizer:
     char: TermBlock
 
     @staticmethod
-    def word_terms(text: Column, cfg: VectorizerConfig) -> Column:
-        return X.word_ngrams(X.feature_words(text), *cfg.word_ngram)
+    def with_words(df: DataFrame, text: str, output: str, cfg: VectorizerConfig = VectorizerConfig()) -> DataFrame:
+        """``df`` with the counted word n-grams of ``text``."""
+        return count_word_ngrams(df.withColumn(output, X.feature_words(F.col(text))), output, *cfg.word_ngram)
 
     @staticmethod
-    def char_terms(text: Column, cfg: VectorizerConfig) -> Column:
-        return X.char_ngrams(text, *cfg.char_ngram)
+    def with_chars(df: DataFrame, text: str, output: str, cfg: VectorizerConfig = VectorizerConfig()) -> DataFrame:
+        """``df`` with the counted character n-grams of ``text``."""
+        return count_char_ngrams(df.withColumn(output, X.spaced_words(F.col(text))), output, *cfg.char_ngram)
 
     @classmethod
     def counted(cls, df: DataFrame, text: str, cfg: VectorizerConfig = VectorizerConfig()) -> DataFrame:
         """``df`` with the counted terms of ``text`` as ``_words`` and ``_chars``, written once."""
-        c = F.col(text)
-        rows = df.withColumns({"_words": cls.word_terms(c, cfg), "_chars": cls.char_terms(c, cfg)})
-        return cut_lineage(count_terms(count_terms(rows, "_words"), "_chars"))
+        return cut_lineage(cls.with_chars(cls.with_words(df, text, "_words", cfg), text, "_chars", cfg))
 
     @classmethod
     def fit(cls, df: DataFrame, text: str, cfg: VectorizerConfig = VectorizerConfig()) -> Vectorizer:
@@ -224,13 +360,5 @@ class Vectorizer:
         """Add the vector of both blocks; ``df`` may hold what ``counted`` made of the texts."""
         rows = df
         if "_words" not in df.columns:
-            c = F.col(text)
-            rows = df.withColumns({"_words": self.word_terms(c, self.cfg), "_chars": self.char_terms(c, self.cfg)})
-        rows = self.word.transform(rows, "_words", "_word")
-        rows = self.char.transform(rows, "_chars", "_char")
-        # Declared sizes spare the assembler a look at the first row (there may be none).
-        for name, block in (("_word", self.word), ("_char", self.char)):
-            size = max(1, len(block.terms))
-            rows = VectorSizeHint(inputCol=name, size=size, handleInvalid="optimistic").transform(rows)
-        assembled = VectorAssembler(inputCols=["_word", "_char"], outputCol=output).transform(rows)
-        return assembled.drop("_word", "_char")
+            rows = self.with_chars(self.with_words(df, text, "_words", self.cfg), text, "_chars", self.cfg)
+        return _vectors(rows, [(self.word, "_words"), (self.char, "_chars")], output)
