@@ -1,5 +1,6 @@
 import json
 import sys
+from functools import reduce
 
 import numpy as np
 import pytest
@@ -51,6 +52,21 @@ def test_run_maps_chain_like_rows():
             assert (opens[start], after[start]) == (number, min(total, limit))
 
 
+def test_short_runs_have_short_maps_that_chain():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        limit = int(rng.integers(1, 40))
+        runs = [rng.integers(1, 15, int(rng.integers(1, 6))) for _ in range(4)]
+        whole = labelling._run_map(np.concatenate(runs), limit)
+        pieces = [labelling._pieces(*labelling._run_map(r, limit)) for r in runs]
+        chained = reduce(lambda a, b: labelling._chained(a, b, limit), pieces)
+        for start in range(limit + 1):
+            opened, after, _ = labelling._behind(chained, np.array([start]))
+            assert (opened[0], after[0]) == (whole[0][start], whole[1][start])
+    tokens = rng.integers(1, 900, 7)
+    assert labelling._pieces(*labelling._run_map(tokens, 12_000)).nbytes < 32 * 12 < 144_000  # dense: 12 bytes for each sum
+
+
 def test_rule_labels(spark):
     df = spark.createDataFrame([("У меня ОШИБКА по кредиту",), ("Подскажите график",)], "t string")
     rows = [r["l"] for r in df.select(L.rule_label(F.col("t"), F.lit("app")).alias("l")).collect()]

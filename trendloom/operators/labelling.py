@@ -11,6 +11,7 @@ import json
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -86,7 +87,44 @@ def _run_map(tokens: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     return opens.astype(np.int64), sum_after.astype(np.int32)
 
 
-def _run_starts(maps: DataFrame, fan: int) -> DataFrame:
+def _pieces(opens: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """A map of ``_run_map`` as rows (first sum, opened, sum after, step of the sum after), one for each stretch.
+
+    Either all sums of a stretch lead to the same, or no batch opens and the sum after grows with the sum before.
+    So a run of n rows has about n stretches at most, however large the budget is.
+    """
+    kind = np.where(np.diff(opens) != 0, 2, np.minimum(np.abs(np.diff(after)), 2))
+    kind[np.diff(after) < 0] = 2
+    change = np.flatnonzero((kind == 2) | (np.diff(kind, prepend=kind[:1]) != 0) & (np.append(2, kind[:-1]) != 2)) + 1
+    low = np.append(0, change)
+    long = np.diff(np.append(low, len(opens))) > 1
+    step = np.where(long, np.append(kind, 0)[low], 0)
+    return np.array([low, opens[low], after[low], step], np.int64)
+
+
+def _behind(pieces: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Batches opened, sum after, and its step, for sums ``total`` before."""
+    low, opens, after, step = pieces
+    at = np.searchsorted(low, total, "right") - 1
+    return opens[at], after[at] + step[at] * (total - low[at]), step[at]
+
+
+def _chained(first: np.ndarray, then: np.ndarray, limit: int) -> np.ndarray:
+    """The map of two neighbouring stretches of rows, of no more pieces than both have."""
+    low, opens, after, step = first
+    more, total, grows = _behind(then, after)
+    out = [np.array([low, opens + more, total, step * grows])]
+    ends = np.append(low[1:], limit + 1)
+    for k in np.flatnonzero(step):
+        inside = then[:, (then[0] > after[k]) & (then[0] < after[k] + ends[k] - low[k])]
+        out.append(inside + np.array([[low[k] - after[k]], [opens[k]], [0], [0]]))
+    joined = np.concatenate(out, axis=1)
+    joined = joined[:, np.argsort(joined[0])]
+    same = (np.diff(joined[1:], axis=1) == 0).all(axis=0) & (joined[3, 1:] == 0)
+    return joined[:, np.append(True, ~same)]
+
+
+def _run_starts(maps: DataFrame, fan: int, limit: int) -> DataFrame:
     """(run, first_batch, first_sum): the open batch and its sum before each run.
 
     ``fan`` neighbouring maps are chained into one until a single group is left; its starts then
@@ -96,39 +134,37 @@ def _run_starts(maps: DataFrame, fan: int) -> DataFrame:
     groups = maps.withColumn("grp", F.floor(F.col("run") / fan).cast("bigint"))
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        opens = after = None
-        for o, a in zip(*_ordered_maps(pdf)):
-            opens, after = (o, a) if opens is None else (opens + o[after], a[after])
-        return pd.DataFrame({"run": [pdf["grp"].iloc[0]], "opens": [opens.tobytes()], "after": [after.tobytes()]})
+        whole = reduce(lambda a, b: _chained(a, b, limit), _ordered_maps(pdf))
+        return pd.DataFrame({"run": [pdf["grp"].iloc[0]], "pieces": [whole.tobytes()]})
 
     def unfold(pdf: pd.DataFrame) -> pd.DataFrame:
         batch, total = int(pdf["first_batch"].iloc[0]), int(pdf["first_sum"].iloc[0])
         starts = []
-        for o, a in zip(*_ordered_maps(pdf)):
+        for pieces in _ordered_maps(pdf):
             starts.append((batch, total))
-            batch, total = batch + int(o[total]), int(a[total])
+            opened, after, _ = _behind(pieces, np.array([total]))
+            batch, total = batch + int(opened[0]), int(after[0])
         runs = sorted(pdf["run"])
         return pd.DataFrame([(r, *s) for r, s in zip(runs, starts)], columns=["run", "first_batch", "first_sum"])
 
     if last is None or last < fan:
         begun = groups.withColumns({"first_batch": F.lit(0).cast("bigint"), "first_sum": F.lit(0).cast("bigint")})
     else:
-        up = cut_lineage(groups.groupBy("grp").applyInPandas(chain, "run long, opens binary, after binary"))
-        begun = groups.join(_run_starts(up, fan).withColumnRenamed("run", "grp"), "grp")
+        up = cut_lineage(groups.groupBy("grp").applyInPandas(chain, "run long, pieces binary"))
+        begun = groups.join(_run_starts(up, fan, limit).withColumnRenamed("run", "grp"), "grp")
     return begun.groupBy("grp").applyInPandas(unfold, "run long, first_batch long, first_sum long")
 
 
-def _ordered_maps(pdf: pd.DataFrame) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    pdf = pdf.sort_values("run")
-    return [np.frombuffer(x, np.int64) for x in pdf["opens"]], [np.frombuffer(x, np.int32) for x in pdf["after"]]
+def _ordered_maps(pdf: pd.DataFrame) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.int64).reshape(4, -1) for x in pdf.sort_values("run")["pieces"]]
 
 
 def assign_batches(df: DataFrame, row_no: str, tokens: str, budget: int, run_rows: int, fan: int = 64) -> DataFrame:
     """Add ``batch``: greedy batches in the order of ``row_no`` (unique, from 0) over all rows.
 
     Counts that are null or below 1 count as 1.  ``run_rows`` rows are numbered in one task; it
-    does not change the result.  Each run is first reduced to a map of ``budget`` + 1 entries (see
-    ``_run_map``), so where a batch starts is known without reading all rows in one task.
+    does not change the result.  Each run is first reduced to a map of the sums before it (see
+    ``_pieces``), so where a batch starts is known without reading all rows in one task.
     """
     limit = max(1, int(budget))
     runs = df.withColumn("_run", F.floor(F.col(row_no) / run_rows).cast("bigint"))
@@ -137,8 +173,8 @@ def assign_batches(df: DataFrame, row_no: str, tokens: str, budget: int, run_row
         return pdf[tokens].fillna(1).clip(lower=1).to_numpy(np.int64)
 
     def reduce_run(pdf: pd.DataFrame) -> pd.DataFrame:
-        opens, after = _run_map(counts(pdf.sort_values(row_no)), limit)
-        return pd.DataFrame({"run": [pdf["_run"].iloc[0]], "opens": [opens.tobytes()], "after": [after.tobytes()]})
+        pieces = _pieces(*_run_map(counts(pdf.sort_values(row_no)), limit))
+        return pd.DataFrame({"run": [pdf["_run"].iloc[0]], "pieces": [pieces.tobytes()]})
 
     def number(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(row_no)
@@ -146,8 +182,8 @@ def assign_batches(df: DataFrame, row_no: str, tokens: str, budget: int, run_row
         return pdf.assign(batch=batch_numbers(counts(pdf).tolist(), limit, start)[0])[names]
 
     narrow = runs.select(row_no, tokens, "_run")
-    maps = cut_lineage(narrow.groupBy("_run").applyInPandas(reduce_run, "run long, opens binary, after binary"))
-    starts = _run_starts(maps, fan).toDF("_run", "_batch", "_sum")
+    maps = cut_lineage(narrow.groupBy("_run").applyInPandas(reduce_run, "run long, pieces binary"))
+    starts = _run_starts(maps, fan, limit).toDF("_run", "_batch", "_sum")
     schema = df.withColumn("batch", F.lit(0).cast("bigint")).schema
     names = schema.names
     return runs.join(starts, "_run").groupBy("_run").applyInPandas(number, schema)
