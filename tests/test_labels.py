@@ -140,6 +140,15 @@ def counting_labeler(folder, stop_at=None):
     return labeler
 
 
+def test_the_number_of_waves_does_not_grow_with_the_job():
+    usual = LabelConfig()
+    assert labelling.wave_size(100, 12, usual) == (192, 12)
+    for batches in (10_000, 768_000):
+        wave, tasks = labelling.wave_size(batches, 12, usual)
+        assert -(-batches // wave) <= 32 and tasks <= 96 and wave / tasks >= usual.calls_per_task - 1
+    assert labelling.wave_size(768_000, 12, LabelConfig(parallelism=5)) == (80, 5)  # never more calls in flight than asked for
+
+
 def test_a_job_that_broke_off_asks_only_for_batches_without_a_result(spark, tmp_path):
     log, folder = tmp_path / "calls", str(tmp_path / "job")
     log.mkdir()

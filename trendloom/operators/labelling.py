@@ -42,6 +42,8 @@ Labeler = Callable[[list[dict]], str]
 ASKED_TYPE = (
     "requests array<struct<idx:int,k:string,payload:string,row_no:bigint>>, response string, error string"
 )
+WAVES = 32  # a job has about as many waves at most, so their fixed cost does not grow with the input
+TASKS_PER_CORE = 8  # in a wave
 MARK_WHOLE = "mapreduce.fileoutputcommitter.marksuccessfuljobs"
 
 
@@ -203,13 +205,28 @@ def row_batches(work: DataFrame, budget: int, run_rows: int) -> DataFrame:
     return rows.select("batch", numbered.alias("requests"))
 
 
+def wave_size(batches: int, cores: int, cfg: LabelConfig) -> tuple[int, int]:
+    """Calls of a wave and its tasks.
+
+    With a ``parallelism`` a wave is that many tasks, as no more calls may be in flight.  Else as many calls are in
+    flight as there are cores, and a wave of a large job has several tasks a core, of ``calls_per_task`` calls or more:
+    results are stored when a task ends, so a job that breaks off still loses its running tasks only.
+    """
+    tasks = cfg.parallelism or cores
+    wave = tasks * cfg.calls_per_task
+    if cfg.parallelism or batches <= wave * WAVES:
+        return wave, tasks
+    wave = -(-batches // WAVES)
+    return wave, min(-(-wave // cfg.calls_per_task), tasks * TASKS_PER_CORE)
+
+
 def run_calls(batches: DataFrame, call: Callable[[list[dict]], str], folder: str, cfg: LabelConfig) -> DataFrame:
     """One call per batch of (batch, requests); returns ASKED_TYPE with the batch.
 
     ``folder`` keeps the written batches, a claim for every batch before it is asked, and its result
     as soon as the task that asked ends.  A job that starts again with the same folder asks only
     for batches without a result; a batch with a claim but no result may have been asked in vain.
-    Batches go in waves of ``parallelism`` tasks, in row order, so that many calls are in flight at once and few are
+    Batches go in waves (see ``wave_size``), in row order, so that many calls are in flight at once and few are
     lost with a job.  A call that fails costs its batch, not the job.
     """
     spark = batches.sparkSession
@@ -235,8 +252,8 @@ def run_calls(batches: DataFrame, call: Callable[[list[dict]], str], folder: str
                     error = str(e) or type(e).__name__
                 yield pd.DataFrame([{"batch": batch, "requests": requests, "response": response, "error": error}])
 
-    tasks = cfg.parallelism or spark.sparkContext.defaultParallelism
-    wave = tasks * cfg.calls_per_task
+    last = stored.agg(F.max("batch")).first()[0]
+    wave, tasks = wave_size(0 if last is None else last + 1, spark.sparkContext.defaultParallelism, cfg)
     due = {r["wave"]: r["n"] for r in stored.groupBy(F.floor(F.col("batch") / wave).alias("wave")).agg(F.count("*").alias("n")).collect()}
     have = results().groupBy(F.floor(F.col("batch") / wave).alias("wave")).agg(F.count_distinct("batch").alias("n"))
     have = {r["wave"]: r["n"] for r in have.collect()}
