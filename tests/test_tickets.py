@@ -308,3 +308,16 @@ def test_no_query_runs_while_the_flagship_is_built(spark):
         assert len(tracker.getJobIdsForGroup("building")) <= 2  # reading the two schemas
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_a_folder_of_files_is_one_drop(spark, tmp_path):
+    part = lambda lo, hi: spark.range(lo, hi).select("id", F.col("id").cast("string").alias("t"))
+    part(0, 6).repartition(3).write.parquet(str(tmp_path / "b drop.parquet"))
+    part(6, 9).coalesce(1).write.parquet(str(tmp_path / "c"))
+    next((tmp_path / "c").glob("*.parquet")).rename(tmp_path / "a.parquet")
+    listed = DropConfig(str(tmp_path), file_names=("b drop.parquet", "a.parquet", "absent.parquet"))
+    for cfg in (listed, DropConfig(str(tmp_path), file_glob="*.parquet")):
+        found = {r["source_file"]: r["count"] for r in src.scan_drops(spark, cfg).groupBy("source_file").count().collect()}
+        assert found == {"a.parquet": 3, "b drop.parquet": 6}
+    rows = src.with_row_id(src.scan_drops(spark, listed), listed).select("id", "row_id").collect()
+    assert {r["row_id"] for r in rows if r["id"] < 6} == {f"row_{i}" for i in range(6)}  # in the order of the list

@@ -87,16 +87,31 @@ def discover_drops(spark: SparkSession, cfg: DropConfig) -> DataFrame:
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("file_name")).orderBy("path")
 
 
+def _drop_name(spark: SparkSession, cfg: DropConfig) -> Column:
+    """Name of the drop of a row: of its file, or of the folder of files that was matched as one drop."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(drop_path(cfg))
+    matched = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    folders: dict[int, list[Column]] = {}
+    for status in matched:
+        if status.isDirectory():
+            where = status.getPath().toUri().toString().rstrip("/")
+            folders.setdefault(where.count("/") + 1, []).extend((F.lit(where), F.lit(status.getPath().getName())))
+    parts = F.split("_metadata.file_path", "/")
+    names = [F.try_element_at(F.create_map(*f), F.array_join(F.slice(parts, 1, n), "/")) for n, f in sorted(folders.items())]
+    return F.coalesce(*names, F.col("_metadata.file_name"))
+
+
 def _with_place(df: DataFrame, cfg: DropConfig, dense: bool) -> DataFrame:
     """Rows with their place: the file by its whole path, in the order of an explicit list."""
+    name = _drop_name(df.sparkSession, cfg)
     row = F.col("_metadata.row_index") if dense else F.monotonically_increasing_id()
     path = F.col("_metadata.file_path")
     if cfg.file_names:
-        listed = F.array_position(F.array(*[F.lit(n) for n in cfg.file_names]), F.col("_metadata.file_name"))
+        listed = F.array_position(F.array(*[F.lit(n) for n in cfg.file_names]), name)
         path = F.concat(F.lpad(listed.cast("string"), 9, "0"), F.lit(" "), path)
     return df.select(
         "*",
-        F.col("_metadata.file_name").alias("source_file"),
+        name.alias("source_file"),
         path.alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         row.alias("_row"),
