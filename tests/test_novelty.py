@@ -162,3 +162,12 @@ def test_clusters(spark):
     assert {r["cluster_id"] for r in out if r["is_novel"]} <= {0, 1, 2} and len(out) == 40
     lone = novelty.with_clusters(df.withColumn("is_novel", F.col("row_id") == 1), "z", 42)
     assert {r["cluster_id"] for r in lone.collect()} == {-1}
+
+
+def test_a_query_is_sent_to_a_bounded_number_of_places():
+    size = np.random.default_rng(8).integers(0, 900, 700)
+    regions = knn._regions(knn.Cells(size, *[np.zeros(700)] * 3))
+    assert regions.min() == 0 and regions.max() == knn.REGIONS - 1 and (np.diff(regions) >= 0).all()
+    assert np.bincount(regions, size).max() < 1.1 * size.sum() / knn.REGIONS
+    order, full, limit = knn._kept(np.array([1, 0, 1, 1, 0]), np.array([3.0, 5.0, 1.0, 1.0, 4.0]), 2)
+    assert sorted(order.tolist()) == [1, 2, 3, 4] and dict(zip(full.tolist(), limit.tolist())) == {0: 5.0, 1: 1.0}
