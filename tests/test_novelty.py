@@ -171,3 +171,10 @@ def test_a_query_is_sent_to_a_bounded_number_of_places():
     assert np.bincount(regions, size).max() < 1.1 * size.sum() / knn.REGIONS
     order, full, limit = knn._kept(np.array([1, 0, 1, 1, 0]), np.array([3.0, 5.0, 1.0, 1.0, 4.0]), 2)
     assert sorted(order.tolist()) == [1, 2, 3, 4] and dict(zip(full.tolist(), limit.tolist())) == {0: 5.0, 1: 1.0}
+
+
+def test_every_hundredth_vector_asks(spark):
+    from trendloom.catalog.novelty_queries import nearest_neighbours
+
+    found = nearest_neighbours(spark, "/root/testdata/sf0.001").groupBy("query").count().collect()
+    assert found and all(r["query"] % 100 == 0 and r["count"] == 10 for r in found)
