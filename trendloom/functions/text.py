@@ -202,13 +202,13 @@ def redact_values(m: Column, cfg: RedactionConfig = RedactionConfig()) -> Column
 def clean_for_model(c: Column, deny: Iterable[str]) -> Column:
     """Lower-case words without tags, bare numbers, denied and one-letter tokens."""
     out = F.regexp_replace(F.lower(text_or_empty(c)), fv.TAG, " ")
-    out = F.regexp_replace(out, fv.STANDALONE_NUMBER, " ")
+    # A bare number is a word of digits only, so the words are judged instead of every place of the text.
     words = F.regexp_extract_all(out, F.lit(fv.WORD), F.lit(0))
     denied = sorted(set(deny))
 
     def kept(w: Column) -> Column:
-        long_enough = F.length(w) > 1
-        return long_enough & ~w.isin(*denied) if denied else long_enough
+        usable = (F.length(w) > 1) & ~F.rlike(w, F.lit(fv.BARE_NUMBER))
+        return usable & ~w.isin(*denied) if denied else usable
 
     return F.array_join(F.filter(words, kept), " ")
 
