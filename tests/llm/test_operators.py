@@ -377,6 +377,39 @@ def test_packed_histograms_are_whole(histogram):
     assert sum(t for _, t in packed) <= 1.05 * -(-sum(n * c for n, c in histogram.items()) // 2048) + 1
 
 
+def test_packing_is_the_programs_where_longest_first_is_poor():
+    """900 sequences are enough; longest-first filling takes 955."""
+    rng = np.random.default_rng(6)
+    histogram = Counter()
+    for e in rng.integers(8, 60, 600).tolist():
+        histogram.update((1024 + e, 512 + e, 512 - 2 * e))
+    for e in rng.integers(8, 60, 300).tolist():
+        histogram.update((512 + 2 * e, 512 + 2 * e, 512 - 2 * e, 512 - 2 * e))
+    packed = config_packing.solve(histogram)
+    used = Counter()
+    for copies, times in packed:
+        assert times > 0 and sum(n * c for n, c in copies.items()) <= 2048
+        used.update({n: c * times for n, c in copies.items()})
+    assert used == histogram
+    assert sum(t for _, t in packed) <= 952
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_small_histograms_are_packed_about_as_in_the_best_way(seed):
+    rng = np.random.default_rng(seed)
+    pieces = sorted(rng.integers(3, 14, 9).tolist(), reverse=True)
+
+    def best(left, rooms):
+        if not left:
+            return len(rooms)
+        found = best(left[1:], (*rooms, 20 - left[0]))
+        for k in {r: k for k, r in enumerate(rooms) if r >= left[0]}.values():
+            found = min(found, best(left[1:], (*rooms[:k], rooms[k] - left[0], *rooms[k + 1:])))
+        return found
+
+    assert sum(t for _, t in config_packing.solve(Counter(pieces), 20)) <= best(pieces, ()) + 1
+
+
 # --- 9 -----------------------------------------------------------------------------------------
 
 def test_leaks(spark, texts, empty):

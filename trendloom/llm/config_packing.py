@@ -1,10 +1,11 @@
-"""Packing token pieces into sequences by a configuration linear program.
+"""Packing token pieces into sequences by a configuration program.
 
 A configuration is a set of lengths that fit into one sequence.  The program asks for as few
 configurations as possible that together cover the length histogram.  It is solved by
-multiplicative weights: lengths that are behind weigh more, and a knapsack dynamic program finds
-the configuration of most weight, which is then used more.  The fractional solution is rounded
-down and the rest is filled length by length, longest first.
+multiplicative weights in rounds: a length's worth is its size times a weight that grows as it
+falls behind, and a knapsack dynamic program finds what fits best beside every length that has
+pieces left, the longest first.  Configurations are used a whole number of times, so nothing is
+left for a later rounding, and rounds go on until every piece is placed.
 
 Only the histogram (at most one entry per length) is handled on the driver.  The pieces stay
 where they are: each gets its number among the pieces of its length, and a table of
@@ -28,12 +29,11 @@ from trendloom.llm.tokenized import Cached
 
 CAPACITY = 2048
 END_ID = 0
-ROUNDS = 400
-STEP = 0.1
+FAVOUR = 1.2  # long pieces are harder to place: worth is the length to this power
 
 
-def best_configuration(lengths: np.ndarray, worth: np.ndarray, capacity: int) -> np.ndarray:
-    """Copies of each length (ascending) in the set of most worth within the capacity."""
+def knapsack(lengths: np.ndarray, worth: np.ndarray, capacity: int) -> np.ndarray:
+    """[room]: the length (ascending, by position) to take next in the set of most worth, -1 to leave one token free."""
     best = np.zeros(capacity + 1)
     choice = np.full(capacity + 1, -1)
     fit = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
@@ -44,85 +44,61 @@ def best_configuration(lengths: np.ndarray, worth: np.ndarray, capacity: int) ->
             k = int(value.argmax())
             if value[k] > best[c]:
                 best[c], choice[c] = value[k], k
-    copies = np.zeros(len(lengths), np.int64)
-    c = capacity
+    return choice
+
+
+def configuration(lengths: np.ndarray, choice: np.ndarray, first: int, left: np.ndarray, capacity: int) -> dict[int, int]:
+    """Copies of each length (by position) beside one ``first``, none more often than it is left.
+
+    Room that the knapsack's set leaves, because it asks for more copies than there are, goes to the longest that fit.
+    """
+    copies = {first: 1}
+    c = room = capacity - int(lengths[first])
     while c > 0:
-        if choice[c] < 0:
+        k = int(choice[c])
+        if k < 0 or copies.get(k, 0) >= left[k]:
             c -= 1
         else:
-            copies[choice[c]] += 1
-            c -= int(lengths[choice[c]])
-    return copies
-
-
-def fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int, step: float) -> list[tuple[np.ndarray, float]]:
-    """Configurations with their uses, covering each demand about once."""
-    covered = np.zeros(len(lengths))
-    uses: dict[bytes, list] = {}
-    for _ in range(rounds):
-        if covered.min() >= 1.0:
-            break
-        worth = np.where(covered < 1.0, np.exp(-covered / step) / demand, 0.0)
-        copies = best_configuration(lengths, worth / worth.max(), capacity)
-        used = copies > 0
-        if not used.any():
-            break
-        times = step * float((demand[used] / copies[used]).min())
-        covered += times * copies / demand
-        uses.setdefault(copies.tobytes(), [copies, 0.0])[1] += times
-    return [(c, t) for c, t in uses.values()]
-
-
-def fill(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
-    """Whole uses of configurations that take all of ``left``: the longest left piece that fits, again and again."""
-    out = []
-    left = left.copy()
-    while left.any():
-        copies = np.zeros(len(lengths), np.int64)
-        room = capacity
-        while True:
-            k = int(np.searchsorted(lengths, room, side="right")) - 1
-            while k >= 0 and left[k] <= copies[k]:
-                k -= 1
-            if k < 0:
-                break
-            copies[k] += 1
+            copies[k] = copies.get(k, 0) + 1
+            c -= int(lengths[k])
             room -= int(lengths[k])
-        times = int((left[copies > 0] // copies[copies > 0]).min())
-        out.append((copies, times))
-        left = left - times * copies
-    return out
-
+    k = int(np.searchsorted(lengths, room, side="right")) - 1
+    while k >= 0:
+        n = min(room // int(lengths[k]), int(left[k]) - copies.get(k, 0))
+        if n > 0:
+            copies[k] = copies.get(k, 0) + n
+            room -= n * int(lengths[k])
+        k = min(k, int(np.searchsorted(lengths, room, side="right"))) - 1
+    return copies
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, step: float = STEP) -> list[tuple[dict[int, int], int]]:
-    """[(copies of each length, sequences)]: all pieces of the histogram, in few sequences.
 
-    The rounded program and the plain longest-first filling are both at hand; the one with fewer
-    sequences is returned.
-    """
+def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
+    """[(copies of each length, sequences)]: all pieces of the histogram, in few sequences."""
     lengths = np.array(sorted(n for n, c in histogram.items() if c > 0), np.int64)
-    if not len(lengths):
-        return []
     demand = np.array([histogram[int(n)] for n in lengths], np.int64)
     left, packed = demand.copy(), []
-    for copies, times in sorted(fractional(lengths, demand, capacity, rounds, step), key=lambda x: -x[1]):
-        used = copies > 0
-        whole = min(int(times), int((left[used] // copies[used]).min()))
-        if whole:
-            packed.append((copies, whole))
-            left = left - whole * copies
-    packed += fill(lengths, left, capacity)
-    plain = fill(lengths, demand, capacity)
-    best = min(packed, plain, key=lambda p: sum(t for _, t in p))
-    return [({int(lengths[k]): int(c[k]) for k in np.flatnonzero(c)}, t) for c, t in best]
+    while left.any():  # a round uses a configuration with the longest at least, so it places pieces
+        behind = np.flatnonzero(left)
+        own, rest = lengths[behind], left[behind]
+        choice = knapsack(own, own**FAVOUR * np.exp(rest / demand[behind]), capacity)
+        for first in range(len(own) - 1, -1, -1):
+            if not rest[first]:
+                continue
+            copies = configuration(own, choice, first, rest, capacity)
+            times = min(int(rest[k]) // n for k, n in copies.items())
+            for k, n in copies.items():
+                rest[k] -= n * times
+            packed.append(({int(own[k]): n for k, n in copies.items()}, times))
+        left[behind] = rest
+    return packed
 
 
 @dataclass
 class Places:
     """Where the pieces of each length go, by their number among them.
 
-    Sorted by (length, first number); one entry per configuration and length: at most a few
-    thousand, whatever the number of pieces.
+    Sorted by (length, first number); one entry per configuration and length.  A configuration is used
+    until one of its lengths cannot go on, so their number follows the lengths, not the pieces.
     """
 
     key: np.ndarray
