@@ -338,6 +338,20 @@ def test_token_files(spark, docs, texts, tmp_path, empty):
     assert token_files.read_ids(spark, str(tmp_path / "e")).isEmpty()
 
 
+@pytest.mark.parametrize("name, leading_space", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_words_of_latin_letters_skip_the_library_and_keep_its_ids(name, leading_space, monkeypatch):
+    path = public_tokenizers.path(name)
+    plain = Tokenizer.from_file(path)
+    texts = ["Onbleeaea reoranat, \xc9T\xc9 na\xefve stra\xdfe", "\u0130stanbul \u0131\u0130 \xaa\xba \u01c5a \u0149x \u017fo e\u0301t", "x", "a \u03a3\u03a3 \u4e2d\u6587 \u0250b it's \xb5m \u212bb"]
+    table = tokenized.Cached(path, leading_space)
+    asked = []
+    call = table._call
+    monkeypatch.setattr(table, "_call", lambda parts: (asked.extend(parts), call(parts)))
+    for text, raw in zip(texts, table.encode(texts)):
+        assert np.frombuffer(raw, "<u2").tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert not {"onbleeaea", "Onbleeaea", " reoranat", "reoranat", "na\xefve", " na\xefve"} & set(asked)
+
+
 def test_ranks_of_one_to_four_bytes():
     ranks = np.array([0, 255, 256, 65535, 65536, 1 << 24, 7], np.uint32)
     assert token_files.decode_ranks(*token_files.encode_ranks(ranks), len(ranks)).tolist() == ranks.tolist()

@@ -18,6 +18,10 @@ from tokenizers import Tokenizer
 ENTRIES = 150_000  # of each of two generations
 AT_ONCE = 256  # texts whose new pieces are encoded together
 JOINED = 4096  # pieces encoded as one text
+# how a byte-level model writes the bytes of a text
+PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_NAMES = {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(PRINTED)))}
+BEHIND_LATIN = "\u0250"
 MARKS = "".join(sorted(set(string.punctuation) - {"'"}))
 
 
@@ -39,30 +43,53 @@ class Cached:
         # a separator has one id of its own wherever it stands between two pieces
         self.separator = "\n" if leading_space else " \x01 "
         (self.separator_id,) = self.tokenizer.encode(self.separator, add_special_tokens=False).ids
+        self.model = self.tokenizer.model
+        probe = ["a", "unusually", "zxqvjk", "\xe9t\xe9", "\xdf\xff\xfc\u0161\u0151"]
+        probe += [" " + w for w in probe] if leading_space else []
+        # words of Latin letters are one word to every step before the model, which is asked directly then
+        self.direct = all(self._word(w) == self._ids(self.tokenizer.encode(w, add_special_tokens=False).ids) for w in probe)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {"": b""}
 
+    @staticmethod
+    def _ids(ids: list[int]) -> bytes:
+        return array("H", ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """Ids of Latin letters (lower-case ones without ``leading_space``), with a space in front or not, from the model itself."""
+        return self._ids([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(BYTE_NAMES))])
+
     def _encode_pieces(self, pieces: list[str]) -> None:
         """Learn the pieces.  A run of marks behind a letter is a word of its own to the tokenizer
         (but for apostrophes), so most new pieces are a known word and a known run of marks."""
-        halves, wanted = [], {}
+        if len(self.parts) > ENTRIES:
+            self.parts = {"": b""}
+        halves, wanted, parts = [], {}, self.parts
         for p in pieces:
             core = p.rstrip(MARKS)
             if not core or not core[-1].isalpha():
                 core = p
             rest = p[len(core):]
-            if not self.leading_space and core.isascii():
+            latin = core.isascii() or max(core) < BEHIND_LATIN
+            if latin and not self.leading_space:
                 core = core.lower()
-            halves.append((p, core, rest))
-            for x in (core, rest):
-                if x not in self.parts:
-                    wanted[x] = None
-        if len(self.parts) > ENTRIES:
-            self.parts, wanted = {"": b""}, dict.fromkeys(x for _, *both in halves for x in both if x)
+            ids = parts.get(core)
+            if ids is None:
+                if latin and self.direct and (core[1:] if core[:1] == " " else core).isalpha():
+                    ids = parts[core] = self._word(core)
+                else:
+                    wanted[core] = None
+            tail = parts.get(rest)
+            if tail is None:
+                wanted[rest] = None
+            if ids is None or tail is None:
+                halves.append((p, core, rest))
+            else:
+                self.known[p] = ids + tail
         self._call(list(wanted))
         for p, core, rest in halves:
-            self.known[p] = self.parts[core] + self.parts[rest]
+            self.known[p] = parts[core] + parts[rest]
 
     def _call(self, parts: list[str]) -> None:
         """Ids of each part from the tokenizer."""
@@ -82,7 +109,7 @@ class Cached:
             for x, start, end in zip(part, [0, *(2 * e + 2 for e in ends)], [*(2 * e for e in ends), len(raw)]):
                 self.parts[x] = raw[start:end]
         for x, found in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
-            self.parts[x] = array("H", found.ids).tobytes()
+            self.parts[x] = self._ids(found.ids)
 
     def _learn(self, parts: list[list[str]]) -> None:
         """Put every piece of ``parts`` into the younger generation."""
