@@ -126,6 +126,21 @@ def test_logistic_optimum_zeroes_the_gradient(spark, monkeypatch):
     assert np.abs(w + x.T @ (weight * (p - y))).max() < 1e-3 and abs((weight * (p - y)).sum()) < 1e-3
 
 
+def test_equal_rows_are_counted_and_keep_the_optimum(spark, monkeypatch):
+    monkeypatch.setattr(models, "TOLERANCE", 1e-10)
+    sizes, packed = [], models._packed
+    monkeypatch.setattr(models, "_packed", lambda df, rows: (sizes.append(df.count()), packed(df, rows))[1])
+    df, x = points(spark)
+    many = df.crossJoin(spark.range(10)).withColumn("row_id", F.concat_ws("-", "row_id", "id")).drop("id")
+    model = models.fit_complaint(many, TrainConfig())
+    w, b = model.model.coefficients.toArray(), model.model.intercept
+    y = np.array([r["y"] for r in df.orderBy(F.substring("row_id", 2, 9).cast("int")).collect()])
+    weight = 10 * np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
+    p = 1 / (1 + np.exp(-(x @ w + b)))
+    assert np.abs(w + x.T @ (weight * (p - y))).max() < 1e-2 and abs((weight * (p - y)).sum()) < 1e-2
+    assert sizes == [120]
+
+
 def test_calibrated_and_one_class_models(spark):
     df, _ = points(spark)
     model = models.fit_complaint(df, TrainConfig(complaint_classifier="linearsvc"))

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from trendloom import fixed_values as fv
 from trendloom.operators.features import VectorizerConfig
-from trendloom.operators.metrics import with_class_weight
 from trendloom.operators.splits import SplitConfig
 from trendloom.session import cut_lineage
 
@@ -100,6 +99,36 @@ def with_folds(df: DataFrame, label: str, row_id: str, folds: int, name: str = "
     return numbered.drop("_hash", "_bucket", "_label", "_b", "_before", "_rank")
 
 
+def _repeats(df: DataFrame, label: str) -> bool:
+    """Whether rows of one vector and label are common enough to count them instead of reading each in every step."""
+    same = F.xxhash64(F.unwrap_udt(FEATURES), label)
+    sizes = df.agg(F.count("*").alias("rows"), F.approx_count_distinct(same).alias("distinct")).first()
+    return sizes["rows"] > 4 * sizes["distinct"]
+
+
+def _counted(df: DataFrame, label: str, *others: str, repeats: bool) -> DataFrame:
+    """(features, label, others, _n), written once: rows that are equal in all of these as one with their number.
+
+    A loss sums over rows, so ``_n`` rows are one of ``_n`` times the weight and the optimum stays; a
+    step of the optimiser costs what the distinct rows do.
+    """
+    keys = [FEATURES, label, *others]
+    if not repeats:
+        return cut_lineage(df.select(*keys, F.lit(1).cast("long").alias("_n")))
+    return cut_lineage(df.groupBy(*keys).agg(F.count("*").alias("_n")))
+
+
+def _balanced(counted: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """Counted rows with the balanced class weight times their number, in few partitions, and the number of all rows."""
+    classes = {r[label]: (r["all"], r["kinds"]) for r in counted.groupBy(label).agg(F.sum("_n").alias("all"), F.count("*").alias("kinds")).collect()}
+    rows = sum(n for n, _ in classes.values())
+    shares = counted.sparkSession.createDataFrame(
+        [(c, rows / (len(classes) * n)) for c, (n, _) in classes.items()], "_class double, _share double"
+    )
+    weighted = counted.join(F.broadcast(shares), F.col(label) == F.col("_class")).withColumn("weight", F.col("_share") * F.col("_n"))
+    return _packed(weighted.select(FEATURES, label, "weight"), sum(k for _, k in classes.values())), rows
+
+
 def _packed(df: DataFrame, rows: int) -> DataFrame:
     wanted = max(1, -(-rows // ROWS_PER_PARTITION))
     return df.coalesce(wanted)  # never raises the number of partitions
@@ -130,9 +159,9 @@ class LogisticComplaint:
 
     @classmethod
     def fit(cls, df: DataFrame, cfg: TrainConfig) -> LogisticComplaint:
-        rows = df.count()
-        weighted = with_class_weight(df, "y").select(FEATURES, "y", "weight")
-        return cls(_logistic(rows, cfg.complaint_iterations, "y").fit(_packed(weighted, rows)))
+        known = df.filter("y IS NOT NULL")
+        weighted, _ = _balanced(_counted(known, "y", repeats=_repeats(known, "y")), "y")
+        return cls(_logistic(df.count(), cfg.complaint_iterations, "y").fit(weighted))
 
     def score(self, df: DataFrame, name: str) -> DataFrame:
         scored = self.model.transform(df)
@@ -161,38 +190,38 @@ class CalibratedComplaint:
 
     @classmethod
     def fit(cls, df: DataFrame, cfg: TrainConfig, row_id: str = "row_id") -> CalibratedComplaint:
-        folds = cut_lineage(with_folds(df, "y", row_id, cls.FOLDS))
+        numbered = with_folds(df.select(row_id, "y", FEATURES), "y", row_id, cls.FOLDS)
+        folds = _counted(numbered, "y", "_fold", repeats=_repeats(df, "y"))
         margins, curves = [], []
         for i in range(cls.FOLDS):
-            rest = folds.filter(F.col("_fold") != i)
-            rows = rest.count()
-            margin = _margin_model(rows, "y").fit(_packed(with_class_weight(rest, "y"), rows))
+            weighted, rows = _balanced(folds.filter(F.col("_fold") != i), "y")
+            margin = _margin_model(rows, "y").fit(weighted)
             held = margin.transform(folds.filter(F.col("_fold") == i))
             margins.append(margin)
-            curves.append(cls._curve(held.select(vector_to_array("rawPrediction")[1].alias("margin"), "y")))
+            curves.append(cls._curve(held.select(vector_to_array("rawPrediction")[1].alias("margin"), "y", "_n")))
         return cls(margins, curves)
 
     @staticmethod
     def _curve(held: DataFrame) -> tuple[float, float]:
-        """Slope and intercept of the logistic curve over smoothed targets.
+        """Slope and intercept of the logistic curve over smoothed targets; ``_n`` is the number of rows that a row stands for.
 
         A fold without rows of a class (fewer than ``FOLDS`` of them in all) still has smoothed targets of both.  A smoothed target t is one row of class 1 with weight t and one of class 0
         with weight 1 - t.
         """
-        sizes = held.agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n")).first()
+        sizes = held.agg(*[F.coalesce(F.sum(F.when(F.col("y") == c, F.col("_n"))), F.lit(0)).alias(name) for c, name in ((1, "p"), (0, "n"))]).first()
         if sizes["p"] + sizes["n"] == 0:  # fewer rows than folds
             return 1.0, 0.0
         high, low = (sizes["p"] + 1.0) / (sizes["p"] + 2.0), 1.0 / (sizes["n"] + 2.0)
         target = F.when(F.col("y") == 1, F.lit(high)).otherwise(F.lit(low))
         soft = held.select(
-            "margin",
+            "margin", "_n",
             F.explode(
                 F.array(
                     F.struct(F.lit(1.0).alias("label"), target.alias("weight")),
                     F.struct(F.lit(0.0).alias("label"), (1 - target).alias("weight")),
                 )
             ).alias("t"),
-        ).select("margin", "t.label", "t.weight")
+        ).select("margin", "t.label", (F.col("t.weight") * F.col("_n")).alias("weight"))
         vectors = VectorAssembler(inputCols=["margin"], outputCol=FEATURES).transform(soft)
         curve = LogisticRegression(
             featuresCol=FEATURES, labelCol="label", weightCol="weight", standardization=False, maxIter=200
@@ -241,9 +270,9 @@ class ClassModel:
         codes = LabelCodes.fit(known, label)
         if len(codes.labels) < 2:
             return cls(codes)
-        rows = known.count()
-        weighted = with_class_weight(codes.encode(known, label, "_code"), "_code").select(FEATURES, "_code", "weight")
-        weighted = _packed(weighted, rows).persist()
+        coded = codes.encode(known, label, "_code")
+        weighted, rows = _balanced(_counted(coded, "_code", repeats=_repeats(coded, "_code")), "_code")
+        weighted = weighted.persist()
         try:
             if classifier == "logreg":
                 model = _logistic(rows, iterations, "_code", family="multinomial").fit(weighted)
