@@ -58,7 +58,11 @@ class Cached:
 
     def _word(self, word: str) -> bytes:
         """Ids of Latin letters (lower-case ones without ``leading_space``), with a space in front or not, from the model itself."""
-        return self._ids([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(BYTE_NAMES))])
+        if word.isascii():
+            word = BYTE_NAMES[32] + word[1:] if word[0] == " " else word
+        else:
+            word = word.encode().decode("latin-1").translate(BYTE_NAMES)
+        return self._ids([t.id for t in self.model.tokenize(word)])
 
     def _encode_pieces(self, pieces: list[str]) -> None:
         """Learn the pieces.  A run of marks behind a letter is a word of its own to the tokenizer
@@ -67,6 +71,13 @@ class Cached:
             self.parts = {"": b""}
         halves, wanted, parts = [], {}, self.parts
         for p in pieces:
+            if self.direct and p.isascii() and (p[1:] if p[:1] == " " else p).isalpha():
+                core = p if self.leading_space else p.lower()
+                ids = parts.get(core)
+                if ids is None:
+                    ids = parts[core] = self._word(core)
+                self.known[p] = ids
+                continue
             core = p.rstrip(MARKS)
             if not core or not core[-1].isalpha():
                 core = p
