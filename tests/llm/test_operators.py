@@ -195,6 +195,24 @@ def test_passes_grow_with_the_table_and_with_crowds():
     assert small < large < dense
 
 
+def test_a_small_crowd_in_a_large_table_is_compared_whole(spark, monkeypatch):
+    """A crowd that the plan does not know of: with a window of two rows only whole runs find its pairs."""
+    rng = np.random.default_rng(8)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    crowd = np.sqrt(0.15) * unit(rng.standard_normal((400, 64))) + np.sqrt(0.85) * unit(rng.standard_normal((1, 64)))  # mutual cosine 0.85
+    near = unit(crowd[:100] + 0.43 * unit(rng.standard_normal((100, 64))))
+    x = unit(np.concatenate((rng.standard_normal((2500, 64)), crowd, near)))
+    monkeypatch.setattr(projection_passes, "RUN_CHUNK", 64, raising=False)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in projection_passes.near_vectors(
+        spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>"),
+        "vec_id", "embedding", window=2).collect()}
+    links = x @ x.T >= 0.9
+    np.fill_diagonal(links, False)
+    root = united(np.argwhere(links).tolist(), range(len(x)))
+    assert links.sum() > 100
+    assert got == {i: (int(links[i].sum()), root[i]) for i in range(len(x))}
+
+
 # --- 4 -----------------------------------------------------------------------------------------
 
 def plain_fingerprint(text):

@@ -1,10 +1,12 @@
 """Near-duplicate vectors by sorted projection passes.
 
 Every pass draws random hyperplanes, concatenates the hashes that they give a vector, sorts the
-vectors by that string and compares each with a bounded window of followers.  The number of passes
-and the window follow from the number of vectors and from how many of them share key prefixes in the
-densest part of a sample, so that a pair at the threshold is missed by all passes with a probability
-of at most MISS.  Verified links of all passes are united.  A window can miss links inside a crowd of close vectors, so the members
+vectors by that string and compares each with a bounded window of followers.  Rows that share the
+first bits of a pass's string are a run; a run that is longer than the window is compared whole
+instead, in pairs of chunks.  So a pass meets every pair that shares these bits, however crowded a
+place is, and the number of bits alone says how many passes miss a pair at the threshold with a
+probability of at most MISS.  How many bits make the least work is counted over all vectors.
+Verified links of all passes are united.  Passes can miss links inside a crowd of close vectors, so the members
 of each component are compared once more, chunk by chunk, which makes the counts of links whole.
 """
 
@@ -24,10 +26,11 @@ MISS = 0.001
 WINDOWS = (32, 64, 128, 256, 512, 1024)
 LEAST_PASSES = 16
 SHIPPING = 400  # comparisons that cost as much as sending a vector through the shuffle of a pass
-SAMPLE = 2048
-TRIALS = 16  # passes that the sample is sorted into
+TRIALS = 16  # passes that ``hit_rates`` sorts its vectors into
 KEY_BITS = 64
+RUN_BITS = 24  # at most, of a run's prefix
 CHUNK = 256
+RUN_CHUNK = 1024
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -82,7 +85,10 @@ def hit_rates(x: np.ndarray, n: int, threshold: float, windows: tuple[int, ...]
 
 
 def plan(x: np.ndarray, n: int, threshold: float, seed: int = 7) -> tuple[int, int]:
-    """(passes, window) of least work with which the densest of the sampled vectors meets a vector at the threshold."""
+    """(passes, window) of least work with which windows alone let the densest of some vectors meet one at the threshold.
+
+    For callers who look at their own vectors; ``near_vectors`` takes nothing from it, as it compares long runs whole.
+    """
     if not len(x) or threshold >= 1:
         return LEAST_PASSES, WINDOWS[0]
     worst = hit_rates(x, n, threshold, seed=seed).min(axis=1)
@@ -90,19 +96,36 @@ def plan(x: np.ndarray, n: int, threshold: float, seed: int = 7) -> tuple[int, i
     return min(zip(needed, WINDOWS), key=lambda c: c[0] * (c[1] + SHIPPING))
 
 
-def _plan_of(classes: DataFrame, threshold: float, seed: int) -> tuple[int, int]:
-    """The plan of the vectors' most demanding length."""
-    total, plans = classes.count(), [(LEAST_PASSES, WINDOWS[0])]
-    one_in = F.pmod(F.xxhash64("node"), F.lit(max(1, -(-total // SAMPLE)))) == 0
-    drawn = classes.filter(one_in).select("dim", "node", "vector").toArrow().sort_by("node")
-    for dim in sorted(set(drawn.column("dim").to_pylist())):
-        part = drawn.filter(pa.compute.equal(drawn.column("dim"), dim))
-        plans.append(plan(_matrix(part.column("vector")), -(-total * len(part) // len(drawn)), threshold, seed))
-    return max(p for p, _ in plans), max(w for _, w in plans)
+def passes_for(bits: int, threshold: float) -> int:
+    """Passes that miss a pair at the threshold with a probability of at most MISS, if each compares all rows that share ``bits`` bits."""
+    together = (1 - np.arccos(min(1.0, threshold)) / np.pi) ** bits
+    return max(1, int(np.ceil(np.log(MISS) / np.log1p(-min(together, 0.999)))))
+
+
+def _run_counts(classes: DataFrame, passes: int, bits: int, seed: int) -> DataFrame:
+    """(pass, dim, prefix, n): rows of every run of all vectors."""
+    counted = classes.select("dim", "node", "vector").mapInArrow(_keys(passes, bits, seed, counts=True), "pass int, dim int, prefix int, n long")
+    return counted.groupBy("pass", "dim", "prefix").agg(F.sum("n").alias("n"))
+
 
+def _bits_of_least_work(classes: DataFrame, threshold: float, seed: int) -> tuple[int, float]:
+    """(bits, comparisons a row): the length of a run's prefix with the least work, by the runs of all vectors in one pass.
 
-def _keys(passes: int, seed: int):
-    """Rows of (pass, key, id, copies, vector) for every class of equal vectors."""
+    Whatever the length, the passes of ``passes_for`` meet the same share of pairs.
+    """
+    longest = cut(_run_counts(classes, 1, RUN_BITS, seed))
+    lengths = longest.withColumn("bits", F.explode(F.sequence(F.lit(0), F.lit(RUN_BITS))))
+    prefix = F.expr(f"shiftright(prefix, {RUN_BITS} - bits)").alias("prefix")
+    sizes = lengths.groupBy("bits", "dim", prefix).agg(F.sum("n").cast("double").alias("n"))
+    work = {r["bits"]: (r["rows"], r["pairs"]) for r in sizes.groupBy("bits").agg(F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("n")).alias("pairs")).collect()}
+    if not work:
+        return 0, 0.0
+    bits = min(work, key=lambda m: passes_for(m, threshold) * (SHIPPING * work[m][0] + work[m][1]))
+    return bits, work[bits][1] / work[bits][0]
+
+
+def _keys(passes: int, bits: int, seed: int, counts: bool = False):
+    """Rows of (pass, key, prefix, dim, node, vector) for every class of equal vectors, or the number of rows per (pass, dim, prefix)."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         planes: dict[int, np.ndarray] = {}
@@ -110,16 +133,23 @@ def _keys(passes: int, seed: int):
             for dim in sorted(set(batch.column("dim").to_pylist())):
                 part = batch.filter(pa.compute.equal(batch.column("dim"), dim))
                 x = _matrix(part.column("vector"))
-                if dim not in planes:
-                    planes[dim] = np.random.default_rng([seed, dim]).standard_normal((dim, passes * KEY_BITS))
                 width = KEY_BITS // 8
+                if dim not in planes:
+                    drawn = np.random.default_rng([seed, dim])
+                    planes[dim] = [drawn.standard_normal((dim, KEY_BITS)) for _ in range(passes)]
                 for p in range(passes):
-                    keys = np.packbits(x @ planes[dim][:, p * KEY_BITS:(p + 1) * KEY_BITS] > 0, axis=1).tobytes()
-                    key = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(part), [None, pa.py_buffer(keys)])
+                    packed = np.packbits(x @ planes[dim][p] > 0, axis=1)
+                    prefix = (packed[:, :4].copy().view(">u4")[:, 0] >> np.uint32(32 - bits) if bits else np.zeros(len(part))).astype(np.int32)
+                    if counts:
+                        found, n = np.unique(prefix, return_counts=True)
+                        same = [pa.array(np.full(len(found), v, np.int32)) for v in (p, dim)]
+                        yield pa.RecordBatch.from_arrays([*same, pa.array(found), pa.array(n.astype(np.int64))], names=["pass", "dim", "prefix", "n"])
+                        continue
+                    key = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(part), [None, pa.py_buffer(packed.tobytes())])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(part), p, np.int32)), key.cast(pa.binary()), part.column("dim"),
+                        [pa.array(np.full(len(part), p, np.int32)), key.cast(pa.binary()), pa.array(prefix), part.column("dim"),
                          part.column("node"), part.column("vector")],
-                        names=["pass", "key", "dim", "node", "vector"],
+                        names=["pass", "key", "prefix", "dim", "node", "vector"],
                     )
 
     return run
@@ -195,6 +225,22 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[t
         yield last, pa.concat_tables(held)
 
 
+def _compare_chunks(threshold: float):
+    """Links (u, v) of two chunks of a run (or of one with itself): each row's to the first node it is linked with here."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for (*_, i, j), rows in runs(batches, ["pass", "dim", "prefix", "i", "j"]):
+            x, side = _matrix(rows.column("vector")), rows.column("chunk").to_numpy()
+            first, second = np.flatnonzero(side == i), np.flatnonzero(side == j)
+            a, b = np.nonzero(x[first] @ x[second].T >= threshold)
+            root = roots(len(x), first[a], second[b])
+            node, moved = rows.column("node").to_numpy(), np.flatnonzero(root != np.arange(len(x)))
+            if len(moved):
+                yield pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[root[moved]])], names=["u", "v"])
+
+    return run
+
+
 def _count(threshold: float):
     """(node, links): weight of the other chunk's members that each member is linked with."""
 
@@ -227,24 +273,39 @@ def near_vectors(
       smallest key reachable; kept: the row is that one.
     * Vectors that are null, empty, zero or not finite, and vectors of different lengths, link with
       nothing.  Rows with equal vectors are one class with a weight: copies are never expanded.
-    * Each pass sends (pass, hash, vector) through one range shuffle; a range may start between two
-      neighbours, which other passes then compare.  Without ``passes`` and ``window`` they are planned.  Components are counted in pairs of chunks of
-      about CHUNK members, so no task holds a whole component.
+    * Each pass sends (pass, hash, vector) through one range shuffle, which keeps a run together.  A run longer than the window
+      goes in pairs of chunks of about RUN_CHUNK rows instead.  Without ``passes`` the work counted over all rows decides; given
+      ``passes`` fix the bits of a run.  Components are counted in pairs of chunks of about CHUNK members, so no task holds a whole component or run.
     """
     rows = df.select(F.col(key).alias("id"), F.col(vector).alias("vector"))
     good = rows.filter(usable("vector"))
     classes = good.groupBy("vector").agg(F.min("id").alias("node"), F.count("*").alias("copies"))
     classes = cut(classes.filter("node is not null").withColumn("dim", F.size("vector")))
     kind = classes.schema["vector"].dataType.simpleString()
-    if passes is None or window is None:
-        planned = _plan_of(classes, threshold, seed)
-        passes, window = passes or planned[0], window or planned[1]
+    if passes is None:
+        bits, mean_run = _bits_of_least_work(classes, threshold, seed)
+        passes = passes_for(bits, threshold)
+    else:
+        bits = max((m for m in range(RUN_BITS + 1) if passes_for(m, threshold) <= passes), default=0)
+        mean_run = 0.0
+    if window is None:
+        window = next((w for w in WINDOWS if w >= 2 * mean_run), WINDOWS[-1])
+    node = classes.schema["node"].dataType.simpleString()
     keyed = classes.mapInArrow(
-        _keys(passes, seed), f"pass int, key binary, dim int, node {classes.schema['node'].dataType.simpleString()}, vector {kind}"
+        _keys(passes, bits, seed), f"pass int, key binary, prefix int, dim int, node {node}, vector {kind}"
     )
-    ordered = keyed.repartitionByRange("pass", "dim", "key", "node").sortWithinPartitions("pass", "dim", "key", "node")
-    node = classes.schema["node"].dataType.simpleString()
+    run = ["pass", "dim", "prefix"]
+    long_runs = cut(_run_counts(classes, passes, bits, seed).filter(F.col("n") > window))
+    ordered = keyed.join(long_runs, run, "left_anti").select("pass", "key", "prefix", "dim", "node", "vector")
+    ordered = ordered.repartitionByRange(*run).sortWithinPartitions("pass", "dim", "key", "node")
     links = ordered.mapInArrow(_compare(window, threshold), f"u {node}, v {node}")
+    parts = keyed.join(long_runs, run).withColumn("chunks", F.ceil(F.col("n") / RUN_CHUNK).cast("int"))
+    parts = parts.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
+        *run, F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "vector"
+    )
+    parts = parts.repartition(*run, "i", "j").sortWithinPartitions(*run, "i", "j")
+    links = links.union(parts.mapInArrow(_compare_chunks(threshold), f"u {node}, v {node}"))
     groups = cut(components(links))
     sizes = groups.groupBy("component").agg(F.count("*").alias("members"))
     members = classes.join(groups.join(sizes, "component"), "node").withColumn("n", F.ceil(F.col("members") / CHUNK).cast("int"))
