@@ -34,8 +34,9 @@ def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     codes = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
     codes[:len(ranks)] = size - 1
     control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
-    raw = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return control.tobytes(), raw[np.arange(4) < size[:, None]].tobytes()
+    most = int(size.max(initial=1))
+    raw = ranks.astype("<u2" if most <= 2 else "<u4").view(np.uint8).reshape(-1, 2 if most <= 2 else 4)[:, :most]
+    return control.tobytes(), raw[np.arange(most) < size[:, None]].tobytes()
 
 
 def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
@@ -43,7 +44,7 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     start = np.cumsum(size) - size
     raw = np.concatenate((np.frombuffer(data, np.uint8), np.zeros(4, np.uint8))).astype(np.uint32)
     out = raw[start]
-    for k in range(1, 4):
+    for k in range(1, int(size.max(initial=1))):
         out |= np.where(size > k, raw[start + k] << np.uint32(8 * k), np.uint32(0))
     return out
 

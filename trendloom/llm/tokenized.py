@@ -10,7 +10,6 @@ from __future__ import annotations
 import os
 import string
 from array import array
-from itertools import chain, filterfalse
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -50,7 +49,6 @@ class Cached:
         self.direct = all(self._word(w) == self._ids(self.tokenizer.encode(w, add_special_tokens=False).ids) for w in probe)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
 
     @staticmethod
     def _ids(ids: list[int]) -> bytes:
@@ -64,46 +62,8 @@ class Cached:
             word = word.encode().decode("latin-1").translate(BYTE_NAMES)
         return self._ids([t.id for t in self.model.tokenize(word)])
 
-    def _encode_pieces(self, pieces: list[str]) -> None:
-        """Learn the pieces.  A run of marks behind a letter is a word of its own to the tokenizer
-        (but for apostrophes), so most new pieces are a known word and a known run of marks."""
-        if len(self.parts) > ENTRIES:
-            self.parts = {"": b""}
-        halves, wanted, parts = [], {}, self.parts
-        for p in pieces:
-            if self.direct and p.isascii() and (p[1:] if p[:1] == " " else p).isalpha():
-                core = p if self.leading_space else p.lower()
-                ids = parts.get(core)
-                if ids is None:
-                    ids = parts[core] = self._word(core)
-                self.known[p] = ids
-                continue
-            core = p.rstrip(MARKS)
-            if not core or not core[-1].isalpha():
-                core = p
-            rest = p[len(core):]
-            latin = core.isascii() or max(core) < BEHIND_LATIN
-            if latin and not self.leading_space:
-                core = core.lower()
-            ids = parts.get(core)
-            if ids is None:
-                if latin and self.direct and (core[1:] if core[:1] == " " else core).isalpha():
-                    ids = parts[core] = self._word(core)
-                else:
-                    wanted[core] = None
-            tail = parts.get(rest)
-            if tail is None:
-                wanted[rest] = None
-            if ids is None or tail is None:
-                halves.append((p, core, rest))
-            else:
-                self.known[p] = ids + tail
-        self._call(list(wanted))
-        for p, core, rest in halves:
-            self.known[p] = parts[core] + parts[rest]
-
     def _call(self, parts: list[str]) -> None:
-        """Ids of each part from the tokenizer."""
+        """Learn the ids of each part from the tokenizer."""
         plain, odd = [], []
         for p in parts:
             # no white space but a space in front, and no separator
@@ -118,36 +78,52 @@ class Cached:
                 continue
             raw = ids.tobytes()
             for x, start, end in zip(part, [0, *(2 * e + 2 for e in ends)], [*(2 * e for e in ends), len(raw)]):
-                self.parts[x] = raw[start:end]
+                self.known[x] = raw[start:end]
         for x, found in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
-            self.parts[x] = self._ids(found.ids)
-
-    def _learn(self, parts: list[list[str]]) -> None:
-        """Put every piece of ``parts`` into the younger generation."""
-        if len(self.known) > ENTRIES:
-            self.known, self.older = {}, self.known
-        new = set(filterfalse(self.known.__contains__, chain.from_iterable(parts)))
-        if self.older and new:
-            again = new.intersection(self.older)
-            self.known.update((p, self.older[p]) for p in again)
-            new -= again
-        if new:
-            self._encode_pieces(list(new))
+            self.known[x] = self._ids(found.ids)
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Put new pieces into the younger generation.  A run of marks behind a letter is a word of its own to
+        the tokenizer (but for apostrophes), so a piece with marks is a word and a run of marks, both pieces too."""
+        known, older, halves, wanted = self.known, self.older, [], {}
+        for p in pieces:
+            ids = older.get(p)
+            if ids is not None:
+                known[p] = ids
+                continue
+            core = p.rstrip(MARKS)
+            if not core or not core[-1].isalpha():
+                core = p
+            rest = p[len(core):]
+            latin = core.isascii() or max(core) < BEHIND_LATIN
+            if latin and not self.leading_space:
+                core = core.lower()
+            if core not in known:
+                ids = older.get(core)
+                if ids is None and latin and self.direct and (core[1:] if core[:1] == " " else core).isalpha():
+                    ids = self._word(core)
+                if ids is None:
+                    wanted[core] = None
+                else:
+                    known[core] = ids
+            if rest and rest not in known:
+                if rest in older:
+                    known[rest] = older[rest]
+                else:
+                    wanted[rest] = None
+            if core != p:
+                halves.append((p, core, rest))
+        self._call(list(wanted))
+        for p, core, rest in halves:
+            known[p] = known[core] + known[rest] if rest else known[core]
 
     def pieces(self, text: str) -> list[str]:
         """Parts whose ids, put in a row, are the text's ids."""
         if not self.leading_space:
             return list(filter(None, text.replace("\n", " ").split(" ")))
-        if text.split() != text.replace("\n", " ").split(" "):
+        if "\0" in text or " ".join(text.split()) != text.replace("\n", " "):
             return self._irregular(text)
-        found: list[str] = []
-        for line in text.split("\n"):
-            first, *others = line.split(" ")
-            found.append(first)
-            found.extend(map(" ".__add__, others))
-            found.append("\n")
-        found.pop()
-        return found
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
     @staticmethod
     def _irregular(text: str) -> list[str]:
@@ -166,7 +142,12 @@ class Cached:
         """Ids of each text; None has none."""
         out = []
         for at in range(0, len(texts), AT_ONCE):
+            if len(self.known) > ENTRIES:
+                self.known, self.older = {}, self.known
+            known = self.known
             parts = [self.pieces(t) if t else [] for t in texts[at:at + AT_ONCE]]
-            self._learn(parts)
-            out.extend(b"".join(map(self.known.__getitem__, part)) for part in parts)
+            found = [list(map(known.get, part)) for part in parts]  # each occurrence is looked up once
+            self._learn({p for part, ids in zip(parts, found) if None in ids for p, x in zip(part, ids) if x is None})
+            for part, ids in zip(parts, found):
+                out.append(b"".join([known[p] if x is None else x for p, x in zip(part, ids)] if None in ids else ids))
         return out
