@@ -25,6 +25,35 @@ def test_counts_equal_the_terms_cut_one_by_one(spark):
         assert counted(got, "x") == {r["i"]: dict(Counter(r["x"])) for r in plain.collect()}
 
 
+def test_statistics_are_summed_per_slice(spark, monkeypatch):
+    df = spark.createDataFrame(list(enumerate(TEXTS * 3)), "i int, t string").repartition(2)
+    monkeypatch.setattr(features, "CUT_WORDS", 7)
+    monkeypatch.setattr(features, "TERMS_A_BATCH", 5)
+    words = df.select(X.feature_words(F.col("t")).alias("x"))
+    pieces = df.select(X.spaced_words(F.col("t")).alias("x"))
+    for got, lists in (
+        (features.word_ngram_statistics(words, "x", 1, 2), features.count_word_ngrams(words, "x", 1, 2)),
+        (features.char_ngram_statistics(pieces, "x", 3, 5), features.count_char_ngrams(pieces, "x", 3, 5)),
+    ):
+        assert {tuple(r) for r in got.collect()} == {tuple(r) for r in features.term_statistics(lists, "x").collect()}
+        assert got.schema.simpleString() == features.term_statistics(lists, "x").schema.simpleString()
+
+
+def test_a_large_table_is_spread_over_more_tasks_than_cores(spark):
+    from trendloom.catalog.bindings import spread
+
+    rows = spark.range(100)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        assert spread(rows, "id").rdd.getNumPartitions() == 40
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        assert spread(rows, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_a_task_works_on_a_bounded_number_of_values(spark, monkeypatch):
     monkeypatch.setattr(features, "SLICE_VALUES", 10)
     lists = pa.array([["w"] * n for n in (3, 3, 3, 3, 0, 40, 1)] + [None])

@@ -282,10 +282,10 @@ grams AS (
 SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM grams GROUP BY term""",
 )
 def word_ngram_counts(spark, sf_dir):
-    from trendloom.operators.features import count_word_ngrams, term_statistics
+    from trendloom.operators.features import word_ngram_statistics
 
     docs = texts(spark, sf_dir).select(X.feature_words(F.col("text")).alias("terms"))
-    return term_statistics(count_word_ngrams(docs, "terms", 1, 2), "terms")
+    return word_ngram_statistics(docs, "terms", 1, 2)
 
 
 @query(
@@ -305,10 +305,10 @@ WITH words AS (
 SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM grams GROUP BY term""",
 )
 def char_ngram_counts(spark, sf_dir):
-    from trendloom.operators.features import count_char_ngrams, term_statistics
+    from trendloom.operators.features import char_ngram_statistics
 
     docs = texts(spark, sf_dir).select(X.spaced_words(F.col("text")).alias("terms"))
-    return term_statistics(count_char_ngrams(docs, "terms", 3, 5), "terms")
+    return char_ngram_statistics(docs, "terms", 3, 5)
 
 
 # --- keys, sizes, JSON -----------------------------------------------------------------------

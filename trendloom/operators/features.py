@@ -33,15 +33,18 @@ class VectorizerConfig:
 
 COUNTED = "array<struct<term:string,n:int>>"
 SLICE_VALUES = 1 << 17  # words or terms that a task works on at once
+TERMS_A_BATCH = 1 << 15
+CUT_WORDS = 1 << 15  # words that a task cuts into characters at once: each has some twenty n-grams
 
 
-def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with at most ``SLICE_VALUES`` values in the lists of ``column``; a longer list is alone."""
+def _slices(batch: pa.RecordBatch, column: str, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with at most ``most`` (``SLICE_VALUES``) values in the lists of ``column``; a longer list is alone."""
+    most = most or SLICE_VALUES
     ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     begin = 0
     while begin < len(batch):
         before = int(ends[begin - 1]) if begin else 0
-        end = max(begin + 1, int(np.searchsorted(ends, before + SLICE_VALUES, "right")))
+        end = max(begin + 1, int(np.searchsorted(ends, before + most, "right")))
         yield batch.slice(begin, end - begin)
         begin = end
 
@@ -133,35 +136,58 @@ def _inside_words(lo: int, hi: int) -> Grams:
     return grams
 
 
-def _counts(df: DataFrame, column: str, grams: Grams) -> DataFrame:
+def _cut_up(lists: pa.ListArray, grams: Grams) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Row, term number and occurrences of the distinct terms of every row, by row, and the terms."""
+    row, flat = _flat(lists)
+    known = flat.is_valid()
+    coded = flat.filter(known).dictionary_encode()
+    words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    row, code, n, terms = grams(row[known.to_numpy(zero_copy_only=False)], words, coded.dictionary)
+    size = max(1, len(terms))
+    if n is None:
+        pairs, n = np.unique(row * size + code, return_counts=True)
+    else:
+        key = row * size + code
+        order = np.argsort(key)
+        key = key[order]
+        edges = np.flatnonzero(np.diff(key, prepend=-1))
+        pairs, n = key[edges], np.add.reduceat(n[order], edges) if len(edges) else n
+    return pairs // size, pairs % size, n, terms
+
+
+def _counts(df: DataFrame, column: str, grams: Grams, most: int | None = None) -> DataFrame:
     """``df`` with the lists of strings in ``column`` replaced by their distinct terms and counts."""
     names = df.columns
     schema = df.withColumn(column, F.lit(None).cast(COUNTED)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch, column):
-                row, flat = _flat(part.column(column))
-                known = flat.is_valid()
-                coded = flat.filter(known).dictionary_encode()
-                words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-                row, code, n, terms = grams(row[known.to_numpy(zero_copy_only=False)], words, coded.dictionary)
-                size = max(1, len(terms))
-                if n is None:
-                    pairs, n = np.unique(row * size + code, return_counts=True)
-                else:
-                    key = row * size + code
-                    order = np.argsort(key)
-                    key = key[order]
-                    edges = np.flatnonzero(np.diff(key, prepend=-1))
-                    pairs, n = key[edges], np.add.reduceat(n[order], edges) if len(edges) else n
-                counted = pa.StructArray.from_arrays([terms.take(pa.array(pairs % size)), pa.array(n.astype(np.int32))], ["term", "n"])
-                found = _lists(pairs // size, len(part), counted)
+            for part in _slices(batch, column, most):
+                row, code, n, terms = _cut_up(part.column(column), grams)
+                counted = pa.StructArray.from_arrays([terms.take(pa.array(code)), pa.array(n.astype(np.int32))], ["term", "n"])
+                found = _lists(row, len(part), counted)
                 yield pa.RecordBatch.from_arrays([found if c == column else part.column(c) for c in names], names)
 
     return df.mapInArrow(run, schema)
 
 
+def _statistics(df: DataFrame, column: str, grams: Grams, most: int | None = None) -> DataFrame:
+    """``term_statistics`` of the lists of strings in ``column``, summed slice by slice before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch, column, most):
+                _, code, n, terms = _cut_up(part.column(column), grams)
+                total = np.bincount(code, n, len(terms)).astype(np.int64)  # exact: a slice has fewer than 2**53 occurrences
+                docs = np.bincount(code, minlength=len(terms))
+                for at in range(0, len(terms), TERMS_A_BATCH):
+                    own = slice(at, at + TERMS_A_BATCH)
+                    yield pa.RecordBatch.from_arrays([terms[own], pa.array(total[own]), pa.array(docs[own])], ["term", "n", "docs"])
+
+    found = df.select(column).mapInArrow(run, "term string, n bigint, docs bigint").filter("docs > 0")
+    return found.groupBy("term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+
+
 def count_terms(df: DataFrame, terms: str) -> DataFrame:
     """``df`` with the array of strings ``terms`` replaced by its distinct terms and their counts.
 
@@ -178,7 +204,17 @@ def count_word_ngrams(df: DataFrame, words: str, lo: int, hi: int) -> DataFrame:
 
 def count_char_ngrams(df: DataFrame, words: str, lo: int, hi: int) -> DataFrame:
     """``df`` with the words of a text replaced by the counts of the character n-grams inside them."""
-    return _counts(df, words, _inside_words(lo, hi))
+    return _counts(df, words, _inside_words(lo, hi), CUT_WORDS)
+
+
+def word_ngram_statistics(df: DataFrame, words: str, lo: int, hi: int) -> DataFrame:
+    """``term_statistics`` of the runs of ``lo..hi`` words, without a list of terms per row."""
+    return _statistics(df, words, _runs(lo, hi))
+
+
+def char_ngram_statistics(df: DataFrame, words: str, lo: int, hi: int) -> DataFrame:
+    """``term_statistics`` of the character n-grams inside words, without a list of terms per row."""
+    return _statistics(df, words, _inside_words(lo, hi), CUT_WORDS)
 
 
 def _counted(df: DataFrame, terms: str) -> DataFrame:
@@ -242,11 +278,11 @@ class TermBlock:
         """Counted or plain terms replaced by ``_at`` and ``_w``: numbers of the known terms, ascending, and their TF-IDF weights."""
         counted = _counted(df, terms)
         others = [c for c in df.columns if c != terms]
-        shared = df.sparkSession.sparkContext.broadcast((self.terms, self.idf))
+        shared = df.sparkSession.sparkContext.broadcast(_looked_up(self))
         schema = counted.select(*others, F.lit(None).cast("array<int>").alias("_at"), F.lit(None).cast("array<double>").alias("_w")).schema
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, idf = _looked_up(shared.value)
+            known, idf = shared.value
             for batch in batches:
                 for part in _slices(batch, terms):
                     row, at, w = _unit_weights(part.column(terms), known, idf)
@@ -264,9 +300,9 @@ class TermBlock:
         return _vectors(_counted(df, terms), [(self, terms)], output)
 
 
-def _looked_up(block: tuple[list[str], list[float]]) -> tuple[pa.Array, np.ndarray]:
-    terms, idf = block
-    return pa.array(terms, pa.string()), np.array(idf if idf else [0.0])
+def _looked_up(block: TermBlock) -> tuple[pa.Array, np.ndarray]:
+    """Terms and inverse frequencies as the tasks get them: two arrays, no object a term."""
+    return pa.array(block.terms, pa.string()), np.array(block.idf if block.idf else [0.0])
 
 
 def _unit_weights(lists: pa.ListArray, known: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -286,12 +322,12 @@ def _vectors(df: DataFrame, blocks: list[tuple[TermBlock, str]], output: str) ->
     """The columns of counted terms of ``blocks`` replaced by one sparse vector, block behind block."""
     used = [c for _, c in blocks]
     others = [c for c in df.columns if c not in used]
-    shared = df.sparkSession.sparkContext.broadcast([(b.terms, b.idf) for b, _ in blocks])
+    shared = df.sparkSession.sparkContext.broadcast([_looked_up(b) for b, _ in blocks])
     widths = [max(1, len(b.terms)) for b, _ in blocks]
     schema = StructType([*(df.schema[c] for c in others), StructField(output, VectorUDT())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [_looked_up(b) for b in shared.value]
+        tables = shared.value
         for batch in batches:
             for part in _slices(batch, used[-1]):
                 found = [_unit_weights(part.column(c), *t) for c, t in zip(used, tables)]
