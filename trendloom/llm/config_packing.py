@@ -173,6 +173,7 @@ def pack_texts(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "
     places = Places.of(solve(histogram, capacity))
     before = running_offsets(counts, ["length"], "part", "n", "before").drop("n")
 
+    @tidy
     def place(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             length = batch.column("length").to_numpy()

@@ -112,12 +112,14 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     size = len(FEATURES)
     kind = docs.schema[key].dataType.simpleString()
 
+    @tidy
     def features(batches: Iterator[pa.RecordBatch]):
         for batch in small(batches):
             x = _features(utf8(batch.column(1)))
             values = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), size).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), values], names=["id", "x"])
 
+    @tidy
     def moments(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             train = np.array([fold(k, FOLDS) != HELD for k in batch.column("id").to_pylist()], bool)

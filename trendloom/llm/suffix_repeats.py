@@ -262,9 +262,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", kept:
     )
     leaves = cut(leaves)
     tree = leaves.repartitionByRange("a", "b", "c").sortWithinPartitions("a", "b", "c")
-    nodes = tree.mapInArrow(_deep_nodes, "block long, a long, b long, c long, low long").mapInArrow(
-        _named, "block long, name long, low long"
-    )
+    nodes = tree.mapInArrow(_named_nodes, "block long, name long, low long")
     repeats = nodes.groupBy("block").agg(F.collect_list(F.struct("name", "low")).alias("repeats"))
 
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -275,8 +273,10 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", kept:
     return ready.mapInArrow(_removal(key, text, kept, to_arrow_schema(out)), out)
 
 
-def _named(batches: Iterator[pa.RecordBatch]):
-    for batch in batches:
+@tidy
+def _named_nodes(batches: Iterator[pa.RecordBatch]):
+    """``_deep_nodes`` with the name of each node, in one worker."""
+    for batch in _deep_nodes(batches):
         labels = [batch.column(c).to_numpy().view(np.uint64) for c in ("a", "b", "c")]
         yield pa.RecordBatch.from_arrays(
             [batch.column("block"), pa.array(_name(labels).view(np.int64)), batch.column("low")], names=["block", "name", "low"]

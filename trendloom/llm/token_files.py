@@ -64,6 +64,7 @@ def token_ids(df: DataFrame, key: str, text: str, tokenizer: str, leading_space:
     return df.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, ids binary")
 
 
+@tidy
 def _frequencies(batches: Iterator[pa.RecordBatch]):
     counts = np.zeros(1 << 16, np.int64)
     for batch in batches:

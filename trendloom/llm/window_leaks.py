@@ -234,6 +234,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_key:
     """The rows of ``docs`` that leak no item, as they are."""
     for index in indexes(items, item_key, item_text):
 
+        @tidy
         def clean(batches: Iterator[pa.RecordBatch], index=index):
             for part in small(batches):
                 yield part.filter(pa.array([not hits for hits in index.leaks(utf8(part.column(text)))], pa.bool_()))
