@@ -1,4 +1,5 @@
 import json
+import os
 import sys
 from functools import reduce
 
@@ -215,6 +216,21 @@ def test_cache_is_read_by_folder_and_compacted(spark, tmp_path):
     assert tables.compact_cache(spark, path, files_per_bucket=2) == 0
 
 
+def test_compaction_sends_the_labels_once(spark, tmp_path):
+    """The rows go to the task that writes their folder; nothing is written beside the cache."""
+    from trendloom.session import checkpoint_dir
+
+    path, scratch = str(tmp_path / "cache"), checkpoint_dir(spark)
+    label = F.lit(None).cast(L.LABEL_TYPE).alias("label")
+    for n in range(3):
+        tables.append_cache(spark.range(300).select(F.concat(F.lit("k"), "id").alias("k"), label), path)
+    before = sorted(os.listdir(scratch))
+    assert tables.compact_cache(spark, path, files_per_bucket=1) > 100
+    assert sorted(os.listdir(scratch)) == before
+    assert tables.cache_rows(spark, path).count() == 300
+    assert tables.compact_cache(spark, path, files_per_bucket=1) == 0
+
+
 def test_cache_keeps_the_last_write(spark, tmp_path):
     path = str(tmp_path / "cache")
     assert tables.read_cache(spark, path).isEmpty()

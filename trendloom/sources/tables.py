@@ -12,7 +12,7 @@ from trendloom.functions.labels import LABEL_TYPE
 from trendloom.operators.labelling import latest_labels
 from trendloom.operators.prepare import all_objects_as_text, review_sheet
 from trendloom.operators.ordering import union_all
-from trendloom.session import cut_lineage, delete, exists
+from trendloom.session import delete, exists
 from trendloom.sources import versions
 from trendloom.sources.tickets import exists_or_none
 
@@ -201,8 +201,10 @@ def compact_cache(spark: SparkSession, path: str, files_per_bucket: int = FILES_
     if not old:
         return 0
     writes = spark.read.schema(CACHE_TYPE).option("basePath", path).parquet(*old)
+    # A key's writes lie in one folder, so the rows go once to the task that writes it and are reduced and sorted there.
     last = F.max_by(F.struct("v", "created_at", "seq"), F.struct("created_at", "seq")).alias("w")
-    _append_writes(cut_lineage(writes.groupBy("k").agg(last)).select("k", "w.v", "w.created_at", "w.seq"), path)
+    kept = writes.repartition("bucket").groupBy("bucket", "k").agg(last).sortWithinPartitions("bucket", "k")
+    kept.select("k", "w.v", "w.created_at", "w.seq", "bucket").write.mode("append").partitionBy("bucket").parquet(path)
     for file in old:
         delete(spark, file)
     return sum(len(files) > files_per_bucket for files in by_bucket.values())
