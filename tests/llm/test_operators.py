@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -370,6 +371,30 @@ def test_words_of_latin_letters_skip_the_library_and_keep_its_ids(name, leading_
     assert not {"onbleeaea", "Onbleeaea", " reoranat", "reoranat", "na\xefve", " na\xefve"} & set(asked)
 
 
+@pytest.mark.parametrize("name, leading_space", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_a_piece_is_asked_for_once_among_many_texts(name, leading_space, monkeypatch):
+    path = public_tokenizers.path(name)
+    plain = Tokenizer.from_file(path)
+    texts = [None, "", "\u0130, \u0130.", "a  b\n", "nul\0 byte", *["Zxqor, zxqor!! tri\nZxqor. 12-7 zxqor"] * 50, "zxqor\tzxqor"]
+    table = tokenized.Cached(path, leading_space)
+    given, learn = [], table._learn
+    monkeypatch.setattr(table, "_learn", lambda parts: (given.extend(parts), learn(parts))[1])
+    column = pa.array(["cut away", *texts], pa.string())[1:]
+    for text, raw in zip(texts, table.encode_column(column).to_pylist()):
+        assert np.frombuffer(raw, "<u2").tolist() == plain.encode(text or "", add_special_tokens=False).ids
+    assert given.count(" zxqor" if leading_space else "zxqor") <= 2  # of regular texts, and of the others
+    assert len(table.encode_column(column[:0])) == 0
+
+
+def test_ranks_of_neighbouring_documents():
+    rnd = np.random.default_rng(4)
+    docs = [rnd.integers(0, 1 << int(rnd.integers(1, 33)), n, dtype=np.uint64).astype(np.uint32) for n in (5, 0, 1, 4, 3, 260, 2, 0)]
+    edges = np.cumsum([0, *map(len, docs)])
+    control, data = token_files.encode_documents(np.concatenate(docs), edges)
+    assert [(c.as_py(), d.as_py()) for c, d in zip(control, data)] == [token_files.encode_ranks(d) for d in docs]
+    assert token_files.decode_documents(control[2:], data[2:], np.diff(edges)[2:]).tolist() == np.concatenate(docs[2:]).tolist()
+
+
 def test_ranks_of_one_to_four_bytes():
     ranks = np.array([0, 255, 256, 65535, 65536, 1 << 24, 7], np.uint32)
     assert token_files.decode_ranks(*token_files.encode_ranks(ranks), len(ranks)).tolist() == ranks.tolist()

@@ -7,7 +7,9 @@ import sys
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -65,6 +67,24 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Rec
             yield batch.slice(at, rows)
 
 
+def offsets(items: pa.StringArray | pa.BinaryArray) -> np.ndarray:
+    """Where each item's bytes start in their buffer, and where the last one's end."""
+    if not len(items):
+        return np.zeros(1, np.int32)
+    return np.frombuffer(items.buffers()[1], np.int32)[items.offset:items.offset + len(items) + 1]
+
+
+def sized(batches: Iterator[pa.RecordBatch], text: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of at most ``limit`` bytes in the column of number ``text`` (one longer row stands alone)."""
+    for batch in batches:
+        ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_numpy(), dtype=np.int64)
+        at = 0
+        while at < len(batch):
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 # --- memory of a worker ---------------------------------------------------------------------------
 
 def release() -> None:

@@ -16,39 +16,78 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import drop, running_offsets, save, small, tidy
-from trendloom.llm.tokenized import Cached
+from trendloom.llm.common import drop, offsets, running_offsets, save, sized, small, tidy
+from trendloom.llm.tokenized import AT_ONCE, Cached
 
 END_ID = 2
 # Fixed by the format: bytes of each of the four ids of a control byte.
 SIZES = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 
 
-def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """(control bytes, data bytes) of one document's ranks."""
-    size = 1 + (ranks > 0xFF) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    codes = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
-    codes[:len(ranks)] = size - 1
-    control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
+def encode_documents(ranks: np.ndarray, edges: np.ndarray) -> tuple[pa.BinaryArray, pa.BinaryArray]:
+    """(control bytes, data bytes) of each document's ranks, which begin and end at ``edges``."""
+    size = 1 + (ranks > 0xFF).astype(np.uint8)
+    for limit in (0xFFFF, 0xFFFFFF):
+        size += ranks > limit
+    n = np.diff(edges)
+    last = np.cumsum(-(-n // 4))
+    codes = np.zeros(4 * int(last[-1]) if len(n) else 0, np.uint8)
+    codes[_filled(n, last)] = size - 1
+    codes = codes.reshape(-1, 4)
+    control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
     most = int(size.max(initial=1))
     raw = ranks.astype("<u2" if most <= 2 else "<u4").view(np.uint8).reshape(-1, 2 if most <= 2 else 4)[:, :most]
-    return control.tobytes(), raw[np.arange(most) < size[:, None]].tobytes()
+    data = raw[np.arange(most) < size[:, None]]
+    return _binary(np.concatenate(([0], last)), control), _binary(np.concatenate(([0], np.cumsum(size, dtype=np.int64)))[edges], data)
 
 
-def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
-    size = SIZES[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
+def decode_documents(control: pa.BinaryArray, data: pa.BinaryArray, n: np.ndarray) -> np.ndarray:
+    """Ranks of neighbouring documents in a row; ``n``: how many each has."""
+    bounds = offsets(control)
+    size = SIZES[_bytes(control)].reshape(-1)[_filled(n, bounds[1:] - bounds[0])]
     start = np.cumsum(size) - size
-    raw = np.concatenate((np.frombuffer(data, np.uint8), np.zeros(4, np.uint8))).astype(np.uint32)
-    out = raw[start]
+    raw = np.concatenate((_bytes(data), np.zeros(4, np.uint8)))
+    out = raw[start].astype(np.uint32)
     for k in range(1, int(size.max(initial=1))):
-        out |= np.where(size > k, raw[start + k] << np.uint32(8 * k), np.uint32(0))
+        out |= np.where(size > k, raw[start + k], np.uint8(0)).astype(np.uint32) << np.uint32(8 * k)
     return out
 
 
+def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
+    """(control bytes, data bytes) of one document's ranks."""
+    control, data = encode_documents(ranks, np.array([0, len(ranks)]))
+    return control[0].as_py(), data[0].as_py()
+
+
+def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
+    return decode_documents(pa.array([control], pa.binary()), pa.array([data], pa.binary()), np.array([n]))
+
+
+def _filled(n: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Which of the four places of each control byte are taken; a document's control bytes end at ``last``."""
+    filled = np.ones(4 * int(last[-1]) if len(last) else 0, bool)
+    for k in range(1, 4):
+        filled[4 * last[-n % 4 >= k] - k] = False
+    return filled
+
+
+def _bytes(items: pa.BinaryArray) -> np.ndarray:
+    bounds = offsets(items)
+    data = items.buffers()[2]
+    return np.frombuffer(data, np.uint8)[bounds[0]:bounds[-1]] if data is not None and data.size else np.zeros(0, np.uint8)
+
+
+def _binary(edges: np.ndarray, data: np.ndarray) -> pa.BinaryArray:
+    return pa.BinaryArray.from_buffers(
+        pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))]
+    )
+
+
 def token_ids(df: DataFrame, key: str, text: str, tokenizer: str, leading_space: bool, end_id: int) -> DataFrame:
     """(id, ids): ids of every whole text as little-endian 16-bit integers, then the end id."""
     kind = df.schema[key].dataType.simpleString()
@@ -56,10 +95,10 @@ def token_ids(df: DataFrame, key: str, text: str, tokenizer: str, leading_space:
     @tidy
     def run(batches: Iterator[pa.RecordBatch]):
         table = Cached(tokenizer, leading_space)
-        end = end_id.to_bytes(2, "little")
-        for batch in small(batches):
-            ids = [x + end for x in table.encode(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["id", "ids"])
+        end = pa.scalar(end_id.to_bytes(2, "little"))
+        for batch in sized(batches, 1, AT_ONCE):
+            ids = pc.binary_join_element_wise(table.encode_column(batch.column(1)), end, b"")
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["id", "ids"])
 
     return df.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, ids binary")
 
@@ -78,14 +117,14 @@ def _encode(rank_of: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]):
         part, before = TaskContext.get().partitionId(), 0
         for batch in small(batches):
-            docs = [np.frombuffer(x, "<u2") for x in batch.column("ids").to_pylist()]
-            n = np.array([len(d) for d in docs], np.int64)
-            coded = [encode_ranks(rank_of[d]) for d in docs]
-            starts = before + np.cumsum(n) - n
-            before += int(n.sum())
+            ids = batch.column("ids")
+            edges = offsets(ids).astype(np.int64) // 2  # of ids of two bytes each
+            edges -= edges[0]
+            starts, n = before + edges[:-1], np.diff(edges)
+            before += int(edges[-1])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(n), part, np.int32)), batch.column("id"), pa.array(starts), pa.array(n),
-                 pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary())],
+                 *encode_documents(rank_of[_bytes(ids).view("<u2")], edges)],
                 names=["part", "id", "before", "n", "control", "data"],
             )
 
@@ -131,10 +170,9 @@ def read_ids(spark: SparkSession, path: str, reduce=None, schema: str = "ids bin
     @tidy
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in small(batches):
-            rows = [
-                reduce(token_of[decode_ranks(c, d, n)])
-                for c, d, n in zip(*(batch.column(x).to_pylist() for x in ("control", "data", "n")))
-            ]
+            n = batch.column("n").to_numpy()
+            ids, edges = token_of[decode_documents(batch.column("control"), batch.column("data"), n)], np.cumsum([0, *n])
+            rows = [reduce(ids[start:end]) for start, end in zip(edges[:-1].tolist(), edges[1:].tolist())]
             extra = [pa.array(list(x)) for x in zip(*rows)] if rows else [pa.array([])] * len(names)
             if rows:
                 yield pa.RecordBatch.from_arrays(
