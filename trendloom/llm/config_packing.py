@@ -24,8 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import running_offsets, save, small, tidy
-from trendloom.llm.tokenized import Cached
+from trendloom.llm.common import running_offsets, save, sized, tidy
+from trendloom.llm.tokenized import AT_ONCE, Cached
 
 CAPACITY = 2048
 END_ID = 0
@@ -134,10 +134,10 @@ def _cut(kind: pa.DataType, tokenizer: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]):
         table, end = Cached(tokenizer, False), end_id.to_bytes(2, "little")
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in small(batches):
+        for batch in sized(batches, 1, AT_ONCE):
             keys = batch.column(0).to_pylist()
             columns = [[], [], [], [], [], []]
-            for key, raw in zip(keys, table.encode(batch.column(1).to_pylist())):
+            for key, raw in zip(keys, table.encode_column(batch.column(1)).to_pylist()):
                 ids = np.frombuffer(raw + end, "<u2").astype("<u4")
                 for piece, start in enumerate(range(0, len(ids), capacity)):
                     own = ids[start:start + capacity]
