@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 from tokenizers import Tokenizer
 
 from trendloom.llm import (
@@ -272,6 +273,25 @@ def test_repeats(docs, texts, empty):
     assert suffix_repeats.remove_repeats(empty).isEmpty()
 
 
+def test_blocks_of_repeats_are_small(spark, monkeypatch):
+    sizes, write = [], suffix_repeats.write_blocks
+    monkeypatch.setattr(suffix_repeats, "write_blocks", lambda *a: (sizes.append(write(*a)), sizes[-1])[1])
+    docs = spark.createDataFrame([(i, f"w{i} " * 20_000) for i in range(60)], "doc_id long, text string").coalesce(1)
+    suffix_repeats.remove_repeats(docs)
+    rows = [suffix_repeats.unpack(r.payload) for r in sizes[0].collect()]
+    assert sum(map(len, rows)) == 60 and max(sum(map(len, r.column("text").to_pylist())) for r in rows) <= 1 << 20
+
+
+def test_the_classifier_is_fitted_with_one_python_step_a_stage(spark, monkeypatch):
+    plans = []
+    collect = DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda df: (plans.append(df._jdf.queryExecution().toString()), collect(df))[1])
+    docs = spark.createDataFrame([(i, f"word {i} and more") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    quadratic_quality.fit(docs, labels)
+    assert "SortMergeJoin" in plans[0] and "BroadcastHashJoin" not in plans[0]
+
+
 def test_repeats_of_rows_without_a_key_and_of_rows_of_one_key(spark):
     t, u, v = (" ".join(f"{p}{i}" for i in range(60)) for p in "tuv")
     schema = "doc_id bigint, text string"

@@ -137,7 +137,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         F.col(key).alias("id"), F.col(label).cast("int").alias("y")
     )
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(features, f"id {kind}, x array<double>")
-    found = rows.join(known, "id").select("id", "x", "y").mapInArrow(moments, "y int, at int, value double")
+    # the same join at every size: behind a broadcast both functions would run in one task, with a worker each
+    found = rows.join(known.hint("merge"), "id").select("id", "x", "y").mapInArrow(moments, "y int, at int, value double")
     flat = np.zeros((2, 1 + size + size * size))
     for y, at, value in found.groupBy("y", "at").agg(F.sum("value")).collect():  # a fixed number of rows
         flat[y, at] = value

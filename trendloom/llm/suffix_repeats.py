@@ -29,6 +29,7 @@ from trendloom.llm.common import LAST_ID, cut, tidy, unpack, utf8, write_blocks
 WINDOW = 50
 ANCHOR = 32
 LABELS = (0, 16, 32, 50)  # depths at which a suffix is labelled
+BLOCK_BYTES = 1 << 20  # of text; what a worker holds for a block is some thirty times as much (measured at 4 MB)
 
 
 def _ids(rows: pa.Table, key: str) -> np.ndarray:
@@ -245,7 +246,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", kept:
     for c in ("n_words", "n_removed", result):
         if c.lower() in {x.lower() for x in df.columns}:
             raise ValueError(f"the input has a column named {c}")
-    blocks = write_blocks(df, text)
+    blocks = write_blocks(df, text, BLOCK_BYTES)
     facts = cut(blocks.mapInArrow(_anchors(key, text), "block long, kind int, value long, low long, high long"))
     # texts that occur more than once: all rows but the first
     same = facts.filter("kind = 1").select("block", F.col("value").alias("hash"), F.col("low").alias("id"))
