@@ -254,6 +254,13 @@ def test_golay_keys_find_every_pair_within_three_bits(spark):
 
 # --- 5 -----------------------------------------------------------------------------------------
 
+def test_golay_keys_are_not_broadcast(spark):
+    """Spark sizes the keys like the classes, though there are seventy times as many."""
+    classes = spark.range(2000).selectExpr("id node", "xxhash64(id) fp")
+    plan = golay_simhash.close_pairs(classes)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_repeats(docs, texts, empty):
     first = {}
     split = {i: words(t) for i, t in texts.items()}

@@ -144,14 +144,18 @@ def _emit(probe: bool):
 
 
 def close_pairs(classes: DataFrame) -> DataFrame:
-    """(u, v): nodes of ``classes`` (node, fp; fp unique) whose fingerprints differ in 1 to 3 bits."""
+    """(u, v): nodes of ``classes`` (node, fp; fp unique) whose fingerprints differ in 1 to 3 bits.
+
+    The keys, some seventy rows a class, are joined by merge at every size: Spark takes them for as small as the classes
+    and would send them whole through the driver.
+    """
     kind = classes.schema["node"].dataType.simpleString()
     schema = f"key long, node {kind}, fp long"
     source = classes.select("node", "fp")
     home = source.mapInArrow(_emit(False), schema)
     probe = source.mapInArrow(_emit(True), schema).select("key", F.col("node").alias("other"), F.col("fp").alias("fp2"))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= RADIUS
-    met = home.join(probe, (home["key"] == probe["key"]) & (F.col("fp") < F.col("fp2")) & near)
+    met = home.join(probe.hint("merge"), (home["key"] == probe["key"]) & (F.col("fp") < F.col("fp2")) & near)
     return met.select(F.col("node").alias("u"), F.col("other").alias("v"))
 
 
