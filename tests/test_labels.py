@@ -245,3 +245,19 @@ def test_cache_keeps_the_last_write(spark, tmp_path):
 def test_empty_input(spark):
     none = payloads(spark, ["x"]).filter("false")
     assert labelling.label_payloads(none, lambda b: "[]", cfg=LabelConfig()).count() == 0
+
+
+def test_an_empty_dialog_is_labelled_like_any_other(spark):
+    out = labelling.label_payloads(payloads(spark, ["", "text"]), lambda b: json.dumps([answer(_batch_index=i) for i, _ in enumerate(b)])).collect()
+    assert {(r["k"], r["label"]["short_summary"], r["label"]["confidence"], r["error"]) for r in out} == {("k0", "", 0.9, None), ("k1", "text", 0.9, None)}
+
+
+def test_labels_of_null_and_empty_columns(spark, tmp_path):
+    from trendloom.catalog.label_queries import labels_after_repair, labels_from_function
+
+    rows = [(1, "", "src1", "en"), (2, None, "src1", "en"), (3, "schü", None, "de"), (4, "schü", "src1", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    for query in (labels_from_function, labels_after_repair):
+        out = {r["k"]: r for r in query(spark, str(tmp_path)).collect()}
+        assert [(out[k]["short_summary"], out[k]["is_complaint"], out[k]["confidence"], out[k]["notes"]) for k in "1234"] == [
+            ("", False, 0.75, None), ("", False, 0.75, None), ("schü", True, 0.75, None), ("schü", True, 0.75, None)]

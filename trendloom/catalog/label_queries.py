@@ -372,13 +372,14 @@ def cache_after_labelling(spark, sf_dir):
 
 def payload_rows(spark, sf_dir):
     body = F.to_json(
-        F.struct(F.col("text").alias("full_dialog_text"), F.col("source").alias("product"), F.col("lang").alias("channel"))
+        F.struct(F.col("text").alias("full_dialog_text"), F.col("source").alias("product"), F.col("lang").alias("channel")),
+        {"ignoreNullFields": "false"},
     )
     return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("k"), body.alias("payload"))
 
 
 def _answer(payload: dict, i: int) -> dict:
-    bad = any(t in payload["full_dialog_text"].lower() for t in RULES.complaint_triggers)
+    bad = any(t in (payload["full_dialog_text"] or "").lower() for t in RULES.complaint_triggers)
     return {
         "_batch_index": i, "category": "TECHNICAL" if bad else "OTHER", "is_complaint": bad,
         "product": payload["product"], "loan_product": "NONE", "confidence": 0.75,

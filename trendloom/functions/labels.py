@@ -90,7 +90,8 @@ def coerce_answer(answer: Column, dialog: Column) -> Column:
     sure = F.when(complaint, fv.COMPLAINT_CONFIDENCE).otherwise(fv.QUESTION_CONFIDENCE)
     return _record(
         client_first_message=dialog,
-        short_summary=_first(answer["short_summary"], answer["summary"], F.substring(dialog, 1, fv.SUMMARY_CHARS)),
+        # an empty dialog has an empty summary, which is no missing one
+        short_summary=F.coalesce(_first(answer["short_summary"], answer["summary"]), F.substring(dialog, 1, fv.SUMMARY_CHARS)),
         is_complaint=complaint,
         complaint_category=category,
         complaint_subcategory=F.coalesce(
