@@ -261,3 +261,21 @@ def test_labels_of_null_and_empty_columns(spark, tmp_path):
         out = {r["k"]: r for r in query(spark, str(tmp_path)).collect()}
         assert [(out[k]["short_summary"], out[k]["is_complaint"], out[k]["confidence"], out[k]["notes"]) for k in "1234"] == [
             ("", False, 0.75, None), ("", False, 0.75, None), ("schü", True, 0.75, None), ("schü", True, 0.75, None)]
+
+
+def test_a_job_without_a_folder_leaves_a_text_once(spark, tmp_path, monkeypatch):
+    """Calls of a private job go when their answers are written, and an accepted text is in the label alone."""
+    for module in (labelling, sys.modules["trendloom.session"]):
+        monkeypatch.setattr(module, "checkpoint_dir", lambda _: str(tmp_path))
+
+    def labeler(batch):
+        if any("boom" in p["full_dialog_text"] for p in batch):
+            raise RuntimeError("refused")
+        return json.dumps([answer(_batch_index=i) for i, _ in enumerate(batch)])
+
+    out = labelling.label_payloads(payloads(spark, [f"m{i}" for i in range(4)] + ["boom"]), labeler).collect()
+    assert len(out) == 5 and sum(r["error"] == "refused" for r in out) == 1
+    assert not [d for d, _, files in os.walk(tmp_path) if "/labels-" in d and files]
+    tables_left = [spark.read.parquet(str(p)) for p in tmp_path.iterdir() if p.name.startswith("trendloom-")]
+    judged = [x for x in tables_left if "violations" in x.columns]
+    assert judged and all((r["payload"] is None) != (r["label"] is None) for x in judged for r in x.collect())

@@ -22,7 +22,7 @@ from trendloom import fixed_values as fv
 from trendloom.functions import labels as L
 from trendloom.functions import text as X
 from trendloom.operators.ordering import number_in_order, union_all
-from trendloom.session import checkpoint_dir, cut_lineage, exists
+from trendloom.session import checkpoint_dir, cut_lineage, delete, exists
 
 
 @dataclass(frozen=True)
@@ -45,6 +45,7 @@ ASKED_TYPE = (
 WAVES = 32  # a job has about as many waves at most, so their fixed cost does not grow with the input
 TASKS_PER_CORE = 8  # in a wave
 MARK_WHOLE = "mapreduce.fileoutputcommitter.marksuccessfuljobs"
+STORED = {"compression": "zstd"}
 
 
 # --- batching -------------------------------------------------------------------------
@@ -198,7 +199,8 @@ def row_batches(work: DataFrame, budget: int, run_rows: int) -> DataFrame:
     numbers = assign_batches(work.select("row_no", "tokens"), "row_no", "tokens", budget, run_rows).select("row_no", "batch")
     request = F.struct("row_no", "k", "payload")
     # a batch has a token a row at least, so its rows are bounded by the budget
-    rows = work.join(numbers, "row_no").groupBy("batch").agg(F.sort_array(F.collect_list(request)).alias("rows"))
+    placed = work.join(numbers, "row_no").repartitionByRange("batch")  # grouped and written as they lie
+    rows = placed.groupBy("batch").agg(F.sort_array(F.collect_list(request)).alias("rows"))
     numbered = F.transform(
         "rows", lambda r, i: F.struct(i.cast("int").alias("idx"), r["k"].alias("k"), r["payload"].alias("payload"), r["row_no"].alias("row_no"))
     )
@@ -221,7 +223,7 @@ def wave_size(batches: int, cores: int, cfg: LabelConfig) -> tuple[int, int]:
 
 
 def run_calls(batches: DataFrame, call: Callable[[list[dict]], str], folder: str, cfg: LabelConfig) -> DataFrame:
-    """One call per batch of (batch, requests); returns ASKED_TYPE with the batch.
+    """One call per batch of (batch, requests), dealt out by ranges of ``batch``; returns ASKED_TYPE with the batch.
 
     ``folder`` keeps the written batches, a claim for every batch before it is asked, and its result
     as soon as the task that asked ends.  A job that starts again with the same folder asks only
@@ -231,8 +233,8 @@ def run_calls(batches: DataFrame, call: Callable[[list[dict]], str], folder: str
     """
     spark = batches.sparkSession
     if not exists(spark, f"{folder}/batches/_SUCCESS"):
-        ordered = batches.repartitionByRange("batch").sortWithinPartitions("batch")
-        ordered.write.mode("overwrite").option(MARK_WHOLE, "true").parquet(f"{folder}/batches")
+        ordered = batches.sortWithinPartitions("batch")
+        ordered.write.mode("overwrite").options(**STORED).option(MARK_WHOLE, "true").parquet(f"{folder}/batches")
     stored = spark.read.schema(batches.schema).parquet(f"{folder}/batches")
     schema = f"batch bigint, {ASKED_TYPE}"
 
@@ -266,7 +268,10 @@ def run_calls(batches: DataFrame, call: Callable[[list[dict]], str], folder: str
         claim.write.mode("append").parquet(f"{folder}/claims")
         # results of a task become visible when it ends, also if the job does not end
         asked = todo.repartition(tasks).mapInPandas(run, schema)
-        asked.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(f"{folder}/results")
+        asked.write.mode("append").options(**STORED).option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(f"{folder}/results")
+    once = results().select("batch", "requests", "response", "error")
+    if once.groupBy("batch").count().filter("count > 1").isEmpty():
+        return once
     # a task that ran twice left two results of a batch: one of them counts, without an error if there is one
     fields = F.struct(F.col("error").isNotNull().alias("failed"), "response", "error", "requests")
     best = results().groupBy("batch").agg(F.min(fields).alias("r"))
@@ -331,6 +336,12 @@ def _accepted(rows: DataFrame) -> Column:
     return F.col("label").isNotNull() & (F.size("violations") == 0)
 
 
+def _judged(rows: DataFrame) -> DataFrame:
+    """``with_label``, written once; a text is kept in the label that is accepted, else in the payload, not in both."""
+    judged, good = with_label(rows), F.coalesce(_accepted(rows), F.lit(False))
+    return cut_lineage(judged.withColumns({"payload": F.when(~good, F.col("payload")), "label": F.when(good, F.col("label"))}))
+
+
 def label_payloads(
     payloads: DataFrame, labeler: Labeler, repair: Callable[[str], str] | None = None, cfg: LabelConfig = LabelConfig(),
     folder: str | None = None,
@@ -340,15 +351,26 @@ def label_payloads(
     Batches form in the order of ``row_no`` if there is such a column (unique), else of ``k``.  Every
     call is claimed before it is made and stored when its task ends (see ``run_calls``).  With a
     ``folder`` a job that broke off goes on where it was when it is started again with the same payloads; without
-    one the calls are kept in the shared checkpoint folder for this job alone.
+    one the calls are kept in the shared checkpoint folder for this job alone, until their answers are written.
     """
-    folder = folder or f"{checkpoint_dir(payloads.sparkSession).rstrip('/')}/labels-{uuid.uuid4().hex}"
-    rows = payloads if "row_no" in payloads.columns else number_in_order(payloads, ["k"], "row_no")
-    rows = cut_lineage(rows.select("row_no", "k", "payload", X.estimate_tokens(F.col("payload")).alias("tokens")))
-    folder = content_folder(rows, folder, cfg)
+    spark, private = payloads.sparkSession, folder is None
+    columns = ["row_no", "k", "payload", X.estimate_tokens(F.col("payload")).alias("tokens")]
+    if "row_no" in payloads.columns:
+        rows = cut_lineage(payloads.select(*columns))
+    else:
+        rows = number_in_order(payloads.select("k", "payload"), ["k"], "row_no").select(*columns)  # written there
+    if private:
+        folder = f"{checkpoint_dir(spark).rstrip('/')}/labels-{uuid.uuid4().hex}"
+    else:
+        folder = content_folder(rows, folder, cfg)
     pending, done, single = rows, [], []
     for attempt in range(cfg.max_attempts):
-        rows = cut_lineage(with_label(answered(ask(pending, labeler, cfg, f"{folder}/attempt-{attempt}"))))
+        asked = ask(pending, labeler, cfg, f"{folder}/attempt-{attempt}")
+        if private:
+            delete(spark, f"{folder}/attempt-{attempt}/batches")  # the results hold the requests
+        rows = _judged(answered(asked))
+        if private:
+            delete(spark, f"{folder}/attempt-{attempt}")
         done.append(rows.filter(_accepted(rows)).select("k", "label", F.lit(None).cast("string").alias("error")))
         failed = F.col("error").isNotNull() | (F.col("item").isNotNull() & ~F.coalesce(_accepted(rows), F.lit(False)))
         single.append(rows.filter(failed).select("row_no", "k", "payload"))
@@ -361,6 +383,8 @@ def label_payloads(
     rest = union_all(single)
     if not rest.isEmpty():
         done.append(label_singly(rest, labeler, repair, cfg, folder))
+    if private:
+        delete(spark, folder)
     return union_all(done)
 
 
@@ -369,7 +393,7 @@ def label_singly(
 ) -> DataFrame:
     """One call per row, one repair call for an invalid answer, else the fallback record."""
     one = payloads.withColumn("tokens", F.lit(1))
-    rows = cut_lineage(with_label(_alone(ask(one, labeler, cfg, f"{folder}/single", budget=1))))
+    rows = _judged(_alone(ask(one, labeler, cfg, f"{folder}/single", budget=1)))
     good = rows.filter(_accepted(rows)).select("k", "label", F.lit(None).cast("string").alias("error"))
     bad = rows.filter(~F.coalesce(_accepted(rows), F.lit(False)))
     reason = F.coalesce(
@@ -378,7 +402,7 @@ def label_singly(
     if repair is None:
         return good.unionByName(_with_fallback(bad.withColumn("error", reason)))
     called = bad.filter(F.col("error").isNull())
-    fixed = cut_lineage(with_label(_repair(called, repair, cfg, f"{folder}/repair")))
+    fixed = _judged(_repair(called, repair, cfg, f"{folder}/repair"))
     return union_all([
         good,
         fixed.filter(_accepted(fixed)).select("k", "label", F.lit(None).cast("string").alias("error")),
@@ -402,7 +426,7 @@ def _repair(rows: DataFrame, repair: Callable[[str], str], cfg: LabelConfig, fol
     """Each row's invalid ``item`` after one repair call."""
     text = F.coalesce("item", F.lit(""))
     request = F.struct(F.lit(0).alias("idx"), "k", text.alias("payload"), "row_no")
-    batches = rows.select(F.col("row_no").alias("batch"), F.array(request).alias("requests"))
+    batches = rows.select(F.col("row_no").alias("batch"), F.array(request).alias("requests")).repartitionByRange("batch")
     calls = run_calls(batches, lambda requests: repair(requests[0]["payload"]), folder, cfg)
     fixed = calls.select(F.col("batch").alias("row_no"), F.col("response").alias("item"), "error")
     return rows.select("k", "payload", "row_no").join(fixed, "row_no")
