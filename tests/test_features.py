@@ -69,3 +69,18 @@ def test_an_assembled_vector_is_sparse_word_part_first(spark):
     assert v.word.terms == ["ab", "cd"] and v.char.terms == [" ab ", " cd "]
     assert rows[0]["features"].size == 4 and list(rows[0]["features"].indices) == [0, 1, 2, 3] and rows[1]["features"].numNonzeros() == 0
     assert rows[0]["t"] == "ab ab cd" and abs(sum(x * x for x in rows[0]["features"].values) - 2) < 1e-12
+
+
+def test_texts_are_fitted_and_weighted_without_written_terms(spark, monkeypatch):
+    cfg = features.VectorizerConfig(min_df=1, max_df=1.0)
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "i int, t string").repartition(2)
+    counted_terms = features.Vectorizer.counted(df, "t", cfg)
+    want = features.Vectorizer.fit(counted_terms, "t", cfg)
+    written, cut = [], features.cut_lineage
+    monkeypatch.setattr(features, "cut_lineage", lambda x: written.append(x.schema.simpleString()) or cut(x))
+    monkeypatch.setattr(features, "CUT_WORDS", 7)
+    got = features.Vectorizer.fit(df, "t", cfg)
+    assert written and not any("array" in x for x in written)
+    assert (got.word, got.char) == (want.word, want.char)
+    vectors = [{r["i"]: r["features"] for r in x.collect()} for x in (got.transform(df, "t"), want.transform(counted_terms, "t"))]
+    assert vectors[0] == vectors[1] and len(vectors[0]) == len(TEXTS)

@@ -126,7 +126,7 @@ def frozen_vocabulary_weights(spark, sf_dir):
 )
 def feature_block_sizes(spark, sf_dir):
     """Word part of the assembled vector: its unit length survives next to the character part."""
-    docs = features.Vectorizer.counted(clean_documents(spark, sf_dir), "text_clean")
+    docs = cut_lineage(clean_documents(spark, sf_dir))  # read three times; their terms, many times as large, are not written
     vectorizer = features.Vectorizer.fit(docs, "text_clean")
     both = vectorizer.transform(docs, "text_clean").select("doc_id", F.unwrap_udt("features").alias("v"))
     words = len(vectorizer.word.terms)

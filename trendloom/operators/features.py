@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -240,12 +240,17 @@ def vocabulary(
     An integer limit counts documents, a fraction is a share of ``rows``.  The
     filtered counts are written once; what remains is bounded by ``max_features``.
     """
+    return _limited(term_statistics(df, terms), min_df, max_df, max_features, rows)
+
+
+def _limited(statistics: DataFrame, min_df: int | float, max_df: int | float, max_features: int, rows: int) -> DataFrame:
+    """``vocabulary`` of ``term_statistics`` over ``rows`` documents."""
 
     def documents(limit: int | float) -> float:
         return limit * rows if isinstance(limit, float) else limit
 
     inside = F.col("docs").between(documents(min_df), documents(max_df))
-    kept = cut_lineage(term_statistics(df, terms).filter(inside))
+    kept = cut_lineage(statistics.filter(inside))
     return largest(kept, [F.col("term")], max_features, "n")
 
 
@@ -259,7 +264,10 @@ class TermBlock:
     @classmethod
     def fit(cls, df: DataFrame, terms: str, min_df, max_df, max_features: int) -> TermBlock:
         rows = df.count()
-        table = vocabulary(df, terms, min_df, max_df, max_features, rows)
+        return cls._of(vocabulary(df, terms, min_df, max_df, max_features, rows), rows)
+
+    @classmethod
+    def _of(cls, table: DataFrame, rows: int) -> TermBlock:
         idf = F.log((1 + F.lit(rows)) / (1 + F.col("docs"))) + 1
         found = table.select("term", idf.alias("idf")).toArrow().sort_by("term")
         return cls(found["term"].to_pylist(), found["idf"].to_pylist())
@@ -310,16 +318,31 @@ def _unit_weights(lists: pa.ListArray, known: pa.Array, idf: np.ndarray) -> tupl
     row, pairs = _flat(lists)
     at = pc.index_in(pairs.field("term"), value_set=known)
     inside = at.is_valid().to_numpy(zero_copy_only=False)
-    row, at = row[inside], at.drop_null().to_numpy(zero_copy_only=False)
-    n = pairs.field("n").to_numpy(zero_copy_only=False)[inside].astype(float)
-    order = np.argsort(row * max(1, len(known)) + at)
+    n = pairs.field("n").to_numpy(zero_copy_only=False)[inside]
+    return _weights(row[inside], at.drop_null().to_numpy(zero_copy_only=False), n, len(lists), idf, len(known))
+
+
+def _unit_weights_of_words(lists: pa.ListArray, grams: Grams, known: pa.Array, idf: np.ndarray):
+    """``_unit_weights`` of lists of words, each distinct term of which is looked up once."""
+    row, code, n, terms = _cut_up(lists, grams)
+    at = pc.fill_null(pc.index_in(terms, value_set=known), -1).to_numpy(zero_copy_only=False)[code]
+    inside = at >= 0
+    return _weights(row[inside], at[inside], n[inside], len(lists), idf, len(known))
+
+
+def _weights(row: np.ndarray, at: np.ndarray, n: np.ndarray, rows: int, idf: np.ndarray, size: int):
+    n = n.astype(float)
+    order = np.argsort(row * max(1, size) + at)
     row, at, n = row[order], at[order], n[order]
     w = (1.0 + np.log(n)) * idf[at]
-    return row, at, w / np.sqrt(np.bincount(row, w * w, len(lists)))[row]
+    return row, at, w / np.sqrt(np.bincount(row, w * w, rows))[row]
+
 
+def _vectors(df: DataFrame, blocks: list[tuple[TermBlock, str]], output: str, grams: Sequence[Grams] | None = None) -> DataFrame:
+    """The columns of counted terms of ``blocks`` replaced by one sparse vector, block behind block.
 
-def _vectors(df: DataFrame, blocks: list[tuple[TermBlock, str]], output: str) -> DataFrame:
-    """The columns of counted terms of ``blocks`` replaced by one sparse vector, block behind block."""
+    With ``grams`` the columns hold words: they are cut into terms and weighted in one step, so no list of terms is moved.
+    """
     used = [c for _, c in blocks]
     others = [c for c in df.columns if c not in used]
     shared = df.sparkSession.sparkContext.broadcast([_looked_up(b) for b, _ in blocks])
@@ -329,8 +352,11 @@ def _vectors(df: DataFrame, blocks: list[tuple[TermBlock, str]], output: str) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = shared.value
         for batch in batches:
-            for part in _slices(batch, used[-1]):
-                found = [_unit_weights(part.column(c), *t) for c, t in zip(used, tables)]
+            for part in _slices(batch, used[-1], CUT_WORDS if grams else None):
+                if grams:
+                    found = [_unit_weights_of_words(part.column(c), g, *t) for c, g, t in zip(used, grams, tables)]
+                else:
+                    found = [_unit_weights(part.column(c), *t) for c, t in zip(used, tables)]
                 row = np.concatenate([r for r, _, _ in found])
                 at = np.concatenate([a + sum(widths[:i]) for i, (_, a, _) in enumerate(found)])
                 w = np.concatenate([x for _, _, x in found])
@@ -384,17 +410,20 @@ class Vectorizer:
 
     @classmethod
     def fit(cls, df: DataFrame, text: str, cfg: VectorizerConfig = VectorizerConfig()) -> Vectorizer:
-        """Fit on the texts, or on what ``counted`` made of them."""
-        rows = df if "_words" in df.columns else cls.counted(df.select(text), text, cfg)
-        return cls(
-            cfg,
-            TermBlock.fit(rows, "_words", cfg.min_df, cfg.max_df, cfg.max_features_word),
-            TermBlock.fit(rows, "_chars", cfg.min_df, cfg.max_df, cfg.max_features_char),
-        )
+        """Fit on the texts, which are read for each block, or on what ``counted`` made of them; of texts no list of terms is written."""
+        limits = (cfg.min_df, cfg.max_df, cfg.max_features_word), (cfg.min_df, cfg.max_df, cfg.max_features_char)
+        if "_words" in df.columns:
+            return cls(cfg, TermBlock.fit(df, "_words", *limits[0]), TermBlock.fit(df, "_chars", *limits[1]))
+        rows = df.count()
+        words = df.select(X.feature_words(F.col(text)).alias("_words"))
+        chars = df.select(X.spaced_words(F.col(text)).alias("_chars"))
+        found = word_ngram_statistics(words, "_words", *cfg.word_ngram), char_ngram_statistics(chars, "_chars", *cfg.char_ngram)
+        return cls(cfg, *(TermBlock._of(_limited(x, *limit, rows), rows) for x, limit in zip(found, limits)))
 
     def transform(self, df: DataFrame, text: str, output: str = "features") -> DataFrame:
         """Add the vector of both blocks; ``df`` may hold what ``counted`` made of the texts."""
-        rows = df
-        if "_words" not in df.columns:
-            rows = self.with_chars(self.with_words(df, text, "_words", self.cfg), text, "_chars", self.cfg)
-        return _vectors(rows, [(self.word, "_words"), (self.char, "_chars")], output)
+        blocks = [(self.word, "_words"), (self.char, "_chars")]
+        if "_words" in df.columns:
+            return _vectors(df, blocks, output)
+        words = df.withColumns({"_words": X.feature_words(F.col(text)), "_chars": X.spaced_words(F.col(text))})
+        return _vectors(words, blocks, output, [_runs(*self.cfg.word_ngram), _inside_words(*self.cfg.char_ngram)])
